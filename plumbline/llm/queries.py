@@ -4,15 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
-from plumbline.llm.common import table
+from plumbline.llm import decontaminate, shard_tree, simhash, token_cache
+from plumbline.llm.common import fresh_path, table
+
+N_SHARDS = 40
+TOKEN_LIMIT = 2048
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty at each call, so that all distinct texts are encoded."""
+    docs, cache = table(spark, sf_dir, "documents"), fresh_path(spark, "token-cache")
+    counted = token_cache.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), cache)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tree = table(spark, sf_dir, "documents"), shard_tree.build_tree(N_SHARDS)
+    rows = shard_tree.assign(docs, tree, shard_tree.add_shard(tree))
+    return shard_tree.with_slots(rows, docs.count()).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = decontaminate.item_windows(table(spark, sf_dir, "benchmark"))
+    return decontaminate.scan(table(spark, sf_dir, "documents"), windows)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_token_counts, op7_hash_tree_shards, op9_decontaminate)
+}
+ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
