@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, shard_tree, simhash, token_cache
+from plumbline.llm import ann, decontaminate, pii, shard_tree, simhash, token_cache
 from plumbline.llm.common import fresh_path, table
 
 N_SHARDS = 40
@@ -19,6 +19,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_cross_polytope_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache starts empty at each call, so that all distinct texts are encoded."""
     docs, cache = table(spark, sf_dir, "documents"), fresh_path(spark, "token-cache")
@@ -26,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tree = table(spark, sf_dir, "documents"), shard_tree.build_tree(N_SHARDS)
     rows = shard_tree.assign(docs, tree, shard_tree.add_shard(tree))
@@ -38,6 +47,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_token_counts, op7_hash_tree_shards, op9_decontaminate)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op7_hash_tree_shards, op9_decontaminate)
 }
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
