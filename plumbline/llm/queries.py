@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, pii, shard_tree, simhash, token_cache
+from plumbline.llm import ann, decontaminate, pii, sentence_pieces, shard_tree, simhash, token_cache
 from plumbline.llm.common import fresh_path, table
 
 N_SHARDS = 40
@@ -35,6 +35,23 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best path's size, score and hash; the alternatives' number, margin and hash; whether decoding gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    others = F.col("piece_alternatives")
+    return encoded.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.col("piece_score").alias("score"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.size(others).alias("n_alternatives"),
+        (F.col("piece_score") - F.try_element_at(others, F.lit(1))["score"]).alias("margin"),
+        F.xxhash64(others).alias("alternatives_hash"),
+        (sentence_pieces.decode(model)("pieces") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tree = table(spark, sf_dir, "documents"), shard_tree.build_tree(N_SHARDS)
     rows = shard_tree.assign(docs, tree, shard_tree.add_shard(tree))
@@ -47,6 +64,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op7_hash_tree_shards, op9_decontaminate)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op7_hash_tree_shards, op9_decontaminate)
 }
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
