@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, pii, sentence_pieces, shard_tree, simhash, token_cache
-from plumbline.llm.common import fresh_path, table
+from plumbline.llm import ann, decontaminate, language_crf, pii, sentence_pieces, shard_tree, simhash, token_cache
+from plumbline.llm.common import crc_mod, fresh_path, table
 
 N_SHARDS = 40
 TOKEN_LIMIT = 2048
@@ -58,12 +58,19 @@ def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.with_slots(rows, docs.count()).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the documents whose crc32 is not divisible by five; all are labelled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_crf.fit(docs.where(crc_mod("doc_id", 5) != 0))
+    return language_crf.predict(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = decontaminate.item_windows(table(spark, sf_dir, "benchmark"))
     return decontaminate.scan(table(spark, sf_dir, "documents"), windows)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op7_hash_tree_shards, op9_decontaminate)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op7_hash_tree_shards, op8_language_crf, op9_decontaminate)
 }
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
