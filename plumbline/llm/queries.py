@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, language_crf, pii, sentence_pieces, shard_tree, simhash, token_cache
+from plumbline.llm import ann, decontaminate, language_crf, pii, sentence_pieces, shard_tree, simhash, token_cache, toxicity
 from plumbline.llm.common import crc_mod, fresh_path, table
 
 N_SHARDS = 40
@@ -52,6 +52,14 @@ def op5_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity_nb_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the labels of rows whose crc32 modulo four is not two; all documents are scored."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learnt = crc_mod("doc_id", 4) != 2
+    model = toxicity.fit(docs.where(learnt), labels.where(learnt))
+    return toxicity.predict(docs, model).withColumn("held_out", ~learnt).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tree = table(spark, sf_dir, "documents"), shard_tree.build_tree(N_SHARDS)
     rows = shard_tree.assign(docs, tree, shard_tree.add_shard(tree))
@@ -71,6 +79,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op7_hash_tree_shards, op8_language_crf, op9_decontaminate)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op6_toxicity_nb_linear, op7_hash_tree_shards, op8_language_crf, op9_decontaminate)
 }
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
