@@ -60,7 +60,7 @@ class Model:
 
     def score(self, text: str) -> float:
         found = buckets_of(text)
-        return float(1 / (1 + np.exp(-self.bias - self.weights[_present(found, self.weights)].sum())))
+        return float(1 / (1 + np.exp(-self.bias - self.weights[_present(found, self.weights)].sum(dtype=np.float64))))
 
 
 def _present(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
