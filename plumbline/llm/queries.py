@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, language_crf, pii, sentence_pieces, shard_tree, simhash, token_cache, toxicity
+from plumbline.llm import ann, decontaminate, language_crf, masked_lm, pii, sentence_pieces, shard_tree, simhash, token_cache, toxicity
 from plumbline.llm.common import crc_mod, fresh_path, table
 
 N_SHARDS = 40
@@ -78,7 +78,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), windows)
 
 
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from all documents, which are then scored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op6_toxicity_nb_linear, op7_hash_tree_shards, op8_language_crf, op9_decontaminate)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op6_toxicity_nb_linear, op7_hash_tree_shards, op8_language_crf, op9_decontaminate, op10_masked_lm)
 }
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
