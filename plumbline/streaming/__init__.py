@@ -1,0 +1 @@
+"""Structured Streaming forms of the engine's progressive results."""
