@@ -180,6 +180,9 @@ FREQUENT_WORDS = {
 def guess_language(c: Column, least: int = 20) -> Column:
     """Language with most frequent words in the text, of equals the first by name; null for short texts or without any."""
     w = words(c)
-    scores = [F.struct((-F.size(F.filter(w, lambda x, v=v: x.isin(*v)))).alias("m"), F.lit(k).alias("lang")) for k, v in FREQUENT_WORDS.items()]
+    def among(listed: tuple[str, ...]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*listed)))
+
+    scores = [F.struct((-among(v)).alias("m"), F.lit(k).alias("lang")) for k, v in FREQUENT_WORDS.items()]
     best = F.array_min(F.array(*scores))
     return F.when((F.length(_text(c)) >= least) & (best["m"] < 0), best["lang"])

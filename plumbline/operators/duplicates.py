@@ -68,7 +68,8 @@ def near_pairs(reps: DataFrame, features: Features = Features()) -> DataFrame:
     banded = bands(reps, features)
     order = Window.partitionBy("band").orderBy("rep")
     first = Window.partitionBy("band")
-    linked = banded.select(F.col("rep").alias("b"), F.explode(F.array(F.lag("rep", 1).over(order), F.lag("rep", 2).over(order), F.min("rep").over(first))).alias("a"))
+    ahead = banded.select(F.col("rep").alias("b"), F.array(F.lag("rep", 1).over(order), F.lag("rep", 2).over(order), F.min("rep").over(first)).alias("near"))
+    linked = ahead.select("b", F.explode("near").alias("a"))
     pairs = linked.where("a IS NOT NULL AND a < b").distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("score"))

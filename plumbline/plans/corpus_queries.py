@@ -73,7 +73,7 @@ def daily_positive_share(spark, sf_dir):
 
 
 @query(f"""WITH {GRID}, w AS (SELECT verdict, hour, n, list(n) OVER (PARTITION BY verdict ORDER BY hour ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) AS w FROM grid),
-m AS (SELECT *, list_median(w) AS med FROM w WHERE len(w) >= 72), d AS (SELECT *, list_median(list_transform(w, x -> abs(x - med))) AS mad FROM m)
+m AS (SELECT *, list_median(w) AS med FROM w WHERE len(w) >= 72), d AS (SELECT *, list_median(list_transform(w, lambda x: abs(x - med))) AS mad FROM m)
 SELECT verdict, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, n, med, round((n - med) / greatest(1.4826e0 * mad, 1e0), 6) AS z FROM d""")
 def trailing_robust_z(spark, sf_dir):
     return B.trailing_z(B.hourly(rated_events(spark, sf_dir))).select("verdict", shown("hour"), "n", "med", F.round("z", 6).alias("z"))

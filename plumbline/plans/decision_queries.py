@@ -232,10 +232,10 @@ def transitions_between_runs(spark, sf_dir):
     return E.transitions(judged(spark, sf_dir), judged(spark, sf_dir, Policy(downweight_below=0.7)))
 
 
-@query(S.over_reviews(S.ANSWERS, S.JUDGED) + "SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, rating_norm, ['PENDING','KEEP','DOWNWEIGHT','FLAG','EXCLUDE'][code + 1] AS action, weight, round(score, 4) AS integrity_score, array_to_string(reasons, ';') AS reasons, text FROM decided")
+@query(S.over_reviews(S.ANSWERS, S.JUDGED) + "SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, rating_norm, ['PENDING','KEEP','DOWNWEIGHT','FLAG','EXCLUDE'][code + 1] AS action, weight, CAST(round(CAST(score AS DECIMAL(18, 9)), 4) AS DOUBLE) AS integrity_score, array_to_string(reasons, ';') AS reasons, text FROM decided")
 def export_decisions(spark, sf_dir):
     """Rows of an export: no ids, no authors."""
-    return judged(spark, sf_dir).select(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "rating_norm", "action", "weight", F.round("score", 4).alias("integrity_score"), F.concat_ws(";", "reasons").alias("reasons"), "text")
+    return judged(spark, sf_dir).select(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "rating_norm", "action", "weight", F.round(F.col("score").cast("decimal(18,9)"), 4).cast("double").alias("integrity_score"), F.concat_ws(";", "reasons").alias("reasons"), "text")
 
 
 @query()

@@ -68,11 +68,11 @@ contributed AS (
   FROM offgame),
 telling AS (
   SELECT *, greatest(0e0, 1 - (0e0 + c[1] + c[2] + c[3] + c[4] + c[5] + c[6] + c[7] + c[8])) AS score0,
-         list_transform(list_sort(list_filter(list_transform(range(1, 9), i -> {{'m': -c[i], 'i': i, 'r': ['LOW_INFO', 'UNSUPPORTED_VERDICT', 'CONTRADICTS_VERDICT', 'SPAM', 'TEMPLATED', 'OFF_TOPIC', 'LOW_EXPERIENCE', 'INFLUENCE_ATTEMPT'][i]}}), x -> -x.m >= 0.05e0))[1:3], x -> x.r) AS why
+         list_transform(list_sort(list_filter(list_transform(range(1, 9), lambda i: {{'m': -c[i], 'i': i, 'r': ['LOW_INFO', 'UNSUPPORTED_VERDICT', 'CONTRADICTS_VERDICT', 'SPAM', 'TEMPLATED', 'OFF_TOPIC', 'LOW_EXPERIENCE', 'INFLUENCE_ATTEMPT'][i]}}), lambda x: -x.m >= 0.05e0))[1:3], lambda x: x.r) AS why
   FROM contributed),
 coded AS (
   SELECT * EXCLUDE (c, why), CASE WHEN spam > 0.9e0 THEN 3 WHEN score0 < 0.55e0 THEN 2 ELSE 1 END AS code, score0 AS score,
-         CASE WHEN spam > 0.9e0 THEN list_concat(['SPAM'], list_filter(why, x -> x <> 'SPAM'))[1:3] ELSE why END AS reasons
+         CASE WHEN spam > 0.9e0 THEN list_concat(['SPAM'], list_filter(why, lambda x: x <> 'SPAM'))[1:3] ELSE why END AS reasons
   FROM telling),
 decided AS (SELECT *, {WEIGHT} AS weight FROM coded)"""
 
