@@ -151,9 +151,9 @@ def new_account_lift(spark, sf_dir):
     return author_factors(spark, sf_dir).select("author_id", "n", F.round("lift", 6).alias("lift"))
 
 
-@query(LIFT + " SELECT author_id, n, round(offtopic, 6) AS offtopic FROM l")
+@query(LIFT + " SELECT author_id, n, CAST(round(CAST(offtopic AS DECIMAL(18, 9)), 6) AS DOUBLE) AS offtopic FROM l")
 def offtopic_mean(spark, sf_dir):
-    return author_factors(spark, sf_dir).select("author_id", "n", F.round("offtopic", 6).alias("offtopic"))
+    return author_factors(spark, sf_dir).select("author_id", "n", F.round(F.col("offtopic").cast("decimal(18,9)"), 6).cast("double").alias("offtopic"))
 
 
 @query(LIFT + " SELECT author_id, round(exp((0.5 * ln(greatest(0.02, least(1, lift))) + 0.5 * ln(greatest(0.02, least(1, offtopic))) + ln(greatest(0.02, least(1, hom)))) / 2), 6) AS suspicion FROM l")

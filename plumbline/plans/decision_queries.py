@@ -80,7 +80,7 @@ MEMBERS = """mem AS (SELECT *, CASE author_id % 3 WHEN 0 THEN 'burst' WHEN 1 THE
 @query(S.over_reviews(S.ANSWERS, S.JUDGED, MEMBERS) + """, p AS (SELECT *, score * (1 - 0.5e0 * suspicion) AS pen FROM mem),
 q AS (SELECT *, greatest(code, CASE WHEN pen < 0.55e0 THEN 2 ELSE 1 END, CASE WHEN late THEN 4 ELSE 0 END) AS c1 FROM p),
 r AS (SELECT *, CASE WHEN abs(pen - 0.55e0) <= 0.1e0 AND c1 = 1 THEN 3 ELSE c1 END AS c2, kind IS NOT NULL AND suspicion > 0.5 AS applies, CASE WHEN kind = 'burst' THEN 'BURST_WINDOW' ELSE 'COORDINATED_CLUSTER' END AS why FROM q)
-SELECT id, CASE WHEN applies THEN c2 ELSE code END AS code, round(CASE WHEN applies THEN pen ELSE score END, 6) AS score,
+SELECT id, CASE WHEN applies THEN c2 ELSE code END AS code, CAST(round(CAST(CASE WHEN applies THEN pen ELSE score END AS DECIMAL(18, 9)), 6) AS DOUBLE) AS score,
   array_to_string(CASE WHEN applies THEN list_concat([why], reasons)[1:3] ELSE reasons END, ',') AS reasons FROM r""")
 def cluster_rules(spark, sf_dir):
     rows = R.numbered_answers(R.reviews(spark, sf_dir)).withColumns({
@@ -89,7 +89,7 @@ def cluster_rules(spark, sf_dir):
         "late": F.col("id") % 11 == 0,
     }).withColumn("b", PO.judged())
     out = opened(rows.withColumn("d", PO.clustered(F.col("b"), F.col("suspicion"), F.col("kind"), F.col("late"))))
-    return out.select("id", "code", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+    return out.select("id", "code", F.round(F.col("score").cast("decimal(18,9)"), 6).cast("double").alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(S.over_reviews(S.ANSWERS, S.JUDGED) + "SELECT ['PENDING','KEEP','DOWNWEIGHT','FLAG','EXCLUDE'][code + 1] AS action, coalesce(reasons[1], '') AS reason, count(*) AS n FROM decided GROUP BY 1, 2")
