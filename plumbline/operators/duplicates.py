@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from plumbline.config import Features
 from plumbline.functions.text import normalised
@@ -21,10 +22,25 @@ def exact_groups(df: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     return df.groupBy(normalised(F.col(text_col)).alias("norm")).agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"))
 
 
+def shingles_of(text: str, k: int = 5) -> np.ndarray:
+    """Sorted distinct 31-bit hashes of the character k-shingles; a shorter text is one shingle."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    width = max(1, min(k, len(codes)))
+    mixed = np.full(max(1, len(codes) - width + 1), width, np.uint64)
+    for j in range(min(width, len(codes))):
+        mixed = (mixed ^ codes[j : j + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed & np.uint64(MERSENNE)).astype(np.int64)
+
+
 def shingle_hashes(norm: Column, k: int = 5) -> Column:
-    """Distinct 31-bit hashes of the character k-shingles; a shorter text is one shingle."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(norm) - k + 1, F.lit(1)))
-    return F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(norm, i, F.lit(k))).bitwiseAND(F.lit(MERSENNE)))))
+    """``shingles_of`` as a column. In numpy, as taking substrings one by one costs a scan of the text each."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def hashes(column: pd.Series) -> pd.Series:
+        return pd.Series([shingles_of(x, k) for x in column])
+
+    return hashes(norm)
 
 
 def band_keys(hashes: pd.Series, features: Features) -> list[list[int]]:
