@@ -46,6 +46,18 @@ def texts(column: pd.Series) -> list[str]:
     return [x if isinstance(x, str) else "" for x in column]
 
 
+def slices(batch: pd.DataFrame, column: str, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """Consecutive parts of a batch with about ``chars`` characters of text each, a longer text alone; one for an empty batch."""
+    size = [len(x) + 1 if isinstance(x, str) else 1 for x in batch[column]]
+    at, held = 0, 0
+    for k, n in enumerate(size):
+        if held and held + n > chars:
+            yield batch.iloc[at:k]
+            at, held = k, 0
+        held += n
+    yield batch.iloc[at:]
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's text form, modulo n (null: of the empty string)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

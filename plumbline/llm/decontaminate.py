@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import slices, texts
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = [WindowSet(parts[0].value)] if len(parts) == 1 else None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             split = [words_of(t) for t in texts(batch["text"])]
             hits, items = [np.zeros(len(w), bool) for w in split], [set() for _ in split]
             for k in range(len(parts)):  # one part of the set in memory at a time

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import slices, texts
 
 #: Documents a language, and their range of length in bytes, from which weights are learned.
 SAMPLE_DOCS = 300
@@ -36,7 +36,7 @@ FEATURES, LEXICON = 1 << 16, 1 << 17
 SEQUENCE, STEPS, L2 = 200, 60, 1e-4
 CHUNK = 32
 WORDS_AT_ONCE = 200_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -202,16 +202,17 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     number = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(langs), LEXICON))
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                if lang in number:
-                    seen: Counter = Counter()
-                    for t in texts(group["text"]):
-                        seen.update(words_of(t))
+                for part in slices(group, "text") if lang in number else ():
+                    seen = Counter(w for t in texts(part["text"]) for w in words_of(t))
                     buckets = np.fromiter((_bucket(w) for w in seen), np.int64, len(seen))
-                    sums = np.bincount(buckets, np.fromiter(seen.values(), float, len(seen)), LEXICON)
-                    at = np.flatnonzero(sums)
-                    yield pd.DataFrame({"bucket": at, "lang": number[lang], "n": sums[at].astype(np.int64)})
+                    sums[number[lang]] += np.bincount(buckets, np.fromiter(seen.values(), float, len(seen)), LEXICON)
+        for k in range(len(langs)):
+            at = np.flatnonzero(sums[k])
+            if len(at):
+                yield pd.DataFrame({"bucket": at, "lang": k, "n": sums[k][at].astype(np.int64)})
 
     counted = rows.select("text", "lang").mapInPandas(count, "bucket long, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((LEXICON, len(langs)))
@@ -285,13 +286,32 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value) if shared.value else None
         for batch in batches:
-            split = [words_of(t) for t in texts(batch["text"])]
             if labeller is None:
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": UNDETERMINED, "score": 0.0})
                 continue
-            shares = labeller.shares(split)
-            names = np.array([*labeller.model.langs, UNDETERMINED], dtype=object)
-            won = np.where([bool(w) for w in split], shares.argmax(axis=1), len(names) - 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names[won], "score": np.minimum(shares.max(axis=1), 1.0)})
+            for part in slices(batch, "text"):
+                split = [words_of(t) for t in texts(part["text"])]
+                shares = labeller.shares(split)
+                names = np.array([*labeller.model.langs, UNDETERMINED], dtype=object)
+                won = np.where([bool(w) for w in split], shares.argmax(axis=1), len(names) - 1)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": names[won], "score": np.minimum(shares.max(axis=1), 1.0)})
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(label, schema).withColumnRenamed("doc_id", id_col)
+
+
+def keep_determined(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text one language holds the share ``least`` of the words; undetermined texts go.
+
+    All columns stay, each row is judged on its own, and no text is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(shared.value) if shared.value else None
+        for batch in batches:
+            for part in slices(batch, text_col):
+                if labeller is not None and len(part):
+                    shares = labeller.shares([words_of(t) for t in texts(part[text_col])]).max(axis=1)
+                    yield part[(shares > 0) & (shares >= least)]
+
+    return docs.mapInPandas(keep, docs.schema)

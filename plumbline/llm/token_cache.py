@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import slices, texts
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Pieces of text whose counts a Python worker remembers.
@@ -129,7 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = TokenCounter(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             yield pd.DataFrame({"content": batch["content"], "tokenizer": version, "n_tokens": counter.counts(texts(batch["text"]))})
 
     # Copies are collapsed within each task before the shuffle, so a text with many copies crosses it once a task.
