@@ -25,19 +25,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a determined language go: null or letterless texts, and those where no language holds half of the words.
 
     The model is learned from the documents' own text and non-null ``lang``.
-    Rows that share a doc_id go or stay together with the clearest of them.
+    Each row is judged on its own.
     """
-    model = language_crf.fit(docs)
-    labelled = language_crf.predict(docs, model)
-    passed = labelled.where((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(passed, "doc_id", "left_semi").select(*docs.columns)
+    return language_crf.keep_determined(docs, language_crf.fit(docs), LEAST_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, repeated rows of it once."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, equal rows of it once.
+
+    Rows without a doc_id can't be told apart: all stay if one of them is in a group where no row has one.
+    """
     found = simhash.near_duplicates(docs)
-    firsts = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

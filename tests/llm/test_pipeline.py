@@ -37,3 +37,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     lattice = sentence_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
     assert ids(f) == ids(e) and all(lattice.decode(r.pieces) == r.text for r in f)
     assert spark.read.parquet(path).count() == len(f)
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    text = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").where("n_chars > 500").orderBy("doc_id").limit(12).collect()}
+    rows = [(i, t, "en") for i, t in text.items()]
+    rows += [rows[0], (None, rows[1][1], "en"), (None, " ".join(f"word{k % 7} and the other{k % 11}" for k in range(90)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = cp.near_dedup(spark, docs, "").collect()
+    assert rows[-1][1] in [r.text for r in kept if r.doc_id is None] and len([r for r in kept if r.doc_id == rows[0][0]]) == 1
+    assert cp.near_dedup(spark, docs.limit(0), "").count() == cp.language_id(spark, docs.limit(0), "").count() == 0
