@@ -100,22 +100,28 @@ def ratios(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(lists: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, ratio: np.ndarray) -> Model:
-    """Logistic regression by Adam; row weights undo the sample's share of each label."""
-    used = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)])).astype(np.int64)
+def learn(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, ratio: np.ndarray) -> Model:
+    """Logistic regression by Adam; ``flat`` has the rows' buckets end to end, ``sizes`` their numbers.
+
+    Row weights undo the sample's share of each label.
+    """
+    used = np.unique(flat)
     place = np.zeros(BUCKETS, np.int64)
     place[used] = np.arange(len(used))
-    flat = place[np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = place[flat]
+    full = np.flatnonzero(sizes)  # rows with features: only these have a segment
+    starts = (np.cumsum(sizes) - sizes)[full]
     value = ratio[used]
     rate = np.clip((weights * labels).sum() / max(weights.sum(), 1e-9), 1e-4, 1 - 1e-4)
     theta = np.r_[np.full(len(used), 0.05), np.log(rate / (1 - rate))]
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     share = weights / max(weights.sum(), 1e-9)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, (theta[:-1] * value)[flat], len(lists)) + theta[-1]
+        z = np.full(len(sizes), theta[-1])
+        if len(full):
+            z[full] += np.add.reduceat((theta[:-1] * value)[flat], starts)
         miss = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
-        grad = np.r_[np.bincount(flat, miss[row], len(used)) * value + L2 * theta[:-1], miss.sum()]
+        grad = np.r_[np.bincount(flat, np.repeat(miss, sizes), len(used)) * value + L2 * theta[:-1], miss.sum()]
         mean += 0.1 * (grad - mean)
         square += 0.001 * (grad * grad - square)
         theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -131,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text gets the share of the label that is there (one half without any).
     """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)").distinct()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marked, "doc_id").select("doc_id", "text", "label")
+    # Labels grow with the documents: a merge join at every size, so that plans are alike.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marked.hint("merge"), "doc_id").select("doc_id", "text", "label")
     counts, totals = count_features(rows.select("text", "label"))
     if not totals.all():
         share = 0.5 if not totals.sum() else float(totals[1] > 0)
@@ -146,12 +153,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     drawn = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     picked = marked.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "label")
-    sample = rows.join(picked, ["doc_id", "label"], "left_semi").select("label", selected("text").alias("found")).toArrow().to_pydict()
-    found = np.array(sample["label"])
-    if not len(found):
+    texts_ = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # At most 2 * SAMPLE_DOCS ids are broadcast, so the texts don't cross a second shuffle.
+    sample = texts_.join(F.broadcast(picked), "doc_id").select("label", selected("text").alias("found")).toArrow()
+    if not sample.num_rows:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    weights = np.where(found == 1, totals[1] / max((found == 1).sum(), 1), totals[0] / max((found == 0).sum(), 1))
-    return learn([np.array(x, np.int64) for x in sample["found"]], found.astype(float), weights, ratio)
+    label, lists = sample["label"].to_numpy(), sample["found"].combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    del sample, lists
+    weights = np.where(label == 1, totals[1] / max((label == 1).sum(), 1), totals[0] / max((label == 0).sum(), 1))
+    return learn(flat, sizes, label.astype(float), weights, ratio)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
