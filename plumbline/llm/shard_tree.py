@@ -73,20 +73,36 @@ def _draw(key: Column, child: Node) -> Column:
     return -F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / F.lit(child.weight)
 
 
-def descend(key: Column, node: Node) -> Column:
-    """The shard that ``key`` reaches from ``node``; ties go to the first child."""
-    if not node.children:
-        return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descend(key, node.children[0])
-    draws = F.array(*[_draw(key, c) for c in node.children])
-    won = F.array_position(draws, F.array_min(draws))
-    out = None
-    for i, child in enumerate(node.children):
-        out = F.when(won == i + 1, descend(key, child)) if out is None else out.when(won == i + 1, descend(key, child))
+def _levels(root: Node) -> list[list[Node]]:
+    out, level = [], [root]
+    while any(n.children for n in level):
+        out.append(level)
+        level = [c for n in level for c in (n.children or (n,))]
     return out
 
 
+def descend(docs: DataFrame, key: Column, root: Node, name: str) -> DataFrame:
+    """``docs`` with the shard that ``key`` reaches from ``root`` as ``name``; ties go to the first child.
+
+    One column a level holds the node reached, so a level's draws are written
+    once for each of its nodes.
+    """
+    at, step = f"_{name}", None
+    docs = docs.withColumn(at, F.lit(root.name))
+    for level in _levels(root):
+        step = F.col(at)
+        chosen = None
+        for node in level:
+            if len(node.children) < 2:
+                won = F.lit((node.children or (node,))[0].name)
+            else:
+                draws = F.array(*[_draw(key, c) for c in node.children])
+                won = F.element_at(F.array(*[F.lit(c.name) for c in node.children]), F.array_position(draws, F.array_min(draws)).cast("int"))
+            chosen = F.when(step == node.name, won) if chosen is None else chosen.when(step == node.name, won)
+        docs = docs.withColumn(at, chosen)
+    return docs.withColumn(name, F.substring_index(F.col(at), "shard", -1).cast("int")).drop(at)
+
+
 def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, size, text_crc32, law ``key``, shard and grown_shard (where ``grown`` leads).
 
@@ -94,14 +110,14 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str =
     like any other. Equal ids share a shard. Other columns are ignored.
     """
     key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         F.col(id_col),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        descend(key, tree).cast("int").alias("shard"),
-        (descend(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
     )
+    rows = descend(rows, key, tree, "shard")
+    return descend(rows, key, grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def with_slots(rows: DataFrame, n_rows: int, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
