@@ -38,7 +38,7 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best path's size, score and hash; the alternatives' number, margin and hash; whether decoding gives the text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, verify=True)
     others = F.col("piece_alternatives")
     return encoded.select(
         "doc_id",
@@ -48,7 +48,7 @@ def op5_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(others).alias("n_alternatives"),
         (F.col("piece_score") - F.try_element_at(others, F.lit(1))["score"]).alias("margin"),
         F.xxhash64(others).alias("alternatives_hash"),
-        (sentence_pieces.decode(model)("pieces") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.col("piece_round_trip").alias("round_trip"),
     )
 
 

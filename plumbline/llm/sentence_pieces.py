@@ -7,7 +7,7 @@ A-star search from the end, which returns paths best first.
 
 In the models at hand only pieces of blanks hold a blank behind their first
 character. So the lattice of a text falls apart before each run of blanks, into
-units that are segmented on their own and remembered by each worker. The best N
+units that are segmented on their own, many at a time in numpy, and remembered by each worker. The best N
 paths of a text differ from its best path in at most N - 1 units, and only in
 those with the N - 1 smallest costs of a second choice: only these are searched.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from itertools import product
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import slices, texts
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
-MEMO_UNITS = 300_000
+#: Units that a worker remembers, and those whose N best paths it remembers.
+MEMO_UNITS, MEMO_BEST = 200_000, 20_000
+#: Characters of the documents that are segmented together; longer units go one by one.
+CHARS_AT_ONCE, LONG_UNIT = 400_000, 48
+#: Units in one block of the vectorised search.
+BLOCK_UNITS = 8_192
+_BASE, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
 ALTERNATIVES = "array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>"
 _UNITS = re.compile(" +[^ ]*").findall
 
@@ -64,8 +70,29 @@ class Lattice:
             self.surface.append(surface)
         self.unknown = lowest - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
-        self.memo: dict[str, tuple[float, bytes, float]] = {}
+        self.score_of = np.array(self.scores)
         self.memo_best: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, self.longest + 1):  # per length: sorted hashes, their ids, and a bitmap that rules most others out
+            own = [(k, i) for k, i in self.ids.items() if len(k) == n]
+            hashes = self._hash(np.frombuffer("".join(k for k, _ in own).encode("utf-32-le"), np.uint32).reshape(-1, n).T) if own else np.zeros(0, np.uint64)
+            order, bitmap = np.argsort(hashes), np.zeros(1 << _BITS, bool)
+            bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+            self.tables.append((hashes[order], np.array([i for _, i in own], np.int32)[order], bitmap))
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.used, self.flat_used = 0, 0
+        self.unit_score, self.unit_second = np.zeros(1024), np.zeros(1024)
+        self.unit_at, self.unit_n, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+
+    @staticmethod
+    def _hash(columns) -> np.ndarray:
+        out = np.uint64(0)
+        for c in columns:
+            out = (out + c.astype(np.uint64) + np.uint64(1)) * _BASE
+        return out
 
     def arcs(self, unit: str, end: int) -> list[tuple[int, int, float]]:
         """(start, piece id or -1 for bytes, score) of the arcs that end at ``end``."""
@@ -89,25 +116,111 @@ class Lattice:
     def _ids(self, unit: str, start: int, piece: int) -> list[int]:
         return [piece] if piece >= 0 else [self.bytes[b] for b in unit[start].encode("utf-8", "surrogatepass")]
 
-    def viterbi(self, unit: str) -> tuple[float, bytes, float]:
-        """Score and ids (int32) of the best path, and what the second best costs (infinite: there is none)."""
-        known = self.memo.get(unit)
-        if known is None:
-            best, into = self.forward(unit)
-            at, path, second = len(unit), [], float("inf")
-            while at:
-                totals = [best[s] + x for s, _, x in into[at]]
-                k = totals.index(best[at])
-                if len(totals) > 1:
-                    second = min(second, best[at] - max(totals[:k] + totals[k + 1 :]))
-                start, piece, _ = into[at][k]
-                path.append((start, piece))
-                at = start
-            ids = [i for s, p in reversed(path) for i in self._ids(unit, s, p)]
-            if len(self.memo) >= MEMO_UNITS:
-                self.memo.clear()
-            known = self.memo[unit] = (best[-1], np.array(ids, np.int32).tobytes(), second)
-        return known
+    def viterbi(self, unit: str) -> tuple[float, list[int], float]:
+        """Score and ids of the best path, and what the second best costs (infinite: there is none)."""
+        best, into = self.forward(unit)
+        at, path, second = len(unit), [], float("inf")
+        while at:
+            totals = [best[s] + x for s, _, x in into[at]]
+            k = totals.index(best[at])
+            if len(totals) > 1:
+                second = min(second, best[at] - max(totals[:k] + totals[k + 1 :]))
+            start, piece, _ = into[at][k]
+            path.append((start, piece))
+            at = start
+        return best[-1], [i for s, p in reversed(path) for i in self._ids(unit, s, p)], second
+
+    def _viterbi_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """``viterbi`` of many short units at once; units in order of falling length. Paths hold -1 - c for an unknown character c."""
+        lengths = np.array([len(u) for u in units])
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first, top, n = np.cumsum(lengths) - lengths, int(lengths[0]), len(units)
+        left = np.repeat(lengths, lengths) - (np.arange(len(codes)) - np.repeat(first, lengths))  # characters to the unit's end
+        pieces = np.full((min(self.longest, top), len(codes)), -1, np.int32)
+        hashed = np.zeros(len(codes), np.uint64)
+        for k in range(len(pieces)):
+            at = np.flatnonzero(left > k)
+            hashed[at] = (hashed[at] + codes[at + k] + np.uint64(1)) * _BASE
+            keys, ids, bitmap = self.tables[k]
+            at = at[bitmap[(hashed[at] >> np.uint64(64 - _BITS)).astype(np.int64)]]
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, hashed[at]), len(keys) - 1)
+                same = keys[place] == hashed[at]
+                pieces[k, at[same]] = ids[place[same]]
+        worth = np.where(pieces >= 0, self.score_of[pieces], -np.inf)
+        worth[0] = np.where(pieces[0] >= 0, worth[0], self.unknown)
+        best, second = np.full((top + 1, n), -np.inf), np.full((top + 1, n), -np.inf)
+        step = np.zeros((top + 1, n), np.int32)
+        best[0] = 0
+        for end in range(1, top + 1):
+            m = int(np.searchsorted(-lengths, -end, "right"))  # units this long come first
+            b, s, z = best[end, :m], second[end, :m], step[end, :m]
+            for k in range(min(end, len(pieces))):
+                total = best[end - k - 1, :m] + worth[k, first[:m] + end - k - 1]
+                more = total > b
+                np.maximum(s, np.minimum(total, b), out=s)
+                np.copyto(b, total, where=more)
+                z[more] = k + 1
+        at, unit, cost, found = lengths.copy(), np.arange(n), np.full(n, np.inf), []
+        while len(unit):
+            k = step[at[unit], unit]
+            with np.errstate(invalid="ignore"):
+                cost[unit] = np.minimum(cost[unit], best[at[unit], unit] - second[at[unit], unit])
+            at[unit] -= k
+            where = first[unit] + at[unit]
+            piece = pieces[k - 1, where]
+            found.append((unit, np.where(piece >= 0, piece, -1 - codes[where].astype(np.int64))))
+            unit = unit[at[unit] > 0]
+        paths = np.full((len(found), n), np.iinfo(np.int64).min)
+        for row, (own, piece) in enumerate(reversed(found)):
+            paths[row, own] = piece
+        return best[lengths, np.arange(n)], cost, paths, lengths
+
+    def remember(self, units: list[str]) -> np.ndarray:
+        """Rows of the units in memory; those that are new are segmented first."""
+        memo = self.memo
+        new = {u for u in units if u not in memo}
+        if new:
+            if len(memo) + len(new) > MEMO_UNITS:
+                self.forget()
+                memo, new = self.memo, set(units)
+            short = sorted([u for u in new if len(u) <= LONG_UNIT], key=len, reverse=True)
+            for k in range(0, len(short), BLOCK_UNITS):
+                self._remember_block(short[k : k + BLOCK_UNITS])
+            for u in [u for u in new if len(u) > LONG_UNIT]:
+                score, ids, cost = self.viterbi(u)
+                self._append([u], [score], [cost], np.array([len(ids)]), ids)
+        return np.fromiter(map(memo.__getitem__, units), np.int64, len(units))
+
+    def _remember_block(self, short: list[str]) -> None:
+        scores, costs, paths, _ = self._viterbi_many(short)
+        flat, missing = paths.T, np.iinfo(np.int64).min
+        there = flat != missing
+        counts, ids = there.sum(axis=1), flat[there]
+        odd = ids < 0
+        if odd.any():  # unknown characters become the pieces of their bytes
+            raw = {c: [self.bytes[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in np.unique(ids[odd]).tolist()}
+            owner, wide = np.repeat(np.arange(len(short)), counts), np.ones(len(ids), np.int64)
+            wide[odd] = [len(raw[c]) for c in ids[odd].tolist()]
+            counts = np.bincount(owner, wide, len(short)).astype(np.int64)
+            into = np.repeat(odd, wide)
+            spread = np.repeat(ids, wide)
+            spread[into] = [i for c in ids[odd].tolist() for i in raw[c]]
+            ids = spread
+        self._append(short, scores, costs, counts, ids)
+
+    def _append(self, units, scores, costs, counts, ids) -> None:
+        upto, flat_upto = self.used + len(units), self.flat_used + len(ids)
+        for name, need in (("unit_score", upto), ("unit_second", upto), ("unit_at", upto), ("unit_n", upto), ("flat", flat_upto)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, 2 * len(held)) - len(held), held.dtype)]))
+        rows = slice(self.used, upto)
+        self.unit_score[rows], self.unit_second[rows], self.unit_n[rows] = scores, costs, counts
+        self.unit_at[rows] = self.flat_used + np.cumsum(counts) - counts
+        self.flat[self.flat_used : flat_upto] = ids
+        self.memo.update(zip(units, range(self.used, upto)))
+        self.used, self.flat_used = upto, flat_upto
 
     def n_best(self, unit: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The ``n`` best paths by backward A-star, best first; of equal scores the one nearest to the start is followed first, so ties stay cheap."""
@@ -128,35 +241,52 @@ class Lattice:
                     order += 1
                     total = behind + score
                     heapq.heappush(heap, (-(best[start] + total), start, order, total, ((start, piece), after)))
-            if len(self.memo_best) >= MEMO_UNITS // 4:
+            if len(self.memo_best) >= MEMO_BEST:
                 self.memo_best.clear()
             self.memo_best[key] = out
         return self.memo_best[key]
 
     def encode(self, text: str, n: int = N_BEST) -> tuple[float, np.ndarray, list[dict]]:
-        """Score and ids of the best path; the next ``n - 1`` paths as edits of it."""
-        units = _UNITS(" " + text) if text else []
-        found = [self.viterbi(u) for u in units]
-        ids = np.frombuffer(b"".join([f[1] for f in found]), np.int32)
-        score = float(sum([f[0] for f in found]))
-        seconds = np.array([f[2] for f in found])
+        return self.encode_many([text], n)[0]
+
+    def encode_many(self, batch: list[str], n: int = N_BEST) -> list[tuple[float, np.ndarray, list[dict]]]:
+        """Of each text: score and ids of the best path; the next ``n - 1`` paths as edits of it."""
+        split = [_UNITS(" " + t) if t else [] for t in batch]
+        rows = self.remember([u for units in split for u in units])
+        sizes = self.unit_n[rows]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.unit_at[rows] - (ends - sizes), sizes)]
+        out, u, i = [], 0, 0
+        for units in split:
+            own, length = rows[u : u + len(units)], sizes[u : u + len(units)]
+            total = int(length.sum())
+            score = float(self.unit_score[own].sum())
+            out.append((score, flat[i : i + total], self._others(units, own, length, score, n)))
+            u, i = u + len(units), i + total
+        return out
+
+    def _others(self, units: list[str], own: np.ndarray, length: np.ndarray, score: float, n: int) -> list[dict]:
+        seconds = self.unit_second[own]
         open_ = np.argsort(seconds, kind="stable")[: n - 1] if len(seconds) <= 4 * n else np.sort(np.argpartition(seconds, n - 1)[: n - 1])
         chosen = [int(k) for k in open_ if np.isfinite(seconds[k])]
         if n < 2 or not chosen:
-            return score, ids, []
-        choices = [self._choices(units[k], found[k], n) for k in chosen]
-        starts = np.r_[0, np.cumsum([len(f[1]) // 4 for f in found])]
-        ranked = sorted(product(*[range(len(c)) for c in choices]), key=lambda pick: (sum(choices[i][p][0] for i, p in enumerate(pick)), pick))
+            return []
+        choices = [self._choices(units[k], own[k], n) for k in chosen]
+        starts = np.cumsum(length) - length
+        ranked: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        for choice in choices:
+            ranked = sorted([(cost + more[0], (*pick, p)) for cost, pick in ranked for p, more in enumerate(choice)])[:n]
         others = []
-        for pick in ranked[1:n]:
-            edits = [{"at": int(starts[chosen[i]]), "n": int(starts[chosen[i] + 1] - starts[chosen[i]]), "ids": choices[i][p][1]} for i, p in enumerate(pick) if p]
-            others.append({"score": score - sum(choices[i][p][0] for i, p in enumerate(pick)), "edits": sorted(edits, key=lambda e: e["at"])})
-        return score, ids, others
+        for cost, pick in ranked[1:]:
+            edits = [{"at": int(starts[chosen[i]]), "n": int(length[chosen[i]]), "ids": choices[i][p][1]} for i, p in enumerate(pick) if p]
+            others.append({"score": score - cost, "edits": sorted(edits, key=lambda e: e["at"])})
+        return others
 
-    def _choices(self, unit: str, found: tuple[float, bytes, float], n: int) -> list[tuple[float, list[int]]]:
+    def _choices(self, unit: str, row: int, n: int) -> list[tuple[float, list[int]]]:
         """(cost, ids) of a unit's paths, its Viterbi path first."""
-        first = np.frombuffer(found[1], np.int32).tolist()
-        rest = [(found[0] - s, ids) for s, ids in self.n_best(unit, n) if ids != first]
+        at = self.unit_at[row]
+        first, top = self.flat[at : at + self.unit_n[row]].tolist(), float(self.unit_score[row])
+        rest = [(top - s, ids) for s, ids in self.n_best(unit, n) if ids != first]
         return [(0.0, first), *rest[: n - 1]]
 
     def decode(self, ids) -> str:
@@ -174,42 +304,37 @@ def apply_edits(ids: list[int], edits: list) -> list[int]:
     return [*out, *ids[at:]]
 
 
-def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "text", verify: bool = False) -> DataFrame:
     """``docs`` with ``pieces`` (ids of the best path), ``piece_score`` and ``piece_alternatives``.
 
     Alternatives are the next best paths, best first, as edits of ``pieces``.
     Columns of ``docs`` that have these names are replaced; all rows stay. A null
-    or empty text has no pieces, score 0 and no alternatives.
+    or empty text has no pieces, score 0 and no alternatives. With ``verify``,
+    ``piece_round_trip`` says whether decoding the pieces gives the text back.
     """
-    kept = [c for c in docs.columns if c not in ("pieces", "piece_score", "piece_alternatives")]
+    kept = [c for c in docs.columns if c not in ("pieces", "piece_score", "piece_alternatives", "piece_round_trip")]
     docs = docs.select(*kept)
-    made = StructType.fromDDL(f"pieces array<int>, piece_score double, piece_alternatives {ALTERNATIVES}")
+    made = StructType.fromDDL(f"pieces array<int>, piece_score double, piece_alternatives {ALTERNATIVES}" + ", piece_round_trip boolean" * verify)
 
-    @F.pandas_udf(made)
-    def segment(column: pd.Series) -> pd.DataFrame:
-        rows = [_lattice(model).encode(t, n_best) for t in texts(column)]
-        return pd.DataFrame({"pieces": [r[1] for r in rows], "piece_score": [r[0] for r in rows], "piece_alternatives": [r[2] for r in rows]})
+    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice = Lattice(model)  # freed with the task: workers are used again by other stages
+        for batch in batches:
+            for part in slices(batch, text_col, CHARS_AT_ONCE):
+                rows = lattice.encode_many(texts(part[text_col]), n_best)
+                out = part.assign(pieces=[r[1] for r in rows], piece_score=[r[0] for r in rows], piece_alternatives=[r[2] for r in rows])
+                yield out.assign(piece_round_trip=[lattice.decode(r[1].tolist()) == t for r, t in zip(rows, texts(part[text_col]))]) if verify else out
 
-    return docs.withColumn("_cut", segment(F.col(text_col))).select(*kept, "_cut.*")
+    return docs.mapInPandas(segment, StructType([*docs.schema.fields, *made.fields]))
 
 
 def decode(model: str):
     """A column function: text of an array of piece ids (null: empty)."""
 
     @F.pandas_udf("string")
-    def join(column: pd.Series) -> pd.Series:
-        lattice = _lattice(model)
-        return pd.Series([lattice.decode(x) if x is not None else "" for x in column], dtype="object")
+    def join(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lattice = Lattice(model)
+        for column in columns:
+            yield pd.Series([lattice.decode(x) if x is not None else "" for x in column], dtype="object")
 
     return join
 
-
-_LATTICES: dict[str, Lattice] = {}
-
-
-def _lattice(path: str) -> Lattice:
-    """One lattice a worker and model, with its memory of units."""
-    if path not in _LATTICES:
-        _LATTICES[path] = Lattice(path)
-    return _LATTICES[path]
-
