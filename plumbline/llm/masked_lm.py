@@ -9,9 +9,10 @@ to a class by the hash of its ending and is spelled, character by character, by
 bigram counts. ``log P(word | context) = log P(class | context) + log P(spelling
 | class)``; the network gives the first, corpus counts the second.
 
-All documents take part in counting and in training. Each partition trains the
-network on masked positions of its own documents from the common weights; the
-partitions' weights are averaged, weighted by their tokens, once a round.
+All documents take part in counting and in training, with every position masked
+once. Each partition trains the network on masked positions of its own documents
+from the common weights; the partitions' weights are averaged, weighted by their
+tokens, once a round.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ FREQUENT, ENDINGS = 96, 30
 EDGE = FREQUENT + ENDINGS
 CLASSES = EDGE + 1
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-ROUNDS, MASKED = 1, 8
-RATE, BATCH, SEED = 0.1, 256, 3
+ROUNDS, MASKED = 2, 8
+RATE, BATCH, SEED = 0.05, 256, 3
 TOKENS_AT_ONCE = 65_536
 #: Rows of spelling counts: a hashed previous character by a hashed next one, per ending class.
 CHARS = 128
@@ -180,12 +181,37 @@ def count_words(texts_: DataFrame) -> Counts:
     return Counts(frequent, np.log(table / table.sum(axis=2, keepdims=True)))
 
 
-def train(texts_: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Weights after ``rounds`` of training on all partitions and averaging.
+def masked_batches(documents: Iterator[np.ndarray], r: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, classes) of the positions that round ``r`` of ``rounds`` masks, about ``BATCH`` at once.
 
-    Round r masks the positions that are r modulo ``MASKED``, counted through a
-    partition's documents.
+    The positions of each residue modulo ``MASKED``, counted through the
+    documents, are masked in turn; the rounds share the residues out, so that
+    together they mask every position once.
     """
+    held_x, held_y, held, start = [], [], 0, 0
+
+    def masked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = np.concatenate(held_x), np.concatenate(held_y)
+        for residue in range(r, MASKED, rounds):
+            at = np.arange((residue - start) % MASKED, len(y), MASKED)
+            if len(at):
+                for part in np.array_split(at, max(1, round(len(at) / BATCH))):
+                    yield x[part], y[part]
+
+    for ids in documents:
+        if len(ids):
+            held_x.append(contexts(ids))
+            held_y.append(ids)
+            held += len(ids)
+        if held >= BATCH * MASKED:
+            yield from masked()
+            held_x, held_y, held, start = [], [], 0, start + held
+    if held:
+        yield from masked()
+
+
+def train(texts_: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights after ``rounds`` (``MASKED`` at most) of training on all partitions and averaging; see ``masked_batches``."""
     context = texts_.sparkSession.sparkContext
     weights = first_weights()
     for r in range(rounds):
@@ -194,23 +220,17 @@ def train(texts_: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.nd
         def learn(batches: Iterator[pd.DataFrame], r: int = r, shared=shared) -> Iterator[pd.DataFrame]:
             known, start = shared.value
             read, trainer, tokens = Reader(known), Trainer(start), 0
-            held_x, held_y, held = [], [], 0
-            for batch in batches:
-                for t in texts(batch["text"]):
-                    ids = read.classes(t.lower().split())
-                    at = np.arange((r - tokens) % MASKED, len(ids), MASKED)
-                    tokens += len(ids)
-                    if len(at):
-                        held_x.append(contexts(ids)[at])
-                        held_y.append(ids[at])
-                        held += len(at)
-                    if held >= BATCH:
-                        x, y = np.concatenate(held_x), np.concatenate(held_y)
-                        for k in range(0, len(x), BATCH):
-                            trainer.step(x[k : k + BATCH], y[k : k + BATCH])
-                        held_x, held_y, held = [], [], 0
-            if held:
-                trainer.step(np.concatenate(held_x), np.concatenate(held_y))
+
+            def documents() -> Iterator[np.ndarray]:
+                nonlocal tokens
+                for batch in batches:
+                    for t in texts(batch["text"]):
+                        ids = read.classes(t.lower().split())
+                        tokens += len(ids)
+                        yield ids
+
+            for x, y in masked_batches(documents(), r, rounds):
+                trainer.step(x, y)
             if tokens:
                 flat = np.concatenate([w.ravel() for w in trainer.weights])
                 for part in range(0, len(flat), PART):

@@ -60,3 +60,15 @@ def test_odd_rows(spark):
     assert all(r.pll == 0 and r.pll_per_token is None for r in got if r.n_tokens == 0) and all(r.pll < 0 for r in got if r.n_tokens)
     none = docs.limit(0)
     assert lm.score(none, lm.fit(none)).count() == 0
+
+
+def test_every_position_is_masked_once():
+    for sizes in ((1, 0, 3, 2), (1, 7, 5000, 0, 2, 300, 2500, 9)):
+        place = iter(range(sum(sizes)))
+        docs = [np.array([next(place) for _ in range(n)], np.int32) for n in sizes]
+        found = [(x, y) for r in range(lm.ROUNDS) for x, y in lm.masked_batches(iter(docs), r, lm.ROUNDS)]
+        assert all(0 < len(y) <= 1.5 * lm.BATCH for _, y in found)
+        ids = np.concatenate([y for _, y in found])
+        assert sorted(ids.tolist()) == list(range(sum(sizes)))
+        around = dict(zip(ids.tolist(), np.concatenate([x for x, _ in found]).tolist()))
+        assert all(around[k] == c for d in docs if len(d) for k, c in zip(d.tolist(), lm.contexts(d).tolist()))
