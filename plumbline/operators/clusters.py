@@ -17,6 +17,8 @@ from plumbline.operators.duplicates import components
 from plumbline.plans.tables import cut
 
 WIDTH = 64
+#: Rows of a random subset up to which each is drawn on its own.
+POINTS = 100_000
 
 
 def hash_embedder(texts: list[str], width: int = WIDTH) -> np.ndarray:
@@ -207,27 +209,45 @@ def densest(members: DataFrame, hours: float, key: str = "cluster", time: str =
     return counted.groupBy(key).agg(F.max(F.struct("count", (-F.col("_us")).alias("e"), F.col(time).alias("start"))).alias("m")).select(key, F.col("m.count").alias("count"), F.col("m.start").alias("start"))
 
 
-def expected_others(sizes: DataFrame, times: np.ndarray, cfg: Suspicion = Suspicion()) -> DataFrame:
-    """(size, hours, expected): mean densest count less one of random subsets of ``times``, for each distinct size.
+def minute_counts(rows: DataFrame, time: str = "created_at") -> tuple[np.ndarray, np.ndarray]:
+    """Minutes that have rows, sorted, and the number of rows of each: at most a row a minute of the span."""
+    minute = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / 60).alias("minute")
+    found = rows.where(F.col(time).isNotNull()).groupBy(minute).agg(F.count("*").alias("n")).orderBy("minute").toArrow()
+    return found["minute"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
 
-    ``times`` (sorted microseconds) is a bounded sample of the corpus's times.
+
+def expected_others(sizes: DataFrame, counted: tuple[np.ndarray, np.ndarray], cfg: Suspicion = Suspicion()) -> DataFrame:
+    """(size, hours, expected): mean densest count less one of random subsets of all times, for each distinct size.
+
+    ``counted`` is ``minute_counts`` of all rows. Subsets of up to ``POINTS``
+    rows are drawn row by row, with a random instant in the row's minute; of a
+    larger subset each minute's count is a binomial share of its rows.
     """
-    shared = sizes.sparkSession.sparkContext.broadcast(times)
+    shared = sizes.sparkSession.sparkContext.broadcast(counted)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
+        minutes, counts = shared.value
+        upto = np.cumsum(counts)
+        total = int(upto[-1]) if len(upto) else 0
+        widths = [int(h * 60) for h in cfg.scales_hours]
+        ends = [np.searchsorted(minutes, minutes + w, "left") for w in widths]
+
+        def densest_counts(n: int, rng: np.random.Generator) -> list[int]:
+            if n > POINTS:
+                sums = np.r_[0, np.cumsum(rng.binomial(counts, min(1.0, n / total)))]
+                return [int((sums[e] - sums[:-1]).max()) for e in ends]
+            rows = rng.choice(total, n, replace=False)
+            t = np.sort(minutes[np.searchsorted(upto, rows, "right")] + rng.random(n))
+            return [int((np.searchsorted(t, t + w, "left") - np.arange(n)).max()) for w in widths]
+
         for batch in batches:
             rows = []
             for n in batch["size"]:
-                for hours in cfg.scales_hours:
-                    rng, width, out = np.random.default_rng([cfg.seed, int(n), int(hours * 100)]), int(hours * 3_600_000_000), 0.0
-                    if 2 <= n <= len(t):
-                        found = []
-                        for _ in range(cfg.null_samples):
-                            s = np.sort(rng.choice(t, int(n), replace=False))
-                            found.append((np.searchsorted(s, s + width, "left") - np.arange(len(s))).max() - 1)
-                        out = float(np.mean(found))
-                    rows.append((n, float(hours), out))
+                found = np.zeros(len(widths))
+                if n >= 2 and total:
+                    rng = np.random.default_rng([cfg.seed, int(n)])
+                    found = np.mean([densest_counts(min(int(n), total), rng) for _ in range(cfg.null_samples)], axis=0) - 1
+                rows += [(n, float(h), float(x)) for h, x in zip(cfg.scales_hours, found)]
             yield pd.DataFrame(rows, columns=["size", "hours", "expected"])
 
     return sizes.select("size").distinct().mapInPandas(draw, "size long, hours double, expected double")

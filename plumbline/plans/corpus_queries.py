@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.config import Bursts
@@ -122,11 +121,10 @@ def densest_window(spark, sf_dir):
 
 @query()
 def null_concentration(spark, sf_dir):
-    """Concentration of each user's events against random subsets of a bounded sample of all times."""
+    """Concentration of each user's events against random subsets of all times."""
     rows = rated_events(spark, sf_dir).withColumnRenamed("user_id", "cluster")
-    sample = rows.select(F.unix_micros(F.col("created_at").cast("timestamp")).alias("us")).orderBy(F.xxhash64("id")).limit(20_000).toArrow()["us"].to_numpy()
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
-    return C.time_concentration(rows, C.expected_others(sizes, np.sort(sample)))
+    sizes = rows.where("created_at IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size"))
+    return C.time_concentration(rows, C.expected_others(sizes, C.minute_counts(rows)))
 
 
 @query(f"SELECT user_id, count(*) AS n, round((greatest(avg(rating_norm), 1 - avg(rating_norm)) - 0.5) / 0.5, 6) AS homogeneity FROM ({EVENTS}) GROUP BY user_id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +19,6 @@ from plumbline.operators import ratings as RA
 from plumbline.plans.tables import cut
 
 KIND_ORDER = {"burst": 0, "duplicate": 1, "semantic": 2}
-#: Times of the corpus, drawn by hash, against which concentration is judged.
-NULL_TIMES = 50_000
 
 
 @dataclass
@@ -84,10 +81,9 @@ def score_clusters(numbered: DataFrame, members: DataFrame, feats: DataFrame, sp
     grouped = rows.groupBy("cluster_id").agg(C.homogeneity().alias("rating_homogeneity"), F.avg(fresh.cast("double")).alias("fresh"), F.min("created_at").alias("t_start"), F.max("created_at").alias("t_end"))
     out = numbered.join(grouped, "cluster_id").crossJoin(F.broadcast(known))
     out = out.withColumn("new_account_share", F.when(F.col("known") > 0, C.account_lift(F.col("fresh"), F.col("base"))))
-    times = feats.where("created_at IS NOT NULL").select(F.unix_micros(F.col("created_at").cast("timestamp")).alias("us")).orderBy(F.xxhash64("id")).limit(NULL_TIMES).toArrow()["us"].to_numpy()
     inside = rows.where("kind <> 'burst'").withColumnRenamed("cluster_id", "cluster")
     sizes = inside.where("created_at IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size"))
-    dense = C.time_concentration(inside, C.expected_others(sizes, np.sort(times), s), s).select(F.col("cluster").alias("cluster_id"), F.col("concentration").alias("dense"))
+    dense = C.time_concentration(inside, C.expected_others(sizes, C.minute_counts(feats), s), s).select(F.col("cluster").alias("cluster_id"), F.col("concentration").alias("dense"))
     rate = spans.select(F.lit("burst").alias("kind"), F.concat_ws(" ", "verdict", F.col("start").cast("string")).alias("key"), F.greatest(F.lit(0.0), 1 - F.col("baseline_per_hour") / F.greatest(F.col("size") / F.col("hours"), F.lit(1e-9))).alias("rate"))
     out = out.join(dense, "cluster_id", "left").join(rate, ["kind", "key"], "left").withColumn("time_concentration", F.coalesce("rate", "dense"))
     if vectors is not None:

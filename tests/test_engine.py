@@ -355,3 +355,16 @@ def test_streamed_hours_are_flagged_like_the_batch(spark, tmp_path):
     z, flagged, _ = B.robust_z(counts.astype(float), cfg)
     assert np.allclose(got["z"], z) and (got["flagged"].to_numpy() == flagged).all() and flagged[90:94].all()
     assert Config().bursts.z == 6.0
+
+
+def test_null_of_large_groups(spark):
+    """A hot group spread like all rows is as concentrated as chance has it, at any size."""
+    rows = spark.range(240_000).select((F.col("id") % 2).alias("cluster"), F.timestamp_seconds(1_700_000_000 + F.pmod(F.xxhash64("id"), F.lit(90 * 86_400))).alias("created_at"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
+    expected = C.expected_others(sizes, C.minute_counts(rows))
+    for r in C.time_concentration(rows, expected).collect():
+        assert r.concentration < 0.25
+    counted = C.minute_counts(rows)
+    assert counted[1].sum() == 240_000
+    near = {n: {r.hours: r.expected for r in C.expected_others(spark.range(1).select(F.lit(n).alias("size")), counted).collect()} for n in (99_999, 100_001)}
+    assert all(abs(near[99_999][h] / near[100_001][h] - 1) < 0.1 for h in near[99_999])
