@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -15,6 +15,8 @@ from plumbline.functions.text import normalised
 from plumbline.plans.tables import cut
 
 MERSENNE = (1 << 31) - 1
+#: Members of a band beyond which it is cut into cells of about this many.
+CELL_ROWS = 1_000
 
 
 def exact_groups(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -75,18 +77,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def near_pairs(reps: DataFrame, features: Features = Features()) -> DataFrame:
+def near_pairs(reps: DataFrame, features: Features = Features(), cell_rows: int = CELL_ROWS) -> DataFrame:
     """Verified pairs (a, b, score) of representatives, a < b.
 
-    A band's members are compared with the next two and the first in id order of
-    the band (linear in its size); links are transitive, so groups stay whole.
+    All members of a band are compared with each other. A band with more than
+    ``cell_rows`` members is cut into a grid of cells, so that no task holds it whole.
     """
-    banded = bands(reps, features)
-    order = Window.partitionBy("band").orderBy("rep")
-    first = Window.partitionBy("band")
-    ahead = banded.select(F.col("rep").alias("b"), F.array(F.lag("rep", 1).over(order), F.lag("rep", 2).over(order), F.min("rep").over(first)).alias("near"))
-    linked = ahead.select("b", F.explode("near").alias("a"))
-    pairs = linked.where("a IS NOT NULL AND a < b").distinct()
+    banded = cut(bands(reps, features))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / cell_rows).cast("int").alias("cuts"))
+    salted = banded.join(shared, "band").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+    one = salted.select("band", F.col("rep").alias("x"), F.col("salt").alias("i"), F.explode(F.sequence("salt", F.col("cuts") - 1)).alias("j"))
+    other = salted.select("band", F.col("rep").alias("y"), F.col("salt").alias("j"), F.explode(F.sequence(F.lit(0), "salt")).alias("i"))
+    met = one.join(other, ["band", "i", "j"]).where("i < j OR x < y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("score"))
     return scored.where(F.col("score") >= features.near_jaccard)

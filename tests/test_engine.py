@@ -368,3 +368,26 @@ def test_null_of_large_groups(spark):
     assert counted[1].sum() == 240_000
     near = {n: {r.hours: r.expected for r in C.expected_others(spark.range(1).select(F.lit(n).alias("size")), counted).collect()} for n in (99_999, 100_001)}
     assert all(abs(near[99_999][h] / near[100_001][h] - 1) < 0.1 for h in near[99_999])
+
+
+def test_near_pairs_and_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(400)]
+    rows = []
+    for k in (14, 9, 1, 1):
+        base = list(rng.choice(vocabulary, 60))
+        for _ in range(k):
+            near = list(base)
+            near[rng.integers(60)] = str(rng.choice(vocabulary)) + "q"
+            rows.append(" ".join(near))
+    hashes = [set(D.shingles_of(t).tolist()) for t in rows]
+    score = {(a, b): len(hashes[a] & hashes[b]) / len(hashes[a] | hashes[b]) for b in range(len(rows)) for a in range(b)}
+    want = {p: v for p, v in score.items() if v >= 0.7}
+    assert len(want) >= 14 * 13 / 2 + 9 * 8 / 2
+    df = texts(spark, *rows)
+    reps = df.select(F.col("id").alias("rep"), D.shingle_hashes(T.normalised(F.col("text"))).alias("shingles"))
+    for cell_rows in (1_000, 4):
+        got = D.near_pairs(reps, cell_rows=cell_rows).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == pytest.approx(want)
+    best = {r.id: r.dup_score for r in D.duplicate_groups(df).collect()}
+    assert best == pytest.approx({i: round(max([v for p, v in want.items() if i in p], default=0.0), 4) for i in range(len(rows))})
