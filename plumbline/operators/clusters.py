@@ -19,6 +19,8 @@ from plumbline.plans.tables import cut
 WIDTH = 64
 #: Rows of a random subset up to which each is drawn on its own.
 POINTS = 100_000
+#: Vectors of a block, and of a block at once in a product.
+BLOCK_ROWS, SLICE_ROWS = 8192, 1024
 
 
 def hash_embedder(texts: list[str], width: int = WIDTH) -> np.ndarray:
@@ -44,65 +46,106 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = 8) -> DataFrame:
-    """(id, neighbour, cosine): exact nearest other row of each row, ties to the smaller id.
+def vector_classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of each row and (rep, v) of each distinct vector; ``rep`` is the smallest id that has it."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    reps = cut(rows.groupBy("v").agg(F.min("id").alias("rep")).select("rep", "v"))
+    return rows.join(reps, "v").select("id", "rep"), reps
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of a graph: each node that isn't the smallest of its component, and that smallest."""
+    ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = inverse[: len(a)], inverse[len(a) :], np.arange(len(ids))
+    while len(i):
+        x, y = label[i], label[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(nearer := label[label], label):
+            label = nearer
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]
 
-    Rows are dealt into blocks; each pair of blocks is one matrix product in one
-    task, so neither side is held whole. Exact search is quadratic by nature.
+
+def block_pairs(reps: DataFrame, blocks: int | None, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, both_ways: bool) -> DataFrame:
+    """``compare`` (ids, vectors, ids, vectors) over all pairs of blocks of (rep, v), each pair in one task.
+
+    Without ``blocks`` there are as many as make ``BLOCK_ROWS`` rows each. A task
+    holds the first block of a pair, packed, and reads the second in slices.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("blk"))
+    blocks = blocks or max(1, -(-reps.count() // BLOCK_ROWS))
+    dealt = reps.withColumn("blk", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.select("id", "v", F.col("blk").alias("i"), F.explode(every).alias("j"))
-    right = rows.select("id", "v", F.col("blk").alias("j"), F.explode(every).alias("i"))
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "other": [], "cosine": []}
-        if len(a) and len(b):
-            b = b.sort_values("id")
-            x, ids = np.stack(b["v"].to_numpy()).astype(float), b["id"].to_numpy()
-            for at in range(0, len(a), 1024):
-                part = a.iloc[at : at + 1024]
-                s = np.stack(part["v"].to_numpy()).astype(float) @ x.T
-                s[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                k = s.argmax(axis=1)
-                out["id"] += part["id"].tolist()
-                out["other"] += ids[k].tolist()
-                out["cosine"] += s[np.arange(len(part)), k].tolist()
-        return pd.DataFrame(out).query("cosine > -inf")
-
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(product, "id long, other long, cosine double")
-    best = met.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "other", "cosine")).alias("b"))
-    return best.select("id", F.col("b.other").alias("neighbour"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "b.cosine")).alias("cosine"))
-
-
-def cosine_components(df: DataFrame, cosine: float, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = 8, min_size: int = 2) -> DataFrame:
-    """(id, cluster): components of the graph of rows whose cosine is at least ``cosine``; rows in smaller ones get -1."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("blk"))
-    left = rows.select("id", "v", F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("j"))
-    right = rows.select("id", "v", F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"))
-
-    def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found: dict[int, int] = {}
-
-        def find(x):
-            while found.setdefault(x, x) != x:
-                found[x] = found[found[x]]
-                x = found[x]
-            return x
-
-        if len(a) and len(b):
-            y, other = np.stack(b["v"].to_numpy()).astype(float), b["id"].to_numpy()
-            for at in range(0, len(a), 512):
-                part = a.iloc[at : at + 512]
-                p, q = np.nonzero(np.stack(part["v"].to_numpy()).astype(float) @ y.T >= cosine)
-                for x, z in zip(part["id"].to_numpy()[p], other[q]):
-                    x, z = find(int(x)), find(int(z))
-                    found[max(x, z)] = min(x, z)
-        pairs = [(k, find(k)) for k in found]
-        return pd.DataFrame([x for x in pairs if x[0] != x[1]], columns=["a", "b"]).astype("int64")
-
-    edges = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(links, "a long, b long")
-    named = rows.select("id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = dealt.select(F.col("blk").alias("i"), F.explode(every if both_ways else F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("j"), F.lit(0).alias("side"), "rep", "v")
+    passed = dealt.select(F.col("blk").alias("j"), F.explode(every if both_ways else F.sequence(F.lit(0), F.col("blk"))).alias("i"), F.lit(1).alias("side"), "rep", "v")
+    sides = held.unionByName(passed).repartition("i", "j").sortWithinPartitions("i", "j", "side", "rep")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, ids, vectors = None, [], []
+        for batch in batches:
+            for (i, j, side), part in batch.groupby(["i", "j", "side"], sort=True):
+                if (i, j) != pair:
+                    pair, ids, vectors = (i, j), [], []
+                r, v = part["rep"].to_numpy(), np.stack(part["v"].to_numpy())
+                if side == 0:
+                    ids.append(r)
+                    vectors.append(v)
+                elif ids:
+                    if len(ids) > 1:
+                        ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    for at in range(0, len(r), SLICE_ROWS):
+                        yield compare(ids[0], vectors[0], r[at : at + SLICE_ROWS], v[at : at + SLICE_ROWS].astype(float))
+
+    return sides.mapInPandas(run, schema)
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """(id, neighbour, cosine): exact nearest other row of each row, ties to the smaller id.
+
+    Equal vectors are searched for once, with their two smallest ids as
+    candidates. Exact search is quadratic in the distinct vectors by nature.
+    """
+    rows, reps = vector_classes(df, id_col, vec_col)
+
+    def product(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        best, who = np.full(len(y), -np.inf), np.zeros(len(y), np.int64)
+        for at in range(0, len(ids), SLICE_ROWS):
+            s = np.round(y @ x[at : at + SLICE_ROWS].astype(float).T, 12)
+            s[others[:, None] == ids[None, at : at + SLICE_ROWS]] = -np.inf
+            k = s.argmax(axis=1)
+            value = s[np.arange(len(y)), k]
+            better = value > best
+            best[better], who[better] = value[better], ids[at : at + SLICE_ROWS][k[better]]
+        return pd.DataFrame({"rep": others, "other": who, "cosine": best}).query("cosine > -inf")
+
+    met = block_pairs(reps, blocks, product, "rep long, other long, cosine double", True)
+    between = met.select("rep", F.struct((-F.round("cosine", 9)).alias("c"), "other", "cosine").alias("b")).groupBy("rep").agg(F.min("b").alias("b"))
+    second = rows.where("id <> rep").groupBy("rep").agg(F.min("id").alias("twin"))
+    own = reps.join(second, "rep").select("rep", "twin", dot(F.col("v"), F.col("v")).alias("square"))
+    joined = rows.join(between, "rep", "left").join(own, "rep", "left")
+    twin = F.when(F.col("twin").isNotNull(), F.struct((-F.round("square", 9)).alias("c"), F.when(F.col("id") == F.col("rep"), F.col("twin")).otherwise(F.col("rep")).alias("other"), F.col("square").alias("cosine")))
+    found = joined.select("id", F.when(F.col("b").isNull(), twin).when(twin.isNull(), F.col("b")).otherwise(F.least("b", twin)).alias("b")).where("b IS NOT NULL")
+    return found.select("id", F.col("b.other").alias("neighbour"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "b.cosine")).alias("cosine"))
+
+
+def cosine_components(df: DataFrame, cosine: float, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int | None = None, min_size: int = 2) -> DataFrame:
+    """(id, cluster): components of the graph of rows whose cosine is at least ``cosine``; rows in smaller ones get -1.
+
+    Equal vectors count as one node, linked if their own product reaches ``cosine``.
+    """
+    rows, reps = vector_classes(df, id_col, vec_col)
+
+    def links(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for at in range(0, len(ids), SLICE_ROWS):
+            p, q = np.nonzero(y @ x[at : at + SLICE_ROWS].astype(float).T >= cosine)
+            a, b = forest(np.r_[a, others[p]], np.r_[b, ids[at + q]])
+        return pd.DataFrame({"a": a, "b": b}).astype("int64")
+
+    edges = block_pairs(reps, blocks, links, "a long, b long", False)
+    apart = reps.where(dot(F.col("v"), F.col("v")) < cosine).select("rep", F.lit(True).alias("alone"))
+    named = rows.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").join(apart, "rep", "left").withColumn("root", F.when(F.col("alone"), F.col("id")).otherwise(F.coalesce("root", "rep")))
     sizes = named.groupBy("root").agg(F.count("*").alias("n"))
     return named.join(sizes, "root").select("id", F.when(F.col("n") >= min_size, F.col("root")).otherwise(-1).alias("cluster"))
 

@@ -391,3 +391,31 @@ def test_near_pairs_and_scores_equal_brute_force(spark):
         assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == pytest.approx(want)
     best = {r.id: r.dup_score for r in D.duplicate_groups(df).collect()}
     assert best == pytest.approx({i: round(max([v for p, v in want.items() if i in p], default=0.0), 4) for i in range(len(rows))})
+
+
+def test_blocks_follow_the_rows_and_equal_vectors_are_one(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 8)).astype(np.float32)
+    x[:40] = x[0]  # a hot vector
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[80:83] = x[80] * np.float32(0.5)  # equal vectors that are not linked to each other
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    s = np.round(x.astype(float) @ x.astype(float).T, 9)
+    np.fill_diagonal(s, -9)
+    root = list(range(90))
+    for _ in range(90):
+        for a, b in zip(*np.nonzero(s >= 0.8)):
+            root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(C, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(C, "SLICE_ROWS", 3)
+    got = {r.id: r for r in C.nearest(df).collect()}
+    assert len(got) == 90 and all(s[i, r.neighbour] == s[i].max() and r.neighbour == s[i].argmax() for i, r in got.items())
+    labels = {r.id: r.cluster for r in C.cosine_components(df, 0.8).collect()}
+    assert labels == {i: k if root.count(k) > 1 else -1 for i, k in enumerate(root)}
+
+    def seen(ids, v, others, w):
+        return pd.DataFrame({"held": [len(ids)], "passed": [len(others)]})
+
+    _, reps = C.vector_classes(df, "vec_id", "embedding")
+    sizes = C.block_pairs(reps, None, seen, "held long, passed long", True).collect()
+    assert max(r.held for r in sizes) < 25 and max(r.passed for r in sizes) <= 3 and sum(r.held * r.passed for r in sizes) == reps.count() ** 2 == 49**2
