@@ -96,7 +96,12 @@ def near_pairs(reps: DataFrame, features: Features = Features(), cell_rows: int
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of (a, b) but the roots: smallest reachable node, by alternating star rounds."""
+    """(node, root) for each node of (a, b) but the roots: smallest reachable node, by alternating star rounds.
+
+    Nodes may be of any type that has an order. The minima are cut off before
+    they are joined, so that both sides of the joins are bare shuffles and the
+    rows of a node with very many neighbours can be split.
+    """
     edges, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -104,9 +109,9 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = cut(small.union(least.select("u", "m")).distinct())
 
