@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
-    local session, as in tests) a folder of our own is made and set.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local
+    session (as in tests) gets a folder of its own; on a cluster it is an error.
+    Nothing in it is removed by itself, as results may still be read lazily:
+    call ``remove_scratch`` once they are written.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "plumbline-shared")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -37,6 +41,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes the tables that ``fresh_path`` placed; results that still read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plumbline")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
