@@ -6,9 +6,11 @@ neighbours, so code-switched text gets labels word by word. Forward-backward
 gives each word's label probabilities; a document's language is the one with the
 largest share of them, and that share is its score.
 
-Lexicon counts cover all training documents. The weights are learned in numpy on
-a bounded sample (``SAMPLE_DOCS`` a language, of ``SAMPLE_BYTES`` length), whose
-texts are cut into segments and spliced, so that switches are seen.
+Lexicon counts cover all training rows and all languages. The weights are learned
+in numpy on a bounded sample (``SAMPLE_DOCS`` rows a language, drawn by hash among
+texts of any length; of a longer one, ``SAMPLE_CHARS`` characters from a place
+drawn by hash), whose texts are cut into segments and spliced, so that switches
+are seen. More languages get fewer buckets each, so a model's size is bounded.
 """
 
 from __future__ import annotations
@@ -21,53 +23,63 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from plumbline.llm.common import slices, texts
 
-#: Documents a language, and their range of length in bytes, from which weights are learned.
-SAMPLE_DOCS = 300
-SAMPLE_BYTES = (40, 6_000)
-#: Languages, the most frequent, that can be learned.
-MAX_LANGUAGES = 64
+#: Rows a language, and characters of each, from which weights are learned.
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 6_000
 FEATURES, LEXICON = 1 << 16, 1 << 17
+#: Numbers in each of a model's two tables of buckets by languages; more languages halve the buckets until they fit.
+TABLE_SIZE = 1 << 23
+#: Languages up to which long texts are cut into chunks that advance together; beyond, whole texts of like length do.
+CHUNKED_LANGUAGES = 16
 SEQUENCE, STEPS, L2 = 200, 60, 1e-4
 CHUNK = 32
 WORDS_AT_ONCE = 200_000
 MEMO_WORDS = 200_000
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_LETTERS = regex.compile(r"\p{L}+").findall
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORDS(text.lower())
+    """Lower-cased runs of letters (numerals such as fractions and Roman number signs are none)."""
+    words = _WORDS(text.lower())
+    return words if "".join(words).isalpha() else [w for x in words for w in _LETTERS(x)]
 
 
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (LEXICON - 1)
+def table_sizes(languages: int) -> tuple[int, int]:
+    """Buckets of the features' and of the lexicon's table, powers of two."""
+    room = 1 << max(4, (TABLE_SIZE // max(1, languages)).bit_length() - 1)
+    return min(FEATURES, room), min(LEXICON, room)
 
 
-def features(word: str) -> list[int]:
+def _bucket(word: str, size: int = LEXICON) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (size - 1)
+
+
+def features(word: str, size: int = FEATURES) -> list[int]:
     """Hashed prefixes and suffixes of one to three letters, inner bigrams and trigrams."""
     w = f"^{word}$"
     found = {"<" + word[:k] for k in (1, 2, 3)} | {">" + word[-k:] for k in (1, 2, 3)}
     found.update(w[i : i + 2] for i in range(len(w) - 1))
     found.update(w[i : i + 3] for i in range(len(w) - 2))
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for f in sorted(found)]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (size - 1) for f in sorted(found)]
 
 
-def _ragged(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = [features(w) for w in words]
+def _ragged(words: list[str], features_size: int, lexicon_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lists = [features(w, features_size) for w in words]
     starts = np.cumsum([0, *[len(x) for x in lists[:-1]]]) if lists else np.zeros(0, int)
-    return np.array([i for x in lists for i in x], np.int64), starts.astype(np.int64), np.array([_bucket(w) for w in words], np.int64)
+    return np.array([i for x in lists for i in x], np.int64), starts.astype(np.int64), np.array([_bucket(w, lexicon_size) for w in words], np.int64)
 
 
 @dataclass
 class Model:
-    """Languages, weights of features and lexicon, transitions, and the lexicon's log-odds; its size is fixed."""
+    """Languages, weights of features and lexicon, transitions, and the lexicon's log-odds; see ``table_sizes`` for its size."""
 
     langs: list[str]
     weights: np.ndarray
@@ -78,7 +90,7 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.langs)))
-        flat, starts, buckets = _ragged(words)
+        flat, starts, buckets = _ragged(words, len(self.weights), len(self.lexicon))
         return np.add.reduceat(self.weights[flat], starts, axis=0) + self.lexicon[buckets] @ self.mixing
 
 
@@ -95,6 +107,7 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, chunk: int = CHUNK, le
         return np.zeros((0, k))
     a = np.exp(trans - trans.max())
     e = np.exp(emit - emit.max(axis=1, keepdims=True))
+    chunk = chunk if k <= CHUNKED_LANGUAGES else int(lengths.max())  # transfer matrices pay for few labels only
     per = -(-lengths // chunk)
     first = np.cumsum(per) - per
     total = int(per.sum())
@@ -103,11 +116,13 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, chunk: int = CHUNK, le
     row, col = first[seq] + within // chunk, within % chunk
     grid, real = np.ones((total, chunk, k)), np.zeros((total, chunk), bool)
     grid[row, col], real[row, col] = e, True
-    moved = np.tile(np.eye(k), (total, 1, 1))
-    for t in range(chunk):
+    messages = int(per.max()) > 1
+    moved = np.tile(np.eye(k), (total if messages else 0, 1, 1))
+    for t in range(chunk if messages else 0):
         step = (moved.reshape(-1, k) @ a).reshape(total, k, k) * grid[:, t, None, :]
         moved = np.where(real[:, t, None, None], step, moved)
-    moved /= moved.max(axis=(1, 2), keepdims=True)
+    if messages:
+        moved /= moved.max(axis=(1, 2), keepdims=True)
     alpha, beta = np.full((total, k), 1.0 / k), np.full((total, k), 1.0 / k)
     for j in range(1, int(per.max())):  # messages from chunk to chunk, for all sequences that are long enough
         at = first[per > j] + j
@@ -151,8 +166,10 @@ def _pairs(emit: np.ndarray, trans: np.ndarray, marginals: np.ndarray) -> np.nda
 
 
 def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray, seed: int = 5) -> Model:
-    """Weights by Adam on the conditional log-likelihood of spliced label sequences."""
+    """Weights by Adam on the conditional log-likelihood of spliced label sequences; all zero where the sample has no word."""
     rng, k = np.random.default_rng(seed), len(langs)
+    buckets_of_features = table_sizes(k)[0]
+    params = [np.zeros((buckets_of_features, k)), np.zeros((k, k)), np.zeros((k, k))]
     segments = []
     for text, lang in sample:
         words, at = words_of(text), 0
@@ -160,6 +177,8 @@ def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray,
             size = int(rng.integers(8, 60))
             segments.append((words[at : at + size], langs.index(lang)))
             at += size
+    if not segments:
+        return Model(langs, params[0], params[1], params[2], lexicon)
     order = rng.permutation(len(segments))
     stream = [(w, y) for i in order for w in segments[i][0] for y in (segments[i][1],)]
     stream += stream[: -len(stream) % SEQUENCE] if len(stream) >= SEQUENCE else []
@@ -168,13 +187,12 @@ def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray,
     words, y = np.array([vocabulary[w] for w, _ in stream], np.int64), np.array([y for _, y in stream], np.int64)
     if len(words) % span:
         words, y = np.resize(words, -(-len(words) // span) * span), np.resize(y, -(-len(y) // span) * span)
-    flat, starts, buckets = _ragged(list(vocabulary))
+    flat, starts, buckets = _ragged(list(vocabulary), buckets_of_features, len(lexicon))
     sizes = np.diff(np.r_[starts, len(flat)])
     lex = lexicon[buckets]
     rows = (len(words) // span, span)
     gold, pairs = np.eye(k)[y], np.zeros((k, k))
     np.add.at(pairs, (y.reshape(rows)[:, :-1].ravel(), y.reshape(rows)[:, 1:].ravel()), 1)
-    params = [np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     marginals = np.empty((*rows, k))
     for step in range(1, STEPS + 1):
@@ -183,7 +201,7 @@ def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray,
         miss = marginals.reshape(-1, k) - gold
         by_word = np.stack([np.bincount(words, miss[:, j], len(vocabulary)) for j in range(k)], axis=1) / len(words)
         spread = np.repeat(by_word, sizes, axis=0)
-        grads = [np.stack([np.bincount(flat, spread[:, j], FEATURES) for j in range(k)], axis=1), lex.T @ by_word, (expected - pairs) / len(words)]
+        grads = [np.stack([np.bincount(flat, spread[:, j], buckets_of_features) for j in range(k)], axis=1), lex.T @ by_word, (expected - pairs) / len(words)]
         for p, g, m, s in zip(params, grads, means, squares):
             g += L2 * p
             m += 0.1 * (g - m)
@@ -193,43 +211,61 @@ def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray,
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model of the languages in ``train``; None if no row has a text and a language."""
-    rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r.lang for r in common)
+    """A model of all languages in ``train``; None if no row has a text and a language.
+
+    Repeated rows count as often as they occur. A language whose texts have no
+    word is learned, but hardly ever predicted.
+    """
+    rows = train.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows_of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(_row_key()).alias("n")).collect()}
+    langs = sorted(rows_of)
     if not langs:
         return None
+    size = table_sizes(len(langs))[1]
     number = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(langs), LEXICON))
+        sums = np.zeros((len(langs), size))
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                for part in slices(group, "text") if lang in number else ():
+                for part in slices(group, "text"):
                     seen = Counter(w for t in texts(part["text"]) for w in words_of(t))
-                    buckets = np.fromiter((_bucket(w) for w in seen), np.int64, len(seen))
-                    sums[number[lang]] += np.bincount(buckets, np.fromiter(seen.values(), float, len(seen)), LEXICON)
+                    buckets = np.fromiter((_bucket(w, size) for w in seen), np.int64, len(seen))
+                    sums[number[lang]] += np.bincount(buckets, np.fromiter(seen.values(), float, len(seen)), size)
         for k in range(len(langs)):
             at = np.flatnonzero(sums[k])
             if len(at):
                 yield pd.DataFrame({"bucket": at, "lang": k, "n": sums[k][at].astype(np.int64)})
 
     counted = rows.select("text", "lang").mapInPandas(count, "bucket long, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((LEXICON, len(langs)))
+    counts = np.zeros((size, len(langs)))
     counts[counted["bucket"].to_numpy(), counted["lang"].to_numpy()] = counted["n"].to_numpy()
-    share = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * LEXICON))
+    share = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * size))
     lexicon = np.clip(share - share.mean(axis=1, keepdims=True), -4, 4) * (counts.sum(axis=1, keepdims=True) > 1)
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    fits = rows.where(F.octet_length("text").between(*SAMPLE_BYTES)).select("id", "lang").withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= SAMPLE_DOCS).select("id", "lang")
-    sample = rows.where(F.octet_length("text").between(*SAMPLE_BYTES)).join(F.broadcast(fits), ["id", "lang"], "left_semi").select("id", "text", "lang").distinct().collect()
-    kept = sorted((r.lang, r.text) for r in sample if r.lang in number)
-    per_lang: Counter = Counter()
-    bounded = []
-    for lang, text in kept:
-        per_lang[lang] += 1
-        if per_lang[lang] <= 2 * SAMPLE_DOCS:  # repeated ids may bring more rows
-            bounded.append((text, lang))
-    return learn(bounded, langs, lexicon)
+    return learn(_sample(rows, rows_of), langs, lexicon)
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.coalesce("id", F.lit("")), "text")
+
+
+def _sample(rows: DataFrame, rows_of: dict[str, int]) -> list[tuple[str, str]]:
+    """At most ``SAMPLE_DOCS`` (text, language) a language, of ``SAMPLE_CHARS`` characters each.
+
+    Rows are drawn by a hash of id and text; null ids are ids like any other and
+    equal rows are one; ``rows_of`` has about how many distinct rows a language
+    has. A threshold on the hash leaves about twice the sample
+    before anything is sorted, so no task gets all rows of a language.
+    """
+    spark, key = rows.sparkSession, _row_key()
+    share = spark.createDataFrame([(k, min(1.0, 2.0 * (SAMPLE_DOCS + 50) / max(n, 1))) for k, n in rows_of.items()], "lang string, share double")
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    part = F.substring("text", F.pmod(key, spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    drawn = rows.withColumn("key", key).join(F.broadcast(share), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    distinct = drawn.select("lang", "key", part.alias("text")).dropDuplicates(["lang", "key"])
+    first = Window.partitionBy("lang").orderBy("key")
+    kept = distinct.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("text", "lang").collect()
+    return [(r.text, r.lang) for r in sorted(kept, key=lambda r: (r.lang, r.text))]
 
 
 class Labeller:
@@ -257,9 +293,14 @@ class Labeller:
         """(documents, K): mean label probabilities over each document's words; zeros without words."""
         out, lengths = np.zeros((len(batch), len(self.model.langs))), np.array([len(w) for w in batch], np.int64)
         some = np.flatnonzero(lengths)
+        many = len(self.model.langs) > CHUNKED_LANGUAGES
+        if many:  # texts of like length advance together
+            some = some[np.argsort(lengths[some], kind="stable")]
         at = 0
         while at < len(some):
             upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[some[at:]]), WORDS_AT_ONCE, "right")))
+            if many:
+                upto = min(upto, int(np.searchsorted(lengths[some], 2 * lengths[some[at]], "right")))
             part, n = some[at:upto], lengths[some[at:upto]]
             marginals = forward_backward(self.emissions([w for i in part for w in batch[i]]), self.model.transitions, lengths=n)
             out[part] = np.add.reduceat(marginals, np.cumsum(n) - n, axis=0) / n[:, None]
@@ -278,10 +319,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     A text that is null or has no letter is ``und`` with score 0, as is every
     text without a model. Ties go to the language first in order. Repeated rows
-    give repeated results; other columns are ignored.
+    give repeated results, an empty table gives none; other columns are ignored.
     """
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType)]).add("lang_pred", "string").add("score", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: FEATURES and LEXICON rows, at most MAX_LANGUAGES columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * TABLE_SIZE numbers, but for the transitions
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value) if shared.value else None

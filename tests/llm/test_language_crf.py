@@ -44,3 +44,41 @@ def test_held_out_accuracy_code_switching_and_odd_rows(spark):
     none = lc.fit(docs.where("lang = 'xx'"))
     assert none is None and {r.lang_pred for r in lc.predict(odd, none).collect()} == {"und"}
     assert lc.predict(odd.limit(0), model).count() == 0
+
+
+def test_numerals_are_no_letters():
+    assert lc.words_of("½ ² Ⅷ ① 12") == [] and lc.words_of("x² Äb½c") == ["x", "äb", "c"]
+
+
+def test_short_or_long_texts_only_and_many_languages(spark):
+    short = spark.createDataFrame([(1, "ja", "de"), (2, "oh", "en"), (None, "si", "es")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in lc.predict(short, lc.fit(short)).collect()} == {1: "de", 2: "en", None: "es"}
+    long = spark.createDataFrame([(1, "der hund und " * 9_000, "de"), (2, "the dog and " * 9_000, "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in lc.predict(long, lc.fit(long)).collect()} == {1: "de", 2: "en"}
+    wordless = spark.createDataFrame([(1, "1 2 3", "xx")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in lc.predict(wordless, lc.fit(wordless)).collect()] == ["und"]
+    rows = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q" for _ in range(5)), f"l{k:03}") for k in range(70)] * 3
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lc.fit(many)
+    assert len(model.langs) == 70
+    got = lc.predict(many, model).join(many.distinct(), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.9
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(lc, "SAMPLE_DOCS", 4)
+    rows = spark.createDataFrame([(1, f"wort {k}", "de") for k in range(900)] + [(2, "dog", "en")] * 900, "id string, text string, lang string")
+    sample = lc._sample(rows, {"de": 900, "en": 1})
+    assert sum(y == "de" for _, y in sample) == 4 and sum(y == "en" for _, y in sample) == 1
+
+
+def test_sequential_and_chunked_agree():
+    rng = np.random.default_rng(2)
+    k, lengths = 20, np.array([3, 70, 1])
+    e, t = rng.normal(size=(74, k)), rng.normal(size=(k, k))
+    whole = lc.forward_backward(e, t, lengths=lengths)
+    lc.CHUNKED_LANGUAGES, before = 99, lc.CHUNKED_LANGUAGES
+    try:
+        assert np.allclose(lc.forward_backward(e, t, lengths=lengths), whole)
+    finally:
+        lc.CHUNKED_LANGUAGES = before
