@@ -57,3 +57,15 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(r)[:4] for r in d.scan(docs, d.item_windows(none)).collect()] == [(1, 2, 0, 0)]
     assert d.scan(docs.limit(0), d.item_windows(none)).count() == 0
+
+
+def test_null_item_ids_and_parts(spark):
+    items = spark.createDataFrame([(None, "red fox runs"), (None, "blue sky"), (4, "red fox runs")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a red fox runs"), (2, "Blue Sky!"), (3, "none"), (None, None)], "doc_id long, text string").selectExpr("*", "'t' as digest", "1 as row")
+    for parts in (100, 1):
+        got = {r.doc_id: r for r in d.scan(docs, d.item_windows(items), set_windows=parts).collect()}
+        assert (got[1].n_items, got[2].n_items, got[3].n_items, got[None].n_hit) == (2, 1, 0, 0)
+        assert got[1].items_sha256 == hashlib.sha256(b",4").hexdigest() and got[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+        for most, want in ((0.0, {3: "none", None: None}), (0.8, {1: "a ", 3: "none", None: None})):
+            kept = d.decontaminate(docs, d.item_windows(items), most_hit=most, set_windows=parts)
+            assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == want
