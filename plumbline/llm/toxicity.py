@@ -4,7 +4,8 @@ Features are hashed n-grams of 3 to 6 characters of lower-cased text, within and
 across word ends, by presence in a document. Their counts in toxic and in other
 documents cover all labelled training rows; the log of the smoothed ratio of the
 two scales a feature. The most telling features enter a logistic regression that
-is trained in numpy on a bounded sample (``SAMPLE_DOCS`` rows a label).
+is trained in numpy on a bounded sample (``SAMPLE_DOCS`` rows a label, each with
+at most ``SELECTED`` features).
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import cut, slices, texts
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 19
@@ -27,7 +28,9 @@ SMOOTHING = 0.5
 SELECTED = 8_000
 LEAST_Z = 3.0
 #: Training rows a label from which the classifier's weights are learned.
-SAMPLE_DOCS = 10_000
+SAMPLE_DOCS = 4_000
+#: Code points of a text whose n-grams are held at once.
+CODES_AT_ONCE = 1 << 18
 STEPS, RATE, L2 = 400, 0.05, 1e-4
 
 
@@ -37,9 +40,8 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def buckets_of(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """Buckets of all n-grams, repeats included."""
-    codes = codes_of(text)
+def buckets_of(codes: np.ndarray, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """Buckets of all n-grams of code points, repeats included."""
     out, hashed = [], np.zeros(len(codes), np.uint32)
     for n in range(1, max(orders) + 1):
         if len(codes) < n:
@@ -51,6 +53,15 @@ def buckets_of(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def present(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Distinct buckets of a text's n-grams, of those that are not zero in ``wanted``; long texts in overlapping slices."""
+    codes, reach, found = codes_of(text), max(ORDERS) - 1, []
+    for at in range(0, max(1, len(codes) - reach), CODES_AT_ONCE):
+        part = buckets_of(codes[at : at + CODES_AT_ONCE + reach])
+        found.append(np.unique(part if wanted is None else part[wanted[part] != 0]))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
 @dataclass
 class Model:
     """Weight of each bucket (ratio times coefficient, 0 where not selected) and the intercept."""
@@ -59,13 +70,7 @@ class Model:
     bias: float
 
     def score(self, text: str) -> float:
-        found = buckets_of(text)
-        return float(1 / (1 + np.exp(-self.bias - self.weights[_present(found, self.weights)].sum(dtype=np.float64))))
-
-
-def _present(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Distinct selected buckets among ``found``."""
-    return np.unique(found[weights[found] != 0])
+        return float(1 / (1 + np.exp(-self.bias - self.weights[present(text, self.weights)].sum(dtype=np.float64))))
 
 
 def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +80,7 @@ def count_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
             for text, label in zip(texts(batch["text"]), batch["label"]):
-                sums[label][np.unique(buckets_of(text))] += 1
+                sums[label][present(text)] += 1
                 sums[label][BUCKETS] += 1
         at = np.flatnonzero(sums.any(axis=0))
         yield pd.DataFrame({"bucket": at, "n0": sums[0][at], "n1": sums[1][at]})
@@ -130,11 +135,24 @@ def learn(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.n
     return Model(out, float(theta[-1]))
 
 
+def _drawn(rows: DataFrame, key: Column) -> DataFrame:
+    """At most ``SAMPLE_DOCS`` rows of each ``label``, those with the smallest keys.
+
+    A threshold on the key leaves little more before anything is sorted, so no
+    task gets all rows of a label.
+    """
+    share = F.broadcast(rows.groupBy("label").agg((F.lit(1.5 * (SAMPLE_DOCS + 100)) / F.count("*")).alias("share")))
+    few = rows.withColumn("drawn", F.pmod(F.xxhash64(key), F.lit(1 << 40))).join(share, "label").where(F.col("drawn") < F.col("share") * (1 << 40))
+    first = Window.partitionBy("label").orderBy("drawn", key)
+    return few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of ``labels`` (0 or 1, others and null left out) on the rows of ``docs`` that they name.
 
-    An id with both labels counts with each. Without rows of both labels every
-    text gets the share of the label that is there (one half without any).
+    An id with both labels counts with each, repeated rows as often as they
+    occur. Without rows of both labels, as on empty tables, every text gets the
+    share of the label that is there (one half without any).
     """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)").distinct()
     # Labels grow with the documents: a merge join at every size, so that plans are alike.
@@ -149,13 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     @F.pandas_udf("array<int>")
     def selected(column: pd.Series) -> pd.Series:
         mark = np.unpackbits(chosen.value)
-        return pd.Series([_present(buckets_of(t), mark).astype(np.int32) for t in column])
+        return pd.Series([present(t, mark).astype(np.int32) for t in column])
 
-    drawn = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    picked = marked.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "label")
+    drawn = _drawn(marked, F.xxhash64(F.col("doc_id").cast("string"), "label")).select("doc_id", "label")
     texts_ = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # At most 2 * SAMPLE_DOCS ids are broadcast, so the texts don't cross a second shuffle.
-    sample = texts_.join(F.broadcast(picked), "doc_id").select("label", selected("text").alias("found")).toArrow()
+    # At most 2 * SAMPLE_DOCS ids are broadcast, so the texts don't cross a second shuffle. Equal rows are one.
+    named = texts_.join(F.broadcast(drawn), "doc_id").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "label", "text"))
+    sample = _drawn(cut(named.select("label", "key", selected("text").alias("found")).dropDuplicates(["label", "key"])), F.col("key")).select("label", "found").toArrow()
     if not sample.num_rows:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     label, lists = sample["label"].to_numpy(), sample["found"].combine_chunks()
@@ -169,13 +187,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """Per row of ``docs``: id, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     A null text counts as empty and is scored by the intercept. Repeated rows
-    give repeated results; other columns are ignored.
+    give repeated results, an empty table none; very long texts are taken in
+    slices. Other columns are ignored.
     """
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType)]).add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             scores = np.array([shared.value.score(t) for t in texts(batch["text"])])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
 

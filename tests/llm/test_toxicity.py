@@ -9,9 +9,9 @@ def test_counts_and_ratios_equal_plain(spark):
     counts, totals = t.count_features(spark.createDataFrame(rows, "text string, label int").selectExpr("coalesce(text, '') text", "label"))
     want = np.zeros((2, t.BUCKETS))
     for text, label in rows:
-        want[label][sorted(set(t.buckets_of(text or "").tolist()))] += 1
+        want[label][sorted(set(t.buckets_of(t.codes_of(text or "")).tolist()))] += 1
     assert (counts == want).all() and totals.tolist() == [4, 2]
-    assert len(t.buckets_of("abcd")) == 4 + 3 + 2 + 1 and len(t.buckets_of("")) == 0
+    assert len(t.buckets_of(t.codes_of("abcd"))) == 4 + 3 + 2 + 1 and len(t.present("")) == 0
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -36,3 +36,15 @@ def test_one_label_or_none(spark):
     for marks, low, high in (([(1, 0), (2, None)], 0, 0.1), ([(1, 1)], 0.9, 1), ([], 0.4, 0.6)):
         model = t.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
         assert all(low <= r.score <= high for r in t.predict(docs, model).collect())
+
+
+def test_long_texts_in_slices_and_repeated_ids(spark, monkeypatch):
+    text = " ".join(f"word{k} abc" for k in range(400))
+    whole = t.present(text).tolist()
+    monkeypatch.setattr(t, "CODES_AT_ONCE", 100)
+    assert t.present(text).tolist() == whole
+    monkeypatch.setattr(t, "SAMPLE_DOCS", 5)
+    rows = [(1, f"you idiot {k}") for k in range(300)] + [(2 + k, f"nice day {k}") for k in range(60)]
+    marks = [(1, 1)] + [(2 + k, 0) for k in range(60)]
+    model = t.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert model.score("you idiot 7") > model.score("nice day 7")
