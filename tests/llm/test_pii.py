@@ -61,3 +61,12 @@ def test_scan_and_redact(spark):
     assert by_id[99] == "mail [EMAIL]" and by_id[98] is None
     assert not any(pii.find_spans(t) for t in by_id.values() if t)
     assert pii.scan(docs.limit(0)).count() == 0
+
+
+def test_adversarial_texts_take_linear_time():
+    import time
+
+    for unit in ("http:///", "http://a,", "a@", "a.b@c.", "+1 ", "1.", "1-", "IBAN ", "account 1", "@", "http://"):
+        began = time.time()
+        pii.find_spans(unit * (400_000 // len(unit)))
+        assert time.time() - began < 8, unit
