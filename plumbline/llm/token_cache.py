@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, texts
+from plumbline.llm.common import cut, slices, texts
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Pieces of text whose counts a Python worker remembers.
@@ -119,8 +119,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     """Per row of ``docs``: id, n_bytes (UTF-8), n_tokens; ``cache`` gains the counts of distinct misses.
 
     Null is the empty text. Repeated rows and equal texts are encoded once.
-    Rows with a null id stay. Other columns are ignored. Two writers at a time
-    may append a digest twice with the same count; readers take one.
+    Rows with a null id stay; an empty table gives no rows. Other columns are
+    ignored. Two writers at a time may append a digest twice with the same
+    count; readers take one. The counts are cut off before the last join, so that
+    both its sides are bare shuffles and a digest with very many rows is split.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     drops = TokenCounter(tokenizer).drops_white_space
@@ -136,5 +138,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     distinct = keyed.groupBy("content").agg(F.first("text").alias("text"))
     distinct.join(known, "content", "left_anti").mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = cut(stored)
     sizes = keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(stored, "content").select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens")
