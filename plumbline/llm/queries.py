@@ -63,7 +63,7 @@ def op6_toxicity_nb_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tree = table(spark, sf_dir, "documents"), shard_tree.build_tree(N_SHARDS)
     rows = shard_tree.assign(docs, tree, shard_tree.add_shard(tree))
-    return shard_tree.with_slots(rows, docs.count()).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shard_tree.with_slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import cut
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
-#: Rows of one bucket in which slots are numbered together.
+#: Rows of one bucket in which slots are numbered together, on average over all shards.
 BUCKET_ROWS = 50_000
 
 
@@ -67,39 +68,39 @@ def add_shard(tree: Node, weight: float = 1.0) -> Node:
     return Node(tree.name, (*tree.children, Node(f"grown{s}", (Node(f"grown{s}/rack0", (leaf,)),))))
 
 
-def _draw(key: Column, child: Node) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of the hash of key and child."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(child.name)), 12).cast("double")
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / F.lit(child.weight)
+def _depth(node: Node) -> int:
+    return 1 + max(map(_depth, node.children)) if node.children else 0
 
 
-def _levels(root: Node) -> list[list[Node]]:
-    out, level = [], [root]
-    while any(n.children for n in level):
-        out.append(level)
-        level = [c for n in level for c in (n.children or (n,))]
-    return out
+def _table(root: Node) -> Column:
+    """Literal map from the name of each region and rack to its children: name, place and weight."""
+    inner, todo = [], [root]
+    while todo:
+        node = todo.pop(0)
+        if node.children:
+            inner.append(node)
+            todo += node.children
+    children = [F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit(k).alias("place"), F.lit(c.weight).alias("weight")) for k, c in enumerate(n.children)]) for n in inner]
+    return F.map_from_arrays(F.array(*[F.lit(n.name) for n in inner]), F.array(*children))
 
 
 def descend(docs: DataFrame, key: Column, root: Node, name: str) -> DataFrame:
     """``docs`` with the shard that ``key`` reaches from ``root`` as ``name``; ties go to the first child.
 
-    One column a level holds the node reached, so a level's draws are written
-    once for each of its nodes.
+    A level is one expression over the children of the node reached: the
+    smallest -ln(u) / weight, with u in (0, 1) from 52 bits of the hash of key
+    and child.
     """
-    at, step = f"_{name}", None
+    at, tree = f"_{name}", _table(root)
     docs = docs.withColumn(at, F.lit(root.name))
-    for level in _levels(root):
-        step = F.col(at)
-        chosen = None
-        for node in level:
-            if len(node.children) < 2:
-                won = F.lit((node.children or (node,))[0].name)
-            else:
-                draws = F.array(*[_draw(key, c) for c in node.children])
-                won = F.element_at(F.array(*[F.lit(c.name) for c in node.children]), F.array_position(draws, F.array_min(draws)).cast("int"))
-            chosen = F.when(step == node.name, won) if chosen is None else chosen.when(step == node.name, won)
-        docs = docs.withColumn(at, chosen)
+
+    def draw(child: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, child["name"]), 12).cast("double")
+        return F.struct((-F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / child["weight"]).alias("draw"), child["place"].alias("place"), child["name"].alias("name"))
+
+    for _ in range(_depth(root)):
+        children = F.try_element_at(tree, F.col(at))
+        docs = docs.withColumn(at, F.coalesce(F.array_min(F.transform(children, draw))["name"], F.col(at)))
     return docs.withColumn(name, F.substring_index(F.col(at), "shard", -1).cast("int")).drop(at)
 
 
@@ -120,18 +121,29 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, id_col: str =
     return descend(rows, key, grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-def with_slots(rows: DataFrame, n_rows: int, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_slots(rows: DataFrame, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` with ``slot``: their place in their shard, from 0 without gaps.
 
-    A shard's rows are dealt into buckets by the hash of id and content; rows
-    are numbered within a bucket and moved by the sizes of the buckets before.
-    No task sees a whole shard (rows equal in id and text share a bucket).
+    The rows, without texts, are cut off first, so ``docs`` is read once. Equal
+    rows are counted together; a shard's distinct rows are dealt into buckets by
+    the hash of their id and content, numbered within a bucket by running counts
+    and moved by the sizes of the buckets before. Runs of equal rows are
+    written out again in pieces of ``bucket_rows``. So no task sees a whole shard
+    or all copies of a row. An empty table gives no rows.
     """
-    shards = max(1, rows.select("shard").distinct().count())
-    buckets = max(1, -(-n_rows // (bucket_rows * shards)))
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(id_col, "text_crc32"), F.lit(buckets)))
-    within = Window.partitionBy("shard", "bucket").orderBy(F.col(id_col), "text_crc32", "size")
-    numbered = placed.withColumn("at", F.row_number().over(within) - 1)
-    ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
-    return numbered.join(starts, ["shard", "bucket"]).withColumn("slot", (F.col("at") + F.col("before")).cast("long")).drop("at", "before", "bucket")
+    names = rows.columns
+    counted = cut(rows.groupBy(*names).agg(F.count("*").alias("n")))
+    total, most = counted.agg(F.sum("n"), F.max("n")).first()
+    buckets = max(1, -(-(total or 0) // bucket_rows))
+    placed = counted.withColumn("bucket", F.pmod(F.xxhash64(id_col, "text_crc32"), F.lit(buckets)))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
+    starts = sizes.select("shard", "bucket", ahead(Window.partitionBy("shard").orderBy("bucket")).alias("before"))
+    first = ahead(Window.partitionBy("shard", "bucket").orderBy(F.col(id_col), "text_crc32", "size"))
+    runs = placed.withColumn("at", first).join(starts, ["shard", "bucket"]).withColumn("at", F.col("at") + F.col("before"))
+    pieces = runs.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / bucket_rows))))
+    if (most or 0) > bucket_rows:
+        pieces = pieces.repartition(F.col("shard"), F.col("bucket"), F.col("piece"))
+    low = F.col("piece") * bucket_rows
+    each = F.explode(F.sequence(low, F.least(low + bucket_rows, F.col("n")) - 1))
+    return pieces.withColumn("copy", each).withColumn("slot", F.col("at") + F.col("copy")).select(*names, "slot")

@@ -22,7 +22,7 @@ def test_assignment_equals_plain_and_slots_are_gapless(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 as shard", "1 as slot")
     tree = st.build_tree(40)
     grown = st.add_shard(tree)
-    got = st.with_slots(st.assign(docs, tree, grown), len(rows), bucket_rows=20).collect()
+    got = st.with_slots(st.assign(docs, tree, grown), bucket_rows=20).collect()
     assert len(got) == len(rows)
     for r in got:
         key = str(r.doc_id) if r.doc_id is not None else "null"
@@ -32,7 +32,7 @@ def test_assignment_equals_plain_and_slots_are_gapless(spark):
     assert all((r.size, r.text_crc32) == (len(text[r.doc_id]) + 16, zlib.crc32(text[r.doc_id])) for r in got if r.doc_id in text)
     for s, n in Counter(r.shard for r in got).items():
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
-    assert st.with_slots(st.assign(docs.limit(0), tree, grown), 0).count() == 0
+    assert st.with_slots(st.assign(docs.limit(0), tree, grown)).count() == 0
 
 
 def test_weights_and_confined_movement():
@@ -49,3 +49,11 @@ def test_weights_and_confined_movement():
     region = next(set(r.shards) for r in tree.children if 13 in r.shards)
     assert moved and all(b in region for _, b in moved.values())
     assert st.build_tree(3).shards == [0, 1, 2] and st.build_tree(1).weight == 1
+
+
+def test_many_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "same")] * 500 + [(k, "x") for k in range(50)], "doc_id long, text string")
+    rows = st.with_slots(st.assign(docs, st.build_tree(3)), bucket_rows=30).collect()
+    for s, n in Counter(r.shard for r in rows).items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    assert len(rows) == 550 and sum(r.doc_id == 1 for r in rows) == 501
