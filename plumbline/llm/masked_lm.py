@@ -3,20 +3,25 @@
 A bidirectional window network predicts every token from the ``SIDE`` tokens on
 both sides; a document's score is the sum of those conditional log-probabilities.
 
-A token is a white-space separated, lower-cased word. The vocabulary is open: the
-corpus's most frequent words have classes of their own, any other word belongs
-to a class by the hash of its ending and is spelled, character by character, by
-bigram counts. ``log P(word | context) = log P(class | context) + log P(spelling
-| class)``; the network gives the first, corpus counts the second.
-
-All documents take part in counting and in training, with every position masked
-once. Each partition trains the network on masked positions of its own documents
-from the common weights; the partitions' weights are averaged, weighted by their
-tokens, once a round.
+A token is a white-space separated, lower-cased word. The vocabulary holds the
+corpus's most frequent words, twice the square root of its tokens, so it
+grows with the corpus. The output is hierarchical: the most frequent words are
+classes of their own, the others stand in blocks of words with like endings, and
+the network predicts first the class or block, then the word within its block.
+The vocabulary is open: any other word belongs to a class by the hash of its
+ending and is spelled, character by character, by bigram counts:
+``log P(word | context) = log P(class | context) + log P(spelling | class)``.
+
+All documents take part in counting and in training. Distinct texts are dealt
+into shards by a digest and stand in its order there, whatever the layout of the
+input. Each shard trains the network on its texts from the common weights; the
+shards' weights are averaged, weighted by their tokens, once a round. The rounds
+share the positions out, so that every position is masked and predicted once.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,28 +29,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import cut, texts
+from plumbline.llm.common import cut, slices, texts
 
-FREQUENT, ENDINGS = 96, 30
-#: Classes: the frequent words, the endings of other words, and the text's edge.
-EDGE = FREQUENT + ENDINGS
-CLASSES = EDGE + 1
+#: Words that are classes of their own, classes of endings, and the most words with a place in the model (others are spelled).
+FREQUENT, ENDINGS, MOST_WORDS = 64, 30, 1 << 17
+#: Words of the vocabulary a square root of the tokens.
+WORDS_A_ROOT = 2
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-ROUNDS, MASKED = 2, 8
-RATE, BATCH, SEED = 0.05, 256, 3
-TOKENS_AT_ONCE = 65_536
+ROUNDS, RATE, BATCH, SEED = 2, 0.15, 4096, 3
+#: Tokens of a training shard, about.
+SHARD_TOKENS = 1 << 22
+#: Distinct texts that a task remembers while it reads, so as to pass on copies once.
+SEEN_TEXTS = 1 << 20
+TOKENS_AT_ONCE = 32_768
 #: Rows of spelling counts: a hashed previous character by a hashed next one, per ending class.
 CHARS = 128
-SHAPES = ((CLASSES, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-PART = 1024
+PART = 4096
 
 
 def ending_class(ending: str) -> int:
-    return FREQUENT + zlib.crc32(ending.encode("utf-8", "surrogatepass")) % ENDINGS
+    return zlib.crc32(ending.encode("utf-8", "surrogatepass")) % ENDINGS
 
 
 class Endings(dict):
@@ -57,7 +65,7 @@ class Endings(dict):
 
 
 def spelled_cells(words: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (class, previous, next character) of the words' spellings, edges included, and the word of each cell.
+    """Cells (ending class, previous, next character) of the words' spellings, edges included, and the word of each cell.
 
     Characters are numbered 1 to 127 (hashed beyond ASCII), a word's edge is 0.
     """
@@ -68,45 +76,80 @@ def spelled_cells(words: list[str], classes: np.ndarray) -> tuple[np.ndarray, np
     edge[np.r_[0, np.cumsum(lengths + 1)]] = True
     numbers = np.where(edge, 0, 1 + codes % (CHARS - 1)).astype(np.int64)
     owner = np.repeat(np.arange(len(words)), lengths + 1)
-    return ((classes[owner].astype(np.int64) - FREQUENT) * CHARS + numbers[:-1]) * CHARS + numbers[1:], owner
+    return (classes[owner].astype(np.int64) * CHARS + numbers[:-1]) * CHARS + numbers[1:], owner
+
+
+class Vocabulary:
+    """Places of the words in the network's input and output.
+
+    Ids: words by falling count, then the classes of endings, then the text's
+    edge. Outputs: the first ``FREQUENT`` words, the blocks, the endings.
+    """
+
+    def __init__(self, words: list[str], counts: list[int], spelled: int = 1):
+        self.ids = {w: k for k, w in enumerate(words)}
+        n = len(words)
+        self.own = min(FREQUENT, n)
+        tail = sorted(range(self.own, n), key=lambda k: words[k][::-1])
+        self.blocks = math.isqrt(len(tail))
+        self.size = -(-len(tail) // self.blocks) if self.blocks else 0
+        self.edge, self.outputs = n + ENDINGS, self.own + self.blocks + ENDINGS
+        #: Output of each id, and its place among the rows of all blocks (-1: none).
+        self.output = np.r_[np.arange(self.own), np.zeros(n - self.own, int), self.own + self.blocks + np.arange(ENDINGS)].astype(np.int32)
+        self.row = np.full(n + ENDINGS, -1, np.int64)
+        for place, k in enumerate(tail):
+            self.output[k], self.row[k] = self.own + place // self.size, place
+        seen = np.r_[np.array(counts, float), np.full(ENDINGS, max(spelled, 1) / ENDINGS)]
+        self.output_counts = np.bincount(self.output, seen, self.outputs)
+        self.row_counts = np.zeros(self.blocks * self.size)
+        self.row_counts[self.row[self.row >= 0]] = seen[self.row >= 0]
+
+    @property
+    def shapes(self) -> tuple[tuple[int, ...], ...]:
+        rows = self.blocks * self.size
+        return ((self.edge + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, self.outputs), (self.outputs,), (rows, HIDDEN), (rows,))
+
+    def first_weights(self) -> list[np.ndarray]:
+        """Random inputs; outputs begin at the words' shares, so places that hold no word have no probability."""
+        rng, shapes = np.random.default_rng(SEED), self.shapes
+        places = np.where(self.row_counts > 0, np.log(np.maximum(self.row_counts, 1)), -1e4)
+        weights = [rng.normal(size=shapes[0]) * 0.3, rng.normal(size=shapes[1]) / np.sqrt(shapes[1][0]), np.zeros(shapes[2]), rng.normal(size=shapes[3]) * 0.1, np.log(self.output_counts + 1), rng.normal(size=shapes[5]) * 0.1, places]
+        return [w.astype(np.float32) for w in weights]
 
 
 @dataclass
 class Counts:
-    """Frequent words and log-probabilities of spellings; a fixed size."""
+    """The vocabulary, log-probabilities of spellings, and the corpus's tokens."""
 
-    frequent: dict[str, int]
+    vocabulary: Vocabulary
     spelling: np.ndarray
-
-
-def first_weights() -> list[np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return [(rng.normal(size=s) * (0.3 if len(s) == 2 and s[0] == CLASSES else 1 / np.sqrt(s[0])) if len(s) == 2 else np.zeros(s)).astype(np.float32) for s in SHAPES]
+    tokens: int
 
 
 class Reader:
-    """Texts to classes and to the log-probability of their words' spellings."""
+    """Texts to ids and to the log-probability of the spellings of words without an id of their own."""
 
     def __init__(self, counts: Counts):
-        self.frequent, self.endings, self.table = counts.frequent, Endings(), counts.spelling.ravel()
+        self.known, self.endings, self.table = counts.vocabulary.ids, Endings(), counts.spelling.ravel()
+        self.words = len(self.known)
 
-    def classes(self, words: list[str]) -> np.ndarray:
-        known, endings = self.frequent.get, self.endings
+    def ids(self, words: list[str]) -> np.ndarray:
+        known, endings, n = self.known.get, self.endings, self.words
         found = [known(w) for w in words]
-        return np.array([k if k is not None else endings[w[-2:]] for k, w in zip(found, words)], np.int32)
+        return np.array([k if k is not None else n + endings[w[-2:]] for k, w in zip(found, words)], np.int32)
 
     def __call__(self, text: str) -> tuple[np.ndarray, float]:
         words = text.lower().split()
-        ids = self.classes(words)
-        rare = ids >= FREQUENT
+        ids = self.ids(words)
+        rare = ids >= self.words
         if not rare.any():
             return ids, 0.0
-        return ids, float(self.table[spelled_cells([w for w, r in zip(words, rare.tolist()) if r], ids[rare])[0]].sum())
+        return ids, float(self.table[spelled_cells([w for w, r in zip(words, rare.tolist()) if r], ids[rare] - self.words)[0]].sum())
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """(n, 2 * SIDE) classes around each position, the edge class beyond the text."""
-    padded = np.concatenate([np.full(SIDE, EDGE, np.int32), ids, np.full(SIDE, EDGE, np.int32)])
+def contexts(ids: np.ndarray, edge: int) -> np.ndarray:
+    """(n, 2 * SIDE) ids around each position, the edge beyond the text."""
+    padded = np.concatenate([np.full(SIDE, edge, np.int32), ids, np.full(SIDE, edge, np.int32)])
     return np.stack([padded[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
@@ -115,41 +158,79 @@ def hidden_of(weights: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray
     return seen, np.tanh(seen @ weights[1] + weights[2])
 
 
-def log_probabilities(weights: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log P(class | context) of each position."""
-    out = hidden_of(weights, around)[1] @ weights[3]
-    out += weights[4]
-    out -= out.max(axis=1, keepdims=True)
-    own = out[np.arange(len(ids)), ids]
-    return own - np.log(np.exp(out, out=out).sum(axis=1))
+def _blocks(vocabulary: Vocabulary, rows: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+    """(positions, the block's rows, places within the block) for the positions whose word stands in a block."""
+    inside = np.flatnonzero(rows >= 0)
+    if not len(inside):
+        return
+    block = rows[inside] // vocabulary.size
+    order = np.argsort(block.astype(np.uint16) if vocabulary.blocks < 1 << 16 else block, kind="stable")
+    inside, block = inside[order], block[order]
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    for at, b in zip(np.split(inside, cuts), block[np.r_[0, cuts]].tolist()):
+        yield at, slice(b * vocabulary.size, (b + 1) * vocabulary.size), rows[at] - b * vocabulary.size
+
+
+def _log_softmax_at(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    mine = x[np.arange(len(own)), own]
+    return mine - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def log_probabilities(vocabulary: Vocabulary, weights: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """log P(class | context), and of the word within its block, of each position."""
+    hidden = hidden_of(weights, around)[1]
+    logs = _log_softmax_at(hidden @ weights[3] + weights[4], vocabulary.output[ids])
+    for at, rows, place in _blocks(vocabulary, vocabulary.row[ids]):
+        logs[at] += _log_softmax_at(hidden[at] @ weights[5][rows].T + weights[6][rows], place)
+    return logs
 
 
 class Trainer:
-    """Adagrad on masked positions."""
+    """Adagrad on masked positions; of words and blocks only what a batch touches moves."""
 
-    def __init__(self, weights: list[np.ndarray]):
-        self.weights = [w.copy() for w in weights]
+    def __init__(self, vocabulary: Vocabulary, weights: list[np.ndarray]):
+        self.vocabulary, self.weights = vocabulary, [w.copy() for w in weights]
         self.seen = [np.full_like(w, 1e-3) for w in weights]
 
+    def _move(self, k: int, gradient: np.ndarray, rows=slice(None)) -> None:
+        square = self.seen[k][rows] + gradient * gradient
+        self.seen[k][rows] = square
+        self.weights[k][rows] -= RATE * gradient / np.sqrt(square)
+
+    @staticmethod
+    def _miss(x: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+        x[np.arange(len(own)), own] -= 1
+        x /= n
+        return x
+
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
-        w, n = self.weights, len(ids)
+        w, n, v = self.weights, len(ids), self.vocabulary
         seen, hidden = hidden_of(w, around)
-        p = hidden @ w[3] + w[4]
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), ids] -= 1
-        p /= n
-        back = (p @ w[3].T) * (1 - hidden * hidden)
+        p = self._miss(hidden @ w[3] + w[4], v.output[ids], n)
+        back = p @ w[3].T
+        for at, rows, place in _blocks(v, v.row[ids]):
+            own = hidden[at]
+            q = self._miss(own @ w[5][rows].T + w[6][rows], place, n)
+            back[at] += q @ w[5][rows]
+            self._move(5, q.T @ own, rows)
+            self._move(6, q.sum(axis=0), rows)
+        back *= 1 - hidden * hidden
         into = (back @ w[1].T).reshape(-1, WIDTH)
-        table = np.zeros_like(w[0])
-        np.add.at(table, around.ravel(), into)
-        for x, g, s in zip(w, (table, seen.T @ back, back.sum(axis=0), hidden.T @ p, p.sum(axis=0)), self.seen):
-            s += g * g
-            x -= RATE * g / np.sqrt(s)
+        flat = around.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
+        moves = np.add.reduceat(into[order], first, axis=0)
+        for k, g in ((1, seen.T @ back), (2, back.sum(axis=0)), (3, hidden.T @ p), (4, p.sum(axis=0))):
+            self._move(k, g)
+        self._move(0, moves, flat[order][first])
 
 
 def count_words(texts_: DataFrame) -> Counts:
-    """Frequent words and spelling counts over all rows (text)."""
+    """The vocabulary and spelling counts over all rows (text)."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,13 +241,15 @@ def count_words(texts_: DataFrame) -> Counts:
                 yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     counted = cut(texts_.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = {r.word: k for k, r in enumerate(top)}
+    tokens = counted.agg(F.sum("n")).first()[0] or 0
+    size = max(FREQUENT, min(WORDS_A_ROOT * math.isqrt(tokens), MOST_WORDS))
+    top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
+    known = {r.word for r in top}
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, endings = np.zeros(ENDINGS * CHARS * CHARS), Endings()
         for batch in batches:
-            rare = batch[~batch["word"].isin(list(frequent))]
+            rare = batch[[w not in known for w in batch["word"]]]
             if len(rare):
                 words = rare["word"].tolist()
                 cells, owner = spelled_cells(words, np.array([endings[w[-2:]] for w in words]))
@@ -178,84 +261,129 @@ def count_words(texts_: DataFrame) -> Counts:
     table = np.zeros(ENDINGS * CHARS * CHARS)
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     table = table.reshape(ENDINGS, CHARS, CHARS) + 0.01
-    return Counts(frequent, np.log(table / table.sum(axis=2, keepdims=True)))
+    vocabulary = Vocabulary([r.word for r in top], [r.n for r in top], tokens - sum(r.n for r in top))
+    return Counts(vocabulary, np.log(table / table.sum(axis=2, keepdims=True)), tokens)
 
 
-def masked_batches(documents: Iterator[np.ndarray], r: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(contexts, classes) of the positions that round ``r`` of ``rounds`` masks, about ``BATCH`` at once.
+def encoded(texts_: DataFrame, counts: Counts) -> DataFrame:
+    """(shard, digest, ids): the distinct texts with words, as ids, by shard and in the digest's order, cut off.
 
-    The positions of each residue modulo ``MASKED``, counted through the
-    documents, are masked in turn; the rounds share the residues out, so that
-    together they mask every position once.
+    Copies of a text leave a task once (again after ``SEEN_TEXTS`` others), so
+    a text with very many copies is no hot key; what is left of them stands together.
     """
-    held_x, held_y, held, start = [], [], 0, 0
+    shards = max(1, counts.tokens // SHARD_TOKENS)
+    shared = texts_.sparkSession.sparkContext.broadcast(counts)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, seen = Reader(shared.value), set()
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            out = []
+            for t in texts(batch["text"]):
+                digest = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+                if digest in seen:
+                    continue
+                if len(seen) >= SEEN_TEXTS:
+                    seen.clear()
+                seen.add(digest)
+                ids = read.ids(t.lower().split())
+                if len(ids):
+                    out.append((digest % shards, digest - (1 << 63), packed(ids)))
+            yield pd.DataFrame(out, columns=["shard", "digest", "ids"])
+
+    tasks = min(shards, max(4096, shards // 64))
+    return cut(texts_.mapInPandas(encode, "shard int, digest long, ids binary").repartition(tasks, "shard").sortWithinPartitions("shard", "digest"))
+
 
-    def masked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, y = np.concatenate(held_x), np.concatenate(held_y)
-        for residue in range(r, MASKED, rounds):
-            at = np.arange((residue - start) % MASKED, len(y), MASKED)
-            if len(at):
-                for part in np.array_split(at, max(1, round(len(at) / BATCH))):
-                    yield x[part], y[part]
+def packed(ids: np.ndarray) -> bytes:
+    """Two bytes an id, or four behind one marking byte."""
+    return ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"4" + ids.astype("<u4").tobytes()
 
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = len(data) % 2
+    return np.frombuffer(data, "<u4" if wide else "<u2", offset=wide).astype(np.int32)
+
+
+def masked_batches(documents: Iterator[np.ndarray], r: int, rounds: int, edge: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, ids) of the positions that round ``r`` of ``rounds`` masks, about ``BATCH`` at once: every ``rounds``-th of a text."""
+    held_x, held_y, held = [], [], 0
     for ids in documents:
-        if len(ids):
-            held_x.append(contexts(ids))
-            held_y.append(ids)
-            held += len(ids)
-        if held >= BATCH * MASKED:
-            yield from masked()
-            held_x, held_y, held, start = [], [], 0, start + held
+        at = np.arange((r - len(ids)) % rounds, len(ids), rounds)
+        if len(at):
+            held_x.append(contexts(ids, edge)[at])
+            held_y.append(ids[at])
+            held += len(at)
+        if held >= BATCH:
+            x, y = np.concatenate(held_x), np.concatenate(held_y)
+            parts = max(1, round(held / BATCH))
+            yield from zip(np.array_split(x, parts), np.array_split(y, parts))
+            held_x, held_y, held = [], [], 0
     if held:
-        yield from masked()
+        yield np.concatenate(held_x), np.concatenate(held_y)
 
 
-def train(texts_: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Weights after ``rounds`` (``MASKED`` at most) of training on all partitions and averaging; see ``masked_batches``."""
-    context = texts_.sparkSession.sparkContext
-    weights = first_weights()
+def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights after ``rounds`` of training on all shards of ``encoded`` rows and averaging."""
+    context = rows.sparkSession.sparkContext
+    weights = vocabulary.first_weights()
     for r in range(rounds):
-        shared = context.broadcast((counts, weights))  # a fixed size
+        shared = context.broadcast((vocabulary, weights))
 
         def learn(batches: Iterator[pd.DataFrame], r: int = r, shared=shared) -> Iterator[pd.DataFrame]:
-            known, start = shared.value
-            read, trainer, tokens = Reader(known), Trainer(start), 0
+            vocabulary, start = shared.value
+            total, tokens, last = None, 0, None
 
-            def documents() -> Iterator[np.ndarray]:
-                nonlocal tokens
+            def shards() -> Iterator[tuple[int, np.ndarray]]:
+                nonlocal last
                 for batch in batches:
-                    for t in texts(batch["text"]):
-                        ids = read.classes(t.lower().split())
-                        tokens += len(ids)
-                        yield ids
-
-            for x, y in masked_batches(documents(), r, rounds):
-                trainer.step(x, y)
+                    for shard, digest, data in zip(batch["shard"], batch["digest"], batch["ids"]):
+                        if (shard, digest) != last:  # copies stand together
+                            last = shard, digest
+                            yield shard, unpacked(data)
+
+            stream = shards()
+            ahead = next(stream, None)
+            while ahead:
+                shard, n = ahead[0], 0
+
+                def documents() -> Iterator[np.ndarray]:
+                    nonlocal ahead, n
+                    while ahead and ahead[0] == shard:
+                        n += len(ahead[1])
+                        yield ahead[1]
+                        ahead = next(stream, None)
+
+                trainer = Trainer(vocabulary, start)
+                for x, y in masked_batches(documents(), r, rounds, vocabulary.edge):
+                    trainer.step(x, y)
+                moved = np.concatenate([w.ravel() for w in trainer.weights]).astype(float) * n
+                total, tokens = moved if total is None else total + moved, tokens + n
             if tokens:
-                flat = np.concatenate([w.ravel() for w in trainer.weights])
-                for part in range(0, len(flat), PART):
-                    piece = flat[part : part + PART].astype(float)
-                    yield pd.DataFrame({"at": np.arange(part, part + len(piece)), "w": piece * tokens, "n": tokens})
-
-        moved = texts_.mapInPandas(learn, "at long, w double, n long").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-        if moved.num_rows:
-            flat = np.zeros(moved.num_rows, np.float32)
-            flat[moved["at"].to_numpy()] = moved["w"].to_numpy()
-            ends = np.cumsum([int(np.prod(s)) for s in SHAPES])
-            weights = [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), SHAPES)]
+                mean = (total / tokens).astype(np.float32)
+                for part, at in enumerate(range(0, len(mean), PART)):
+                    yield pd.DataFrame({"part": [part], "w": [mean[at : at + PART]], "n": [float(tokens)]})
+
+        def average(group: pd.DataFrame) -> pd.DataFrame:  # a row a task
+            return pd.DataFrame({"part": group["part"].iloc[:1], "w": [np.average(np.stack(group["w"]), axis=0, weights=group["n"]).astype(np.float32)]})
+
+        moved = rows.mapInPandas(learn, "part int, w array<float>, n double").groupBy("part").applyInPandas(average, "part int, w array<float>").collect()
+        if moved:
+            flat = np.concatenate([np.array(x.w, np.float32) for x in sorted(moved, key=lambda x: x.part)])
+            ends = np.cumsum([int(np.prod(s)) for s in vocabulary.shapes])
+            weights = [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), vocabulary.shapes)]
     return weights
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Counts, list[np.ndarray]]:
-    """Counts and network learned from all rows of ``docs``."""
+    """Counts and network learned from all rows of ``docs``; an empty table gives a network without words."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = count_words(rows)
-    return counts, train(rows, counts)
+    return counts, train(encoded(rows, counts), counts.vocabulary)
 
 
 def score_texts(batch: list[str], counts: Counts, weights: list[np.ndarray], read: Reader | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed conditional log-probabilities of each text."""
-    read = read or Reader(counts)
+    read, vocabulary = read or Reader(counts), counts.vocabulary
     found = [read(t) for t in batch]
     lengths = np.array([len(f[0]) for f in found], np.int64)
     sums = np.array([f[1] for f in found])
@@ -263,10 +391,10 @@ def score_texts(batch: list[str], counts: Counts, weights: list[np.ndarray], rea
     while at < len(found):  # texts together up to a bound, a longer one in slices
         upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), TOKENS_AT_ONCE, "right")))
         ids = np.concatenate([f[0] for f in found[at:upto]])
-        around = np.concatenate([contexts(f[0]) for f in found[at:upto]])
-        logs = np.concatenate([log_probabilities(weights, around[k : k + 8192], ids[k : k + 8192]) for k in range(0, len(ids), 8192)]) if len(ids) else np.zeros(0)
+        around = np.concatenate([contexts(f[0], vocabulary.edge) for f in found[at:upto]])
+        logs = [log_probabilities(vocabulary, weights, around[k : k + TOKENS_AT_ONCE], ids[k : k + TOKENS_AT_ONCE]) for k in range(0, len(ids), TOKENS_AT_ONCE)]
         owner = np.repeat(np.arange(upto - at), lengths[at:upto])
-        sums[at:upto] += np.bincount(owner, logs, upto - at)
+        sums[at:upto] += np.bincount(owner, np.concatenate([*logs, np.zeros(0)]), upto - at)
         at = upto
     return lengths, sums
 
@@ -275,15 +403,16 @@ def score(docs: DataFrame, model: tuple[Counts, list[np.ndarray]], id_col: str =
     """Per row of ``docs``: id, ``n_tokens``, ``pll`` (natural log) and ``pll_per_token`` (null without tokens).
 
     A null or empty text has no tokens and ``pll`` 0. Repeated rows give
-    repeated results; other columns are ignored.
+    repeated results, an empty table none; very long texts are taken in slices.
+    Other columns are ignored.
     """
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType)]).add("n_tokens", "long").add("pll", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 50 numbers a word, MOST_WORDS words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, weights = shared.value
         read = Reader(counts)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             n, sums = score_texts(texts(batch["text"]), counts, weights, read)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "pll": sums})
 

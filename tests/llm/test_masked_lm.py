@@ -1,32 +1,50 @@
 import numpy as np
 
 from plumbline.llm import masked_lm as lm
-from plumbline.llm.common import table
+from plumbline.llm.common import crc_mod, table
+
+
+def small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(lm.FREQUENT + 30)]
+    v = lm.Vocabulary(words, list(range(len(words), 0, -1)), 50)
+    weights = [w.astype(float) + rng.normal(size=w.shape) * 0.05 for w in v.first_weights()]
+    return rng, v, weights
 
 
 def test_gradient_and_probabilities():
-    rng = np.random.default_rng(0)
-    weights = [w.astype(float) for w in lm.first_weights()]
-    ids = rng.integers(0, lm.CLASSES, 40).astype(np.int32)
-    around = lm.contexts(ids)
-    assert around[0].tolist() == [lm.EDGE, lm.EDGE, ids[1], ids[2]] and around[-1].tolist() == [ids[-3], ids[-2], lm.EDGE, lm.EDGE]
-    every = np.stack([lm.log_probabilities(weights, around, np.full(40, k)) for k in range(lm.CLASSES)], axis=1)
+    rng, v, weights = small_model()
+    n = len(v.row)
+    assert v.edge == n and (np.bincount(v.row[v.row >= 0]) == 1).all() and v.blocks * v.size >= 30
+    ids = rng.integers(0, n, 200).astype(np.int32)
+    around = lm.contexts(ids, v.edge)
+    assert around[0].tolist() == [v.edge, v.edge, ids[1], ids[2]] and around[-1].tolist() == [ids[-3], ids[-2], v.edge, v.edge]
+    every = np.stack([lm.log_probabilities(v, weights, around, np.full(200, k)) for k in range(n)], axis=1)
     assert np.allclose(np.exp(every).sum(axis=1), 1)
-    loss = lambda w: -lm.log_probabilities(w, around, ids).mean()
-    trainer = lm.Trainer(weights)
+    loss = lambda w: -lm.log_probabilities(v, w, around, ids).mean()
+    trainer = lm.Trainer(v, weights)
     trainer.seen = [np.ones_like(w) * 1e30 for w in weights]  # the step is then the gradient, scaled
     trainer.step(around, ids)
-    for k, place in ((0, (int(ids[3]), 2)), (1, (5, 7)), (2, (3,)), (3, (4, int(ids[0]))), (4, (int(ids[1]),))):
-        moved = [w.copy() for w in weights]
-        moved[k][place] += 1e-5
-        slope = (loss(moved) - loss(weights)) / 1e-5
-        step = (weights[k][place] - trainer.weights[k][place]) / lm.RATE * 1e15
-        assert abs(step) < 1e-9 or np.isclose(slope, step, rtol=1e-2, atol=1e-4) or abs(step - slope) < 0.2 * abs(slope) + 1e-4
+    places = [(0, (int(ids[3]), 2)), (1, (5, 7)), (2, (3,)), (3, (4, int(v.output[ids[0]]))), (4, (int(v.output[ids[1]]),)), (5, (7, 3)), (6, (11,))]
+    for k, place in places:
+        up, down = [[w.copy() for w in weights] for _ in range(2)]
+        up[k][place] += 1e-4
+        down[k][place] -= 1e-4
+        slope = (loss(up) - loss(down)) / 2e-4
+        trained = lm.Trainer(v, weights)
+        trained.seen = [np.ones_like(w) for w in weights]
+        trained.step(around, ids)
+        step = (weights[k][place] - trained.weights[k][place]) / lm.RATE
+        assert np.isclose(step * np.sqrt(1 + slope * slope), slope, rtol=1e-3, atol=1e-7), (k, place)
 
 
 def test_scores_prefer_natural_text_and_equal_plain(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = lm.fit(docs.repartition(3))
+    other_layout = lm.fit(docs.repartition(11))
+    v = model[0].vocabulary
+    assert v.ids == other_layout[0].vocabulary.ids and len(v.ids) > 1_000
+    assert all(np.allclose(a, b, rtol=1e-4, atol=1e-5) for a, b in zip(model[1], other_layout[1]))
     pick = lambda lang: [r.text for r in docs.where(f"lang = '{lang}' AND n_chars BETWEEN 800 AND 3000").orderBy("doc_id").limit(60).collect()]
     sample, other = pick("en"), pick("de")
     # the same words score lower among words of another language
@@ -34,23 +52,46 @@ def test_scores_prefer_natural_text_and_equal_plain(spark):
     apart = [(" ".join(a.split()[:n]), " ".join(b.split()[:n])) for a, b in zip(sample, other) for n in [min(len(a.split()), len(b.split()))]]
     both = [lm.score_texts([*x, m], *model)[1] for x, m in zip(apart, mixed)]
     assert np.mean([s[0] + s[1] > s[2] for s in both]) > 0.95
-    # the network beats the class frequencies
     read = lm.Reader(model[0])
-    ids = [read(t)[0] for t in sample]
-    freq = np.bincount(np.concatenate(ids), minlength=lm.CLASSES) + 1.0
-    unigram = sum(np.log(freq / freq.sum())[i].sum() for i in ids)
-    assert sum(lm.log_probabilities(model[1], lm.contexts(i), i).sum() for i in ids) > unigram
     for t in ("one", "the of and", "wörter 🔥 the the", sample[0]):
         i, spelled = read(t)
-        padded = [lm.EDGE] * 2 + i.tolist() + [lm.EDGE] * 2
-        total = spelled
+        padded = [v.edge] * 2 + i.tolist() + [v.edge] * 2
+        w, total = model[1], spelled
         for k in range(len(i)):
-            x = np.concatenate([model[1][0][padded[k + d]] for d in (0, 1, 3, 4)]).astype(float)
-            z = np.tanh(x @ model[1][1] + model[1][2]) @ model[1][3] + model[1][4]
-            total += z[i[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
+            x = np.concatenate([w[0][padded[k + d]] for d in (0, 1, 3, 4)]).astype(float)
+            h = np.tanh(x @ w[1] + w[2])
+            z = h @ w[3] + w[4]
+            total += z[v.output[i[k]]] - z.max() - np.log(np.exp(z - z.max()).sum())
+            if v.row[i[k]] >= 0:
+                b = v.row[i[k]] // v.size
+                z = h @ w[5][b * v.size : (b + 1) * v.size].T + w[6][b * v.size : (b + 1) * v.size]
+                total += z[v.row[i[k]] % v.size] - z.max() - np.log(np.exp(z - z.max()).sum())
         assert np.isclose(lm.score_texts([t], *model)[1][0], total, rtol=1e-4)
 
 
+def test_held_out_text_is_likelier_than_by_word_counts(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    counts, weights = lm.fit(docs.where(crc_mod("doc_id", 5) != 0))
+    held = [r.text or "" for r in docs.where(crc_mod("doc_id", 5) == 0).collect()]
+    n, with_context = lm.score_texts(held, counts, weights)
+    by_counts = lm.score_texts(held, counts, [w * (k in (4, 6)) for k, w in enumerate(counts.vocabulary.first_weights())])[1]
+    assert with_context.sum() / n.sum() > by_counts.sum() / n.sum() + 0.2
+
+
+def test_packing():
+    for ids in ([], [1, 65_535], [3, 65_536, 1], [1 << 20]):
+        assert lm.unpacked(lm.packed(np.array(ids, np.int32))).tolist() == ids
+
+
+def test_copies_train_once(spark):
+    docs = spark.createDataFrame([("a b c d",), ("e f",)] * 40 + [("",)], "text string").repartition(7)
+    counts = lm.count_words(docs)
+    rows = lm.encoded(docs, counts).dropDuplicates(["shard", "digest"]).collect()
+    assert sorted(len(lm.unpacked(r.ids)) for r in rows) == [2, 4]
+    once = lm.encoded(spark.createDataFrame([("a b c d",), ("e f",)], "text string"), counts)
+    assert all(np.allclose(a, b) for a, b in zip(lm.train(lm.encoded(docs, counts), counts.vocabulary), lm.train(once, counts.vocabulary)))
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "tail " * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as pll")
@@ -66,9 +107,9 @@ def test_every_position_is_masked_once():
     for sizes in ((1, 0, 3, 2), (1, 7, 5000, 0, 2, 300, 2500, 9)):
         place = iter(range(sum(sizes)))
         docs = [np.array([next(place) for _ in range(n)], np.int32) for n in sizes]
-        found = [(x, y) for r in range(lm.ROUNDS) for x, y in lm.masked_batches(iter(docs), r, lm.ROUNDS)]
+        found = [(x, y) for r in range(lm.ROUNDS) for x, y in lm.masked_batches(iter(docs), r, lm.ROUNDS, 99_999)]
         assert all(0 < len(y) <= 1.5 * lm.BATCH for _, y in found)
         ids = np.concatenate([y for _, y in found])
         assert sorted(ids.tolist()) == list(range(sum(sizes)))
         around = dict(zip(ids.tolist(), np.concatenate([x for x, _ in found]).tolist()))
-        assert all(around[k] == c for d in docs if len(d) for k, c in zip(d.tolist(), lm.contexts(d).tolist()))
+        assert all(around[k] == c for d in docs if len(d) for k, c in zip(d.tolist(), lm.contexts(d, 99_999).tolist()))
