@@ -10,11 +10,20 @@ at home with the anchor that its block decodes to. Of a linked pair, the home
 anchor of one lies within that distance of the other: comparing, per anchor, its
 homes with its members finds every link. Equal fingerprints are collapsed
 before, and each task returns a spanning forest of its links, never all pairs.
+
+Texts are alike from a Jaccard similarity of their shingles on (``keep_first``)
+by wide fingerprints: 256 bits, whose differing share estimates the similarity.
+There every fingerprint goes to all anchors within covering radius plus half of
+the block threshold: the point half way between two blocks lies that near to
+both, and so does its anchor. Six blocks with a threshold of two bits find 0.9
+and more of the pairs at similarity 0.8, nearly all above.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, runs, texts
+from plumbline.operators.duplicates import components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -32,36 +42,79 @@ CODE_BITS, RADIUS = 15, 1
 #: Members of an anchor beyond which it is cut into cells of about this many rows.
 CELL_ROWS = 20_000
 PAIRS_AT_ONCE = 2_000_000
+#: Members of an anchor from which groups around pivots are linked first, and how many pivots.
+PIVOT_ROWS, PIVOTS = 256, 8
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become fingerprints of ``width`` 64-bit words and which of them link.
+
+    The blocks of the first ``anchored`` words have anchors; ``slack`` is a
+    block's threshold. With ``halved`` both of a pair come half way.
+    """
+
+    shingle_words: int = SHINGLE_WORDS
+    max_bits: int = MAX_BITS
+    width: int = 1
+    anchored: int = 1
+    slack: int = MAX_BITS // len(BLOCKS)
+    halved: bool = False
 
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{k}" for k in range(self.width)]
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """SimHash of a text as a signed 64-bit number; 0 without words (null included)."""
+
+def alike(similarity: float = 0.8, shingle_words: int = 5, width: int = 4) -> Scheme:
+    """Fingerprints that link texts of about this Jaccard similarity: the bits that such texts differ by, and one standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * width
+    return Scheme(shingle_words, int(bits * p + math.sqrt(bits * p * (1 - p))), width, 2, 2, True)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, width: int = 1) -> tuple[int, ...]:
+    """SimHash of a text as ``width`` signed 64-bit numbers; 0 without words (null included).
+
+    The first number counts the bits of the shingles' XXH64, others those of hashes mixed from it.
+    """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return (0,) * width
     joined = b" ".join(parts)
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = [0, *(spaces + 1).tolist()]
     ends = [*spaces.tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        hashes = [digest(joined, 42)]
+        hashes = np.array([digest(joined, 42)], np.uint64)
     else:
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :])]
-    values, ones = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
-    for at in range(0, len(values), 65_536):
-        ones += np.unpackbits(values[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :])], np.uint64)
+    ones = np.zeros((width, 64), np.int64)
+    for k in range(width):
+        values = hashes
+        if k:
+            values = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            values = (values ^ (values >> np.uint64(30))) * _MIX[0]
+            values = (values ^ (values >> np.uint64(27))) * _MIX[1]
+            values ^= values >> np.uint64(31)
+        octets = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
+        for at in range(0, len(octets), 65_536):
+            ones[k] += np.unpackbits(octets[at : at + 65_536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.int64).ravel().tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and its fingerprint ``fp`` (long)."""
+def fingerprints(docs: DataFrame, scheme: Scheme = Scheme(), text_col: str = "text") -> DataFrame:
+    """``docs`` with the fingerprint's words as columns f0, f1, ... in place of the text."""
+    names = scheme.columns
 
-    @F.pandas_udf("long")
-    def of(column: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x) for x in texts(column)], dtype="int64")
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def of(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fingerprint(x, scheme.shingle_words, scheme.width) for x in texts(column)], columns=names, dtype="int64")
 
-    return docs.select(F.col(id_col), of(F.col(text_col)).alias("fp"))
+    others = [c for c in docs.columns if c != text_col]
+    return docs.select(*others, of(F.col(text_col)).alias("print")).select(*others, "print.*")
 
 
 def _syndromes(values: np.ndarray) -> np.ndarray:
@@ -78,23 +131,27 @@ def _offsets(width: int, reach: int) -> list[np.ndarray]:
     return [errors[syndromes == s] for s in range(CODE_BITS + 1)]
 
 
-def _to_anchors(max_bits: int):
-    slack = max_bits // len(BLOCKS)
-    offsets = [_offsets(width, RADIUS + slack) for _, width in BLOCKS]
+def _to_anchors(scheme: Scheme):
+    reach = RADIUS + (-(-scheme.slack // 2) if scheme.halved else scheme.slack)
+    offsets = [_offsets(width, reach) for _, width in BLOCKS]
     homes = [0, *(1 << b for b in range(CODE_BITS))]  # the flip that decodes each syndrome
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy(np.int64)
-            for block, (shift, width) in enumerate(BLOCKS):
-                values = ((fps.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                syndromes = _syndromes(values)
-                for s in range(CODE_BITS + 1):
-                    mine = syndromes == s
-                    if mine.any():
-                        flips = offsets[block][s]
-                        anchors = (values[mine][:, None] ^ flips) | (block << 32)
-                        yield pd.DataFrame({"anchor": anchors.ravel(), "fp": np.repeat(fps[mine], len(flips)), "home": np.tile(flips == homes[s], int(mine.sum()))})
+            prints = batch[scheme.columns].to_numpy(np.int64)
+            for word in range(scheme.anchored):
+                own = np.ascontiguousarray(prints[:, word]).view(np.uint64)
+                for block, (shift, width) in enumerate(BLOCKS):
+                    values = ((own >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    syndromes = _syndromes(values)
+                    for s in range(CODE_BITS + 1):
+                        mine = syndromes == s
+                        if mine.any():
+                            flips = offsets[block][s]
+                            anchors = (values[mine][:, None] ^ flips) | ((word * len(BLOCKS) + block) << 32)
+                            out = pd.DataFrame(np.repeat(prints[mine], len(flips), axis=0), columns=scheme.columns)
+                            out.insert(0, "anchor", anchors.ravel())
+                            yield out.assign(home=scheme.halved or np.tile(flips == homes[s], int(mine.sum())))
 
     return replicate
 
@@ -116,80 +173,131 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def _compare(max_bits: int):
+def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).astype(np.int16)
+
+
+def _around_pivots(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows in which groups stand together, and where each row's group begins and ends.
+
+    A group is a pivot, which stands first, and rows that link to it; other rows
+    are alone. A large group of near copies is thus linked in linear time.
+    """
+    n = len(prints)
+    label, free = np.arange(n), np.ones(n, bool)
+    for _ in range(PIVOTS):
+        left = np.flatnonzero(free)
+        if not len(left):
+            break
+        pivot = left[0]
+        near = left[sum(_bits(prints[left, k], prints[pivot, k]) for k in range(prints.shape[1])) <= max_bits]
+        label[near], free[near] = pivot, False
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0])
+    size = np.diff(np.r_[first, n])
+    return order, np.repeat(first, size), np.repeat(first + size, size)
+
+
+def _near(prints: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked places (i, j) for each i of ``left`` with j from ``low`` to ``high``, as spanning stars of what is held at once."""
+    some = high > low
+    left, low, count = left[some], low[some], (high - low)[some]
+    bounds, at = np.cumsum(count), 0
+    while at < len(left):
+        upto = max(at + 1, int(np.searchsorted(bounds, (bounds[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        n = count[at:upto]
+        i = np.repeat(left[at:upto], n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:upto], n)
+        total = np.zeros(len(i), np.int16)
+        for k in range(prints.shape[1]):
+            total += _bits(prints[i, k], prints[j, k])
+            if k:  # the rest of the words only where the first do not rule a link out
+                kept = total <= max_bits
+                i, j, total = i[kept], j[kept], total[kept]
+        kept = total <= max_bits
+        if kept.any():
+            yield forest(i[kept], j[kept])
+        at = upto
+
+
+def _compare(scheme: Scheme):
+    width = scheme.width
+
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in runs(batches, ["anchor", "cell"]):
-            fps, home = run["fp"].to_numpy(np.int64), run["home"].to_numpy(bool)
+            prints, home = run[scheme.columns].to_numpy(np.int64).view(np.uint64), run["home"].to_numpy(bool)
             keys = run[["anchor", "cell"]].to_numpy()
             first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            size = np.diff(np.r_[first, len(fps)])
-            group = np.repeat(np.arange(len(first)), size)
-            left = np.flatnonzero(home)
-            count = size[group[left]]
-            bounds = np.cumsum(count)
-            at, a, b = 0, [], []
-            while at < len(left):
-                upto = max(at + 1, int(np.searchsorted(bounds, (bounds[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-                n = count[at:upto]
-                i = np.repeat(left[at:upto], n)
-                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[group[left[at:upto]]], n)
-                x, y = fps[i], fps[j]
-                near = (np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits) & (x != y)
-                if near.any():
-                    star = forest(x[near], y[near])
-                    a.append(star[0])
-                    b.append(star[1])
-                at = upto
-            if a:
-                star = forest(np.concatenate(a), np.concatenate(b))
-                yield pd.DataFrame({"u": star[0], "v": star[1]})
+            size = np.diff(np.r_[first, len(prints)])
+            start, end = np.repeat(first, size), np.repeat(first + size, size)
+            low, high = np.arange(len(prints)), np.arange(1, len(prints) + 1)
+            for g in np.flatnonzero(size > PIVOT_ROWS):
+                part = slice(first[g], first[g] + size[g])
+                order, lo, hi = _around_pivots(prints[part], scheme.max_bits)
+                prints[part], home[part] = prints[part][order], home[part][order]
+                low[part], high[part] = first[g] + lo, first[g] + hi
+            every = np.repeat(np.logical_and.reduceat(home, first), size)  # where all are at home, one order of a pair will do
+            ahead, back = np.flatnonzero(home), np.flatnonzero(home & ~every)
+            found = [(np.flatnonzero(low < np.arange(len(low))), low[low < np.arange(len(low))])]
+            found += _near(prints, ahead, high[ahead], end[ahead], scheme.max_bits)
+            found += _near(prints, back, start[back], low[back], scheme.max_bits)
+            i, j = (np.concatenate(x) for x in zip(*found))
+            if len(i):
+                ends = np.concatenate([prints[i], prints[j]])
+                if width == 1:
+                    names, place = np.unique(ends[:, 0], return_inverse=True)
+                    names = names[:, None]
+                else:
+                    whole, place = np.unique(np.ascontiguousarray(ends).view(f"V{8 * width}").ravel(), return_inverse=True)
+                    names = whole.view(np.uint64).reshape(-1, width)
+                u, v = forest(place[: len(i)], place[len(i) :])
+                out = np.concatenate([names[u], names[v]], axis=1).view(np.int64)
+                yield pd.DataFrame(out, columns=[f"{x}{k}" for x in "uv" for k in range(width)])
 
     return links
 
 
-def link_forest(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` that connect what is linked.
+def link_forest(prints: DataFrame, scheme: Scheme = Scheme(), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Edges (u0, ..., v0, ...) between distinct fingerprints that connect what is linked.
 
     Every edge joins two members of one component. An anchor with more than
     ``cell_rows`` members is cut into a grid of cells, homes by members.
     """
-    anchors = fps.mapInPandas(_to_anchors(max_bits), "anchor long, fp long, home boolean")
+    names, width = scheme.columns, scheme.width
+    anchors = prints.mapInPandas(_to_anchors(scheme), ", ".join(["anchor long", *(f"{n} long" for n in names), "home boolean"]))
     hot = anchors.groupBy("anchor").count().where(F.col("count") > cell_rows).select("anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("cuts"))
     hot = cut(hot)
     if hot.isEmpty():
         celled = anchors.withColumn("cell", F.lit(0).cast("long"))
     else:
         cuts = F.coalesce("cuts", F.lit(1))
-        row, column = F.pmod(F.xxhash64("fp"), cuts), F.pmod(F.xxhash64("fp", F.lit(1)), cuts)
+        row, column = F.pmod(F.xxhash64(*names), cuts), F.pmod(F.xxhash64(*names, F.lit(1)), cuts)
         every = F.sequence(F.lit(0), cuts - 1)
         joined = anchors.join(hot, "anchor", "left")
         # A home lies in all cells of its row as the one compared, a member in all cells of its column.
-        as_home = joined.where("home").select("anchor", "fp", F.lit(True).alias("home"), F.explode(F.transform(every, lambda c: row * cuts + c)).alias("cell"))
-        as_member = joined.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.transform(every, lambda r: r * cuts + column)).alias("cell"))
+        as_home = joined.where("home").select("anchor", *names, F.lit(True).alias("home"), F.explode(F.transform(every, lambda c: row * cuts + c)).alias("cell"))
+        as_member = joined.select("anchor", *names, F.lit(False).alias("home"), F.explode(F.transform(every, lambda r: r * cuts + column)).alias("cell"))
         celled = as_home.unionByName(as_member)
-    celled = celled.select("anchor", F.col("cell").cast("long"), "fp", "home").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-    return celled.mapInPandas(_compare(max_bits), "u long, v long").distinct()
+    celled = celled.select("anchor", F.col("cell").cast("long"), *names, "home").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    return celled.mapInPandas(_compare(scheme), ", ".join(f"{x}{k} long" for x in "uv" for k in range(width))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the edges (u, v) but the roots; a root is its component's smallest node.
+def classes_of(prints: DataFrame, scheme: Scheme, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(f0, ..., component_id, root): the component of each distinct fingerprint of ``prints`` (doc_id, f0, ...).
 
-    Large-star and small-star rounds until nothing changes; joins carry the
-    minima, so a node's neighbours are never gathered.
+    Nodes are ordered by their smallest id, nulls last, so a component's root
+    holds its smallest id and no component is gathered to find it.
     """
-    smaller = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges, before = cut(smaller), None
-    while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    names = scheme.columns
+    classes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")))
+    node = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), *names)
+    edges = cut(link_forest(classes.select(*names), scheme, cell_rows))
+    for x, y in (("u", "a"), ("v", "b")):
+        ends = classes.select(*[F.col(n).alias(f"{x}{k}") for k, n in enumerate(names)], node.alias(y))
+        edges = edges.join(ends, [f"{x}{k}" for k in range(scheme.width)])
+    roots = components(edges.select("a", "b"))
+    joined = classes.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return cut(joined.select(*names, F.col("root.id").alias("component_id"), "root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -201,11 +309,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the component has no other. An empty table gives no rows. Other columns of
     ``docs`` are ignored.
     """
-    prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    classes = cut(classes)
-    roots = components(link_forest(classes.select("fp"), max_bits, cell_rows))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    scheme = Scheme(max_bits=max_bits, slack=max_bits // len(BLOCKS))
+    prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scheme))
+    found = classes_of(prints, scheme, cell_rows).select("f0", "component_id")
+    # Both sides are bare shuffles, so a fingerprint with very many rows is split.
+    return prints.join(found, "f0").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Of each group of texts alike one row of ``docs``: that with the smallest id, of equal ids the one with the smallest hash of its text.
+
+    Rows link where their wide fingerprints estimate a Jaccard similarity of the
+    word shingles of about ``similarity`` or more; groups are connected. A row
+    without an id is kept only where no row of its group has one. Null, empty
+    and wordless texts are one group. Equal rows are one. All columns stay,
+    whatever their names; an empty table stays empty.
+    """
+    scheme = alike(similarity, shingle_words)
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest")), scheme))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest"))
+    rows = prints.groupBy("doc_id", "digest", *scheme.columns).agg(F.count("*").alias("n"))  # repeats are counted before they meet
+    named = rows.join(classes_of(prints, scheme, cell_rows), scheme.columns)
+    first = named.groupBy("root").agg(best.alias("best"))
+    kept = first.select(F.col("best.id").alias("id"), F.col("best.digest").alias("digest"))
+    key = ["_kept_none", "_kept_id", "_kept_digest"]
+    id_or = lambda c: [c.isNull().alias(key[0]), F.coalesce(c.cast("string"), F.lit("")).alias(key[1])]
+    kept = kept.select(*id_or(F.col("id")), F.col("digest").alias(key[2]))
+    again = cut(rows.where("n > 1").select(*id_or(F.col("doc_id")), F.col("digest").alias(key[2])).distinct())
+    kept = cut(kept.join(again.withColumn("_again", F.lit(True)), key, "left"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *id_or(F.col(id_col)), digest.alias(key[2]))
+    joined = marked.join(kept, key)
+    whole = lambda df: df.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    if again.isEmpty():
+        return whole(joined)
+    return whole(joined.where("_again IS NULL")).unionByName(whole(joined.where("_again").dropDuplicates(key)))

@@ -38,7 +38,7 @@ def plain_components(ids, prints):
 
 def test_fingerprint_matches_plain():
     for t in [None, "", " \t\n", "one", "A b  C", "a b c d", "Ä b\x0bc d e É f", "x y " * 400, "ab\x1cc d e f g h"]:
-        assert simhash.fingerprint(t) & (2**64 - 1) == plain_fingerprint(t)
+        assert simhash.fingerprint(t)[0] & (2**64 - 1) == plain_fingerprint(t)
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -72,18 +72,72 @@ def test_anchors_meet_for_all_links():
     for i in range(len(b)):
         for bit in rng.choice(64, rng.integers(0, 5), replace=False):
             b[i] ^= np.uint64(1 << int(bit)).astype(np.int64)
-    both = pd.concat(list(simhash._to_anchors(4)(iter([pd.DataFrame({"fp": np.concatenate([a, b])})]))))
-    homes = both[both.home].groupby("fp")["anchor"].apply(set)
-    members = both.groupby("fp")["anchor"].apply(set)
-    assert (both[both.home].groupby("fp").size() >= 3).all()
+    both = pd.concat(list(simhash._to_anchors(simhash.Scheme())(iter([pd.DataFrame({"f0": np.concatenate([a, b])})]))))
+    homes = both[both.home].groupby("f0")["anchor"].apply(set)
+    members = both.groupby("f0")["anchor"].apply(set)
+    assert (both[both.home].groupby("f0").size() >= 3).all()
     for x, y in zip(a, b):
         assert homes[x] & members[y] and homes[y] & members[x]
 
 
 def test_long_chain_empty_table_and_repeated_rows(spark):
-    edges = spark.createDataFrame([(i + 1, i) for i in range(70)] + [(200, 201)], "u long, v long")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(70)] + [(200, 201)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 71)}, 201: 200}
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(4, "same words here again ok"), (4, "same words here again ok"), (None, "same words here again ok")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(twice).collect()] == [4, 4, 4]
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_groups_around_pivots_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIVOT_ROWS", 4)
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**63), 2**63 - 1, 3)
+    prints = []
+    for k in range(240):
+        x = int(base[k % 3])
+        for bit in rng.choice(12, rng.integers(0, 5), replace=False):
+            x ^= 1 << int(bit)
+        prints.append(x)
+    prints = sorted(set(prints))
+    want = plain_components(prints, [p & (2**64 - 1) for p in prints])
+    for cell_rows in (20_000, 30):
+        forest = simhash.link_forest(spark.createDataFrame([(p,) for p in prints], "f0 long"), cell_rows=cell_rows)
+        roots = {r.node: r.root for r in simhash.components(forest.selectExpr("u0 a", "v0 b")).collect()}
+        assert {p: roots.get(p, p) for p in prints} == want
+
+
+def test_keep_first_catches_similar_texts_and_spares_others(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    rows, similar = [], {}
+    for g in range(400):
+        base = [word() for _ in range(rnd.choice([60, 120, 400]))]
+        rows.append((10 * g, " ".join(base)))
+        edited = list(base)
+        for _ in range(max(1, len(base) // rnd.choice([60, 80, 120]))):
+            edited[rnd.randrange(len(edited))] = word()
+        rows.append((10 * g + 1, " ".join(edited)))
+        similar[10 * g + 1] = jaccard(rows[-2][1], rows[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as first", "'x' as root")
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert {10 * g for g in range(400)} <= kept
+    alike = [i for i, s in similar.items() if s >= 0.8]
+    near = [i for i, s in similar.items() if 0.8 <= s < 0.87]
+    assert len(alike) > 200 and len(near) > 40
+    assert np.mean([i not in kept for i in alike]) > 0.92 and np.mean([i not in kept for i in near]) > 0.8
+
+
+def test_keep_first_of_odd_rows(spark):
+    rows = [(3, "one two three four five six", "a"), (2, "one two three four five six", "b"), (2, "one two three four five six", "b"), (None, "one two three four five six", "c"), (2, "an other text with id two again", "d")]
+    rows += [(None, "without an id at all here now", "e"), (None, "without an id at all here now", "f"), (7, None, "g"), (8, "", "h"), (9, " ", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string").selectExpr("*", "1 as _row", "2 as n", "3 as digest")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str(x) for x in [(2, rows[0][1]), (2, rows[4][1]), (None, rows[5][1]), (7, None)])
+    assert simhash.keep_first(docs.limit(0)).count() == 0
