@@ -19,6 +19,8 @@ from plumbline.llm.common import fresh_path, table
 
 #: A document is rejected where no language holds this share of its words.
 LEAST_SHARE = 0.5
+#: Near-duplicates: similarity of their shingles, and words of a shingle.
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +33,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, equal rows of it once.
+    """Of each group of near-duplicates one row stays, that with the smallest doc_id; equal rows are one.
 
-    Rows without a doc_id can't be told apart: all stay if one of them is in a group where no row has one.
+    Near-duplicates are texts whose shingles of ``SHINGLE_WORDS`` words have a
+    Jaccard similarity of about ``SIMILARITY`` or more, as wide fingerprints
+    estimate it.
     """
-    found = simhash.near_duplicates(docs)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return simhash.keep_first(docs, SIMILARITY, SHINGLE_WORDS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; an empty table stays empty, other columns may have any name."""
     return decontaminate.decontaminate(docs, decontaminate.item_windows(table(spark, sf_dir, "benchmark")))
 
 
@@ -52,7 +54,7 @@ def pii_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentence_piece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their pieces, the best path's score and the next best paths as edits."""
+    """The documents with their pieces, the best path's score and the next best paths as edits; an empty table stays empty."""
     return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
