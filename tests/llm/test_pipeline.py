@@ -2,10 +2,10 @@ import os
 
 import public_tokenizers
 from test_decontaminate import plain as plain_hits
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash import jaccard
 
 import corpus_pipeline as cp
-from plumbline.llm import pii, sentence_pieces
+from plumbline.llm import pii, sentence_pieces, simhash
 from plumbline.llm.common import table
 
 
@@ -27,8 +27,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     ids = lambda rows: {r.doc_id for r in rows}
     (a, b), (_, c), (_, d), (_, e), (_, f) = results
     assert ids(a) - ids(b) == {9001, 9002, 9003}  # clean documents stay
-    component = plain_components([r.doc_id for r in b], [plain_fingerprint(r.text) for r in b])
-    assert ids(c) == {i for i, first in component.items() if i == first} and len(c) == len(ids(c)) < len(b)
+    # near-dedup against brute force: wide fingerprints of all pairs, and five-word shingles compared exactly
+    scheme = simhash.alike()
+    prints = {r.doc_id: simhash.fingerprint(r.text, 5, 4) for r in b}
+    far = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(prints[x], prints[y]))
+    bound = {(x, y) for x in prints for y in prints if x < y and far(x, y) <= scheme.max_bits}
+    same = {(x, y) for x in prints for y in prints if x < y and jaccard(*(next(r.text for r in b if r.doc_id == z) for z in (x, y))) >= 0.8}
+    assert same and len(same & bound) >= 0.9 * len(same)
+    assert len(c) == len(ids(c)) == len(b) - len({y for _, y in bound}) < len(b)
     dirty = {x[0] for x in plain_hits([(r.doc_id, r.text) for r in c], benchmark) if x[5]}
     assert ids(d) == ids(c) - dirty
     text = {r.doc_id: r.text for r in d}
@@ -47,3 +53,12 @@ def test_rows_without_ids_and_repeated_rows(spark):
     kept = cp.near_dedup(spark, docs, "").collect()
     assert rows[-1][1] in [r.text for r in kept if r.doc_id is None] and len([r for r in kept if r.doc_id == rows[0][0]]) == 1
     assert cp.near_dedup(spark, docs.limit(0), "").count() == cp.language_id(spark, docs.limit(0), "").count() == 0
+
+
+def test_clashing_names_and_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    odd = table(spark, sf, "documents").limit(40).selectExpr("doc_id", "text", "lang", "1 as first", "'x' as digest", "2 as shard", "3 as fp", "'k' as row", "4 as _row")
+    for name, stage in cp.STAGES:
+        out = stage(spark, odd, sf)
+        assert out.columns[: len(odd.columns)] == odd.columns and 0 < out.count() <= 40, name
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
