@@ -4,7 +4,7 @@ A bidirectional window network predicts every token from the ``SIDE`` tokens on
 both sides; a document's score is the sum of those conditional log-probabilities.
 
 A token is a white-space separated, lower-cased word. The vocabulary holds the
-corpus's most frequent words, twice the square root of its tokens, so it
+corpus's most frequent words, as many as the square root of its tokens, so it
 grows with the corpus. The output is hierarchical: the most frequent words are
 classes of their own, the others stand in blocks of words with like endings, and
 the network predicts first the class or block, then the word within its block.
@@ -37,11 +37,14 @@ from pyspark.sql.types import StructField, StructType
 from plumbline.llm.common import cut, slices, texts
 
 #: Words that are classes of their own, classes of endings, and the most words with a place in the model (others are spelled).
-FREQUENT, ENDINGS, MOST_WORDS = 64, 30, 1 << 17
+FREQUENT, ENDINGS, MOST_WORDS = 64, 16, 1 << 17
 #: Words of the vocabulary a square root of the tokens.
-WORDS_A_ROOT = 2
-SIDE, WIDTH, HIDDEN = 2, 16, 32
-ROUNDS, RATE, BATCH, SEED = 2, 0.15, 4096, 3
+WORDS_A_ROOT = 1
+#: Tokens on each side; numbers of a word, of the hidden layer, and of that layer's end from which a word within its block is predicted.
+SIDE, WIDTH, HIDDEN, INNER = 2, 8, 16, 8
+ROUNDS, RATE, BATCH, SEED = 2, 0.15, 8192, 3
+#: Rows of a batch whose outputs are held at once, so that they stay in the processor's cache; and the largest logit.
+AT_ONCE, MOST_LOGIT = 512, 60.0
 #: Tokens of a training shard, about.
 SHARD_TOKENS = 1 << 22
 #: Distinct texts that a task remembers while it reads, so as to pass on copies once.
@@ -106,14 +109,18 @@ class Vocabulary:
 
     @property
     def shapes(self) -> tuple[tuple[int, ...], ...]:
-        rows = self.blocks * self.size
-        return ((self.edge + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, self.outputs), (self.outputs,), (rows, HIDDEN), (rows,))
+        """Words, inputs to hidden, hidden's bias, hidden and 1 to outputs, end of hidden and 1 to places."""
+        return ((self.edge + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN + 1, self.outputs), (self.blocks * self.size, INNER + 1))
 
     def first_weights(self) -> list[np.ndarray]:
         """Random inputs; outputs begin at the words' shares, so places that hold no word have no probability."""
         rng, shapes = np.random.default_rng(SEED), self.shapes
-        places = np.where(self.row_counts > 0, np.log(np.maximum(self.row_counts, 1)), -1e4)
-        weights = [rng.normal(size=shapes[0]) * 0.3, rng.normal(size=shapes[1]) / np.sqrt(shapes[1][0]), np.zeros(shapes[2]), rng.normal(size=shapes[3]) * 0.1, np.log(self.output_counts + 1), rng.normal(size=shapes[5]) * 0.1, places]
+        outputs, places = rng.normal(size=shapes[3]) * 0.1, rng.normal(size=shapes[4]) * 0.1
+        outputs[-1] = np.log(self.output_counts + 1)
+        places[:, -1] = np.where(self.row_counts > 0, np.log(np.maximum(self.row_counts, 1)), -1e4)
+        for part in (outputs[-1], places[:, -1]):  # within the largest logit
+            part -= max(0.0, part.max(initial=0.0) - MOST_LOGIT / 2)
+        weights = [rng.normal(size=shapes[0]) * 0.3, rng.normal(size=shapes[1]) / np.sqrt(shapes[1][0]), np.zeros(shapes[2]), outputs, places]
         return [w.astype(np.float32) for w in weights]
 
 
@@ -154,35 +161,48 @@ def contexts(ids: np.ndarray, edge: int) -> np.ndarray:
 
 
 def hidden_of(weights: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is seen around each position, and the hidden layer with a last column of ones."""
     seen = weights[0][around].reshape(len(around), -1)
-    return seen, np.tanh(seen @ weights[1] + weights[2])
+    hidden = np.ones((len(around), HIDDEN + 1), seen.dtype)
+    np.tanh(seen @ weights[1] + weights[2], out=hidden[:, :HIDDEN])
+    return seen, hidden
 
 
-def _blocks(vocabulary: Vocabulary, rows: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
-    """(positions, the block's rows, places within the block) for the positions whose word stands in a block."""
+def _blocks(vocabulary: Vocabulary, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Positions whose word stands in a block, block by block; their rows; and (from, to, the block's first row) of each block among them."""
     inside = np.flatnonzero(rows >= 0)
-    if not len(inside):
-        return
-    block = rows[inside] // vocabulary.size
+    block = rows[inside] // max(1, vocabulary.size)
     order = np.argsort(block.astype(np.uint16) if vocabulary.blocks < 1 << 16 else block, kind="stable")
     inside, block = inside[order], block[order]
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    for at, b in zip(np.split(inside, cuts), block[np.r_[0, cuts]].tolist()):
-        yield at, slice(b * vocabulary.size, (b + 1) * vocabulary.size), rows[at] - b * vocabulary.size
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist() if len(block) else []
+    return inside, rows[inside], [(a, b, int(block[a]) * vocabulary.size) for a, b in zip(edges, edges[1:])]
 
 
-def _log_softmax_at(x: np.ndarray, own: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    mine = x[np.arange(len(own)), own]
-    return mine - np.log(np.exp(x, out=x).sum(axis=1))
+def _exp(x: np.ndarray) -> np.ndarray:
+    return np.exp(np.minimum(x, MOST_LOGIT, out=x), out=x)
+
+
+def _log_share(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's share of exp(x) at ``own``; uses up ``x``."""
+    every = np.arange(len(own))
+    mine = np.minimum(x[every, own], MOST_LOGIT)
+    return mine - np.log(_exp(x).sum(axis=1))
 
 
 def log_probabilities(vocabulary: Vocabulary, weights: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log P(class | context), and of the word within its block, of each position."""
-    hidden = hidden_of(weights, around)[1]
-    logs = _log_softmax_at(hidden @ weights[3] + weights[4], vocabulary.output[ids])
-    for at, rows, place in _blocks(vocabulary, vocabulary.row[ids]):
-        logs[at] += _log_softmax_at(hidden[at] @ weights[5][rows].T + weights[6][rows], place)
+    n, kind = len(ids), weights[3].dtype
+    logs, ends = np.empty(n), np.empty((n, INNER + 1), kind)
+    for at in range(0, n, AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        hidden = hidden_of(weights, around[part])[1]
+        ends[part] = hidden[:, HIDDEN - INNER :]
+        logs[part] = _log_share(hidden @ weights[3], vocabulary.output[ids[part]])
+    inside, rows, blocks = _blocks(vocabulary, vocabulary.row[ids])
+    own, more = ends[inside], np.empty(len(inside))
+    for a, b, low in blocks:
+        more[a:b] = _log_share(own[a:b] @ weights[4][low : low + vocabulary.size].T, rows[a:b] - low)
+    logs[inside] += more
     return logs
 
 
@@ -200,33 +220,42 @@ class Trainer:
 
     @staticmethod
     def _miss(x: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-        x[np.arange(len(own)), own] -= 1
-        x /= n
+        """(share of exp(x) less one at ``own``) / n, in place."""
+        _exp(x)
+        x *= (1 / (n * x.sum(axis=1)))[:, None]
+        x[np.arange(len(own)), own] -= 1 / n
         return x
 
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
         w, n, v = self.weights, len(ids), self.vocabulary
-        seen, hidden = hidden_of(w, around)
-        p = self._miss(hidden @ w[3] + w[4], v.output[ids], n)
-        back = p @ w[3].T
-        for at, rows, place in _blocks(v, v.row[ids]):
-            own = hidden[at]
-            q = self._miss(own @ w[5][rows].T + w[6][rows], place, n)
-            back[at] += q @ w[5][rows]
-            self._move(5, q.T @ own, rows)
-            self._move(6, q.sum(axis=0), rows)
-        back *= 1 - hidden * hidden
-        into = (back @ w[1].T).reshape(-1, WIDTH)
+        kind = w[3].dtype
+        seen, hidden, back = np.empty((n, 2 * SIDE * WIDTH), kind), np.empty((n, HIDDEN + 1), kind), np.empty((n, HIDDEN + 1), kind)
+        outputs = np.zeros_like(w[3])
+        for at in range(0, n, AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            seen[part], hidden[part] = hidden_of(w, around[part])
+            p = self._miss(hidden[part] @ w[3], v.output[ids[part]], n)
+            back[part] = p @ w[3].T
+            outputs += hidden[part].T @ p
+        inside, rows, blocks = _blocks(v, v.row[ids])
+        own = hidden[inside, HIDDEN - INNER :]
+        into = np.empty_like(own)
+        for a, b, low in blocks:
+            part = slice(low, low + v.size)
+            q = self._miss(own[a:b] @ w[4][part].T, rows[a:b] - low, n)
+            into[a:b] = q @ w[4][part]
+            self._move(4, q.T @ own[a:b], part)
+        back[inside, HIDDEN - INNER :] += into
+        back = back[:, :HIDDEN] * (1 - hidden[:, :HIDDEN] ** 2)
+        words = (back @ w[1].T).reshape(-1, WIDTH)
         flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-        moves = np.add.reduceat(into[order], first, axis=0)
-        for k, g in ((1, seen.T @ back), (2, back.sum(axis=0)), (3, hidden.T @ p), (4, p.sum(axis=0))):
+        order = np.argsort(flat.astype(np.uint16) if v.edge < 1 << 16 else flat, kind="stable")
+        sorted_ = flat[order]
+        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        moves = np.add.reduceat(words[order], first, axis=0)
+        for k, g in ((1, seen.T @ back), (2, back.sum(axis=0)), (3, outputs)):
             self._move(k, g)
-        self._move(0, moves, flat[order][first])
+        self._move(0, moves, sorted_[first])
 
 
 def count_words(texts_: DataFrame) -> Counts:
@@ -265,33 +294,36 @@ def count_words(texts_: DataFrame) -> Counts:
     return Counts(vocabulary, np.log(table / table.sum(axis=2, keepdims=True)), tokens)
 
 
-def encoded(texts_: DataFrame, counts: Counts) -> DataFrame:
-    """(shard, digest, ids): the distinct texts with words, as ids, by shard and in the digest's order, cut off.
+def encoded(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, spare, digest, ids, spelled, doc_id) of every row, by shard and in the digest's order, cut off.
 
-    Copies of a text leave a task once (again after ``SEEN_TEXTS`` others), so
-    a text with very many copies is no hot key; what is left of them stands together.
+    ``spelled`` is the log-probability of the spellings. A text goes to the
+    shard of its digest once a task; its copies (again after ``SEEN_TEXTS``
+    others) and texts without words are spare: they are spread over all shards
+    and not trained on, so a text with very many copies is no hot key.
     """
     shards = max(1, counts.tokens // SHARD_TOKENS)
-    shared = texts_.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    schema = StructType().add("shard", "integer").add("spare", "boolean").add("digest", "long").add("ids", "binary").add("spelled", "double").add(StructField("doc_id", docs.schema[id_col].dataType))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read, seen = Reader(shared.value), set()
+        read, seen, spares = Reader(shared.value), set(), 0
         for batch in (part for whole in batches for part in slices(whole, "text")):
             out = []
             for t in texts(batch["text"]):
                 digest = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-                if digest in seen:
-                    continue
+                ids, spelled = read(t)
+                spare = digest in seen or not len(ids)
                 if len(seen) >= SEEN_TEXTS:
                     seen.clear()
                 seen.add(digest)
-                ids = read.ids(t.lower().split())
-                if len(ids):
-                    out.append((digest % shards, digest - (1 << 63), packed(ids)))
-            yield pd.DataFrame(out, columns=["shard", "digest", "ids"])
+                spares += spare
+                out.append(((digest if not spare else digest + spares) % shards, spare, digest - (1 << 63), packed(ids), spelled))
+            yield pd.DataFrame(out, columns=schema.names[:-1]).assign(doc_id=batch["doc_id"].to_numpy())
 
     tasks = min(shards, max(4096, shards // 64))
-    return cut(texts_.mapInPandas(encode, "shard int, digest long, ids binary").repartition(tasks, "shard").sortWithinPartitions("shard", "digest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, schema)
+    return cut(rows.repartition(tasks, "shard").sortWithinPartitions("shard", "spare", "digest"))
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -336,8 +368,8 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list
             def shards() -> Iterator[tuple[int, np.ndarray]]:
                 nonlocal last
                 for batch in batches:
-                    for shard, digest, data in zip(batch["shard"], batch["digest"], batch["ids"]):
-                        if (shard, digest) != last:  # copies stand together
+                    for shard, spare, digest, data in zip(batch["shard"], batch["spare"], batch["digest"], batch["ids"]):
+                        if not spare and (shard, digest) != last:  # copies stand together
                             last = shard, digest
                             yield shard, unpacked(data)
 
@@ -366,7 +398,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list
         def average(group: pd.DataFrame) -> pd.DataFrame:  # a row a task
             return pd.DataFrame({"part": group["part"].iloc[:1], "w": [np.average(np.stack(group["w"]), axis=0, weights=group["n"]).astype(np.float32)]})
 
-        moved = rows.mapInPandas(learn, "part int, w array<float>, n double").groupBy("part").applyInPandas(average, "part int, w array<float>").collect()
+        moved = rows.select("shard", "spare", "digest", "ids").mapInPandas(learn, "part int, w array<float>, n double").groupBy("part").applyInPandas(average, "part int, w array<float>").collect()
         if moved:
             flat = np.concatenate([np.array(x.w, np.float32) for x in sorted(moved, key=lambda x: x.part)])
             ends = np.cumsum([int(np.prod(s)) for s in vocabulary.shapes])
@@ -376,15 +408,13 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list
 
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Counts, list[np.ndarray]]:
     """Counts and network learned from all rows of ``docs``; an empty table gives a network without words."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.lit(0).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = count_words(rows)
     return counts, train(encoded(rows, counts), counts.vocabulary)
 
 
-def score_texts(batch: list[str], counts: Counts, weights: list[np.ndarray], read: Reader | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed conditional log-probabilities of each text."""
-    read, vocabulary = read or Reader(counts), counts.vocabulary
-    found = [read(t) for t in batch]
+def _summed(found: list[tuple[np.ndarray, float]], vocabulary: Vocabulary, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and summed log-probabilities of texts given as ids and the log-probability of their spellings."""
     lengths = np.array([len(f[0]) for f in found], np.int64)
     sums = np.array([f[1] for f in found])
     at = 0
@@ -399,6 +429,37 @@ def score_texts(batch: list[str], counts: Counts, weights: list[np.ndarray], rea
     return lengths, sums
 
 
+def score_texts(batch: list[str], counts: Counts, weights: list[np.ndarray], read: Reader | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and summed conditional log-probabilities of each text."""
+    read = read or Reader(counts)
+    return _summed([read(t) for t in batch], counts.vocabulary, weights)
+
+
+def _scored(rows: DataFrame, schema: StructType, score_batch, id_col: str) -> DataFrame:
+    per_token = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
+    return rows.mapInPandas(score_batch, schema).withColumn("pll_per_token", per_token).withColumnRenamed("doc_id", id_col)
+
+
+def _schema(docs: DataFrame, id_col: str) -> StructType:
+    return StructType([StructField("doc_id", docs.schema[id_col].dataType)]).add("n_tokens", "long").add("pll", "double")
+
+
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of ``docs`` with a model learned from them; their texts are split into words once, for training and scoring."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = count_words(rows)
+    every = encoded(rows, counts)
+    shared = docs.sparkSession.sparkContext.broadcast((counts.vocabulary, train(every, counts.vocabulary)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, weights = shared.value
+        for batch in batches:
+            n, sums = _summed([(unpacked(x), y) for x, y in zip(batch["ids"], batch["spelled"])], vocabulary, weights)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "pll": sums})
+
+    return _scored(every.select("doc_id", "ids", "spelled"), _schema(docs, id_col), run, id_col)
+
+
 def score(docs: DataFrame, model: tuple[Counts, list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``n_tokens``, ``pll`` (natural log) and ``pll_per_token`` (null without tokens).
 
@@ -406,8 +467,7 @@ def score(docs: DataFrame, model: tuple[Counts, list[np.ndarray]], id_col: str =
     repeated results, an empty table none; very long texts are taken in slices.
     Other columns are ignored.
     """
-    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType)]).add("n_tokens", "long").add("pll", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 50 numbers a word, MOST_WORDS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 20 numbers a word, MOST_WORDS words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, weights = shared.value
@@ -416,6 +476,4 @@ def score(docs: DataFrame, model: tuple[Counts, list[np.ndarray]], id_col: str =
             n, sums = score_texts(texts(batch["text"]), counts, weights, read)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "pll": sums})
 
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
-    per_token = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
-    return scored.withColumn("pll_per_token", per_token).withColumnRenamed("doc_id", id_col)
+    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), _schema(docs, id_col), run, id_col)

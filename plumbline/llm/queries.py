@@ -80,8 +80,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from all documents, which are then scored."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return masked_lm.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

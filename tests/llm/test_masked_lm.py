@@ -25,7 +25,7 @@ def test_gradient_and_probabilities():
     trainer = lm.Trainer(v, weights)
     trainer.seen = [np.ones_like(w) * 1e30 for w in weights]  # the step is then the gradient, scaled
     trainer.step(around, ids)
-    places = [(0, (int(ids[3]), 2)), (1, (5, 7)), (2, (3,)), (3, (4, int(v.output[ids[0]]))), (4, (int(v.output[ids[1]]),)), (5, (7, 3)), (6, (11,))]
+    places = [(0, (int(ids[3]), 2)), (1, (5, 7)), (2, (3,)), (3, (4, int(v.output[ids[0]]))), (3, (lm.HIDDEN, int(v.output[ids[1]]))), (4, (7, 3)), (4, (11, lm.INNER))]
     for k, place in places:
         up, down = [[w.copy() for w in weights] for _ in range(2)]
         up[k][place] += 1e-4
@@ -43,7 +43,7 @@ def test_scores_prefer_natural_text_and_equal_plain(spark):
     model = lm.fit(docs.repartition(3))
     other_layout = lm.fit(docs.repartition(11))
     v = model[0].vocabulary
-    assert v.ids == other_layout[0].vocabulary.ids and len(v.ids) > 1_000
+    assert v.ids == other_layout[0].vocabulary.ids and len(v.ids) > 500
     assert all(np.allclose(a, b, rtol=1e-4, atol=1e-5) for a, b in zip(model[1], other_layout[1]))
     pick = lambda lang: [r.text for r in docs.where(f"lang = '{lang}' AND n_chars BETWEEN 800 AND 3000").orderBy("doc_id").limit(60).collect()]
     sample, other = pick("en"), pick("de")
@@ -59,12 +59,12 @@ def test_scores_prefer_natural_text_and_equal_plain(spark):
         w, total = model[1], spelled
         for k in range(len(i)):
             x = np.concatenate([w[0][padded[k + d]] for d in (0, 1, 3, 4)]).astype(float)
-            h = np.tanh(x @ w[1] + w[2])
-            z = h @ w[3] + w[4]
+            h = np.r_[np.tanh(x @ w[1] + w[2]), 1]
+            z = h @ w[3]
             total += z[v.output[i[k]]] - z.max() - np.log(np.exp(z - z.max()).sum())
             if v.row[i[k]] >= 0:
                 b = v.row[i[k]] // v.size
-                z = h @ w[5][b * v.size : (b + 1) * v.size].T + w[6][b * v.size : (b + 1) * v.size]
+                z = h[lm.HIDDEN - lm.INNER :] @ w[4][b * v.size : (b + 1) * v.size].T
                 total += z[v.row[i[k]] % v.size] - z.max() - np.log(np.exp(z - z.max()).sum())
         assert np.isclose(lm.score_texts([t], *model)[1][0], total, rtol=1e-4)
 
@@ -74,7 +74,9 @@ def test_held_out_text_is_likelier_than_by_word_counts(spark):
     counts, weights = lm.fit(docs.where(crc_mod("doc_id", 5) != 0))
     held = [r.text or "" for r in docs.where(crc_mod("doc_id", 5) == 0).collect()]
     n, with_context = lm.score_texts(held, counts, weights)
-    by_counts = lm.score_texts(held, counts, [w * (k in (4, 6)) for k, w in enumerate(counts.vocabulary.first_weights())])[1]
+    still = counts.vocabulary.first_weights()
+    still[0][:] = 0
+    by_counts = lm.score_texts(held, counts, still)[1]
     assert with_context.sum() / n.sum() > by_counts.sum() / n.sum() + 0.2
 
 
@@ -83,13 +85,18 @@ def test_packing():
         assert lm.unpacked(lm.packed(np.array(ids, np.int32))).tolist() == ids
 
 
-def test_copies_train_once(spark):
-    docs = spark.createDataFrame([("a b c d",), ("e f",)] * 40 + [("",)], "text string").repartition(7)
+def test_copies_train_once_and_all_rows_are_scored(spark):
+    docs = spark.createDataFrame([(k, ("a b c d", "e f", "")[k % 3]) for k in range(90)], "doc_id long, text string").repartition(7)
     counts = lm.count_words(docs)
-    rows = lm.encoded(docs, counts).dropDuplicates(["shard", "digest"]).collect()
-    assert sorted(len(lm.unpacked(r.ids)) for r in rows) == [2, 4]
-    once = lm.encoded(spark.createDataFrame([("a b c d",), ("e f",)], "text string"), counts)
-    assert all(np.allclose(a, b) for a, b in zip(lm.train(lm.encoded(docs, counts), counts.vocabulary), lm.train(once, counts.vocabulary)))
+    rows = lm.encoded(docs, counts)
+    trained = rows.where("NOT spare").dropDuplicates(["shard", "digest"]).collect()
+    assert sorted(len(lm.unpacked(r.ids)) for r in trained) == [2, 4] and rows.count() == 90
+    once = lm.encoded(docs.dropDuplicates(["text"]), counts)
+    assert all(np.allclose(a, b) for a, b in zip(lm.train(rows, counts.vocabulary), lm.train(once, counts.vocabulary)))
+    got = {r.doc_id: (r.n_tokens, r.pll) for r in lm.fit_and_score(docs).collect()}
+    want = {r.doc_id: (r.n_tokens, r.pll) for r in lm.score(docs, lm.fit(docs)).collect()}
+    assert sorted(got) == sorted(want) == list(range(90))
+    assert all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1], rtol=1e-4) for k in got)
 
 
 def test_odd_rows(spark):
@@ -100,7 +107,9 @@ def test_odd_rows(spark):
     assert [r.n_tokens for r in sorted(got, key=str)] == [0, 0, 2, 2, 20_000]
     assert all(r.pll == 0 and r.pll_per_token is None for r in got if r.n_tokens == 0) and all(r.pll < 0 for r in got if r.n_tokens)
     none = docs.limit(0)
-    assert lm.score(none, lm.fit(none)).count() == 0
+    assert lm.score(none, lm.fit(none)).count() == 0 == lm.fit_and_score(none).count()
+    both = lm.fit_and_score(docs)
+    assert both.columns == ["doc_id", "n_tokens", "pll", "pll_per_token"] and sorted(r.n_tokens for r in both.collect()) == [0, 0, 2, 2, 20_000]
 
 
 def test_every_position_is_masked_once():
