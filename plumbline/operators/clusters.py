@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from plumbline.config import Suspicion
-from plumbline.functions.text import words
 from plumbline.operators.duplicates import components
 from plumbline.plans.tables import cut
 
 WIDTH = 64
 #: Rows of a random subset up to which each is drawn on its own.
 POINTS = 100_000
+#: Terms that a task counts before it passes them on; what a word is, as in the engine's expressions.
+TERMS_HELD = 500_000
+WORDS = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+").findall
 #: Vectors of a block, and of a block at once in a product.
 BLOCK_ROWS, SLICE_ROWS = 8192, 1024
 
@@ -229,17 +234,46 @@ def density_labels(x: np.ndarray, min_size: int = 15) -> np.ndarray:
     return labels
 
 
+def term_counts(df: DataFrame, cluster: str, text_col: str = "text") -> DataFrame:
+    """(cluster, term, n): words of two characters and more that are no English stop words, and pairs of neighbours among them.
+
+    Terms are counted within a task before they are passed on, so a shuffled row
+    is a term of a task, not an occurrence.
+    """
+    stop = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+    kind = df.schema[cluster].dataType
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[object, Counter] = {}
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for c, n in seen.items():
+                yield pd.DataFrame({"cluster": pd.Series([c] * len(n), dtype=object), "term": list(n), "n": list(n.values())})
+
+        for batch in batches:
+            for c, text in zip(batch["cluster"], batch["text"]):
+                kept = [w for w in WORDS(text.lower()) if len(w) > 1 and w not in stop] if isinstance(text, str) else []
+                own = seen.setdefault(None if c is None or c != c else c, Counter())
+                own.update(kept)
+                own.update(map(" ".join, zip(kept, kept[1:])))
+            if sum(map(len, seen.values())) > TERMS_HELD:
+                yield from rows()
+                seen.clear()
+        yield from rows()
+
+    schema = StructType([StructField("cluster", kind)]).add("term", "string").add("n", "long")
+    parts = df.select(F.col(cluster).alias("cluster"), F.col(text_col).alias("text")).mapInPandas(count, schema)
+    return parts.groupBy("cluster", "term").agg(F.sum("n").alias("n"))
+
+
 def top_phrases(df: DataFrame, cluster: str, k: int = 6, text_col: str = "text") -> DataFrame:
     """(cluster, rank, term, score): most telling one- and two-word phrases of each cluster by class TF-IDF."""
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
-    kept = F.filter(words(F.col(text_col)), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    terms = df.select(F.col(cluster).alias("cluster"), kept.alias("w")).select("cluster", F.explode(F.concat("w", pairs)).alias("term"))
-    tf = cut(terms.groupBy("cluster", "term").agg(F.count("*").alias("n")))
+    tf = cut(term_counts(df, cluster, text_col))
     per_class = tf.groupBy("cluster").agg(F.sum("n").alias("words"))
     mean = per_class.agg(F.avg("words").alias("mean"))
-    freq = tf.groupBy("term").agg(F.sum("n").alias("freq"))
-    scored = tf.join(freq, "term").join(per_class, "cluster").crossJoin(F.broadcast(mean)).withColumn("score", F.col("n") / F.col("words") * F.log1p(F.col("mean") / F.col("freq")))
+    freq = F.sum("n").over(Window.partitionBy("term"))  # a row a cluster
+    every = tf.withColumn("freq", freq).join(per_class.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).crossJoin(F.broadcast(mean))
+    scored = every.withColumn("score", F.col("n") / F.col("words") * F.log1p(F.col("mean") / F.col("freq")))
     best = Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "term")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("cluster", "rank", "term", "score")
 

@@ -66,15 +66,19 @@ def primary_reason(reasons: Column) -> Column:
 
 
 def waterfall(decided: DataFrame) -> DataFrame:
-    """Raw to adjusted, a step a primary reason: step, reason, reviews, after, delta (columns rating_norm, weight, reasons)."""
-    rated = decided.where("rating_norm IS NOT NULL").withColumn("k", primary_reason(F.col("reasons")))
-    total = rated.agg(F.sum("rating_norm").alias("sr"), F.count("*").cast("double").alias("sw"))
-    lowered = rated.where("weight < 1").withColumn("step", F.when(F.col("k") < 0, len(REASONS)).otherwise(F.col("k")))
-    steps = lowered.groupBy("step").agg(F.count("*").alias("reviews"), F.sum((F.col("weight") - 1) * F.col("rating_norm")).alias("dr"), F.sum(F.col("weight") - 1).alias("dw"))
-    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # at most one row a reason
+    """Raw to adjusted, a step a primary reason: step, reason, reviews, after, delta (columns rating_norm, weight, reasons).
+
+    One pass over the reviews: sums by step, with full-weight reviews as a step of their own that only counts in the totals.
+    """
+    k = primary_reason(F.col("reasons"))
+    step = F.when(F.col("weight") >= 1, -1).when(k < 0, len(REASONS)).otherwise(k)
+    r, less = F.col("rating_norm"), F.col("weight") - 1
+    sums = decided.where("rating_norm IS NOT NULL").groupBy(step.alias("step")).agg(F.count("*").alias("reviews"), F.sum(r).alias("r"), F.sum(F.least(less, F.lit(0.0)) * r).alias("dr"), F.sum(F.least(less, F.lit(0.0))).alias("dw"))
+    every, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # at most one row a reason
+    totals = sums.withColumns({"sr": F.sum("r").over(every), "sw": F.sum("reviews").over(every).cast("double")})
     after = (F.col("sr") + F.sum("dr").over(upto)) / F.nullif(F.col("sw") + F.sum("dw").over(upto), F.lit(0.0))
-    out = steps.crossJoin(F.broadcast(total)).withColumn("after", after)
-    before = F.coalesce(F.lag("after").over(Window.orderBy("step")), F.col("sr") / F.col("sw"))
+    out = totals.withColumn("after", after).where("step >= 0")
+    before = F.coalesce(F.lag("after").over(Window.partitionBy(F.lit(0)).orderBy("step")), F.col("sr") / F.col("sw"))
     names = F.array(*[F.lit(r) for r in (*REASONS, "OTHER")])
     return out.select("step", F.element_at(names, F.col("step") + 1).alias("reason"), "reviews", "after", (F.col("after") - before).alias("delta"))
 
