@@ -9,12 +9,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from plumbline.config import Suspicion
+from plumbline.functions.patterns import STOP_WORDS
 from plumbline.operators.duplicates import components
 from plumbline.plans.tables import cut
 
@@ -240,7 +240,7 @@ def term_counts(df: DataFrame, cluster: str, text_col: str = "text") -> DataFram
     Terms are counted within a task before they are passed on, so a shuffled row
     is a term of a task, not an occurrence.
     """
-    stop = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+    stop = frozenset(STOP_WORDS)
     kind = df.schema[cluster].dataType
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,14 +27,21 @@ def qualified(reviews: DataFrame, windows: DataFrame, cfg: Platform = Platform()
 
 
 def extended(reviews: DataFrame, spans: DataFrame, cfg: Platform = Platform()) -> DataFrame:
-    """``spans`` grown by whole days, both ways, while each day still has enough judged negatives that are mostly off-topic."""
+    """``spans`` grown by whole days, both ways, while each day still has enough judged negatives that are mostly off-topic.
+
+    The few steps of the few windows are broadcast to the reviews and met by
+    calendar day; reviews are counted where they are.
+    """
     steps = spans.select("start", "end", F.explode(F.sequence(F.lit(1), F.lit(cfg.extend_days))).alias("k"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
     day = F.expr("interval 1 day")
     low = F.when(F.col("side") < 0, F.col("start") - day * F.col("k")).otherwise(F.col("end") + day * (F.col("k") - 1))
     steps = steps.withColumn("lo", low).withColumn("hi", F.col("lo") + day)
-    negatives = reviews.where("rating_norm < 0.5 AND offtopic IS NOT NULL").select("created_at", "offtopic")
-    counted = steps.join(negatives, (F.col("created_at") >= F.col("lo")) & (F.col("created_at") < F.col("hi")), "left").groupBy("start", "end", "side", "k").agg(F.count("created_at").alias("n"), F.avg("offtopic").alias("share"))
-    good = ((F.col("n") >= cfg.extend_daily) & (F.coalesce("share", F.lit(0.0)) > cfg.share)).cast("int")
+    dated = steps.withColumn("day", F.explode(F.array(F.to_date("lo"), F.date_add(F.to_date("lo"), 1))))
+    negatives = reviews.where("rating_norm < 0.5 AND offtopic IS NOT NULL").select("created_at", "offtopic", F.to_date("created_at").alias("day"))
+    met = negatives.join(F.broadcast(dated), "day").where("created_at >= lo AND created_at < hi")
+    found = met.groupBy("start", "end", "side", "k").agg(F.count("*").alias("n"), F.avg("offtopic").alias("share"))
+    counted = steps.join(found, ["start", "end", "side", "k"], "left")
+    good = ((F.coalesce("n", F.lit(0)) >= cfg.extend_daily) & (F.coalesce("share", F.lit(0.0)) > cfg.share)).cast("int")
     upto = Window.partitionBy("start", "end", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     grown = counted.withColumn("ok", F.min(good).over(upto)).groupBy("start", "end").agg(F.sum(F.when(F.col("side") < 0, F.col("ok"))).alias("back"), F.sum(F.when(F.col("side") > 0, F.col("ok"))).alias("ahead"))
     return grown.select(F.col("start").alias("was"), (F.col("start") - day * F.col("back").cast("int")).alias("start"), (F.col("end") + day * F.col("ahead").cast("int")).alias("end"))

@@ -78,20 +78,70 @@ def trailing_robust_z(spark, sf_dir):
     return B.trailing_z(B.hourly(rated_events(spark, sf_dir))).select("verdict", shown("hour"), "n", "med", F.round("z", 6).alias("z"))
 
 
-@query()
+def _grid(events: str) -> str:
+    return GRID.replace(EVENTS, events)
+
+
+def _burst_sql(events: str, z: float, least: int, size: int) -> str:
+    """Hours scored one after the other (flagged ones never enter the past), merged into windows."""
+    return f"""{_grid(events)}, ser AS (SELECT verdict, hour, n, row_number() OVER (PARTITION BY verdict ORDER BY hour) AS i FROM grid),
+st AS (SELECT DISTINCT verdict, CAST(0 AS BIGINT) AS i, CAST([] AS DOUBLE[]) AS past, CAST(NULL AS TIMESTAMP) AS hour, CAST(0 AS BIGINT) AS n, 0e0 AS z, false AS f, CAST(NULL AS DOUBLE) AS base FROM ser
+ UNION ALL SELECT verdict, i, CASE WHEN f THEN past ELSE list_append(past, CAST(n AS DOUBLE))[-168:] END, hour, n, z, f, base FROM (SELECT *, coalesce(z >= {z}e0 AND n >= {least}, false) AS f FROM (
+  SELECT *, CASE WHEN base IS NULL THEN 0e0 ELSE (n - base) / greatest(1.4826e0 * list_median(list_transform(past, lambda x: abs(x - base))), 1e0) END AS z FROM (SELECT s.verdict, g.i, s.past, g.hour, g.n, CASE WHEN len(s.past) >= 72 THEN list_median(s.past) END AS base FROM st s JOIN ser g ON g.verdict = s.verdict AND g.i = s.i + 1)))),
+fl AS (SELECT *, CASE WHEN coalesce(epoch(hour) / 3600 - lag(epoch(hour) / 3600) OVER (PARTITION BY verdict ORDER BY hour) > 3, true) THEN 1 ELSE 0 END AS fresh FROM st WHERE f),
+sp AS (SELECT verdict, min(hour) AS a, max(hour) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY verdict ORDER BY hour) AS island FROM fl) GROUP BY verdict, island),
+win AS (SELECT sp.verdict, a, b, CAST(sum(n) AS BIGINT) AS size, count(*) AS hours, arg_max(hour, (n, -epoch(hour))) AS peak, max(n) AS peak_count, round(arg_max(z, (n, -epoch(hour))), 1) AS peak_z, round(avg(base), 2) AS baseline FROM sp JOIN st ON st.verdict = sp.verdict AND st.hour BETWEEN a AND b GROUP BY 1, 2, 3 HAVING sum(n) >= {size})"""
+
+
+_SHOWN = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+_WINDOWS = f"SELECT verdict, {_SHOWN.format('a')} AS start, {_SHOWN.format('b')} AS \"end\", size, hours, {_SHOWN.format('peak')} AS peak_hour, peak_count, peak_z, baseline AS baseline_per_hour FROM win"
+#: Hours in which every event is planted twelve times.
+BUSY = ("2024-01-15 14:00:00", "2024-01-15 15:00:00", "2024-01-15 16:00:00", "2024-01-22 03:00:00")
+PLANTED = f"SELECT id + 1000000 * r AS id, created_at, rating_norm, user_id FROM ({EVENTS}) e CROSS JOIN range(12) t(r) WHERE r = 0 OR {_SHOWN.format("date_trunc('hour', created_at)")} IN {BUSY}"
+
+
+def planted(spark, sf_dir):
+    """Rated events with bursts."""
+    rows = rated_events(spark, sf_dir)
+    busy = F.date_format(F.date_trunc("hour", "created_at"), "yyyy-MM-dd HH:mm:ss").isin(*BUSY)
+    return rows.withColumn("r", F.explode(F.when(busy, F.sequence(F.lit(0), F.lit(11))).otherwise(F.array(F.lit(0))))).withColumn("id", F.col("id") + 1_000_000 * F.col("r")).drop("r")
+
+
+def shown_windows(found):
+    return found.select("verdict", shown("start"), shown("end"), "size", "hours", shown("peak_hour"), "peak_count", "peak_z", "baseline_per_hour")
+
+
+@query(f"WITH RECURSIVE {_burst_sql(EVENTS, 3, 5, 5)} {_WINDOWS}")
 def bursts_exact(spark, sf_dir):
-    return B.windows(B.scored_hours(rated_events(spark, sf_dir), FLAT), FLAT)
+    return shown_windows(B.windows(B.scored_hours(rated_events(spark, sf_dir), FLAT), FLAT))
 
 
-@query()
+@query(f"WITH RECURSIVE {_burst_sql(PLANTED, 6, 5, 30)} {_WINDOWS}")
+def planted_bursts(spark, sf_dir):
+    """Bursts at the default thresholds, in a series that has some."""
+    return shown_windows(B.windows(B.scored_hours(planted(spark, sf_dir))))
+
+
+@query(f"WITH RECURSIVE {_burst_sql(PLANTED, 6, 5, 30)} SELECT v.verdict, {_SHOWN.format('a')} AS start, e.id FROM win v JOIN ({PLANTED}) e ON (CASE WHEN rating_norm >= 0.5 THEN 'positive' ELSE 'negative' END) = v.verdict AND date_trunc('hour', e.created_at) BETWEEN a AND b")
 def burst_members(spark, sf_dir):
-    rows = rated_events(spark, sf_dir)
-    return B.members(rows, B.windows(B.scored_hours(rows, FLAT), FLAT))
+    rows = planted(spark, sf_dir)
+    return B.members(rows, B.windows(B.scored_hours(rows))).select("verdict", shown("start"), "id")
 
 
-@query()
+#: From this day on most events count as positive.
+STEP = "2024-01-16 00:00:00"
+STEPPED = f"SELECT id, created_at, CASE WHEN created_at >= TIMESTAMP '{STEP}' AND id % 10 < 8 THEN 1e0 ELSE rating_norm END AS rating_norm, user_id FROM ({EVENTS})"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY day) - 1 AS k, day, share FROM (SELECT CAST(created_at AS DATE) AS day, avg(CASE WHEN rating_norm >= 0.5 THEN 1e0 ELSE 0e0 END) AS share FROM ({STEPPED}) GROUP BY 1 HAVING count(*) >= 20)),
+n AS (SELECT count(*) AS n, 3 * ln(count(*)) * CASE WHEN var_pop(share) = 0 THEN 1e-6 ELSE var_pop(share) END AS pen FROM d), nodes AS (SELECT k FROM d, n WHERE k % 5 = 0 AND (k = 0 OR k >= 3) UNION SELECT n FROM n),
+seg AS (SELECT a.k AS a, b.k AS b, sum(share * share) - pow(sum(share), 2) / count(*) AS cost FROM nodes a JOIN nodes b ON b.k - a.k >= 3 JOIN d ON d.k >= a.k AND d.k < b.k GROUP BY 1, 2),
+path AS (SELECT CAST(0 AS BIGINT) AS pos, -pen AS total, CAST([] AS BIGINT[]) AS points FROM n UNION ALL SELECT s.b, p.total + s.cost + n.pen, list_append(p.points, CAST(s.b AS BIGINT)) FROM path p JOIN seg s ON s.a = p.pos, n),
+best AS (SELECT arg_min(points, total) AS points FROM path, n WHERE pos = n) SELECT CAST(day AS VARCHAR) AS day FROM d WHERE k IN (SELECT unnest(points) FROM best)""")
 def change_points(spark, sf_dir):
-    return B.change_points(rated_events(spark, sf_dir))
+    """Where the daily share of positive events shifts, in a series with a step."""
+    stepped = F.when((F.col("created_at") >= F.lit(STEP).cast("timestamp_ntz")) & (F.col("id") % 10 < 8), 1.0).otherwise(F.col("rating_norm"))
+    return B.change_points(rated_events(spark, sf_dir).withColumn("rating_norm", stepped)).select(F.col("day").cast("string").alias("day"))
 
 
 @query("""SELECT a.vec_id AS id, arg_min(b.vec_id, (-round(s, 9), b.vec_id)) AS neighbour, round(max(s), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_inner_product(a.v, b.v) AS s) GROUP BY a.vec_id""")
@@ -107,7 +157,9 @@ def centroid_similarity(spark, sf_dir):
     return C.centroid_similarity(R.read(spark, sf_dir, "embeddings"), "label", cosine=0.2).select("label", "size", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), root AS (SELECT v.vec_id AS id, least(v.vec_id, coalesce(min(r.b), v.vec_id)) AS root FROM embeddings v LEFT JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id)
+SELECT id, CASE WHEN count(*) OVER (PARTITION BY root) >= 2 THEN root ELSE -1 END AS cluster FROM root""")
 def semantic_clusters(spark, sf_dir):
     return C.cosine_components(R.read(spark, sf_dir, "embeddings"), 0.45)
 

@@ -162,10 +162,17 @@ def platform_classes(spark, sf_dir):
     return classed(spark, sf_dir).select("id", "platform_class")
 
 
-@query()
+@query(S.over_reviews("""neg AS (SELECT created_at, CASE WHEN (id * 17 + 3) % 10 >= 3 AND created_at < TIMESTAMP '2024-01-14 00:00:00' THEN 1e0 ELSE 0e0 END AS off FROM reviews WHERE rating_norm < 0.5),
+spans AS (SELECT CAST(w[1] AS TIMESTAMP) AS s, CAST(w[2] AS TIMESTAMP) AS e FROM (SELECT unnest(""" + WINDOWS + """) AS w)), ok AS (SELECT s, e FROM neg JOIN spans ON created_at >= s AND created_at < e GROUP BY s, e HAVING count(*) >= 20 AND avg(off) > 0.5),
+steps AS (SELECT s, e, side, k, CASE WHEN side < 0 THEN s - to_days(CAST(k AS INTEGER)) ELSE e + to_days(CAST(k - 1 AS INTEGER)) END AS lo FROM ok CROSS JOIN range(1, 46) t(k) CROSS JOIN (SELECT unnest([-1, 1]) AS side)),
+c AS (SELECT s, e, side, k, count(created_at) AS n, coalesce(avg(off), 0) AS share FROM steps LEFT JOIN neg ON created_at >= lo AND created_at < lo + INTERVAL 1 DAY GROUP BY 1, 2, 3, 4),
+u AS (SELECT *, min(CASE WHEN n >= 5 AND share > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY s, e, side ORDER BY k) AS ok FROM c), g AS (SELECT s, e, CAST(sum(ok) FILTER (side < 0) AS INTEGER) AS back, CAST(sum(ok) FILTER (side > 0) AS INTEGER) AS ahead FROM u GROUP BY s, e)""") + """SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS was, strftime(s - to_days(back), '%Y-%m-%d %H:%M:%S') AS start, strftime(e + to_days(ahead), '%Y-%m-%d %H:%M:%S') AS "end" FROM g""")
 def window_extension(spark, sf_dir):
-    rows = R.reviews(spark, sf_dir).withColumn("offtopic", ((F.col("id") * 17 + 3) % 10 >= 3).cast("double"))
-    return PL.extended(rows, PL.qualified(rows, fixed_windows(spark)), Platform(extend=True))
+    """Windows grown by whole days while they stay off topic; from a day on nothing is."""
+    off = ((F.col("id") * 17 + 3) % 10 >= 3) & (F.col("created_at") < F.lit("2024-01-14 00:00:00").cast("timestamp_ntz"))
+    rows = R.reviews(spark, sf_dir).withColumn("offtopic", off.cast("double"))
+    out = PL.extended(rows, PL.qualified(rows, fixed_windows(spark)), Platform(extend=True))
+    return out.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("was", "start", "end")])
 
 
 @query(S.over_reviews(S.ANSWERS, S.JUDGED) + "SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS hour, code, count(*) AS n FROM decided GROUP BY 1, 2")
@@ -238,7 +245,8 @@ def export_decisions(spark, sf_dir):
     return judged(spark, sf_dir).select(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "rating_norm", "action", "weight", F.round(F.col("score").cast("decimal(18,9)"), 4).cast("double").alias("integrity_score"), F.concat_ws(";", "reasons").alias("reasons"), "text")
 
 
-@query()
+@query(S.over_reviews(S.HEURISTIC.replace("* EXCLUDE (code0, reasons0)", "*")) + """, w AS (SELECT rating_norm AS r, CASE code0 WHEN 2 THEN 0.25e0 ELSE 1e0 END AS w FROM decided), s AS (SELECT count(*)::DOUBLE AS n, sum(r) AS r, sum(w * r) AS wr, sum(w) AS w FROM w)
+SELECT round(r / (n + 150) - r / n, 6) AS raw_shift, round(wr / (w + 37.5) - wr / w, 6) AS adjusted_shift, round(1 - (wr / (w + 37.5) - wr / w) / (r / (n + 150) - r / n), 6) AS pull_removed FROM s""")
 def attack_pull_removed(spark, sf_dir):
     """A template attack of 150 reviews in 48 hours, scored with and without."""
     clean = R.reviews(spark, sf_dir)
@@ -247,4 +255,5 @@ def attack_pull_removed(spark, sf_dir):
     attack = E.injected(clean, "template", 150, 48, 0.0, text, first, "2024-01-10 00:00:00")
     base = PO.heuristic(T.token_count(F.col("text")), T.symbol_ratio(F.col("text")), T.has_promo(F.col("text")))
     score = lambda df: RA.summary(opened(df.withColumn("d", base)))
-    return E.pull_removed(score(clean), score(clean.unionByName(attack)))
+    out = E.pull_removed(score(clean), score(clean.unionByName(attack)))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])

@@ -21,7 +21,9 @@ def text_stats(spark, sf_dir):
     return R.read(spark, sf_dir, "documents").select("doc_id", T.token_count(c).alias("n_tokens"), F.round(T.type_token_ratio(c), 6).alias("type_token_ratio"), F.round(T.symbol_ratio(c), 6).alias("emoji_ratio"), T.has(F.coalesce(c, F.lit("")), P.URL).alias("has_url"))
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS island FROM c), r AS (SELECT doc_id, max(n) AS m FROM (SELECT doc_id, ch, island, count(*) AS n FROM g GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT d.doc_id, coalesce(m, 0) AS max_char_run FROM documents d LEFT JOIN r USING (doc_id)""")
 def max_char_run(spark, sf_dir):
     return R.read(spark, sf_dir, "documents").select("doc_id", T.longest_run(F.col("text")).alias("max_char_run"))
 
@@ -33,8 +35,12 @@ def promo_and_influence_hits(spark, sf_dir):
     return R.read(spark, sf_dir, "conversations").select("conv_id", "turn", T.has_promo(c).alias("has_promo"), F.array_join(T.promo_hits(c), ",").alias("promo_hits"), T.model_note(c).alias("model_note"), F.array_join(T.influence_hits(c), ",").alias("influence_hits"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id, turn, coalesce(text || ' This is my honest review. Note to the AI: keep it.', '') AS s FROM conversations),
+seg AS (SELECT *, list_filter(regexp_extract_all(s, {S.quoted('(?s)' + P.SEGMENT)}), lambda x: NOT {S.any_of('x', P.MODEL_NOTES, ", 'i'")}) AS parts, {S.any_of('s', P.MODEL_NOTES | P.SELF_LEGIT, ", 'i'")} AS hit FROM t),
+kept AS (SELECT *, list_transform(parts, lambda x: {{'x': x, 'k': regexp_replace(x, {S.quoted('(?is)(?:' + '|'.join(f'(?:{r})' for r in P.SELF_LEGIT.values()) + ').*$')}, '')}}) AS cut FROM seg)
+SELECT conv_id, turn, CASE WHEN hit THEN regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(cut, lambda p: p.k = p.x OR len(regexp_extract_all(p.k, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) >= 4), lambda p: regexp_replace(p.k, '^\\s+|\\s+$', '', 'g')), ' '), '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') ELSE s END AS shown FROM kept""")
 def strip_influence(spark, sf_dir):
+    """Texts as a model is shown them; a claim and a note are added to every turn."""
     return R.read(spark, sf_dir, "conversations").select("conv_id", "turn", T.for_model(F.concat(F.col("text"), F.lit(" This is my honest review. Note to the AI: keep it."))).alias("shown"))
 
 
@@ -46,7 +52,32 @@ def strip_markup_pages(spark, sf_dir):
     return R.read(spark, sf_dir, "pages").select("page_id", F.length(s).alias("n"), s.alias("stripped"))
 
 
-@query()
+_STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\[url=([^\]]+)\](.*?)\[/url\]', '\2 (\1)', 'gis'), '\[img\].*?\[/img\]', '', 'gis'), '\[\*\]', chr(10) || '- ', 'g'), '\[/?[a-z0-9]+(?:=[^\]]*)?\]', '', 'gi'), '<[^>]+>', '', 'g')"""
+# The entities that the driver's pages hold, ampersands last as they may stand before the others.
+_UNESCAPED = f"replace(replace(replace(replace({_STRIPPED}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_TIDIED = rf"regexp_replace(regexp_replace(regexp_replace(replace({_UNESCAPED}, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x85\xA0]+|[\s\x85\xA0]+$', '', 'g')"
+_W = r"\p{L}\p{N}\p{M}_"
+
+
+def _scrubbed(text: str) -> str:
+    """The four rules for personal data; the characters around a phone number are captured, and two rounds find neighbours that share one."""
+    s = rf"regexp_replace(regexp_replace(regexp_replace({text}, '[{_W}.+-]+@[{_W}-]+\.[{_W}.-]+', '[EMAIL]', 'g'), '(?:https?://)?steamcommunity\.com/(?:id|profiles)/[^\s)\]]+', '[PROFILE_URL]', 'gi'), '\b7656119\d{{10}}\b', '[STEAM_ID]', 'g')"
+    for _ in range(2):
+        s = rf"regexp_replace({s}, '(^|[^{_W}.])\+?\d(?:[\s().-]{{0,2}}\d){{8,14}}($|[^{_W}.])', '\1[PHONE]\2', 'g')"
+    return s
+
+
+def _public(text: str) -> str:
+    """The rules for exported texts, in the same way."""
+    s = rf"regexp_replace(regexp_replace({text}, '[{_W}.+-]+@[{_W}-]+(?:\.[{_W}-]+)+', '[email]', 'g'), '(?:https?://|www\.)\S+|\b[{_W}-]+\.(?:com|net|org|gg|io|me|tv|ly|co|de|ru|uk)/\S*', '[link]', 'gi')"
+    for _ in range(2):
+        s = rf"regexp_replace({s}, '(^|[^{_W}])\+?\d[\d\s().-]{{8,}}\d($|[^{_W}])', '\1[number]\2', 'g')"
+    for _ in range(2):
+        s = rf"regexp_replace({s}, '(^|[^{_W}@])@[A-Za-z0-9_]{{2,}}', '\1@[user]', 'g')"
+    return s
+
+
+@query(f"SELECT page_id, {_scrubbed(_TIDIED)} AS cleaned FROM pages")
 def clean_pages(spark, sf_dir):
     return R.read(spark, sf_dir, "pages").select("page_id", T.clean_text(F.col("html")).alias("cleaned"))
 
@@ -54,18 +85,18 @@ def clean_pages(spark, sf_dir):
 @query(r"""SELECT doc_id, (length(s) - length(replace(s, '[EMAIL]', ''))) // 7 AS n_emails, s AS scrubbed FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
   '[\p{L}\p{N}\p{M}_.+-]+@[\p{L}\p{N}\p{M}_-]+\.[\p{L}\p{N}\p{M}_.-]+', '[EMAIL]', 'g'), '(?:https?://)?steamcommunity\.com/(?:id|profiles)/[^\s)\]]+', '[PROFILE_URL]', 'gi'), '\b7656119\d{10}\b', '[STEAM_ID]', 'g') AS s FROM documents)""")
 def scrub_pii_documents(spark, sf_dir):
-    """All rules but the phone's, which needs look-behind and is tested apart."""
+    """All rules but the phone's; ``scrub_phones`` has all four."""
     s = T.replaced(F.col("text"), P.PII[:3])
     n = F.floor((F.length(s) - F.length(F.replace(s, F.lit("[EMAIL]"), F.lit("")))) / 7).cast("long")
     return R.read(spark, sf_dir, "documents").select("doc_id", n.alias("n_emails"), s.alias("scrubbed"))
 
 
-@query()
+@query(f"SELECT doc_id, {_scrubbed('text')} AS scrubbed FROM documents")
 def scrub_phones(spark, sf_dir):
     return R.read(spark, sf_dir, "documents").select("doc_id", T.scrub_pii(F.col("text")).alias("scrubbed"))
 
 
-@query()
+@query(f"SELECT doc_id, {_public('text')} AS scrubbed FROM documents")
 def public_scrub(spark, sf_dir):
     return R.read(spark, sf_dir, "documents").select("doc_id", T.public_scrub(F.col("text")).alias("scrubbed"))
 
@@ -78,15 +109,27 @@ def exact_duplicate_groups(spark, sf_dir):
     return docs.join(groups, "norm").select("doc_id", F.when(F.col("n") > 1, F.col("rep")).otherwise(-1).alias("exact_group_id"))
 
 
-@query()
+SHINGLES = f"""nd AS (SELECT norm, min(doc_id) AS rep, count(*) AS copies FROM (SELECT doc_id, {S.NORMALISED} AS norm FROM documents) GROUP BY norm),
+sh AS (SELECT rep, unnest(list_distinct(list_transform(range(1, greatest(length(norm) - 4, 1) + 1), lambda i: substring(norm, i, 5)))) AS s FROM nd), sz AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep),
+num AS (SELECT rep, dense_rank() OVER (ORDER BY s) AS s FROM sh),
+near AS (SELECT a, b, c / (x.n + y.n - c) AS score FROM (SELECT p.rep AS a, q.rep AS b, count(*)::DOUBLE AS c FROM num p JOIN num q ON p.s = q.s AND p.rep < q.rep GROUP BY 1, 2) JOIN sz x ON x.rep = a JOIN sz y ON y.rep = b WHERE c / (x.n + y.n - c) >= 0.7)"""
+
+
+@query(f"""WITH RECURSIVE {SHINGLES}, sym AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), reach AS (SELECT a, b FROM sym UNION SELECT r.a, e.b FROM reach r JOIN sym e ON e.a = r.b),
+root AS (SELECT n.rep, n.norm, n.copies, least(n.rep, coalesce(min(r.b), n.rep)) AS root FROM nd n LEFT JOIN reach r ON r.a = n.rep GROUP BY n.rep, n.norm, n.copies), size AS (SELECT root, sum(copies) AS members FROM root GROUP BY root),
+best AS (SELECT rep, max(score) AS best FROM (SELECT a AS rep, score FROM near UNION ALL SELECT b, score FROM near) GROUP BY rep)
+SELECT d.doc_id, CASE WHEN copies > 1 THEN r.rep ELSE -1 END AS exact_group_id, CASE WHEN members > 1 THEN r.root ELSE -1 END AS dup_group_id, CASE WHEN members > 1 THEN r.root ELSE -1 END AS dup_of, CASE WHEN copies > 1 THEN 1.0 ELSE round(coalesce(best, 0), 4) END AS dup_score
+FROM (SELECT doc_id, {S.NORMALISED} AS norm FROM documents) d JOIN root r USING (norm) JOIN size USING (root) LEFT JOIN best b ON b.rep = r.rep""")
 def duplicate_components(spark, sf_dir):
     return D.duplicate_groups(R.read(spark, sf_dir, "documents"), id_col="doc_id").withColumnRenamed("id", "doc_id")
 
 
-@query()
+@query(f"WITH {SHINGLES} SELECT a, b, round(score, 6) AS score FROM near")
 def near_duplicate_pairs(spark, sf_dir):
+    """Pairs of different texts with a similarity of 0.7 or more, against all pairs."""
     exact = D.exact_groups(R.read(spark, sf_dir, "documents"), "doc_id")
-    return D.near_pairs(D.cut(exact.select("rep", D.shingle_hashes(F.col("norm")).alias("shingles"))))
+    pairs = D.near_pairs(D.cut(exact.select("rep", D.shingle_hashes(F.col("norm")).alias("shingles"))))
+    return pairs.withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text""")
@@ -94,9 +137,14 @@ def keep_first_dedup(spark, sf_dir):
     return R.keep_first(R.read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("text", "doc_id")
 
 
+STOP = ", ".join(S.quoted(w) for w in P.STOP_WORDS)
 
 
-@query()
+@query(rf"""WITH k AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: length(w) >= 2 AND NOT list_contains([{STOP}], w)) AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT lang, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM k), tf AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2),
+c AS (SELECT lang, sum(n)::DOUBLE AS words FROM tf GROUP BY 1), m AS (SELECT avg(words) AS mean FROM c), f AS (SELECT term, sum(n)::DOUBLE AS freq FROM tf GROUP BY 1),
+r AS (SELECT lang, term, n / words * ln(1 + mean / freq) AS score FROM tf JOIN c USING (lang) JOIN f USING (term), m), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, term) AS rank FROM r)
+SELECT lang, rank, term, round(score, 9) AS score FROM o WHERE rank <= 6""")
 def top_phrases_by_lang(spark, sf_dir):
     found = C.top_phrases(R.read(spark, sf_dir, "documents"), "lang")
     return found.select(F.col("cluster").alias("lang"), "rank", "term", F.round("score", 9).alias("score"))
@@ -112,7 +160,14 @@ def token_fit(spark, sf_dir):
     return fit.select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("residual_sd", 4).alias("residual_sd"))
 
 
-@query()
+def _signs(lang: str) -> str:
+    words = ", ".join(f"'{w}'" for w in T.FREQUENT_WORDS[lang])
+    letters = f" + length(regexp_replace(low, '[^{T.LETTERS[lang]}]', '', 'g'))" if lang in T.LETTERS else ""
+    return f"{{'m': len(list_filter(w, lambda x: list_contains([{words}], x))){letters}, 'k': '{lang}'}}"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, lang, text, lower(text) AS low, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+') AS w FROM documents), s AS (SELECT *, [{', '.join(_signs(k) for k in T.FREQUENT_WORDS)}] AS signs FROM t)
+SELECT doc_id, lang, CASE WHEN text IS NULL OR length(text) < 20 THEN NULL ELSE (SELECT CASE WHEN max(x.m) > 0 THEN arg_max(x.k, (x.m, -ord(x.k[1]) * 256 - ord(x.k[2]))) END FROM (SELECT unnest(signs) AS x)) END AS guess FROM s""")
 def language_guess(spark, sf_dir):
     docs = R.read(spark, sf_dir, "documents")
     return docs.select("doc_id", "lang", T.guess_language(F.col("text")).alias("guess"))
