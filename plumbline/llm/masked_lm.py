@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -140,24 +141,23 @@ class Reader:
         self.known, self.endings, self.table = counts.vocabulary.ids, Endings(), counts.spelling.ravel()
         self.words = len(self.known)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        known, endings, n = self.known.get, self.endings, self.words
-        found = [known(w) for w in words]
-        return np.array([k if k is not None else n + endings[w[-2:]] for k, w in zip(found, words)], np.int32)
-
     def __call__(self, text: str) -> tuple[np.ndarray, float]:
         words = text.lower().split()
-        ids = self.ids(words)
-        rare = ids >= self.words
-        if not rare.any():
+        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        rare = np.flatnonzero(ids < 0)
+        if not len(rare):
             return ids, 0.0
-        return ids, float(self.table[spelled_cells([w for w, r in zip(words, rare.tolist()) if r], ids[rare] - self.words)[0]].sum())
+        spelled = [words[i] for i in rare.tolist()]
+        classes = np.array([self.endings[w[-2:]] for w in spelled], np.int32)
+        ids[rare] = self.words + classes
+        return ids, float(self.table[spelled_cells(spelled, classes)[0]].sum())
 
 
-def contexts(ids: np.ndarray, edge: int) -> np.ndarray:
-    """(n, 2 * SIDE) ids around each position, the edge beyond the text."""
-    padded = np.concatenate([np.full(SIDE, edge, np.int32), ids, np.full(SIDE, edge, np.int32)])
-    return np.stack([padded[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
+def contexts(ids: np.ndarray, edge: int, first: int = 0, step: int = 1) -> np.ndarray:
+    """(n, 2 * SIDE) ids around each ``step``-th position from ``first`` on, the edge beyond the text."""
+    padded = np.full(len(ids) + 2 * SIDE, edge, np.int32)
+    padded[SIDE : SIDE + len(ids)] = ids
+    return np.stack([padded[k + first : k + len(ids) : step] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
 def hidden_of(weights: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,27 +336,32 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4" if wide else "<u2", offset=wide).astype(np.int32)
 
 
-def masked_batches(documents: Iterator[np.ndarray], r: int, rounds: int, edge: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(contexts, ids) of the positions that round ``r`` of ``rounds`` masks, about ``BATCH`` at once: every ``rounds``-th of a text."""
+def batch_size(tokens: int) -> int:
+    """Positions of a batch: small corpora get small ones, so that they have steps enough."""
+    return max(256, min(BATCH, tokens // 1024))
+
+
+def masked_batches(documents: Iterator[np.ndarray], r: int, rounds: int, edge: int, size: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, ids) of the positions that round ``r`` of ``rounds`` masks, about ``size`` at once: every ``rounds``-th of a text."""
     held_x, held_y, held = [], [], 0
     for ids in documents:
-        at = np.arange((r - len(ids)) % rounds, len(ids), rounds)
-        if len(at):
-            held_x.append(contexts(ids, edge)[at])
-            held_y.append(ids[at])
-            held += len(at)
-        if held >= BATCH:
+        first = (r - len(ids)) % rounds
+        if first < len(ids):
+            held_x.append(contexts(ids, edge, first, rounds))
+            held_y.append(ids[first::rounds])
+            held += len(held_y[-1])
+        if held >= size:
             x, y = np.concatenate(held_x), np.concatenate(held_y)
-            parts = max(1, round(held / BATCH))
+            parts = max(1, round(held / size))
             yield from zip(np.array_split(x, parts), np.array_split(y, parts))
             held_x, held_y, held = [], [], 0
     if held:
         yield np.concatenate(held_x), np.concatenate(held_y)
 
 
-def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
+def train(rows: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Weights after ``rounds`` of training on all shards of ``encoded`` rows and averaging."""
-    context = rows.sparkSession.sparkContext
+    context, vocabulary, size = rows.sparkSession.sparkContext, counts.vocabulary, batch_size(counts.tokens)
     weights = vocabulary.first_weights()
     for r in range(rounds):
         shared = context.broadcast((vocabulary, weights))
@@ -386,7 +391,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list
                         ahead = next(stream, None)
 
                 trainer = Trainer(vocabulary, start)
-                for x, y in masked_batches(documents(), r, rounds, vocabulary.edge):
+                for x, y in masked_batches(documents(), r, rounds, vocabulary.edge, size):
                     trainer.step(x, y)
                 moved = np.concatenate([w.ravel() for w in trainer.weights]).astype(float) * n
                 total, tokens = moved if total is None else total + moved, tokens + n
@@ -398,9 +403,10 @@ def train(rows: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> list
         def average(group: pd.DataFrame) -> pd.DataFrame:  # a row a task
             return pd.DataFrame({"part": group["part"].iloc[:1], "w": [np.average(np.stack(group["w"]), axis=0, weights=group["n"]).astype(np.float32)]})
 
-        moved = rows.select("shard", "spare", "digest", "ids").mapInPandas(learn, "part int, w array<float>, n double").groupBy("part").applyInPandas(average, "part int, w array<float>").collect()
-        if moved:
-            flat = np.concatenate([np.array(x.w, np.float32) for x in sorted(moved, key=lambda x: x.part)])
+        moved = rows.select("shard", "spare", "digest", "ids").mapInPandas(learn, "part int, w array<float>, n double").groupBy("part").applyInPandas(average, "part int, w array<float>").toArrow()
+        if moved.num_rows:
+            parts = sorted(zip(moved["part"].to_pylist(), range(moved.num_rows)))
+            flat = np.concatenate([moved["w"][k].values.to_numpy() for _, k in parts])
             ends = np.cumsum([int(np.prod(s)) for s in vocabulary.shapes])
             weights = [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), vocabulary.shapes)]
     return weights
@@ -410,7 +416,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Counts, list[np.ndarra
     """Counts and network learned from all rows of ``docs``; an empty table gives a network without words."""
     rows = docs.select(F.lit(0).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = count_words(rows)
-    return counts, train(encoded(rows, counts), counts.vocabulary)
+    return counts, train(encoded(rows, counts), counts)
 
 
 def _summed(found: list[tuple[np.ndarray, float]], vocabulary: Vocabulary, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -449,7 +455,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = count_words(rows)
     every = encoded(rows, counts)
-    shared = docs.sparkSession.sparkContext.broadcast((counts.vocabulary, train(every, counts.vocabulary)))
+    shared = docs.sparkSession.sparkContext.broadcast((counts.vocabulary, train(every, counts)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, weights = shared.value

@@ -92,7 +92,7 @@ def test_copies_train_once_and_all_rows_are_scored(spark):
     trained = rows.where("NOT spare").dropDuplicates(["shard", "digest"]).collect()
     assert sorted(len(lm.unpacked(r.ids)) for r in trained) == [2, 4] and rows.count() == 90
     once = lm.encoded(docs.dropDuplicates(["text"]), counts)
-    assert all(np.allclose(a, b) for a, b in zip(lm.train(rows, counts.vocabulary), lm.train(once, counts.vocabulary)))
+    assert all(np.allclose(a, b) for a, b in zip(lm.train(rows, counts), lm.train(once, counts)))
     got = {r.doc_id: (r.n_tokens, r.pll) for r in lm.fit_and_score(docs).collect()}
     want = {r.doc_id: (r.n_tokens, r.pll) for r in lm.score(docs, lm.fit(docs)).collect()}
     assert sorted(got) == sorted(want) == list(range(90))
