@@ -4,8 +4,8 @@ Features are hashed n-grams of 3 to 6 characters of lower-cased text, within and
 across word ends, by presence in a document. Their counts in toxic and in other
 documents cover all labelled training rows; the log of the smoothed ratio of the
 two scales a feature. The most telling features enter a logistic regression that
-is trained in numpy on a bounded sample (``SAMPLE_DOCS`` rows a label, each with
-at most ``SELECTED`` features).
+is trained in numpy on a bounded sample (about ``SAMPLE_DOCS`` rows a label, each
+with at most ``SELECTED`` features).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -136,15 +136,13 @@ def learn(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.n
 
 
 def _drawn(rows: DataFrame, key: Column) -> DataFrame:
-    """At most ``SAMPLE_DOCS`` rows of each ``label``, those with the smallest keys.
+    """About ``SAMPLE_DOCS`` rows of each ``label``: those with the smallest hashes of distinct keys.
 
-    A threshold on the key leaves little more before anything is sorted, so no
-    task gets all rows of a label.
+    The number varies as a binomial's does, by some hundred at most; nothing is
+    sorted, so no task gets the rows of a label.
     """
-    share = F.broadcast(rows.groupBy("label").agg((F.lit(1.5 * (SAMPLE_DOCS + 100)) / F.count("*")).alias("share")))
-    few = rows.withColumn("drawn", F.pmod(F.xxhash64(key), F.lit(1 << 40))).join(share, "label").where(F.col("drawn") < F.col("share") * (1 << 40))
-    first = Window.partitionBy("label").orderBy("drawn", key)
-    return few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
+    share = F.broadcast(rows.groupBy("label").agg((F.lit(float(SAMPLE_DOCS)) / F.count("*")).alias("share")))
+    return rows.withColumn("drawn", F.pmod(F.xxhash64(key), F.lit(1 << 40))).join(share, "label").where(F.col("drawn") < F.col("share") * (1 << 40))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -171,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     drawn = _drawn(marked, F.xxhash64(F.col("doc_id").cast("string"), "label")).select("doc_id", "label")
     texts_ = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # At most 2 * SAMPLE_DOCS ids are broadcast, so the texts don't cross a second shuffle. Equal rows are one.
+    # About 2 * SAMPLE_DOCS ids are broadcast, so the texts don't cross a second shuffle. Equal rows are one.
     named = texts_.join(F.broadcast(drawn), "doc_id").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "label", "text"))
     sample = _drawn(cut(named.select("label", "key", selected("text").alias("found")).dropDuplicates(["label", "key"])), F.col("key")).select("label", "found").toArrow()
     if not sample.num_rows:
