@@ -16,10 +16,10 @@ are seen. More languages get fewer buckets each, so a model's size is bounded.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,8 @@ from pyspark.sql.types import StructField, StructType
 
 from plumbline.llm.common import slices, texts
 
-#: Rows a language, and characters of each, from which weights are learned.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 6_000
+#: Rows a language, rows in all (but eight a language at least), and characters of each, from which weights are learned.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 300, 4_000, 6_000
 FEATURES, LEXICON = 1 << 16, 1 << 17
 #: Numbers in each of a model's two tables of buckets by languages; more languages halve the buckets until they fit.
 TABLE_SIZE = 1 << 23
@@ -40,7 +40,7 @@ CHUNKED_LANGUAGES = 16
 SEQUENCE, STEPS, L2 = 200, 60, 1e-4
 CHUNK = 32
 WORDS_AT_ONCE = 200_000
-MEMO_WORDS = 200_000
+MEMO_WORDS, WORDS_A_BLOCK = 200_000, 20_000
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _LETTERS = regex.compile(r"\p{L}+").findall
@@ -58,23 +58,46 @@ def table_sizes(languages: int) -> tuple[int, int]:
     return min(FEATURES, room), min(LEXICON, room)
 
 
-def _bucket(word: str, size: int = LEXICON) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (size - 1)
+def _mixed(parts: list[np.ndarray], tag: int) -> np.ndarray:
+    """32-bit hashes of rows of code points, by kind of feature."""
+    out = np.full(len(parts[0]), (tag * 0x9E3779B1) & 0xFFFFFFFF, np.uint32)
+    for p in parts:
+        out = (out ^ p) * np.uint32(0x85EBCA6B)
+        out ^= out >> np.uint32(15)
+    return out
+
 
+class Words:
+    """Words as code points end to end, each with an edge on both sides, for hashing them all at once."""
 
-def features(word: str, size: int = FEATURES) -> list[int]:
-    """Hashed prefixes and suffixes of one to three letters, inner bigrams and trigrams."""
-    w = f"^{word}$"
-    found = {"<" + word[:k] for k in (1, 2, 3)} | {">" + word[-k:] for k in (1, 2, 3)}
-    found.update(w[i : i + 2] for i in range(len(w) - 1))
-    found.update(w[i : i + 3] for i in range(len(w) - 2))
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (size - 1) for f in sorted(found)]
+    def __init__(self, words: list[str]):
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32) if words else np.zeros(0, np.uint32)
+        self.first = np.cumsum(self.lengths + 2) - (self.lengths + 2)
 
+    def buckets(self, size: int) -> np.ndarray:
+        """The lexicon's bucket of each word."""
+        place = (np.arange(len(self.codes)) - np.repeat(self.first, self.lengths + 2)).astype(np.uint32)
+        mixed = _mixed([self.codes, place], 1)
+        sums = np.add.reduceat(mixed, self.first, dtype=np.uint32) if len(self.first) else np.zeros(0, np.uint32)
+        return (_mixed([sums], 2) & np.uint32(size - 1)).astype(np.int64)
 
-def _ragged(words: list[str], features_size: int, lexicon_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = [features(w, features_size) for w in words]
-    starts = np.cumsum([0, *[len(x) for x in lists[:-1]]]) if lists else np.zeros(0, int)
-    return np.array([i for x in lists for i in x], np.int64), starts.astype(np.int64), np.array([_bucket(w, lexicon_size) for w in words], np.int64)
+    def features(self, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(words in rising order, buckets) of each kind of feature.
+
+        The kinds are bigrams and trigrams of the word with its edges, repeats
+        included, and its prefixes and suffixes of one to three letters.
+        """
+        owner = np.repeat(np.arange(len(self.lengths)), self.lengths + 2)
+        out = []
+        for n in (2, 3):
+            inside = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+            out.append((owner[inside], _mixed([self.codes[inside + k] for k in range(n)], n)))
+        for n in (1, 2, 3):
+            own = np.flatnonzero(self.lengths >= n)
+            for tag, at in ((10 + n, self.first[own] + 1), (20 + n, self.first[own] + 1 + self.lengths[own] - n)):
+                out.append((own, _mixed([self.codes[at + k] for k in range(n)], tag)))
+        return [(own, (h & np.uint32(size - 1)).astype(np.int64)) for own, h in out]
 
 
 @dataclass
@@ -90,8 +113,15 @@ class Model:
     def emissions(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.langs)))
-        flat, starts, buckets = _ragged(words, len(self.weights), len(self.lexicon))
-        return np.add.reduceat(self.weights[flat], starts, axis=0) + self.lexicon[buckets] @ self.mixing
+        found = Words(words)
+        out = self.lexicon[found.buckets(len(self.lexicon))] @ self.mixing
+        for own, buckets in found.features(len(self.weights)):
+            if len(own) == len(words):
+                out += self.weights[buckets]
+            elif len(own):
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                out[own[first]] += np.add.reduceat(self.weights[buckets], first, axis=0)
+        return out
 
 
 def forward_backward(emit: np.ndarray, trans: np.ndarray, chunk: int = CHUNK, lengths: np.ndarray | None = None) -> np.ndarray:
@@ -187,7 +217,11 @@ def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray,
     words, y = np.array([vocabulary[w] for w, _ in stream], np.int64), np.array([y for _, y in stream], np.int64)
     if len(words) % span:
         words, y = np.resize(words, -(-len(words) // span) * span), np.resize(y, -(-len(y) // span) * span)
-    flat, starts, buckets = _ragged(list(vocabulary), buckets_of_features, len(lexicon))
+    found = Words(list(vocabulary))
+    parts, buckets = found.features(buckets_of_features), found.buckets(len(lexicon))
+    owner, flat = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(owner, kind="stable")
+    flat, starts = flat[order], np.searchsorted(owner[order], np.arange(len(vocabulary)))
     sizes = np.diff(np.r_[starts, len(flat)])
     lex = lexicon[buckets]
     rows = (len(words) // span, span)
@@ -230,8 +264,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             for lang, group in batch.groupby("lang"):
                 for part in slices(group, "text"):
                     seen = Counter(w for t in texts(part["text"]) for w in words_of(t))
-                    buckets = np.fromiter((_bucket(w, size) for w in seen), np.int64, len(seen))
-                    sums[number[lang]] += np.bincount(buckets, np.fromiter(seen.values(), float, len(seen)), size)
+                    sums[number[lang]] += np.bincount(Words(list(seen)).buckets(size), np.fromiter(seen.values(), float, len(seen)), size)
         for k in range(len(langs)):
             at = np.flatnonzero(sums[k])
             if len(at):
@@ -257,14 +290,14 @@ def _sample(rows: DataFrame, rows_of: dict[str, int]) -> list[tuple[str, str]]:
     has. A threshold on the hash leaves about twice the sample
     before anything is sorted, so no task gets all rows of a language.
     """
-    spark, key = rows.sparkSession, _row_key()
-    share = spark.createDataFrame([(k, min(1.0, 2.0 * (SAMPLE_DOCS + 50) / max(n, 1))) for k, n in rows_of.items()], "lang string, share double")
+    spark, key, most = rows.sparkSession, _row_key(), max(8, min(SAMPLE_DOCS, SAMPLE_ALL // len(rows_of)))
+    share = spark.createDataFrame([(k, min(1.0, 2.0 * (most + 50) / max(n, 1))) for k, n in rows_of.items()], "lang string, share double")
     spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
     part = F.substring("text", F.pmod(key, spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
     drawn = rows.withColumn("key", key).join(F.broadcast(share), "lang").where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     distinct = drawn.select("lang", "key", part.alias("text")).dropDuplicates(["lang", "key"])
     first = Window.partitionBy("lang").orderBy("key")
-    kept = distinct.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("text", "lang").collect()
+    kept = distinct.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("text", "lang").collect()
     return [(r.text, r.lang) for r in sorted(kept, key=lambda r: (r.lang, r.text))]
 
 
@@ -276,18 +309,23 @@ class Labeller:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         rows = self.rows
-        new = list({w for w in words if w not in rows})
-        if new:
-            if len(rows) + len(new) > MEMO_WORDS:
+        at = np.fromiter(map(rows.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(words[i] for i in missing.tolist()))
+            if len(rows) + len(new) > MEMO_WORDS and rows:
                 rows.clear()
-                self.used, new = 0, list(set(words))
-            found = self.model.emissions(new)
+                self.used = 0
+                return self.emissions(words)
             while self.used + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used : self.used + len(new)] = found
+            for k in range(0, len(new), WORDS_A_BLOCK):
+                block = new[k : k + WORDS_A_BLOCK]
+                self.table[self.used + k : self.used + k + len(block)] = self.model.emissions(block)
             rows.update(zip(new, range(self.used, self.used + len(new))))
             self.used += len(new)
-        return self.table[[rows[w] for w in words]]
+            at[missing] = [rows[words[i]] for i in missing.tolist()]
+        return self.table[at]
 
     def shares(self, batch: list[list[str]]) -> np.ndarray:
         """(documents, K): mean label probabilities over each document's words; zeros without words."""

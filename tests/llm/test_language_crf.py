@@ -66,10 +66,10 @@ def test_short_or_long_texts_only_and_many_languages(spark):
 
 
 def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(lc, "SAMPLE_DOCS", 4)
+    monkeypatch.setattr(lc, "SAMPLE_DOCS", 9)
     rows = spark.createDataFrame([(1, f"wort {k}", "de") for k in range(900)] + [(2, "dog", "en")] * 900, "id string, text string, lang string")
     sample = lc._sample(rows, {"de": 900, "en": 1})
-    assert sum(y == "de" for _, y in sample) == 4 and sum(y == "en" for _, y in sample) == 1
+    assert sum(y == "de" for _, y in sample) == 9 and sum(y == "en" for _, y in sample) == 1
 
 
 def test_sequential_and_chunked_agree():
@@ -82,3 +82,17 @@ def test_sequential_and_chunked_agree():
         assert np.allclose(lc.forward_backward(e, t, lengths=lengths), whole)
     finally:
         lc.CHUNKED_LANGUAGES = before
+
+
+def test_features_of_many_words_are_those_of_each():
+    words = ["a", "ab", "straße", "x" * 300, "été", "ab"]
+
+    def listed(found, k):
+        return [sorted(b[own == k].tolist()) for own, b in found]
+
+    every, buckets = lc.Words(words).features(lc.FEATURES), lc.Words(words).buckets(lc.LEXICON)
+    for k, w in enumerate(words):
+        alone = lc.Words([w])
+        assert listed(every, k) == listed(alone.features(lc.FEATURES), 0) and buckets[k] == alone.buckets(lc.LEXICON)[0]
+    assert [len(x) for x in listed(every, 0)] == [2, 1, 1, 1, 0, 0, 0, 0] and listed(every, 1) == listed(every, 5)
+    assert len(lc.Words([]).buckets(8)) == 0 and all(len(own) == 0 for own, _ in lc.Words([]).features(8))
