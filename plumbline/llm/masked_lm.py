@@ -43,7 +43,7 @@ FREQUENT, ENDINGS, MOST_WORDS = 64, 16, 1 << 17
 WORDS_A_ROOT = 1
 #: Tokens on each side; numbers of a word, of the hidden layer, and of that layer's end from which a word within its block is predicted.
 SIDE, WIDTH, HIDDEN, INNER = 2, 8, 16, 8
-ROUNDS, RATE, BATCH, SEED = 2, 0.15, 8192, 3
+ROUNDS, RATE, BATCH, SEED = 2, 0.15, 16_384, 3
 #: Rows of a batch whose outputs are held at once, so that they stay in the processor's cache; and the largest logit.
 AT_ONCE, MOST_LOGIT = 512, 60.0
 #: Tokens of a training shard, about.
