@@ -14,12 +14,18 @@ those with the N - 1 smallest costs of a second choice: only these are searched.
 Characters without a piece become the pieces of their UTF-8 bytes, as one arc
 that scores ``UNKNOWN_PENALTY`` below the lowest piece. A blank goes before the
 text, as in the library; decoding takes it away. Decoding is exact for any text.
+
+A path's score is the sum of what the model file gives its pieces. In a unigram
+model these are log-probabilities. In a BPE model they are merge ranks, so the
+best sum is not the library's sequence of merges and often has more pieces:
+``learned_scores`` gives log-probabilities from a corpus's own counts instead.
 """
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +53,8 @@ _UNITS = re.compile(" +[^ ]*").findall
 class Lattice:
     """The pieces of a model and the search over their lattice."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: dict[int, float] | None = None):
+        """The model at ``path``; ``scores`` by piece id replace the file's."""
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         self.scores: list[float] = []
@@ -55,7 +62,7 @@ class Lattice:
         self.bytes = [0] * 256
         lowest = 0.0
         for i in range(model.get_piece_size()):
-            piece, score, surface = model.id_to_piece(i), float(model.get_score(i)), b""
+            piece, score, surface = model.id_to_piece(i), float(model.get_score(i) if scores is None else scores[i]), b""
             if model.is_byte(i):
                 surface = bytes([int(piece[3:5], 16)])
                 self.bytes[surface[0]] = i
@@ -105,27 +112,27 @@ class Lattice:
                 out.append((start, -1, self.unknown))
         return out
 
-    def forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
-        best, into = [0.0], [[]]
+    def forward(self, unit: str) -> array:
+        """Best score of any path to each position; eight bytes a character, as arcs are looked up again when needed."""
+        best = array("d", [0.0])
         for end in range(1, len(unit) + 1):
-            arcs = self.arcs(unit, end)
-            into.append(arcs)
-            best.append(max([best[s] + x for s, _, x in arcs]))
-        return best, into
+            best.append(max([best[s] + x for s, _, x in self.arcs(unit, end)]))
+        return best
 
     def _ids(self, unit: str, start: int, piece: int) -> list[int]:
         return [piece] if piece >= 0 else [self.bytes[b] for b in unit[start].encode("utf-8", "surrogatepass")]
 
     def viterbi(self, unit: str) -> tuple[float, list[int], float]:
         """Score and ids of the best path, and what the second best costs (infinite: there is none)."""
-        best, into = self.forward(unit)
+        best = self.forward(unit)
         at, path, second = len(unit), [], float("inf")
         while at:
-            totals = [best[s] + x for s, _, x in into[at]]
+            into = self.arcs(unit, at)
+            totals = [best[s] + x for s, _, x in into]
             k = totals.index(best[at])
             if len(totals) > 1:
                 second = min(second, best[at] - max(totals[:k] + totals[k + 1 :]))
-            start, piece, _ = into[at][k]
+            start, piece, _ = into[k]
             path.append((start, piece))
             at = start
         return best[-1], [i for s, p in reversed(path) for i in self._ids(unit, s, p)], second
@@ -223,13 +230,18 @@ class Lattice:
         self.used, self.flat_used = upto, flat_upto
 
     def n_best(self, unit: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
-        """The ``n`` best paths by backward A-star, best first; of equal scores the one nearest to the start is followed first, so ties stay cheap."""
+        """The ``n`` best paths by backward A-star, best first; of equal scores the one nearest to the start is followed first.
+
+        The forward scores are exact, so every open entry stands for a path of
+        just its score, and no two for the same one: the ``n`` best entries are
+        all that need be kept open, however long the unit is.
+        """
         key = (unit, n)
         if key not in self.memo_best:
-            best, into = self.forward(unit)
-            heap, order, out = [(-best[-1], len(unit), 0, 0.0, None)], 0, []
-            while heap and len(out) < n:
-                minus, at, _, behind, after = heapq.heappop(heap)
+            best = self.forward(unit)
+            open_, order, out = [(-best[-1], len(unit), 0, 0.0, None)], 0, []
+            while open_ and len(out) < n:
+                minus, at, _, behind, after = open_.pop(0)
                 if at == 0:
                     ids = []
                     while after:
@@ -237,10 +249,11 @@ class Lattice:
                         after = after[1]
                     out.append((-minus, ids))
                     continue
-                for start, piece, score in into[at]:
+                for start, piece, score in self.arcs(unit, at):
                     order += 1
                     total = behind + score
-                    heapq.heappush(heap, (-(best[start] + total), start, order, total, ((start, piece), after)))
+                    bisect.insort(open_, (-(best[start] + total), start, order, total, ((start, piece), after)))
+                del open_[n - len(out) :]
             if len(self.memo_best) >= MEMO_BEST:
                 self.memo_best.clear()
             self.memo_best[key] = out
@@ -304,12 +317,35 @@ def apply_edits(ids: list[int], edits: list) -> list[int]:
     return [*out, *ids[at:]]
 
 
-def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "text", verify: bool = False) -> DataFrame:
+def learned_scores(docs: DataFrame, model: str, text_col: str = "text") -> dict[int, float]:
+    """Log-probability of each piece id: how often the library's segmentation of all texts uses it, with one more for each.
+
+    Counts are summed within a task before they are passed on; an empty table
+    makes all pieces alike.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        processor = sentencepiece.SentencePieceProcessor(model_file=model)
+        sums = np.zeros(processor.get_piece_size(), np.int64)
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            for ids in processor.encode(texts(batch["text"]), num_threads=1):
+                sums += np.bincount(np.array(ids, np.int64), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"id": at, "n": sums[at]})
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.ones(sentencepiece.SentencePieceProcessor(model_file=model).get_piece_size())
+    counts[rows["id"].to_numpy()] += rows["n"].to_numpy()
+    return dict(enumerate(np.log(counts / counts.sum()).tolist()))
+
+
+def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "text", verify: bool = False, scores: dict[int, float] | None = None) -> DataFrame:
     """``docs`` with ``pieces`` (ids of the best path), ``piece_score`` and ``piece_alternatives``.
 
     Alternatives are the next best paths, best first, as edits of ``pieces``.
     Columns of ``docs`` that have these names are replaced; all rows stay. A null
-    or empty text has no pieces, score 0 and no alternatives. With ``verify``,
+    or empty text has no pieces, score 0 and no alternatives; an empty table
+    stays empty. ``scores`` by piece id replace the model file's. With ``verify``,
     ``piece_round_trip`` says whether decoding the pieces gives the text back.
     """
     kept = [c for c in docs.columns if c not in ("pieces", "piece_score", "piece_alternatives", "piece_round_trip")]
@@ -317,7 +353,7 @@ def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "t
     made = StructType.fromDDL(f"pieces array<int>, piece_score double, piece_alternatives {ALTERNATIVES}" + ", piece_round_trip boolean" * verify)
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(model)  # freed with the task: workers are used again by other stages
+        lattice = Lattice(model, scores)  # freed with the task: workers are used again by other stages
         for batch in batches:
             for part in slices(batch, text_col, CHARS_AT_ONCE):
                 rows = lattice.encode_many(texts(part[text_col]), n_best)

@@ -58,3 +58,29 @@ def test_columns(spark):
     assert len(out) == 5 and all(r.back == (r.text or "") for r in out)
     assert all((len(r.pieces) == 0) == (not r.text) and len(r.piece_alternatives) == (3 if r.text else 0) for r in out)
     assert sp.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_long_units_without_blanks_take_bounded_memory():
+    import base64
+    import tracemalloc
+
+    lattice, rnd = sp.Lattice(PATH), random.Random(9)
+    cjk = "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(20_000))
+    for text in (cjk, base64.b64encode(rnd.randbytes(20_000)).decode()):
+        tracemalloc.start()
+        score, ids, others = lattice.encode(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert lattice.decode(ids.tolist()) == text and peak < 60e6
+        assert all(o["score"] <= score for o in others) and [o["score"] for o in others] == sorted((o["score"] for o in others), reverse=True)
+
+
+def test_learned_scores(spark):
+    docs = spark.createDataFrame([("the cat sat on the mat",), (None,), ("the dog",)] * 5, "text string")
+    scores = sp.learned_scores(docs, PATH)
+    lattice = sp.Lattice(PATH, scores)
+    assert abs(sum(2.718281828459045**s for s in scores.values()) - 1) < 1e-6
+    assert scores[lattice.ids[" the"]] == max(scores.values())
+    row = sp.encode(docs.limit(1), PATH, scores=scores).first()
+    assert lattice.decode(row.pieces) == "the cat sat on the mat" and len(row.pieces) == 6
+    assert len(set(sp.learned_scores(docs.limit(0), PATH).values())) == 1
