@@ -27,11 +27,21 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return all_.select("n", ((F.col("index") - F.col("chance")) / F.nullif((F.col("ra") + F.col("rb")) / 2 - F.col("chance"), F.lit(0.0))).alias("ari"))
 
 
-def average_ranks(df: DataFrame, c: str, out: str) -> DataFrame:
-    """``df`` with mean ranks of ``c``: equal values are counted first, and only the distinct values are put in order."""
+def average_ranks(df: DataFrame, c: str, out: str, pieces: int = 64) -> DataFrame:
+    """``df`` with mean ranks of a numeric column: equal values are counted first, and only the distinct values are put in order.
+
+    They are put in order by ranges between approximate quantiles, and moved by
+    the sizes of the ranges before, so no task sorts all of them.
+    """
     sizes = df.groupBy(c).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = sizes.select(F.col(c).alias("_v"), (before + (F.col("_n") + 1) / 2).alias(out))
+    bounds = sizes.select(F.col(c).cast("double").alias("v")).approxQuantile("v", [k / pieces for k in range(1, pieces)], 0.001)
+    piece = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<double>"), lambda x: x <= F.col(c).cast("double")))
+    ranged = sizes.withColumn("_p", piece)
+    ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy(F.col("_p").alias("_q")).agg(F.sum("_n").alias("_n"))
+    starts = totals.select("_q", ahead(Window.orderBy("_q")).alias("_first"))  # a row a range
+    placed = ranged.withColumn("_before", ahead(Window.partitionBy("_p").orderBy(c))).join(F.broadcast(starts), F.col("_p") == F.col("_q"))
+    ranks = placed.select(F.col(c).alias("_v"), (F.col("_before") + F.col("_first") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(c) == F.col("_v")).drop("_v")
 
 

@@ -17,17 +17,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chronological(df: DataFrame, time: str, tie: str, name: str = "id") -> DataFrame:
     """``df`` with the rows' places in time order from 0, nulls last.
 
-    Rows are numbered within their hour and moved by the sizes of the hours
-    before, so no task sorts more than an hour.
+    Rows are numbered within their minute and moved by the sizes of the minutes
+    before in their hour, and of the hours before; so no task sorts more than a
+    minute's rows.
     """
-    hour = F.date_trunc("hour", F.col(time)).cast("timestamp_ntz")
-    marked = df.withColumn("_hour", hour)
-    within = Window.partitionBy("_hour").orderBy(F.col(time).asc_nulls_last(), F.col(tie).asc_nulls_last())
-    ahead = Window.orderBy(F.col("_h").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row an hour
-    hours = marked.groupBy(F.col("_hour").alias("_h")).agg(F.count("*").alias("_n"))
-    starts = hours.select("_h", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    at = F.col(time)
+    marked = df.withColumns({"_hour": F.date_trunc("hour", at).cast("timestamp_ntz"), "_minute": F.date_trunc("minute", at).cast("timestamp_ntz")})
+    within = Window.partitionBy("_hour", "_minute").orderBy(at.asc_nulls_last(), F.col(tie).asc_nulls_last())
+    minutes = marked.groupBy(F.col("_hour").alias("_h"), F.col("_minute").alias("_m")).agg(F.count("*").alias("_n"))
+    ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = minutes.groupBy(F.col("_h").alias("_g")).agg(F.sum("_n").alias("_n"))
+    starts = hours.select("_g", ahead(Window.orderBy(F.col("_g").asc_nulls_last())).alias("_first"))  # a row an hour
+    placed = minutes.withColumn("_before", ahead(Window.partitionBy("_h").orderBy("_m"))).join(starts, F.col("_h").eqNullSafe(F.col("_g")))
     numbered = marked.withColumn("_at", F.row_number().over(within) - 1)
-    return numbered.join(starts, F.col("_hour").eqNullSafe(F.col("_h"))).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_hour", "_h", "_at", "_before")
+    joined = numbered.join(placed, F.col("_hour").eqNullSafe(F.col("_h")) & F.col("_minute").eqNullSafe(F.col("_m")))
+    return joined.withColumn(name, (F.col("_at") + F.col("_before") + F.col("_first")).cast("long")).drop("_hour", "_minute", "_h", "_m", "_g", "_n", "_at", "_before", "_first")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
