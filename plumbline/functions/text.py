@@ -171,6 +171,16 @@ def normalised(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_text(c)), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
+def word_shingles(c: Column, k: int) -> Column:
+    """Distinct runs of ``k`` words; a shorter text is one, a wordless one has none."""
+
+    def runs(w: Column) -> Column:  # a variable of the outer function, so the words are split once
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)))
+        return F.when(F.size(w) > 0, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words(c)), runs), 1)
+
+
 def verdict_words(raw: Column, norm: Column, scale: str) -> Column:
     if scale == "binary":
         said = F.when(norm >= 0.5, "Recommended").otherwise("Not recommended")

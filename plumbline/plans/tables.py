@@ -1,16 +1,36 @@
-"""Where plans cut their lineage."""
+"""Where plans cut their lineage and place tables of their own."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and checkpointed in the shared folder (``spark.checkpoint.dir``; our own only where that is unset)."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster
+    it is an error, as executors would not see each other's files.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "plumbline-checkpoints"))
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; it stays until the folder is cleared."""
+    return f"{shared(spark)}/plumbline/{name}-{uuid.uuid4().hex}"

@@ -23,4 +23,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from plumbline.plans import answer_queries, attack_queries, corpus_queries, decision_queries, inspect_queries, label_queries, text_queries  # noqa: E402, F401
+from plumbline.plans import answer_queries, attack_queries, corpus_queries, decision_queries, inspect_queries, label_queries, run_queries, source_queries, text_queries  # noqa: E402, F401
