@@ -4,8 +4,8 @@ A bidirectional window network predicts every token from the ``SIDE`` tokens on
 both sides; a document's score is the sum of those conditional log-probabilities.
 
 A token is a white-space separated, lower-cased word. The vocabulary holds the
-corpus's most frequent words, as many as the square root of its tokens, so it
-grows with the corpus. The output is hierarchical: the most frequent words are
+corpus's most frequent words, about as many as the square root of its tokens, so
+it grows with the corpus. The output is hierarchical: the most frequent words are
 classes of their own, the others stand in blocks of words with like endings, and
 the network predicts first the class or block, then the word within its block.
 The vocabulary is open: any other word belongs to a class by the hash of its
@@ -258,6 +258,24 @@ class Trainer:
         self._move(0, moves, sorted_[first])
 
 
+def most_frequent(counted: DataFrame, size: int) -> list[tuple[str, int]]:
+    """The most frequent of (word, n), at most ``size``, by falling count; words of like counts are all in or all out.
+
+    Only a histogram of counts (exact to 1,023, then by 1,024th parts of a
+    doubling) and the words above its threshold reach the driver.
+    """
+    bucket = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2(F.col("n")) * 1024)).cast("long")
+    held, least = 0, None
+    for r in sorted(counted.groupBy(bucket.alias("b")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r.b):
+        held += r.m
+        if held > size:
+            break
+        least = r.b
+    if least is None:
+        return []
+    return sorted([(r.word, r.n) for r in counted.where(bucket >= least).collect()], key=lambda x: (-x[1], x[0]))
+
+
 def count_words(texts_: DataFrame) -> Counts:
     """The vocabulary and spelling counts over all rows (text)."""
 
@@ -272,8 +290,8 @@ def count_words(texts_: DataFrame) -> Counts:
     counted = cut(texts_.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens = counted.agg(F.sum("n")).first()[0] or 0
     size = max(FREQUENT, min(WORDS_A_ROOT * math.isqrt(tokens), MOST_WORDS))
-    top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
-    known = {r.word for r in top}
+    top = most_frequent(counted, size)
+    known = {w for w, _ in top}
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, endings = np.zeros(ENDINGS * CHARS * CHARS), Endings()
@@ -290,7 +308,7 @@ def count_words(texts_: DataFrame) -> Counts:
     table = np.zeros(ENDINGS * CHARS * CHARS)
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     table = table.reshape(ENDINGS, CHARS, CHARS) + 0.01
-    vocabulary = Vocabulary([r.word for r in top], [r.n for r in top], tokens - sum(r.n for r in top))
+    vocabulary = Vocabulary([w for w, _ in top], [n for _, n in top], tokens - sum(n for _, n in top))
     return Counts(vocabulary, np.log(table / table.sum(axis=2, keepdims=True)), tokens)
 
 

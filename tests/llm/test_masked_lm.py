@@ -43,7 +43,7 @@ def test_scores_prefer_natural_text_and_equal_plain(spark):
     model = lm.fit(docs.repartition(3))
     other_layout = lm.fit(docs.repartition(11))
     v = model[0].vocabulary
-    assert v.ids == other_layout[0].vocabulary.ids and len(v.ids) > 500
+    assert v.ids == other_layout[0].vocabulary.ids and len(v.ids) > 400
     assert all(np.allclose(a, b, rtol=1e-4, atol=1e-5) for a, b in zip(model[1], other_layout[1]))
     pick = lambda lang: [r.text for r in docs.where(f"lang = '{lang}' AND n_chars BETWEEN 800 AND 3000").orderBy("doc_id").limit(60).collect()]
     sample, other = pick("en"), pick("de")
@@ -122,3 +122,11 @@ def test_every_position_is_masked_once():
         assert sorted(ids.tolist()) == list(range(sum(sizes)))
         around = dict(zip(ids.tolist(), np.concatenate([x for x, _ in found]).tolist()))
         assert all(around[k] == c for d in docs if len(d) for k, c in zip(d.tolist(), lm.contexts(d, 99_999).tolist()))
+
+
+def test_most_frequent_words(spark):
+    rows = [("a", 5000), ("b", 3000), ("c", 40), ("d", 7), ("e", 7), ("f", 7), ("g", 1)]
+    counted = spark.createDataFrame(rows, "word string, n long")
+    for size, want in ((99, "abcdefg"), (6, "abcdef"), (5, "abc"), (3, "abc"), (2, "ab"), (1, "a"), (0, "")):
+        assert "".join(w for w, _ in lm.most_frequent(counted, size)) == want
+    assert lm.most_frequent(counted.limit(0), 5) == []
