@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 # Action codes in order of severity, and reason codes in the order of the waterfall.
 ACTIONS = ("PENDING", "KEEP", "DOWNWEIGHT", "FLAG", "EXCLUDE")
 REASONS = ("OFF_TOPIC", "CONTRADICTS_VERDICT", "SPAM", "TEMPLATED", "NEAR_DUPLICATE", "COORDINATED_CLUSTER", "BURST_WINDOW", "LOW_CONFIDENCE", "LOW_EXPERIENCE", "LOW_INFO", "UNSUPPORTED_VERDICT", "INFLUENCE_ATTEMPT")
 
 
+# The defaults of the groups below.
+
+
 @dataclass(frozen=True)
 class Weights:
     keep: float = 1.0
@@ -106,3 +109,35 @@ class Config:
     platform: Platform = field(default_factory=Platform)
     resamples: int = 2000
     seed: int = 7
+
+
+@dataclass(frozen=True)
+class Backend:
+    """Where judgments come from and what they cost; a local service takes two calls at a time at most."""
+
+    name: str
+    url: str
+    model: str
+    price_per_million: float = 1.0
+    calls_per_second: float = 40.0
+    concurrency: int = 8
+    local: bool = False
+
+    @property
+    def at_once(self) -> int:
+        return min(2, self.concurrency) if self.local else self.concurrency
+
+    def cost(self, tokens: int) -> float:
+        return tokens * self.price_per_million / 1e6
+
+
+def overridden(cfg: Config, changes: dict[str, object]) -> Config:
+    """``cfg`` with values changed one level deep: ``{"policy.downweight_below": 0.6, "seed": 3}``; unknown names raise."""
+    for path, value in changes.items():
+        group, _, name = path.rpartition(".")
+        target = getattr(cfg, group) if group else cfg
+        if not any(f.name == name for f in fields(target)):
+            raise KeyError(path)
+        changed = replace(target, **{name: value})
+        cfg = replace(cfg, **{group: changed}) if group else changed
+    return cfg

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.config import Config, overridden
+
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, agreement, kappa (null where one class is alone on both sides)."""
@@ -76,3 +78,19 @@ def injected(reviews: DataFrame, kind: str, n: int, hours: float, rating: float,
     made = {"id": F.col("i") + first_id, "created_at": (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("i") * F.lit(hours * 3600 / n))), "rating_norm": F.lit(rating), "text": text, "ext_id": F.concat(F.lit(f"inj-{kind}-"), F.col("i"))}
     rows = spark.range(n).withColumnRenamed("id", "i")
     return rows.select(*[made[f.name].cast(f.dataType).alias(f.name) if f.name in made else F.lit(None).cast(f.dataType).alias(f.name) for f in reviews.schema])
+
+
+def sweep(rows: DataFrame, decide, cfg: Config, changes: dict[str, dict[str, object]]) -> DataFrame:
+    """(setting, n, raw, adjusted, n_downweight, n_flag, n_exclude) of one set of answers decided under several settings.
+
+    ``decide(cfg)`` gives the decision column; all settings are decided in one pass over the rows.
+    """
+    settings = F.array(*[F.struct(F.lit(name).alias("setting"), decide(overridden(cfg, c)).alias("d")) for name, c in changes.items()])
+    w = cfg.weights
+    decided = rows.select("rating_norm", F.explode(settings).alias("s")).select("rating_norm", "s.setting", F.col("s.d.code").alias("code"))
+    weight = F.element_at(F.array(*[F.lit(x) for x in (w.keep, w.keep, w.downweight, w.flag, w.exclude)]), F.col("code") + 1)
+    rated = F.when(F.col("rating_norm").isNotNull(), weight)
+    return decided.groupBy("setting").agg(
+        F.count("*").alias("n"), F.avg("rating_norm").alias("raw"), (F.sum(weight * F.col("rating_norm")) / F.nullif(F.sum(rated), F.lit(0.0))).alias("adjusted"),
+        F.count_if(F.col("code") == 2).alias("n_downweight"), F.count_if(F.col("code") == 3).alias("n_flag"), F.count_if(F.col("code") == 4).alias("n_exclude"),
+    )

@@ -175,3 +175,18 @@ def waves_by_heuristics(spark, sf_dir):
     c = F.col("text")
     rows = A.injected_rows(spark).select(A.truth(F.col("ext_id")).alias("wave"), PO.heuristic(T.token_count(c), T.symbol_ratio(c), T.has_promo(c)).alias("d"))
     return rows.groupBy("wave", F.col("d.code").alias("code")).agg(F.count("*").alias("n"))
+
+
+SWEPT = (("loose", 0.4), ("usual", 0.55), ("strict", 0.7))
+
+
+@query(DECIDED + ", s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS setting, rating_norm, CASE WHEN spam > 0.9e0 THEN 3 WHEN score0 < {x}e0 THEN 2 ELSE 1 END AS code FROM decided" for n, x in SWEPT) + """), w AS (SELECT *, CASE code WHEN 2 THEN 0.25e0 ELSE 1e0 END AS w FROM s)
+SELECT setting, count(*) AS n, round(avg(rating_norm), 6) AS raw, round(sum(w * rating_norm) / sum(w), 6) AS adjusted, count(*) FILTER (code = 2) AS n_downweight, count(*) FILTER (code = 3) AS n_flag, count(*) FILTER (code = 4) AS n_exclude FROM w GROUP BY setting""")
+def swept_settings(spark, sf_dir):
+    """One set of answers decided under three thresholds."""
+    from plumbline.config import Config
+    from plumbline.operators import evaluate as E
+
+    rows = R.numbered_answers(R.reviews(spark, sf_dir))
+    out = E.sweep(rows, lambda c: PO.judged(c.policy), Config(), {n: {"policy.downweight_below": x} for n, x in SWEPT})
+    return out.withColumns({"raw": F.round("raw", 6), "adjusted": F.round("adjusted", 6)})

@@ -67,3 +67,25 @@ def test_labels_are_replaced(stored, spark):
     store.add_labels(spark.createDataFrame([("s", "r1", 1, "spam", "no")], "name string, rater string, id long, key string, label string"))
     assert {(r.id, r.label) for r in store.labels("s").collect()} == {(1, "no"), (2, "no")}
     assert store.labels_per_rater("s").first().n == 2
+
+
+def test_command_line(spark, tmp_path):
+    from plumbline.__main__ import main
+    from plumbline.config import Backend, Config, overridden
+
+    lines = ["body,stars,day,who"] + [f'"review {k} says, it is {k % 3} times fun to play with friends",{k % 2},2024-04-{1 + k % 28:02d}T10:00:00Z,u{k % 5}' for k in range(400)]
+    (tmp_path / "in.csv").write_text("\n".join(lines))
+    root = ["--store", str(tmp_path / "store")]
+    row = main([*root, "import", "--path", str(tmp_path / "in.csv"), "--dataset", "d", "--text", "body", "--rating", "stars", "--timestamp", "day", "--author", "who"], spark)[0]
+    assert row["n_reviews"] == 400 and row["rating_scale"] == "binary"
+    clean = main([*root, "run", "d"], spark)[0]
+    assert main([*root, "inject", "d", "e"], spark)[0]["n_reviews"] == 400 + 690
+    hit = main([*root, "run", "e", "--set", "weights.downweight=0.1"], spark)[0]
+    pull = main([*root, "pull", clean["run"], hit["run"]], spark)[0]
+    assert pull["raw_shift"] < 0 and pull["pull_removed"] is not None
+    main([*root, "export", hit["run"], str(tmp_path / "out")], spark)
+    assert {(r["id"], r["kind"]) for r in main([*root, "list"], spark)} == {("d", "dataset"), ("e", "dataset"), (clean["run"], "run"), (hit["run"], "run")}
+    with pytest.raises(KeyError):
+        overridden(Config(), {"policy.nothing": 1})
+    assert overridden(Config(), {"seed": 3, "bursts.z": 2.0}).bursts.z == 2.0
+    assert Backend("own", "http://localhost", "m", concurrency=8, local=True).at_once == 2 and Backend("x", "u", "m", 2.0).cost(500_000) == 1.0
