@@ -200,22 +200,22 @@ def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray,
     rng, k = np.random.default_rng(seed), len(langs)
     buckets_of_features = table_sizes(k)[0]
     params = [np.zeros((buckets_of_features, k)), np.zeros((k, k)), np.zeros((k, k))]
+    vocabulary: dict[str, int] = {}
     segments = []
     for text, lang in sample:
-        words, at = words_of(text), 0
-        while at < len(words):
+        words = words_of(text)
+        ids, at = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)), 0
+        while at < len(ids):
             size = int(rng.integers(8, 60))
-            segments.append((words[at : at + size], langs.index(lang)))
+            segments.append((ids[at : at + size], langs.index(lang)))
             at += size
     if not segments:
         return Model(langs, params[0], params[1], params[2], lexicon)
     order = rng.permutation(len(segments))
-    stream = [(w, y) for i in order for w in segments[i][0] for y in (segments[i][1],)]
-    stream += stream[: -len(stream) % SEQUENCE] if len(stream) >= SEQUENCE else []
-    span = SEQUENCE if len(stream) >= SEQUENCE else max(1, len(stream))
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for w, _ in stream))}
-    words, y = np.array([vocabulary[w] for w, _ in stream], np.int64), np.array([y for _, y in stream], np.int64)
-    if len(words) % span:
+    words = np.concatenate([segments[i][0] for i in order])
+    y = np.concatenate([np.full(len(segments[i][0]), segments[i][1]) for i in order])
+    span = min(SEQUENCE, len(words))
+    if len(words) % span:  # the last sequence is filled up from the start
         words, y = np.resize(words, -(-len(words) // span) * span), np.resize(y, -(-len(y) // span) * span)
     found = Words(list(vocabulary))
     parts, buckets = found.features(buckets_of_features), found.buckets(len(lexicon))
@@ -230,12 +230,13 @@ def learn(sample: list[tuple[str, str]], langs: list[str], lexicon: np.ndarray,
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     marginals = np.empty((*rows, k))
     for step in range(1, STEPS + 1):
-        per_word = np.add.reduceat(params[0][flat], starts, axis=0) + lex @ params[1]
+        per_word = lex @ params[1]
+        for j in range(k):  # one language at a time, so that temporary arrays stay small
+            per_word[:, j] += np.add.reduceat(params[0][:, j][flat], starts)
         expected = _pairs(per_word[words].reshape(*rows, k), params[2], marginals)
         miss = marginals.reshape(-1, k) - gold
         by_word = np.stack([np.bincount(words, miss[:, j], len(vocabulary)) for j in range(k)], axis=1) / len(words)
-        spread = np.repeat(by_word, sizes, axis=0)
-        grads = [np.stack([np.bincount(flat, spread[:, j], buckets_of_features) for j in range(k)], axis=1), lex.T @ by_word, (expected - pairs) / len(words)]
+        grads = [np.stack([np.bincount(flat, np.repeat(by_word[:, j], sizes), buckets_of_features) for j in range(k)], axis=1), lex.T @ by_word, (expected - pairs) / len(words)]
         for p, g, m, s in zip(params, grads, means, squares):
             g += L2 * p
             m += 0.1 * (g - m)
