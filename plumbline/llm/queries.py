@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, language_crf, masked_lm, pii, sentence_pieces, shard_tree, simhash, token_cache, toxicity
+from plumbline.llm import ann, conversation_repair, decontaminate, language_crf, masked_lm, pii, sentence_pieces, shard_tree, simhash, token_cache, token_files, toxicity, whitening
 from plumbline.llm.common import crc_mod, fresh_path, table
 
 N_SHARDS = 40
 TOKEN_LIMIT = 2048
+END_ID = 2
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,22 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents, each with an end id, and reads the files back."""
+    path = fresh_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, fresh_path(spark, "token-ids"), END_ID)
+    return token_files.scan(spark, path)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op6_toxicity_nb_linear, op7_hash_tree_shards, op8_language_crf, op9_decontaminate, op10_masked_lm)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_cross_polytope_nearest, op3_token_counts, op4_pii_anchors, op5_n_best_pieces, op6_toxicity_nb_linear, op7_hash_tree_shards, op8_language_crf, op9_decontaminate, op10_masked_lm, op11_token_files, op12_conversation_repair, op13_embedding_whitening)
 }
 ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
