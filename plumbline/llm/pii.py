@@ -30,7 +30,8 @@ SCHEMES = ("http://", "https://", "ftp://", "HTTP://", "HTTPS://", "FTP://")
 CUES = ("IBAN", "iban", "Iban", "account", "Account", "ACCOUNT", "acct", "Acct", "ACCT", "Konto", "KONTO", "cuenta", "Cuenta", "compte", "Compte")
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-LABEL = DIGITS | LETTERS | {"-"}
+WORD = DIGITS | LETTERS
+LABEL = WORD | {"-"}
 LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 PHONE = DIGITS | frozenset(" ().-")
 URL_END = frozenset(" \t\r\n\x0b\x0c<>\"'`{}|\\^")
@@ -134,29 +135,33 @@ def iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _iban(text: str, at: int) -> int | None:
+    """End of the longest IBAN from ``at``, in words with single blanks between; its first four characters are looked at first."""
+    n, code, end, best = len(text), "", at, None
+    while end < n and len(code) < 34:
+        if text[end] in WORD:
+            code += text[end].upper()
+            end += 1
+            if len(code) == 2 and not code.isalpha() or len(code) == 4 and not code[2:].isdigit():
+                return None
+            if len(code) >= 15 and (end == n or text[end] not in WORD) and iban(code):
+                best = end
+        elif text[end] == " " and end + 1 < n and text[end + 1] in WORD:
+            end += 1
+        else:
+            break
+    return best
+
+
 def _account(text: str, after: int) -> tuple[int, int] | None:
     """The first IBAN or run of account digits that begins within ``CUE_GAP`` characters behind a cue."""
-    word = DIGITS | LETTERS
-    at = after
-    while at < min(len(text), after + CUE_GAP):
-        if text[at] in word and text[at - 1] not in word:
-            end, code, best = at, "", None
-            while end < len(text) and len(code) < 34:
-                if text[end] in word:
-                    code += text[end].upper()
-                    end += 1
-                    if iban(code) and text[end : end + 1] not in word:
-                        best = end
-                elif text[end] == " " and text[end + 1 : end + 2] in word and text[end + 1 : end + 2]:
-                    end += 1
-                else:
-                    break
-            if best:
-                return at, best
+    for at in range(after, min(len(text), after + CUE_GAP)):
+        if text[at] in WORD and text[at - 1] not in WORD:
             if text[at] in DIGITS:
                 end, digits = _chain(text, at)
                 return (at, end) if ACCOUNT_DIGITS[0] <= digits <= ACCOUNT_DIGITS[1] else None
-        at += 1
+            if best := _iban(text, at):
+                return at, best
     return None
 
 

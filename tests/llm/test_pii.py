@@ -63,9 +63,26 @@ def test_scan_and_redact(spark):
 
 
 def test_adversarial_texts_take_linear_time():
+    """Twice the text takes about twice the processor time, whatever the machine; and no character over some microseconds."""
     import time
 
-    for unit in ("http:///", "http://a,", "a@", "a.b@c.", "+1 ", "1.", "1-", "IBAN ", "account 1", "@", "http://"):
-        began = time.time()
-        pii.find_spans(unit * (400_000 // len(unit)))
-        assert time.time() - began < 8, unit
+    def seconds(text):
+        best = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            pii.find_spans(text)
+            best = min(best, time.process_time() - began)
+        return best
+
+    for unit in ("http:///", "http://a,", "a@", "a.b@c.", "+1 ", "1.", "1-", "IBAN ", "IBAN AA11 ", "IBAN AA11AAAAAAAAAAAA", "account 1", "@", "http://"):
+        one, two = (seconds(unit * (n // len(unit))) for n in (60_000, 120_000))
+        assert two < 2.5 * one + 0.02, unit
+
+
+def test_account_numbers_behind_cues():
+    code = "GB82 WEST 1234 5698 7654 32"
+    spans = lambda t: [t[a:b] for k, a, b in pii.find_spans(t) if k == "account"]
+    assert spans(f"IBAN: {code}, thanks") == [code] and spans("iban " + code.replace(" ", "")) == [code.replace(" ", "")]
+    assert spans(f"IBAN {code} AB12") == [code] and spans("IBAN GB82 WESTX 1234") == []
+    assert spans("account no. 123456789") == ["123456789"] and spans("account 12345") == []
+    assert spans("IBAN AA11 IBAN AA11 ") == [] and spans("IBAN DE89370400440532013000x") == []
