@@ -167,7 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         mark = np.unpackbits(chosen.value)
         return pd.Series([present(t, mark).astype(np.int32) for t in column])
 
-    drawn = _drawn(marked, F.xxhash64(F.col("doc_id").cast("string"), "label")).select("doc_id", "label")
+    # Only labels whose documents are there may be drawn.
+    there = docs.select(F.col(id_col).alias("doc_id"))
+    there = cut(marked.join(there.hint("merge"), "doc_id", "left_semi"))
+    drawn = _drawn(there, F.xxhash64(F.col("doc_id").cast("string"), "label")).select("doc_id", "label")
     texts_ = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # About 2 * SAMPLE_DOCS ids are broadcast, so the texts don't cross a second shuffle. Equal rows are one.
     named = texts_.join(F.broadcast(drawn), "doc_id").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "label", "text"))

@@ -48,3 +48,14 @@ def test_long_texts_in_slices_and_repeated_ids(spark, monkeypatch):
     marks = [(1, 1)] + [(2 + k, 0) for k in range(60)]
     model = t.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
     assert model.score("you idiot 7") > model.score("nice day 7")
+
+
+def test_labels_of_documents_that_are_not_there(spark):
+    """Labels may name far more ids than there are documents: those with documents are learned from all the same."""
+    rows = [(k, f"you idiot {k} fool" if k % 2 else f"nice day {k} friend") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    others = spark.range(1000, 401_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    few, many = t.fit(docs, own), t.fit(docs, own.union(others))
+    assert many.bias == few.bias and (many.weights == few.weights).all()
+    assert [r.predicted for r in t.predict(docs, many).orderBy("doc_id").collect()] == [k % 2 for k in range(40)]
