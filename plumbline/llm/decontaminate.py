@@ -47,7 +47,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     split = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), words.alias("w")).where(F.size("w") > 0)
-    return split.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.slice("w", i + 1, size)))).alias("words")).distinct()
+    return split.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("words")).distinct()
 
 
 class WindowSet:

@@ -69,3 +69,9 @@ def test_null_item_ids_and_parts(spark):
         for most, want in ((0.0, {3: "none", None: None}), (0.8, {1: "a ", 3: "none", None: None})):
             kept = d.decontaminate(docs, d.item_windows(items), most_hit=most, set_windows=parts)
             assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == want
+
+
+def test_long_items_take_linear_time(spark):
+    """An item of tens of thousands of words gives all its windows at once."""
+    items = spark.createDataFrame([(1, " ".join(f"w{k % 40_009}" for k in range(120_000)))], "item_id long, text string")
+    assert d.item_windows(items).count() == 40_009
