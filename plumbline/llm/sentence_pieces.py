@@ -343,12 +343,12 @@ def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "t
     """``docs`` with ``pieces`` (ids of the best path), ``piece_score`` and ``piece_alternatives``.
 
     Alternatives are the next best paths, best first, as edits of ``pieces``.
-    Columns of ``docs`` that have these names are replaced; all rows stay. A null
+    Columns of ``docs`` that have these names, in any case, are replaced; all rows stay. A null
     or empty text has no pieces, score 0 and no alternatives; an empty table
     stays empty. ``scores`` by piece id replace the model file's. With ``verify``,
     ``piece_round_trip`` says whether decoding the pieces gives the text back.
     """
-    kept = [c for c in docs.columns if c not in ("pieces", "piece_score", "piece_alternatives", "piece_round_trip")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("pieces", "piece_score", "piece_alternatives", "piece_round_trip")]
     docs = docs.select(*kept)
     made = StructType.fromDDL(f"pieces array<int>, piece_score double, piece_alternatives {ALTERNATIVES}" + ", piece_round_trip boolean" * verify)
 

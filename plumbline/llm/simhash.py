@@ -11,9 +11,10 @@ anchor of one lies within that distance of the other: comparing, per anchor, its
 homes with its members finds every link. Equal fingerprints are collapsed
 before, and each task returns a spanning forest of its links, never all pairs.
 
-Texts are alike from a Jaccard similarity of their shingles on (``keep_first``)
-by wide fingerprints: 256 bits, whose differing share estimates the similarity.
-There every fingerprint goes to all anchors within covering radius plus half of
+Texts are alike from a Jaccard similarity of their shingles on (``keep_first``).
+Candidates are groups of wide fingerprints: 256 bits, whose differing share
+estimates the similarity, with a margin; within a group the exact similarity
+decides (``verified``). There every fingerprint goes to all anchors within covering radius plus half of
 the block threshold: the point half way between two blocks lies that near to
 both, and so does its anchor. Six blocks with a threshold of two bits find 0.9
 and more of the pairs at similarity 0.8, nearly all above.
@@ -28,11 +29,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, runs, texts
+from plumbline.llm.verified import digest_filter, links, may_hold, shingle_hashes
 from plumbline.operators.duplicates import components
 
 SHINGLE_WORDS = 4
@@ -44,6 +45,8 @@ CELL_ROWS = 20_000
 PAIRS_AT_ONCE = 2_000_000
 #: Members of an anchor from which groups around pivots are linked first, and how many pivots.
 PIVOT_ROWS, PIVOTS = 256, 8
+#: Words of a wide fingerprint whose blocks have anchors.
+ANCHORED = 2
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -67,11 +70,11 @@ class Scheme:
         return [f"f{k}" for k in range(self.width)]
 
 
-def alike(similarity: float = 0.8, shingle_words: int = 5, width: int = 4) -> Scheme:
-    """Fingerprints that link texts of about this Jaccard similarity: the bits that such texts differ by, and one standard deviation more."""
+def alike(similarity: float = 0.8, shingle_words: int = 5, width: int = 4, margin: float = 2.5) -> Scheme:
+    """Fingerprints whose links are candidates for this Jaccard similarity: the bits that such texts differ by, and ``margin`` standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * width
-    return Scheme(shingle_words, int(bits * p + math.sqrt(bits * p * (1 - p))), width, 2, 2, True)
+    return Scheme(shingle_words, int(bits * p + margin * math.sqrt(bits * p * (1 - p))), width, ANCHORED, 2, True)
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, width: int = 1) -> tuple[int, ...]:
@@ -79,18 +82,9 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, width: int = 1) ->
 
     The first number counts the bits of the shingles' XXH64, others those of hashes mixed from it.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
         return (0,) * width
-    joined = b" ".join(parts)
-    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = [0, *(spaces + 1).tolist()]
-    ends = [*spaces.tolist(), len(joined)]
-    digest = xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        hashes = np.array([digest(joined, 42)], np.uint64)
-    else:
-        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :])], np.uint64)
     ones = np.zeros((width, 64), np.int64)
     for k in range(width):
         values = hashes
@@ -319,28 +313,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Of each group of texts alike one row of ``docs``: that with the smallest id, of equal ids the one with the smallest hash of its text.
 
-    Rows link where their wide fingerprints estimate a Jaccard similarity of the
-    word shingles of about ``similarity`` or more; groups are connected. A row
-    without an id is kept only where no row of its group has one. Null, empty
-    and wordless texts are one group. Equal rows are one. All columns stay,
-    whatever their names; an empty table stays empty.
+    Rows link where the Jaccard similarity of their sets of word shingles is
+    ``similarity`` or more; groups are connected. Wide fingerprints find the
+    candidates, the sets decide. A row without an id is kept only where no row of
+    its group has one. Null, empty and wordless texts are one group. Equal rows
+    are one. All columns stay, whatever their names; an empty table stays empty;
+    a text of any length is held whole by a task.
+
+    Texts are shuffled only of rows that a filter of fixed size does not rule out:
+    those in groups of more than one row.
     """
     scheme = alike(similarity, shingle_words)
     digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest")), scheme))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest"))
     rows = prints.groupBy("doc_id", "digest", *scheme.columns).agg(F.count("*").alias("n"))  # repeats are counted before they meet
-    named = rows.join(classes_of(prints, scheme, cell_rows), scheme.columns)
-    first = named.groupBy("root").agg(best.alias("best"))
-    kept = first.select(F.col("best.id").alias("id"), F.col("best.digest").alias("digest"))
-    key = ["_kept_none", "_kept_id", "_kept_digest"]
-    id_or = lambda c: [c.isNull().alias(key[0]), F.coalesce(c.cast("string"), F.lit("")).alias(key[1])]
-    kept = kept.select(*id_or(F.col("id")), F.col("digest").alias(key[2]))
-    again = cut(rows.where("n > 1").select(*id_or(F.col("doc_id")), F.col("digest").alias(key[2])).distinct())
-    kept = cut(kept.join(again.withColumn("_again", F.lit(True)), key, "left"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *id_or(F.col(id_col)), digest.alias(key[2]))
-    joined = marked.join(kept, key)
+    named = cut(rows.join(classes_of(prints, scheme, cell_rows), scheme.columns).select("doc_id", "digest", "n", F.xxhash64("root").alias("root")))
+    sizes = cut(named.groupBy("root").agg((F.sum("n") > 1).alias("several"), (F.min("digest") < F.max("digest")).alias("mixed")))
+    named = cut(named.join(sizes, "root"))
+    several, mixed = named.where("several"), cut(named.where("mixed").select("root", "digest").distinct())
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    to_verify = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).where(may_hold(digest_filter(mixed, "digest"))(F.col("digest")))
+    distinct = to_verify.groupBy("digest").agg(F.first("text").alias("text"))  # copies meet within each task
+    roots = components(links(distinct.join(mixed, "digest"), similarity, shingle_words)).select(F.col("node").alias("digest"), F.col("root").alias("class"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest", "n"))
+    first = several.join(roots, "digest", "left").groupBy(F.coalesce("class", "digest").alias("class")).agg(best.alias("best"))
+
+    # Only of rows that may be the kept ones of a group the whole row is shuffled, and the exact keys decide.
+    key = ["_none", "_id", "_digest"]
+    keys = lambda c, d: [c.isNull().alias(key[0]), F.coalesce(c.cast("string"), F.lit("")).alias(key[1]), d.alias(key[2])]
+    kept = cut(first.select(*keys(F.col("best.id"), F.col("best.digest")), (F.col("best.n") > 1).alias("_again")).withColumn("_key", F.xxhash64(*key)))
+    in_group, may_stay = may_hold(digest_filter(several, "digest")), may_hold(digest_filter(kept, "_key"))
+    lone = named.where(~F.col("several") & in_group(F.col("digest"))).select(*keys(F.col("doc_id"), F.col("digest")), F.lit(False).alias("_again"))
+    marked = docs.select(row, *keys(F.col(id_col), digest)).withColumn("_group", in_group(F.col("_digest")))
+    alone = marked.where("NOT _group").select("_row")
+    lone = cut(lone.withColumn("_key", F.xxhash64(*key)))
+    if not lone.isEmpty():  # rows that the filter of groups takes for members
+        kept = cut(kept.unionByName(lone))
+        may_stay = may_hold(digest_filter(kept, "_key"))
+    joined = marked.where("_group").where(may_stay(F.xxhash64(*key))).join(kept.drop("_key"), key)
     whole = lambda df: df.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    if again.isEmpty():
-        return whole(joined)
-    return whole(joined.where("_again IS NULL")).unionByName(whole(joined.where("_again").dropDuplicates(key)))
+    if kept.where("_again").isEmpty():
+        return whole(joined.select("_row").unionByName(alone))
+    return whole(joined.where("NOT _again").select("_row").unionByName(alone).unionByName(joined.where("_again").dropDuplicates(key).select("_row")))

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
+from plumbline.llm import simhash, verified
 
 
 def plain_fingerprint(text):
@@ -19,6 +20,12 @@ def plain_fingerprint(text):
 
 
 def plain_components(ids, prints):
+    near = [(i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    return plain_roots(ids, near)
+
+
+def plain_roots(ids, edges):
+    """Smallest id reachable over edges between places of ``ids``."""
     root = list(range(len(ids)))
 
     def find(i):
@@ -26,10 +33,8 @@ def plain_components(ids, prints):
             i = root[i]
         return i
 
-    for i in range(len(ids)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                root[find(i)] = find(j)
+    for i, j in edges:
+        root[find(i)] = find(j)
     least = {}
     for i, x in enumerate(ids):
         least[find(i)] = min(x, least.get(find(i), x))
@@ -112,25 +117,70 @@ def test_groups_around_pivots_lose_no_link(spark, monkeypatch):
         assert {p: roots.get(p, p) for p in prints} == want
 
 
-def test_keep_first_catches_similar_texts_and_spares_others(spark):
-    rnd = random.Random(8)
+def edited_pairs(groups, seed=8):
+    """(doc_id, text) rows: a text and an edited one for each group, and their five-word similarities by the second's id."""
+    rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
     rows, similar = [], {}
-    for g in range(400):
+    for g in range(groups):
         base = [word() for _ in range(rnd.choice([60, 120, 400]))]
         rows.append((10 * g, " ".join(base)))
         edited = list(base)
-        for _ in range(max(1, len(base) // rnd.choice([60, 80, 120]))):
+        for _ in range(max(1, len(base) // rnd.choice([25, 30, 35, 40, 50, 60, 80, 120]))):
             edited[rnd.randrange(len(edited))] = word()
         rows.append((10 * g + 1, " ".join(edited)))
         similar[10 * g + 1] = jaccard(rows[-2][1], rows[-1][1])
+    return rows, similar
+
+
+def test_keep_first_catches_similar_texts_and_no_others(spark):
+    rows, similar = edited_pairs(1500)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as first", "'x' as root")
     kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
-    assert {10 * g for g in range(400)} <= kept
-    alike = [i for i, s in similar.items() if s >= 0.8]
-    near = [i for i, s in similar.items() if 0.8 <= s < 0.87]
-    assert len(alike) > 200 and len(near) > 40
-    assert np.mean([i not in kept for i in alike]) > 0.92 and np.mean([i not in kept for i in near]) > 0.8
+    assert {r[0] for r in rows if r[0] % 10 == 0} <= kept
+    assert {i for i, s in similar.items() if s < 0.8} <= kept and sum(0.7 <= s < 0.8 for s in similar.values()) > 100
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        band = [i for i, s in similar.items() if low <= s < high]
+        assert len(band) > 60 and np.mean([i not in kept for i in band]) >= 0.9, low
+
+
+def plain_links(rows, similarity=0.8):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("group_rows", [256, 7])
+def test_links_within_groups_connect_what_exact_links_do(spark, monkeypatch, group_rows):
+    """Chains, stars and strangers in one group, as small groups and as blocks of a large one."""
+    monkeypatch.setattr(verified, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(verified, "PIVOTS", 3)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(5):
+        text = [word() for _ in range(80)]
+        for _ in range(14):  # each a small step from one of those before: links chain
+            rows.append((len(rows), " ".join(text)))
+            text = rnd.choice([r[1] for r in rows[-4:]]).split()[:80]
+            for _ in range(rnd.choice([1, 2, 5])):
+                text[rnd.randrange(80)] = word()
+    rows += [(1000 + k, "") for k in range(3)] + [(2000 + k, word()) for k in range(3)]
+    ids = list(dict(rows))
+    want = plain_roots(ids, [(ids.index(a), ids.index(b)) for a, b in plain_links(rows)])
+    members = spark.createDataFrame([(1, i, t) for i, t in rows] + [(2, 5000, "alone")], "root long, digest long, text string")
+    edges = verified.links(members, 0.8, 5)
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert {i: roots.get(i, i) for i, _ in rows} == want
+    assert len(set(want.values())) < len(want) - 20
+
+
+def test_filter_rules_out_only_what_is_not_there(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("digest"))
+    look = verified.may_hold(verified.digest_filter(rows, "digest"))
+    assert rows.where(look(F.col("digest"))).count() == 5000
+    assert spark.range(5000, 15000).select(F.xxhash64("id").alias("digest")).where(look(F.col("digest"))).count() < 50
+    none = verified.may_hold(verified.digest_filter(rows.limit(0), "digest"))
+    assert rows.where(none(F.col("digest"))).count() == 0
 
 
 def test_keep_first_of_odd_rows(spark):
