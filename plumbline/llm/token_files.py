@@ -19,6 +19,7 @@ A block holds whole documents and ends at the first that fills it.
 from __future__ import annotations
 
 import array
+import functools
 import json
 import os
 import re
@@ -91,8 +92,21 @@ class Encoder:
             # A byte's character in the vocabulary: itself where it prints, else the next from 256 on.
             prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
             others = [b for b in range(256) if b not in prints]
-            shown, model = {b: 256 + k for k, b in enumerate(others)}, self.library.model
-            self.memo = _Memo(lambda p: array.array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))]).tobytes())
+            shown, tokenize = {b: chr(256 + k) for k, b in enumerate(others)} | {b: chr(b) for b in prints}, self.library.model.tokenize
+            blank = shown[32]
+
+            def ask(piece: str) -> bytes:
+                named = piece.replace(" ", blank) if piece.isascii() and piece.isprintable() else "".join([shown[b] for b in piece.encode()])
+                return array.array("I", [t.id for t in tokenize(named)]).tobytes()
+
+            self.memo = _Memo(ask)
+
+    def shrink(self) -> None:
+        """Forgets pieces of more than two ids, which are rarely seen again; all where that leaves over half."""
+        short = {p: x for p, x in self.memo.items() if len(x) <= 8}
+        self.memo.clear()
+        if len(short) <= MEMO_PIECES // 2:
+            self.memo.update(short)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -101,7 +115,7 @@ class Encoder:
             if self.split and self.plain(text) and not any(m in text for m in self.marks):
                 out[k] = b"".join(map(self.memo.__getitem__, self.split(text)))
                 if len(self.memo) > MEMO_PIECES:
-                    self.memo.clear()
+                    self.shrink()
             else:
                 whole.append(k)
         if whole:
@@ -111,6 +125,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task with the pieces that it remembers."""
+    return Encoder(path)
+
+
 # ---------------------------------------------------------------- blocks
 
 
@@ -133,7 +153,8 @@ def code(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     control = np.bitwise_or.reduce(marks.reshape(-1, each) << (bits * np.arange(each)).astype(np.uint8), axis=1).astype(np.uint8)
     at = np.cumsum(size) - size
     data = np.empty(int(size.sum()), np.uint8)
-    for k in range(4):
+    data[at] = ranks & 255
+    for k in range(1, 1 << bits):
         some = size > k
         data[at[some] + k] = ranks[some] >> (8 * k) & 255
     return control.tobytes(), data.tobytes()
@@ -144,7 +165,7 @@ def decode(control: bytes, data: bytes, n: int, bits: int) -> np.ndarray:
     size = LENGTHS[bits][np.frombuffer(control, np.uint8)].ravel()[:n]
     at, held = np.cumsum(size) - size, np.frombuffer(data, np.uint8)
     out = held[at].astype(np.uint32) if n else np.zeros(0, np.uint32)
-    for k in range(1, 4):
+    for k in range(1, 1 << bits):
         some = size > k
         if some.any():
             out[some] |= held[at[some] + k].astype(np.uint32) << np.uint32(8 * k)
@@ -195,7 +216,7 @@ def _stage(docs: DataFrame, tokenizer: str, end_id: int | None, path: str) -> No
         import zstandard
         from pyspark import TaskContext
 
-        encoder, press = Encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        encoder, press = encoder_of(tokenizer), zstandard.ZstdCompressor(level=1)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         counts, place = np.zeros(max(encoder.ids, (end_id or 0) + 1), np.int64), TaskContext.get().partitionId() << 33
         kind = "<u2" if len(counts) <= 1 << 16 else "<u4"
