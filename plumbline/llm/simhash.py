@@ -333,7 +333,8 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5,
     several, mixed = named.where("several"), cut(named.where("mixed").select("root", "digest").distinct())
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    to_verify = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).where(may_hold(digest_filter(mixed, "digest"))(F.col("digest")))
+    in_mixed = digest_filter(mixed, "digest")
+    to_verify = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).where(may_hold(in_mixed)(F.col("digest")))
     distinct = to_verify.groupBy("digest").agg(F.first("text").alias("text"))  # copies meet within each task
     roots = components(links(distinct.join(mixed, "digest"), similarity, shingle_words)).select(F.col("node").alias("digest"), F.col("root").alias("class"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest", "n"))
@@ -343,6 +344,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5,
     key = ["_none", "_id", "_digest"]
     keys = lambda c, d: [c.isNull().alias(key[0]), F.coalesce(c.cast("string"), F.lit("")).alias(key[1]), d.alias(key[2])]
     kept = cut(first.select(*keys(F.col("best.id"), F.col("best.digest")), (F.col("best.n") > 1).alias("_again")).withColumn("_key", F.xxhash64(*key)))
+    in_mixed.unpersist()
     in_group, may_stay = may_hold(digest_filter(several, "digest")), may_hold(digest_filter(kept, "_key"))
     lone = named.where(~F.col("several") & in_group(F.col("digest"))).select(*keys(F.col("doc_id"), F.col("digest")), F.lit(False).alias("_again"))
     marked = docs.select(row, *keys(F.col(id_col), digest)).withColumn("_group", in_group(F.col("_digest")))

@@ -30,8 +30,8 @@ from plumbline.operators.duplicates import components
 GROUP_ROWS, GROUP_CHARS = 256, 4_000_000
 #: Pivots of a large group.
 PIVOTS = 8
-#: Bits of a filter of digests: 8 MB, whatever the number of digests.
-FILTER_BITS = 1 << 26
+#: Bits of a filter of digests: 2 MB, whatever the number of digests.
+FILTER_BITS = 1 << 24
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
