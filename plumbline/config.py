@@ -85,6 +85,7 @@ class Suspicion:
     null_floor: float = 0.5
     offtopic_topics: tuple[str, ...] = ("off_topic", "joke_meme", "platform_policy")
     dup_min_size: int = 3
+    semantic_min_size: int = 15
     phrases: int = 6
     seed: int = 7
 

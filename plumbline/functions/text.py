@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import html
-from collections import Counter
 
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -42,8 +40,10 @@ NEEDS = {
     "long_time_player": ("long",),
     "based_on_experience": ("based",),
 }
-#: Of "greets_model": both a greeting and a name of a model.
-GREETED = ("llm", "model", "gpt", "bot", "algorithm", "classifier", "a.i.", " ai", ",ai", "\tai", "\nai")
+#: Of "greets_model": a name of a model.
+GREETED = ("llm", "model", "gpt", "bot", "algorithm", "classifier", "a.i.", "ai")
+#: Characters that match an ASCII letter regardless of case, and that letter.
+FOLDED = ("\u017f\u212a\u0130\u0131", "skii")
 
 
 def has(c: Column, rule: str, fold: bool = False) -> Column:
@@ -55,7 +55,7 @@ def holds(c: Column, name: str, rule: str, fold: bool = False) -> Column:
     needs = NEEDS.get(name) or (GREETED if name == "greets_model" else None)
     if needs is None:
         return has(c, rule, fold)
-    low, out = F.lower(c) if fold else c, None
+    low, out = F.lower(F.translate(c, *FOLDED)) if fold else c, None
     for x in needs:
         one = F.contains(low, F.lit(x))
         out = one if out is None else out | one
@@ -216,54 +216,3 @@ def account_flags(meta: Column, low_playtime: int = 120) -> dict[str, Column]:
         "received_for_free": m["received_for_free"],
         "not_purchased": ~m["steam_purchase"],
     }
-
-
-# Frequent short words by language, for languages in Latin script.
-FREQUENT_WORDS = {
-    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "den", "von", "mit", "sich", "auf", "es"),
-    "en": ("the", "and", "of", "to", "is", "that", "it", "in", "was", "for", "on", "with", "be", "this", "are"),
-    "es": ("el", "los", "las", "que", "del", "por", "con", "una", "para", "como", "su", "al", "lo", "y", "más"),
-    "fr": ("le", "les", "et", "des", "est", "dans", "que", "pour", "une", "qui", "sur", "du", "au", "pas", "ne"),
-    "it": ("il", "di", "che", "non", "per", "una", "sono", "del", "della", "con", "anche", "gli", "più", "ma", "è"),
-    "pl": ("nie", "się", "na", "jest", "to", "że", "do", "jak", "ale", "po", "od", "za", "tak", "czy", "już"),
-    "pt": ("o", "os", "que", "não", "uma", "com", "para", "por", "mais", "como", "mas", "foi", "ao", "ele", "das"),
-    "tr": ("ve", "bir", "bu", "için", "çok", "ile", "ama", "da", "de", "ne", "gibi", "daha", "var", "kadar", "olarak"),
-}
-# Letters that only one of these languages uses, each worth a word.
-LETTERS = {"de": "ß", "es": "ñ¿¡", "fr": "œ", "pl": "ąćęłńśźż", "pt": "ãõ", "tr": "ğış"}
-# Scripts of languages that are told by them, in the order in which they are asked.
-SCRIPTS = (("ja", r"[\x{3040}-\x{30FF}]"), ("ko", r"[\x{AC00}-\x{D7A3}]"), ("zh", r"[\x{4E00}-\x{9FFF}]"), ("ru", r"[\x{0400}-\x{04FF}]"))
-
-
-_SIGNS = {w: [k for k, v in FREQUENT_WORDS.items() if w in v] for v_ in FREQUENT_WORDS.values() for w in v_}
-_WORDS = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+").findall
-
-
-def likeliest(text: str) -> str | None:
-    """The language with most frequent words and letters of its own in a lower-case text, of equals the first by name; None without any."""
-    found = dict.fromkeys(FREQUENT_WORDS, 0)
-    for w, n in Counter(_WORDS(text)).items():
-        for k in _SIGNS.get(w, ()):
-            found[k] += n
-    for k, letters in LETTERS.items():
-        found[k] += sum(map(text.count, letters))
-    best = max(found, key=found.get)
-    return best if found[best] else None
-
-
-@F.pandas_udf(StringType())
-def _likeliest(column: pd.Series) -> pd.Series:
-    return pd.Series([likeliest(x.lower()) if isinstance(x, str) else None for x in column], dtype="object")
-
-
-def guess_language(c: Column, least: int = 20) -> Column:
-    """One of twelve languages, null for texts shorter than ``least`` or without any sign of one.
-
-    A script that makes up a fifth of the text or more decides; else frequent
-    words and letters do, counted in Python as a task of many word lists.
-    """
-    text = _text(c)
-    out = F.when(F.length(text) < least, F.lit(None).cast("string"))
-    for lang, script in SCRIPTS:
-        out = out.when(F.regexp_count(text, F.lit(script)) * 5 >= F.length(text), lang)
-    return out.otherwise(_likeliest(text))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Bursts
+from plumbline.operators.intervals import within
 
 MAD_TO_SD = 1.4826
 
@@ -59,7 +60,8 @@ def windows(scored: DataFrame, cfg: Bursts = Bursts()) -> DataFrame:
     flagged = scored.where("flagged").withColumn("h", at)
     fresh = F.coalesce(F.col("h") - F.lag("h").over(order) > cfg.gap + 1, F.lit(True)).cast("int")
     spans = flagged.withColumn("island", F.sum(fresh).over(order)).groupBy("verdict", "island").agg(F.min("hour").alias("start"), F.max("hour").alias("end"))
-    inside = scored.join(F.broadcast(spans), "verdict").where("hour BETWEEN start AND end")  # spans: at most one a flagged hour
+    hour_after = F.expr("interval 1 hour")
+    inside = within(scored, spans.withColumn("_end", F.col("end") + hour_after), "hour", end="_end", on=("verdict",))
     peak = F.max(F.struct("n", (-F.unix_timestamp(F.col("hour").cast("timestamp"))).alias("early"), "hour", "z"))
     mean = F.avg(F.when(~F.isnan("baseline"), F.col("baseline")))
     out = inside.groupBy("verdict", "start", "end").agg(F.sum("n").alias("size"), F.count("*").alias("hours"), peak.alias("p"), F.round(mean, 2).alias("baseline_per_hour"))
@@ -68,8 +70,8 @@ def windows(scored: DataFrame, cfg: Bursts = Bursts()) -> DataFrame:
 
 def members(reviews: DataFrame, spans: DataFrame) -> DataFrame:
     """(verdict, start, id): the reviews of each window."""
-    r = rated(reviews).select("id", "hour", "verdict")
-    return r.join(F.broadcast(spans.select("verdict", "start", "end")), "verdict").where("hour BETWEEN start AND end").select("verdict", "start", "id")
+    ends = spans.select("verdict", "start", (F.col("end") + F.expr("interval 1 hour")).alias("end"))
+    return within(rated(reviews).select("id", "hour", "verdict"), ends, "hour", on=("verdict",)).select("verdict", "start", "id")
 
 
 def daily_share(reviews: DataFrame, least: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,12 +16,13 @@ from pyspark.sql.types import StructField, StructType
 
 from plumbline.config import Suspicion
 from plumbline.functions.patterns import STOP_WORDS
+from plumbline.operators.blocks import against
 from plumbline.operators.duplicates import components
 from plumbline.plans.tables import cut
 
 WIDTH = 64
-#: Rows of a random subset up to which each is drawn on its own.
-POINTS = 100_000
+#: Ranks of a random order that meet the sizes of subsets together.
+RANK_CELL = 1024
 #: Terms that a task counts before it passes them on; what a word is, as in the engine's expressions.
 TERMS_HELD = 500_000
 WORDS = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+").findall
@@ -134,6 +136,27 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", b
     return found.select("id", F.col("b.other").alias("neighbour"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "b.cosine")).alias("cosine"))
 
 
+def nearest_of(queries: DataFrame, rows: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """(id, neighbour, cosine): for each of (id, v) queries the nearest of (id, v) rows but itself, ties to the smaller id.
+
+    Its work is queries by rows, in blocks.
+    """
+
+    def compare(asked: pd.DataFrame, y: np.ndarray, own: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+        ids, s = own["id"].to_numpy(), np.round(y @ x.T, 12)
+        s[asked["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        shown = np.round(s, 9)
+        best = shown.max(axis=1)
+        other = np.where(shown == best[:, None], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+        at = np.searchsorted(ids, other, sorter=(order := np.argsort(ids, kind="stable")))
+        out = pd.DataFrame({"id": asked["id"], "neighbour": other, "cosine": s[np.arange(len(s)), order[np.minimum(at, len(ids) - 1)]]})
+        return out[np.isfinite(best)]
+
+    found = against(rows.select("id", "v"), queries.select("id", "v"), compare, "id long, neighbour long, cosine double", block_rows)
+    best = F.min(F.struct((-F.round("cosine", 9)).alias("c"), "neighbour", "cosine"))
+    return found.groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "b.cosine")).alias("cosine"))
+
+
 def cosine_components(df: DataFrame, cosine: float, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int | None = None, min_size: int = 2) -> DataFrame:
     """(id, cluster): components of the graph of rows whose cosine is at least ``cosine``; rows in smaller ones get -1.
 
@@ -155,85 +178,6 @@ def cosine_components(df: DataFrame, cosine: float, id_col: str = "vec_id", vec_
     return named.join(sizes, "root").select("id", F.when(F.col("n") >= min_size, F.col("root")).otherwise(-1).alias("cluster"))
 
 
-def density_labels(x: np.ndarray, min_size: int = 15) -> np.ndarray:
-    """Hierarchical density clusters of a small set (at most some thousand points); -1 is noise.
-
-    Mutual reachability, minimum spanning tree, condensed tree, clusters by
-    excess of mass; the whole set is never one cluster.
-    """
-    n = len(x)
-    if n < 2 * min_size:
-        return np.full(n, -1)
-    squares = (x * x).sum(axis=1)
-    dist = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0))
-    core = np.partition(dist, min_size - 1, axis=1)[:, min_size - 1]
-    reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
-    near, link, inside, at = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0
-    edges = []
-    for _ in range(n - 1):
-        inside[at] = True
-        better = ~inside & (reach[at] < near)
-        near[better], link[better] = reach[at][better], at
-        at = int(np.where(inside, np.inf, near).argmin())
-        edges.append((near[at], link[at], at))
-    parent, node, children, size, height = list(range(n)), list(range(n)), {}, {k: 1 for k in range(n)}, {}
-
-    def find(k):
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    top = n
-    for d, a, b in sorted(edges):
-        a, b = find(a), find(b)
-        children[top], height[top], size[top] = (node[a], node[b]), d, size[node[a]] + size[node[b]]
-        parent[b] = a
-        node[a] = top
-        top += 1
-
-    def leaves(k):
-        out, stack = [], [k]
-        while stack:
-            k = stack.pop()
-            if k < n:
-                out.append(k)
-            else:
-                stack += children[k]
-        return out
-
-    clusters, stack = {}, [(top - 1, 0.0, None)]  # tree node where a cluster begins: its mass, parts and parent
-    while stack:
-        start, birth, above = stack.pop()
-        mass, parts, todo = 0.0, [], start
-        while todo >= n:
-            level = 1 / max(height[todo], 1e-12)
-            a, b = sorted(children[todo], key=size.get, reverse=True)
-            if size[b] >= min_size:
-                mass += size[todo] * (level - birth)
-                parts = [a, b]
-                stack += [(a, level, start), (b, level, start)]
-                break
-            mass += size[b] * (level - birth)
-            if size[a] < min_size:
-                mass += size[a] * (level - birth)
-                break
-            todo = a
-        clusters[start] = [mass, parts, above]
-    kept = {}
-    for start in sorted(clusters, key=lambda k: size[k]):
-        mass, parts, above = clusters[start]
-        below = sum(kept[p][0] for p in parts)
-        if parts and (below > mass or above is None):
-            kept[start] = (below, [c for p in parts for c in kept[p][1]])
-        else:
-            kept[start] = (mass, [start] if above is not None else [])
-    labels = np.full(n, -1)
-    for k, c in enumerate(sorted(kept[top - 1][1], key=lambda c: min(leaves(c)))):
-        labels[leaves(c)] = k
-    return labels
-
-
 def term_counts(df: DataFrame, cluster: str, text_col: str = "text") -> DataFrame:
     """(cluster, term, n): words of two characters and more that are no English stop words, and pairs of neighbours among them.
 
@@ -278,56 +222,67 @@ def top_phrases(df: DataFrame, cluster: str, k: int = 6, text_col: str = "text")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("cluster", "rank", "term", "score")
 
 
-def densest(members: DataFrame, hours: float, key: str = "cluster", time: str = "created_at") -> DataFrame:
-    """(key, count, start): the fullest half-open window of a width, the earliest of equals."""
-    seconds = F.unix_micros(F.col(time).cast("timestamp"))
-    frame = Window.partitionBy(key).orderBy("_us").rangeBetween(0, int(hours * 3_600_000_000) - 1)
-    counted = members.where(F.col(time).isNotNull()).withColumn("_us", seconds).withColumn("count", F.count("*").over(frame))
-    return counted.groupBy(key).agg(F.max(F.struct("count", (-F.col("_us")).alias("e"), F.col(time).alias("start"))).alias("m")).select(key, F.col("m.count").alias("count"), F.col("m.start").alias("start"))
+def densest(members: DataFrame, hours: float, key: str | list[str] = "cluster", time: str = "created_at") -> DataFrame:
+    """(key, count, start): the fullest half-open window of a width, the earliest of equals.
 
+    Time is cut into cells as wide as the window; a cell gets its own instants,
+    where windows start, and those of the next one. Equal instants are counted
+    before. So a key with very many rows is many small groups.
+    """
+    keys, width = [key] if isinstance(key, str) else key, int(hours * 3_600_000_000)
+    counted = members.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.count("*").alias("_n")).withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
+    cell = F.floor(F.col("_us") / width).cast("long")
+    placed = counted.withColumn("_cell", F.explode(F.array(cell, cell - 1)))
+    frame = Window.partitionBy(*keys, "_cell").orderBy("_us").rangeBetween(0, width - 1)
+    starts = placed.withColumn("count", F.sum("_n").over(frame)).where(F.col("_cell") == cell)
+    return starts.groupBy(*keys).agg(F.max(F.struct("count", (-F.col("_us")).alias("e"), F.col(time).alias("start"))).alias("m")).select(*keys, F.col("m.count").alias("count"), F.col("m.start").alias("start"))
 
-def minute_counts(rows: DataFrame, time: str = "created_at") -> tuple[np.ndarray, np.ndarray]:
-    """Minutes that have rows, sorted, and the number of rows of each: at most a row a minute of the span."""
-    minute = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / 60).alias("minute")
-    found = rows.where(F.col(time).isNotNull()).groupBy(minute).agg(F.count("*").alias("n")).orderBy("minute").toArrow()
-    return found["minute"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
 
+def digest_share(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 of parts joined by bars: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("long") / float(16**12)
 
-def expected_others(sizes: DataFrame, counted: tuple[np.ndarray, np.ndarray], cfg: Suspicion = Suspicion()) -> DataFrame:
-    """(size, hours, expected): mean densest count less one of random subsets of all times, for each distinct size.
 
-    ``counted`` is ``minute_counts`` of all rows. Subsets of up to ``POINTS``
-    rows are drawn row by row, with a random instant in the row's minute; of a
-    larger subset each minute's count is a binomial share of its rows.
-    """
-    shared = sizes.sparkSession.sparkContext.broadcast(counted)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        minutes, counts = shared.value
-        upto = np.cumsum(counts)
-        total = int(upto[-1]) if len(upto) else 0
-        widths = [int(h * 60) for h in cfg.scales_hours]
-        ends = [np.searchsorted(minutes, minutes + w, "left") for w in widths]
-
-        def densest_counts(n: int, rng: np.random.Generator) -> list[int]:
-            if n > POINTS:
-                sums = np.r_[0, np.cumsum(rng.binomial(counts, min(1.0, n / total)))]
-                return [int((sums[e] - sums[:-1]).max()) for e in ends]
-            rows = rng.choice(total, n, replace=False)
-            t = np.sort(minutes[np.searchsorted(upto, rows, "right")] + rng.random(n))
-            return [int((np.searchsorted(t, t + w, "left") - np.arange(n)).max()) for w in widths]
+def random_order(rows: DataFrame, draws: int, most: int, seed: int, bucket_rows: int = 50_000) -> DataFrame:
+    """(draw, rank, created_at): for each draw the first ``most`` of (id, created_at) in an order of its own, by digest, ties by id.
 
-        for batch in batches:
-            rows = []
-            for n in batch["size"]:
-                found = np.zeros(len(widths))
-                if n >= 2 and total:
-                    rng = np.random.default_rng([cfg.seed, int(n)])
-                    found = np.mean([densest_counts(min(int(n), total), rng) for _ in range(cfg.null_samples)], axis=0) - 1
-                rows += [(n, float(h), float(x)) for h, x in zip(cfg.scales_hours, found)]
-            yield pd.DataFrame(rows, columns=["size", "hours", "expected"])
-
-    return sizes.select("size").distinct().mapInPandas(draw, "size long, hours double, expected double")
+    Rows are ranked within buckets of digests, moved by the sizes of the buckets
+    before; buckets that begin beyond ``most`` aren't ranked.
+    """
+    n = rows.count()
+    buckets = max(1, -(-n // bucket_rows))
+    share = digest_share(F.lit(seed), F.col("draw"), F.col("id"))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("share", share).withColumn("bucket", F.floor(F.col("share") * buckets).cast("long"))
+    sizes = drawn.groupBy("draw", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("draw").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = sizes.withColumn("before", before).where(F.col("before") < most).select("draw", "bucket", "before")
+    place = F.row_number().over(Window.partitionBy("draw", "bucket").orderBy("share", "id")) + F.col("before")
+    return drawn.join(needed, ["draw", "bucket"]).withColumn("rank", place).where(F.col("rank") <= most).select("draw", "rank", "created_at")
+
+
+def expected_others(sizes: DataFrame, rows: DataFrame, cfg: Suspicion = Suspicion()) -> DataFrame:
+    """(size, hours, expected): mean densest count less one of random subsets of all rows' times, for each distinct size.
+
+    ``rows``: id, created_at. A subset of a draw is its first ``size`` rows by
+    digest of (seed, draw, id), so any engine draws the same at any size. Sizes
+    of one row, or of more than there are, expect none.
+    """
+    timed = rows.where("created_at IS NOT NULL").select("id", "created_at")
+    wanted = cut(sizes.select("size").distinct())
+    total = timed.count()
+    most = wanted.where(F.col("size").between(2, total)).agg(F.max("size")).first()[0] or 0
+    hours = F.explode(F.array(*[F.lit(float(h)) for h in cfg.scales_hours])).alias("hours")
+    every = wanted.select("size", hours)
+    if not most:
+        return every.withColumn("expected", F.lit(0.0))
+    ordered = cut(random_order(timed, cfg.null_samples, int(most), cfg.seed))
+    # A row is in all subsets of its rank and more; ranks meet sizes by cells.
+    reach = wanted.where(F.col("size").between(2, total)).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / RANK_CELL))))
+    met = ordered.withColumn("cell", F.floor(F.col("rank") / RANK_CELL)).join(reach, "cell")
+    subsets = cut(met.where("rank <= size").select("size", "draw", "created_at"))
+    parts = [densest(subsets, h, ["size", "draw"]).groupBy("size").agg(F.avg(F.col("count") - 1).alias("found")).withColumn("hours", F.lit(float(h))) for h in cfg.scales_hours]
+    found = reduce(DataFrame.unionByName, parts)
+    return every.join(found, ["size", "hours"], "left").select("size", "hours", F.coalesce("found", F.lit(0.0)).alias("expected"))
 
 
 def time_concentration(members: DataFrame, expected: DataFrame, cfg: Suspicion = Suspicion(), key: str = "cluster") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Platform
 from plumbline.functions.patterns import PROXY_TOPICS
+from plumbline.operators.intervals import covered, within
 
 
 def offtopic(basis: Column, choice: Column) -> Column:
@@ -18,10 +19,10 @@ def qualified(reviews: DataFrame, windows: DataFrame, cfg: Platform = Platform()
     """Negative windows with enough judged reviews of which most are off-topic: start, end (exclusive), judged, share.
 
     ``reviews``: created_at, rating_norm, offtopic; ``windows``: verdict, start,
-    end (hour, inclusive). Windows are far fewer than hours; they are broadcast.
+    end (hour, inclusive). Reviews meet windows by time cells.
     """
     spans = windows.where("verdict = 'negative'").select("start", (F.col("end") + F.expr("interval 1 hour")).alias("end"))
-    inside = reviews.where("rating_norm < 0.5 AND offtopic IS NOT NULL").join(F.broadcast(spans), (F.col("created_at") >= F.col("start")) & (F.col("created_at") < F.col("end")))
+    inside = within(reviews.where("rating_norm < 0.5 AND offtopic IS NOT NULL").select("created_at", "offtopic"), spans, "created_at")
     judged = inside.groupBy("start", "end").agg(F.count("*").alias("judged"), F.avg("offtopic").alias("share"))
     return judged.where((F.col("judged") >= cfg.min_judged) & (F.col("share") > cfg.share))
 
@@ -52,9 +53,8 @@ def classes(reviews: DataFrame, spans: DataFrame, cfg: Platform = Platform()) ->
 
     ``purchased``: null counts as purchased.
     """
-    hit = reviews.join(F.broadcast(spans.select(F.col("start").alias("_s"), F.col("end").alias("_e"))), (F.col("created_at") >= F.col("_s")) & (F.col("created_at") < F.col("_e")), "left_semi").select("id").distinct().withColumn("_in", F.lit(True))
     key = F.lit(cfg.purchasers_only) & ~F.coalesce("purchased", F.lit(True))
-    return reviews.join(hit, "id", "left").withColumn("platform_class", F.when(F.col("rating_norm").isNull(), None).when(key, "KEY").when(F.col("_in"), "WINDOW").otherwise("COUNTS")).drop("_in")
+    return covered(reviews, spans, "created_at", "_in").withColumn("platform_class", F.when(F.col("rating_norm").isNull(), None).when(key, "KEY").when(F.col("_in"), "WINDOW").otherwise("COUNTS")).drop("_in")
 
 
 def rating(classed: DataFrame) -> DataFrame:

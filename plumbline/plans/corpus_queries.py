@@ -10,6 +10,7 @@ from plumbline.config import Bursts
 from plumbline.functions import text as T
 from plumbline.operators import bursts as B
 from plumbline.operators import clusters as C
+from plumbline.operators import density as DN
 from plumbline.operators import evaluate as E
 from plumbline.plans import sql as S
 from plumbline.registry import query
@@ -144,7 +145,10 @@ def change_points(spark, sf_dir):
     return B.change_points(rated_events(spark, sf_dir).withColumn("rating_norm", stepped)).select(F.col("day").cast("string").alias("day"))
 
 
-@query("""SELECT a.vec_id AS id, arg_min(b.vec_id, (-round(s, 9), b.vec_id)) AS neighbour, round(max(s), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_inner_product(a.v, b.v) AS s) GROUP BY a.vec_id""")
+NEAREST = """SELECT a.vec_id AS id, arg_min(b.vec_id, (-round(s, 9), b.vec_id)) AS neighbour, round(max(s), 6) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_inner_product(a.v, b.v) AS s) GROUP BY a.vec_id"""
+
+
+@query(NEAREST)
 def nearest_neighbour(spark, sf_dir):
     return C.nearest(R.read(spark, sf_dir, "embeddings")).select("id", "neighbour", F.round("cosine", 6).alias("cosine"))
 
@@ -163,6 +167,38 @@ SELECT id, CASE WHEN count(*) OVER (PARTITION BY root) >= 2 THEN root ELSE -1 EN
 def semantic_clusters(spark, sf_dir):
     return C.cosine_components(R.read(spark, sf_dir, "embeddings"), 0.45)
 
+DENSE = 5
+#: Mutual reachability, the spanning tree by Prim's rule, its edges joined in order, clusters by excess of mass: lists over all rows, a row a step.
+DENSITY = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS v FROM embeddings), size AS (SELECT count(*) AS n FROM v),
+d AS MATERIALIZED (SELECT a.i, b.i AS j, round(list_distance(a.v, b.v), 8) AS d FROM v a JOIN v b ON a.i <> b.i),
+core AS MATERIALIZED (SELECT i, d AS core FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k = {DENSE - 1}),
+r AS MATERIALIZED (SELECT d.i, list(greatest(d, a.core, b.core) ORDER BY j) AS row FROM (SELECT * FROM d UNION ALL SELECT i, i, 0 FROM v) d JOIN core a ON a.i = d.i JOIN core b ON b.i = d.j GROUP BY d.i),
+prim AS (SELECT 0 AS k, CAST(1 AS BIGINT) AS cur, {{'w': 0e0, 'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT)}} AS e, list_transform(range(1, n + 1), lambda j: CASE WHEN j > 1 THEN {{'w': 1e300, 'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'j': j}} END) AS near FROM size
+ UNION ALL SELECT k + 1, best.j, best, list_transform(near, lambda x, j: CASE WHEN j <> best.j THEN x END) FROM (SELECT k, near, list_min(near) AS best FROM (
+  SELECT k, list_transform(list_zip(near, row), lambda z, j: CASE WHEN z[1] IS NULL THEN NULL WHEN {{'w': z[2], 'a': least(j, cur), 'b': greatest(j, cur), 'j': j}} < z[1] THEN {{'w': z[2], 'a': least(j, cur), 'b': greatest(j, cur), 'j': j}} ELSE z[1] END) AS near FROM prim JOIN r ON r.i = cur)) WHERE best IS NOT NULL),
+e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY e.w, e.a, e.b) AS k, e.w AS w, e.a AS a, e.b AS b FROM prim WHERE k > 0),
+kr AS (SELECT CAST(0 AS BIGINT) AS k, 0e0 AS w, range(1, n + 1) AS comp, list_transform(range(1, n + 1), lambda x: CAST(0 AS BIGINT)) AS node, CAST(0 AS BIGINT) AS na, CAST(0 AS BIGINT) AS nb, CAST(0 AS BIGINT) AS made, CAST([] AS BIGINT[]) AS gone FROM size
+ UNION ALL SELECT k, w, list_transform(comp, lambda x: CASE WHEN x = ca OR x = cb THEN least(ca, cb) ELSE x END), list_transform(list_zip(comp, node), lambda z: CASE WHEN z[1] = ca OR z[1] = cb THEN made ELSE z[2] END), na, nb, made,
+  CASE WHEN made > 0 THEN list_transform(list_filter(list_zip(comp, node, range(1, len(comp) + 1)), lambda z: (z[1] = ca OR z[1] = cb) AND z[2] = 0), lambda z: z[3]) ELSE [] END
+  FROM (SELECT *, CASE WHEN na > 0 AND nb > 0 THEN k WHEN na + nb > 0 THEN na + nb WHEN len(list_filter(comp, lambda x: x = ca OR x = cb)) >= {DENSE} THEN k ELSE 0 END AS made FROM (
+   SELECT e.k, e.w, comp, node, comp[e.a] AS ca, comp[e.b] AS cb, node[e.a] AS na, node[e.b] AS nb FROM kr JOIN e ON e.k = kr.k + 1))),
+dropped AS MATERIALIZED (SELECT unnest(gone) AS i, w, made FROM kr WHERE made > 0), own AS MATERIALIZED (SELECT made, count(*) AS n, sum(1 / greatest(w, 1e-12)) AS mass FROM dropped GROUP BY made),
+ups AS MATERIALIZED (SELECT na AS x, k AS up FROM kr WHERE na > 0 AND nb > 0 UNION ALL SELECT nb, k FROM kr WHERE na > 0 AND nb > 0),
+nodes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY kr.k) AS t, kr.k AS x, 1 / greatest(kr.w, 1e-12) AS dense, coalesce(own.n, 0) AS n, coalesce(own.mass, 0) AS mass, ups.up, coalesce(1 / greatest(u.w, 1e-12), 0) AS start FROM kr LEFT JOIN own ON own.made = kr.k LEFT JOIN ups ON ups.x = kr.k LEFT JOIN kr u ON u.k = ups.up WHERE kr.made = kr.k AND kr.k > 0),
+kids AS MATERIALIZED (SELECT up, list(x) AS kids FROM ups GROUP BY up),
+eom AS (SELECT CAST(0 AS BIGINT) AS t, list_transform(range(1, n + 1), lambda x: 0e0) AS kept, list_transform(range(1, n + 1), lambda x: CAST(0 AS BIGINT)) AS pts, list_transform(range(1, n + 1), lambda x: false) AS sel FROM size
+ UNION ALL SELECT t, list_transform(kept, lambda y, i: CASE WHEN i = x THEN CASE WHEN up IS NULL OR (len(kids) > 0 AND parts > m) THEN parts ELSE m END ELSE y END), list_transform(pts, lambda y, i: CASE WHEN i = x THEN inner_n + n ELSE y END), list_transform(sel, lambda y, i: CASE WHEN i = x THEN NOT (up IS NULL OR (len(kids) > 0 AND parts > m)) ELSE y END)
+  FROM (SELECT *, mass - n * start + inner_n * (dense - start) AS m FROM (SELECT g.t, g.x, g.up, g.n, g.mass, g.start, g.dense, kept, pts, sel, coalesce(kids, []) AS kids, coalesce(list_sum(list_transform(kids, lambda c: kept[c])), 0) AS parts, CAST(coalesce(list_sum(list_transform(kids, lambda c: pts[c])), 0) AS BIGINT) AS inner_n FROM eom JOIN nodes g ON g.t = eom.t + 1 LEFT JOIN kids ON kids.up = g.x))),
+anc AS (SELECT x, x AS y FROM nodes UNION SELECT anc.x, ups.up FROM anc JOIN ups ON ups.x = anc.y), done AS (SELECT sel FROM eom ORDER BY t DESC LIMIT 1),
+top AS (SELECT x, max(y) AS y FROM anc, done WHERE sel[y] GROUP BY x), placed AS (SELECT v.vec_id, top.y FROM v LEFT JOIN dropped ON dropped.i = v.i LEFT JOIN top ON top.x = dropped.made)
+SELECT vec_id AS id, CASE WHEN y IS NULL THEN -1 ELSE min(vec_id) OVER (PARTITION BY y) END AS cluster FROM placed"""
+
+
+@query(DENSITY)
+def density_clusters(spark, sf_dir):
+    """Hierarchical density clusters of at least five vectors; -1 is noise."""
+    return DN.density_clusters(R.read(spark, sf_dir, "embeddings"), DENSE)
+
 
 @query("""WITH t AS (SELECT user_id, epoch_us(ts) AS us FROM events), w AS (SELECT user_id, us, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN CURRENT ROW AND 3599999999 FOLLOWING) AS n FROM t)
 SELECT user_id, max(n) AS count, strftime(make_timestamp(arg_max(us, (n, -us))), '%Y-%m-%d %H:%M:%S') AS start FROM w GROUP BY user_id""")
@@ -171,12 +207,24 @@ def densest_window(spark, sf_dir):
     return C.densest(rows, 1, key="user_id").select("user_id", "count", shown("start"))
 
 
-@query()
+SCALES = ((0.25, 0), (1, 1), (6, 2), (24, 3), (72, 4))
+
+
+def _scales(name: str, rows: str, keys: str, value: str) -> str:
+    """The fullest window of each group of rows at each scale."""
+    return ", ".join(f"{name}{k} AS (SELECT {keys}, {h}e0 AS hours, {k} AS k, {value} AS v FROM (SELECT {keys}, count(*) OVER (PARTITION BY {keys} ORDER BY us RANGE BETWEEN CURRENT ROW AND {int(h * 3_600_000_000) - 1} FOLLOWING) AS n FROM {rows}) GROUP BY {keys})" for h, k in SCALES)
+
+
+@query("WITH t AS (SELECT event_id AS id, user_id AS cluster, epoch_us(ts) AS us FROM events), s AS (SELECT cluster, count(*) AS size FROM t GROUP BY 1), sizes AS (SELECT DISTINCT size FROM s WHERE size >= 2), "
+  "o AS (SELECT draw, us, row_number() OVER (PARTITION BY draw ORDER BY CAST(('0x' || substr(md5('7|' || draw || '|' || id), 1, 12)) AS BIGINT), id) AS rank FROM t, range(24) r(draw)), sub AS MATERIALIZED (SELECT size, draw, us FROM o JOIN sizes ON rank <= size), "
+  + _scales("x", "sub", "size, draw", "max(n) - 1") + ", e AS (SELECT size, hours, avg(v) AS expected FROM (" + " UNION ALL ".join(f"SELECT * FROM x{k}" for _, k in SCALES) + ") GROUP BY 1, 2), "
+  + _scales("w", "t", "cluster", "max(n)") + f""", v AS (SELECT cluster, hours, k, v AS count, CASE WHEN v - 1 <= 0 THEN 0 ELSE greatest(0, 1 - greatest(coalesce(expected, 0), 0.5) / (v - 1)) END AS value FROM ({' UNION ALL '.join(f'SELECT * FROM w{k}' for _, k in SCALES)}) JOIN s USING (cluster) LEFT JOIN e USING (size, hours))
+SELECT cluster, round(max(value), 6) AS concentration, arg_max(hours, (round(value, 12), -k)) AS hours, arg_max(count, (round(value, 12), -k)) AS count FROM v GROUP BY cluster""")
 def null_concentration(spark, sf_dir):
     """Concentration of each user's events against random subsets of all times."""
     rows = rated_events(spark, sf_dir).withColumnRenamed("user_id", "cluster")
     sizes = rows.where("created_at IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size"))
-    return C.time_concentration(rows, C.expected_others(sizes, C.minute_counts(rows)))
+    return C.time_concentration(rows, C.expected_others(sizes, rows)).select("cluster", F.round("concentration", 6).alias("concentration"), "hours", "count")
 
 
 @query(f"SELECT user_id, count(*) AS n, round((greatest(avg(rating_norm), 1 - avg(rating_norm)) - 0.5) / 0.5, 6) AS homogeneity FROM ({EVENTS}) GROUP BY user_id")

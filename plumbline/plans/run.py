@@ -11,6 +11,7 @@ from plumbline.config import Config
 from plumbline.functions import text as T
 from plumbline.operators import bursts as B
 from plumbline.operators import clusters as C
+from plumbline.operators import density as DN
 from plumbline.operators import duplicates as D
 from plumbline.operators import judgments as J
 from plumbline.operators import platform as PL
@@ -83,7 +84,7 @@ def score_clusters(numbered: DataFrame, members: DataFrame, feats: DataFrame, sp
     out = out.withColumn("new_account_share", F.when(F.col("known") > 0, C.account_lift(F.col("fresh"), F.col("base"))))
     inside = rows.where("kind <> 'burst'").withColumnRenamed("cluster_id", "cluster")
     sizes = inside.where("created_at IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size"))
-    dense = C.time_concentration(inside, C.expected_others(sizes, C.minute_counts(feats), s), s).select(F.col("cluster").alias("cluster_id"), F.col("concentration").alias("dense"))
+    dense = C.time_concentration(inside, C.expected_others(sizes, feats, s), s).select(F.col("cluster").alias("cluster_id"), F.col("concentration").alias("dense"))
     rate = spans.select(F.lit("burst").alias("kind"), F.concat_ws(" ", "verdict", F.col("start").cast("string")).alias("key"), F.greatest(F.lit(0.0), 1 - F.col("baseline_per_hour") / F.greatest(F.col("size") / F.col("hours"), F.lit(1e-9))).alias("rate"))
     out = out.join(dense, "cluster_id", "left").join(rate, ["kind", "key"], "left").withColumn("time_concentration", F.coalesce("rate", "dense"))
     if vectors is not None:
@@ -112,8 +113,11 @@ def analyse(reviews: DataFrame, cfg: Config = Config(), answers: DataFrame | Non
     """All tables of a run over reviews (id, text, meta, created_at, rating_norm).
 
     ``answers``: long typed answers, none for the heuristic run; ``vectors``:
-    (id, embedding); ``semantic``: (id, cluster), -1 for noise.
+    (id, embedding); ``semantic``: (id, cluster), -1 for noise; without it the
+    vectors' density clusters are taken.
     """
+    if semantic is None and vectors is not None:
+        semantic = cut(DN.density_clusters(vectors, cfg.suspicion.semantic_min_size, id_col="id"))
     feats = cut(features(reviews, cfg))
     spans = cut(B.windows(B.scored_hours(feats, cfg.bursts), cfg.bursts))
     numbered, members = find_clusters(feats, spans, cfg, semantic)

@@ -14,7 +14,7 @@ from plumbline.operators import policy as PO
 from plumbline.operators import summary as SU
 from plumbline.plans import run as RUN
 from plumbline.plans import sql as S
-from plumbline.plans.corpus_queries import EVENTS, PLANTED, _burst_sql, planted, rated_events, shown
+from plumbline.plans.corpus_queries import EVENTS, PLANTED, SCALES, _burst_sql, planted, rated_events, shown
 from plumbline.plans.decision_queries import judged, opened
 from plumbline.plans.inspect_queries import CLUSTERS, DECIDED, clusters_of, members_of
 from plumbline.registry import query
@@ -47,9 +47,6 @@ def best_membership(spark, sf_dir):
     return C.best_membership(both, clusters, inside)
 
 
-SCALES = ((0.25, 0), (1, 1), (6, 2), (24, 3), (72, 4))
-
-
 @query("WITH t AS (SELECT user_id AS cluster, epoch_us(ts) AS us FROM events), s AS (SELECT cluster, count(*) AS size FROM t GROUP BY 1), " + ", ".join(f"w{k} AS (SELECT cluster, {h}e0 AS hours, {k} AS k, max(n) AS count FROM (SELECT cluster, count(*) OVER (PARTITION BY cluster ORDER BY us RANGE BETWEEN CURRENT ROW AND {int(h * 3_600_000_000) - 1} FOLLOWING) AS n FROM t) GROUP BY cluster)" for h, k in SCALES) + f""",
 v AS (SELECT cluster, hours, k, count, CASE WHEN count - 1 <= 0 THEN 0 ELSE greatest(0, 1 - greatest(size * hours / 500, 0.5) / (count - 1)) END AS value FROM ({' UNION ALL '.join(f'SELECT * FROM w{k}' for _, k in SCALES)}) JOIN s USING (cluster))
 SELECT cluster, round(max(value), 6) AS concentration, arg_max(hours, (round(value, 12), -k)) AS hours FROM v GROUP BY cluster""")
@@ -86,11 +83,11 @@ def features_with_neighbours(spark, sf_dir):
     return SU.with_semantics(vectors.select(F.col("vec_id").alias("id"), "label"), near)
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+')) AS w FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0), h AS (SELECT doc_id, CAST(('0x' || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2)) AS BIGINT) % 64 AS place, count(*) AS n FROM (SELECT doc_id, md5(w) AS m FROM w WHERE w <> '') GROUP BY 1, 2)
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+')) AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, CAST(('0x' || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2)) AS BIGINT) % 64 AS place, count(*) AS n FROM (SELECT doc_id, md5(w) AS m FROM w WHERE w <> '') GROUP BY 1, 2)
 SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS x FROM h""")
 def hashed_embeddings(spark, sf_dir):
-    """Bag-of-words vectors by digest, of every tenth document (the SQL side is long), their non-zero places."""
-    docs = R.read(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id % 10 = 0")
+    """Bag-of-words vectors by digest, their non-zero places."""
+    docs = R.read(spark, sf_dir, "documents").where("text IS NOT NULL")
     vectors = C.embed(docs.select("doc_id", "text"))
     return vectors.select("doc_id", F.posexplode("embedding").alias("place", "x")).where("x > 0").select("doc_id", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
@@ -104,14 +101,14 @@ def lsh_parameters(spark, sf_dir):
     return spark.createDataFrame(rows, "threshold double, bands long, rows long")
 
 
-WORD_SHINGLES = r"""ws AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+') AS w FROM documents WHERE doc_id % 10 < 3),
+WORD_SHINGLES = r"""ws AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+') AS w FROM documents),
 sh AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' ')))) AS s FROM ws WHERE len(w) > 0)"""
 
 
 @query(f"WITH {WORD_SHINGLES}, z AS (SELECT doc_id, count(*)::DOUBLE AS n FROM sh GROUP BY 1) SELECT doc_id, CAST(n AS BIGINT) AS shingles FROM z")
 def word_shingles(spark, sf_dir):
-    """Distinct three-word shingles of a document, of three in ten documents."""
-    docs = R.read(spark, sf_dir, "documents").where("doc_id % 10 < 3")
+    """Distinct three-word shingles of a document."""
+    docs = R.read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(T.word_shingles(F.col("text"), 3)).cast("long").alias("shingles")).where("shingles > 0")
 
 

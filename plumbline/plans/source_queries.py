@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.plans import sql as S
-from plumbline.plans.corpus_queries import rated_events, shown
+from plumbline.plans.corpus_queries import NEAREST, rated_events, shown
 from plumbline.plans.decision_queries import judged
 from plumbline.plans.inspect_queries import ACTION, DECIDED, clusters_of, members_of
 from plumbline.plans.tables import scratch
@@ -106,6 +106,16 @@ def cached_embeddings(spark, sf_dir):
     return again.agg(F.count("*").alias("rows")).crossJoin(spark.read.parquet(path).agg(F.count("*").alias("stored"))).withColumn("hit", F.lit(hit))
 
 
+@query(NEAREST)
+def updated_neighbours(spark, sf_dir):
+    """Neighbours from a stored table that was made of the first four fifths of the rows by id, then brought up to all."""
+    path = scratch(spark, "neighbours")
+    vectors = R.read(spark, sf_dir, "embeddings")
+    n = vectors.agg(F.percentile_approx("vec_id", 0.8)).first()[0]
+    catalogue.nearest_cached(vectors.where(F.col("vec_id") <= F.lit(n)), path, "vec_id")
+    return catalogue.nearest_cached(vectors, path, "vec_id").select("id", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
 @query("SELECT doc_id AS review_id, CASE WHEN doc_id % 3 = 0 THEN 'bomb' ELSE 'uniform' END AS stratum FROM documents WHERE doc_id % 4 = 0")
 def label_set_file(spark, sf_dir):
     """A label set from its JSON file."""

@@ -8,6 +8,7 @@ from plumbline.functions import patterns as P
 from plumbline.functions import text as T
 from plumbline.operators import clusters as C
 from plumbline.operators import duplicates as D
+from plumbline.operators import languages as LA
 from plumbline.plans import sql as S
 from plumbline.registry import query
 from plumbline.sources import reviews as R
@@ -160,17 +161,17 @@ def token_fit(spark, sf_dir):
     return fit.select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("residual_sd", 4).alias("residual_sd"))
 
 
-def _signs(lang: str) -> str:
-    words = ", ".join(f"'{w}'" for w in T.FREQUENT_WORDS[lang])
-    letters = f" + length(regexp_replace(low, '[^{T.LETTERS[lang]}]', '', 'g'))" if lang in T.LETTERS else ""
-    return f"{{'m': len(list_filter(w, lambda x: list_contains([{words}], x))){letters}, 'k': '{lang}'}}"
-
-
-@query(rf"""WITH t AS (SELECT doc_id, lang, text, lower(text) AS low, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+') AS w FROM documents), s AS (SELECT *, [{', '.join(_signs(k) for k in T.FREQUENT_WORDS)}] AS signs FROM t)
-SELECT doc_id, lang, CASE WHEN text IS NULL OR length(text) < 20 THEN NULL ELSE (SELECT CASE WHEN max(x.m) > 0 THEN arg_max(x.k, (x.m, -ord(x.k[1]) * 256 - ord(x.k[2]))) END FROM (SELECT unnest(signs) AS x)) END AS guess FROM s""")
+@query(rf"""WITH t AS (SELECT doc_id, lang, text, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS s FROM documents),
+g AS MATERIALIZED (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, substr(s, unnest(range(1, length(s) - 1)), 3) AS gram FROM t) GROUP BY 1, 2),
+c AS MATERIALIZED (SELECT lang, gram, sum(n) AS n FROM g JOIN t USING (doc_id) WHERE lang IS NOT NULL GROUP BY 1, 2), m AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {LA.GRAMS}),
+tot AS (SELECT lang, sum(n) AS total, (SELECT count(*) FROM m) AS size FROM c JOIN m USING (gram) GROUP BY lang),
+w AS (SELECT tot.lang, m.gram, ln((coalesce(c.n, 0) + {LA.SMOOTHING}) / (total + {LA.SMOOTHING} * size)) AS weight FROM m CROSS JOIN tot LEFT JOIN c ON c.gram = m.gram AND c.lang = tot.lang),
+scored AS (SELECT doc_id, w.lang, round(sum(n * weight), 6) AS score FROM g JOIN w USING (gram) GROUP BY 1, 2), best AS (SELECT doc_id, lang AS guess, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS k FROM scored)
+SELECT t.doc_id, t.lang, CASE WHEN length(text) >= 20 THEN guess END AS guess FROM t LEFT JOIN best ON best.doc_id = t.doc_id AND k = 1""")
 def language_guess(spark, sf_dir):
+    """Learned from the documents whose language is known; all are guessed."""
     docs = R.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", T.guess_language(F.col("text")).alias("guess"))
+    return docs.select("doc_id", "lang", LA.language(F.col("text"), LA.profiles(docs)).alias("guess"))
 
 
 @query("""SELECT user_id, sha256('pepper' || CAST(user_id AS VARCHAR)) AS author_hash, count(*) AS n FROM events GROUP BY user_id""")

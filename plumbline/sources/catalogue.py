@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from plumbline.operators.clusters import embed, hash_embedder, nearest
+from plumbline.operators.clusters import embed, hash_embedder, nearest_of
+from plumbline.plans.tables import cut
 from plumbline.sources.reviews import chronological, daily_sample, keep_first
 from plumbline.sources.sinks import store_reviews
 
@@ -107,12 +108,42 @@ def embed_cached(df: DataFrame, cache: str, encoder: str, encode: Callable[[list
     return df.withColumn("digest", digest).join(vectors, "digest").drop("digest"), hit
 
 
-def nearest_cached(vectors: DataFrame, cache: str, hit: bool, id_col: str = "id") -> DataFrame:
-    """Nearest neighbours (id, neighbour, cosine) from a stored table, which holds only while the vectors do: without a hit it is computed again and replaced."""
+NEIGHBOUR = "id long, digest string, neighbour long, cosine double, batch long"
+
+
+def neighbour_plan(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (id, v, digest) rows and a stored table: those to search for against all, those new, and those whose stored neighbour holds.
+
+    A row is searched for against all where it is new or changed, or where its
+    neighbour is gone or changed; all others need only be compared with the new.
+    """
+    now = rows.select("id", "digest")
+    same = known.join(now, ["id", "digest"])
+    new = rows.join(same.select("id"), "id", "left_anti")
+    held = cut(same.join(same.select(F.col("id").alias("neighbour")), "neighbour", "left_semi").select("id", "neighbour", "cosine"))
+    return rows.join(held.select("id"), "id", "left_anti"), new, held
+
+
+def nearest_cached(vectors: DataFrame, cache: str, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """Nearest neighbours (id, neighbour, cosine) of all rows, from a stored table that is kept up to date.
+
+    The table holds a digest of each row's vector. New and changed rows, and rows
+    whose neighbour is gone or changed, are searched for against all rows; all
+    others only against the new ones, and keep the better of that and what is
+    stored. Each update is a batch of its own; readers take the latest. Ids are unique.
+    """
     spark = vectors.sparkSession
-    if hit:
-        found = stored(spark, cache, "id long, neighbour long, cosine double")
-        if found.count() == vectors.count():
-            return found
-    nearest(vectors, id_col, "embedding").write.mode("overwrite").parquet(cache)
-    return spark.read.parquet(cache)
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL").withColumn("digest", F.md5(F.col("v").cast("string"))))
+    stored_ = stored(spark, cache, NEIGHBOUR)
+    last = stored_.agg(F.max("batch")).first()[0]
+    asked, new, held = neighbour_plan(rows, stored_.where(F.col("batch") == F.lit(last)) if last is not None else stored_.limit(0))
+    new = cut(new)
+    found = nearest_of(asked, rows)
+    if last is not None and not held.isEmpty():
+        better = held if new.isEmpty() else held.union(nearest_of(rows.join(held.select("id"), "id", "left_semi"), new))
+        best = F.min(F.struct((-F.round("cosine", 9)).alias("c"), "neighbour", "cosine"))
+        found = found.union(better.groupBy("id").agg(best.alias("b")).select("id", "b.neighbour", "b.cosine"))
+    written = rows.select("id", "digest").join(found, "id", "left").withColumn("batch", F.lit(0 if last is None else last + 1).cast("long"))
+    written.write.mode("append").parquet(cache)
+    latest = spark.read.schema(NEIGHBOUR).parquet(cache).where(F.col("batch") == F.lit(0 if last is None else last + 1))
+    return latest.where("neighbour IS NOT NULL").select("id", "neighbour", "cosine")

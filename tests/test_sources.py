@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.operators import answers as AN
 from plumbline.operators import attacks as A
+from plumbline.operators import clusters as C
 from plumbline.operators import drilldown as I
 from plumbline.operators import labelsets as L
 from plumbline.operators import summary as SU
@@ -49,11 +50,40 @@ def test_vectors_are_cached_by_digest(spark, tmp_path):
     again, hit = catalogue.embed_cached(df.where("id < 3"), cache, "words")
     assert hit and spark.read.parquet(cache).count() == 3
     assert not catalogue.embed_cached(df, cache, "other")[1]
-    near = catalogue.nearest_cached(first, calls, False).orderBy("id").collect()
-    assert near[0].neighbour == 3 and catalogue.nearest_cached(first, calls, True).count() == len(near)
+    near = catalogue.nearest_cached(first, calls).orderBy("id").collect()
+    assert near[0].neighbour == 3 and catalogue.nearest_cached(first, calls).count() == len(near)
     assert np.allclose(again.where("id = 1").first().embedding, first.where("id = 3").first().embedding)
 
 
+def test_stored_neighbours_follow_their_rows(spark, tmp_path):
+    """Rows that come, change and go: the table always equals a full search, and only what must be is searched for against all."""
+    rng = np.random.default_rng(3)
+    x = {i: v for i, v in enumerate(rng.normal(size=(120, 8)))}
+    x[50], x[51] = x[20], x[20]
+    cache = str(tmp_path / "neighbours")
+
+    def frame(ids):
+        return spark.createDataFrame([(i, (x[i] / np.linalg.norm(x[i])).tolist()) for i in ids], "id long, embedding array<double>")
+
+    def check(ids):
+        df = frame(ids)
+        got = sorted(map(tuple, catalogue.nearest_cached(df, cache).selectExpr("id", "neighbour", "round(cosine, 9)").collect()))
+        want = C.nearest(df, "id", "embedding").selectExpr("id", "neighbour", "round(cosine, 9)").collect()
+        assert got == sorted(map(tuple, want)) and len(got) == len(ids)
+
+    check(range(80))
+    check(range(120))  # rows come
+    x[5], x[90] = -x[5], x[91]
+    check(range(120))  # two change
+    check([i for i in range(120) if i % 3])  # some go
+    check([i for i in range(120) if i % 3])
+    known = catalogue.stored(spark, cache, catalogue.NEIGHBOUR)
+    known = known.where(F.col("batch") == known.agg(F.max("batch")).first()[0])
+    rows = frame([i for i in range(120) if i % 3] + [0]).withColumnRenamed("embedding", "v").withColumn("digest", F.md5(F.col("v").cast("string")))
+    asked, new, held = catalogue.neighbour_plan(rows, known)
+    assert (asked.count(), new.count(), held.count()) == (1, 1, 80)
+
+
 def test_run_index_and_label_sets(spark, tmp_path):
     runs = spark.createDataFrame([("r1", "d1", 2), ("r2", "d2", None), ("r3", "d1", 1)], "id string, dataset_id string, started_at int")
     sets = spark.createDataFrame([("d1", "First")], "id string, name string")
