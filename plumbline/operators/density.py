@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.blocks import against
 from plumbline.operators.duplicates import components
-from plumbline.plans.tables import cut
+from plumbline.plans.tables import cut, landed
 
 #: Edges of the tree, or components of a round, that one task takes.
 TASK_EDGES = 200_000
@@ -113,7 +113,7 @@ def spanning_tree(points: DataFrame, min_samples: int, block_rows: int | None =
 
     while True:
         ends = listed.join(parts.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
-        listed = cut(ends.select("w", "a", "b", "ca", "cb"))
+        listed = landed(ends.select("w", "a", "b", "ca", "cb"), "density")
         sides = listed.select(F.col("ca").alias("c"), "w", "a", "b").union(listed.select("cb", "w", "a", "b"))
         listed = listed.select("w", "a", "b")
         best = sides.groupBy("c").agg(F.min(_order()).alias("e"))
@@ -130,7 +130,7 @@ def spanning_tree(points: DataFrame, min_samples: int, block_rows: int | None =
         tree = best if tree is None else tree.union(best)
         met = best.join(parts.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
         joined = roots_of(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        parts = cut(parts.join(joined.withColumnRenamed("node", "c"), "c", "left").select("id", F.coalesce("root", "c").alias("c")))
+        parts = landed(parts.join(joined.withColumnRenamed("node", "c"), "c", "left").select("id", F.coalesce("root", "c").alias("c")), "density")
     return cut(tree) if tree is not None else points.sparkSession.createDataFrame([], "w double, a long, b long")
 
 
@@ -199,7 +199,7 @@ def hierarchy(tree: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
         known = known.withColumns({"own": order, "bu": F.col("nu").isNotNull(), "bv": F.col("nv").isNotNull()})
         # An edge by which its small end joins the big one, next after what stands before it.
         known = known.withColumn("joins", (F.col("bu") & ~F.col("bv") & (F.col("ov") == F.col("own"))) | (F.col("bv") & ~F.col("bu") & (F.col("ou") == F.col("own"))))
-        known = cut(known)
+        known = landed(known, "density")
         stops = known.where("NOT joins")
         stops = stops.where("bu").select(F.col("u").alias("c"), "own").union(stops.where("bv").select("v", "own")).groupBy("c").agg(F.min("own").alias("stop"))
         joins = known.where("joins").withColumn("c", F.when(F.col("bu"), F.col("u")).otherwise(F.col("v"))).join(stops, "c", "left").where("stop IS NULL OR own < stop")
@@ -207,20 +207,20 @@ def hierarchy(tree: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
         pairs = known.where("ou = own AND ov = own AND bu = bv")
         made = F.when(F.col("bu"), "both").when(F.col("su") + F.col("sv") >= min_size, "birth").otherwise("small")
         pairs = pairs.select("eid", "w", F.least("u", "v").alias("c"), F.greatest("u", "v").alias("x"), "u", "v", "nu", "nv", made.alias("kind"))
-        done = cut(joins.withColumns({"u": F.lit(None).cast("long"), "v": F.lit(None).cast("long"), "nu": F.lit(None).cast("long"), "nv": F.lit(None).cast("long")}).unionByName(pairs.withColumn("node", F.col("eid"))))
+        done = landed(joins.withColumns({"u": F.lit(None).cast("long"), "v": F.lit(None).cast("long"), "nu": F.lit(None).cast("long"), "nv": F.lit(None).cast("long")}).unionByName(pairs.withColumn("node", F.col("eid"))), "density")
         drops = done.where("kind = 'join'").select(F.col("x").alias("c"), "w", "node").union(done.where("kind = 'birth'").select(F.explode(F.array("u", "v")), "w", "eid"))
         merges = done.where("kind = 'both'").select(F.lit("merge").alias("kind"), F.explode(F.array("nu", "nv")).alias("x"), "w", F.col("eid").alias("y"))
         makes = done.where("kind IN ('both', 'birth')").select(F.lit("make").alias("kind"), F.col("eid").alias("x"), "w", F.col("eid").alias("y"))
-        events.append(cut(merges.union(makes)))
-        found.append(cut(points.join(drops, "c").select("point", "w", "node")))
+        events.append(landed(merges.union(makes), "density"))
+        found.append(landed(points.join(drops, "c").select("point", "w", "node"), "density"))
         points = points.join(drops.select("c"), "c", "left_anti")
         new = done.select(F.col("x").alias("old"), F.col("c").alias("into"))
         place = lambda df, x: df.join(new.withColumnRenamed("old", x), x, "left").withColumn(x, F.coalesce("into", x)).drop("into")
-        points = cut(place(points, "c"))
+        points = landed(place(points, "c"), "density")
         grown = done.select("c", F.when(F.col("kind") != "small", F.col("node")).alias("made"))
         sizes = place(comps, "c").groupBy("c").agg(F.sum("size").alias("size"), F.max(F.when(F.col("node").isNotNull(), F.col("node"))).alias("node"))
-        comps = cut(sizes.join(grown.groupBy("c").agg(F.max("made").alias("made")), "c", "left").select("c", "size", F.coalesce("made", "node").alias("node")))
-        edges = cut(place(place(edges.join(done.select("eid"), "eid", "left_anti"), "u"), "v").select("w", "a", "b", "eid", "u", "v"))
+        comps = landed(sizes.join(grown.groupBy("c").agg(F.max("made").alias("made")), "c", "left").select("c", "size", F.coalesce("made", "node").alias("node")), "density")
+        edges = landed(place(place(edges.join(done.select("eid"), "eid", "left_anti"), "u"), "v").select("w", "a", "b", "eid", "u", "v"), "density")
 
     rows = edges.select(F.lit(0).alias("what"), "w", "a", "b", "eid", "u", "v").union(comps.select(F.lit(1), F.lit(0.0), "size", F.coalesce("node", F.lit(-1)), F.lit(0), "c", F.lit(0)))
 

@@ -34,3 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; it stays until the folder is cleared."""
     return f"{shared(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table of its own and read again.
+
+    For loops: a checkpoint keeps the optimizer's constraints of its plan, which
+    grow from round to round; a table has none.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
