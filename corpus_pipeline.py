@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, language_crf, pii, sentence_pieces, simhash
-from plumbline.llm.common import fresh_path, table
+from plumbline.llm.common import fresh_path, give_back, table
 
 #: A document is rejected where no language holds this share of its words.
 LEAST_SHARE = 0.5
@@ -29,15 +29,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is learned from the documents' own text and non-null ``lang``.
     Each row is judged on its own.
     """
-    return language_crf.keep_determined(docs, language_crf.fit(docs), LEAST_SHARE)
+    model = language_crf.fit(docs)
+    give_back(spark)
+    return language_crf.keep_determined(docs, model, LEAST_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays, that with the smallest doc_id; equal rows are one.
 
-    Near-duplicates are texts whose shingles of ``SHINGLE_WORDS`` words have a
-    Jaccard similarity of about ``SIMILARITY`` or more, as wide fingerprints
-    estimate it.
+    Near-duplicates are texts whose sets of shingles of ``SHINGLE_WORDS`` words have
+    a Jaccard similarity of ``SIMILARITY`` or more. Columns may have any names; an
+    empty table stays empty.
     """
     return simhash.keep_first(docs, SIMILARITY, SHINGLE_WORDS)
 
@@ -48,13 +50,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pii_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the kind's name in brackets; n_chars follows the text."""
+    """Personal data is replaced by the kind's name in brackets; n_chars follows the text. Null texts and columns of any other name stay as they are."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def sentence_piece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their pieces, the best path's score and the next best paths as edits; an empty table stays empty."""
+    """The documents with their pieces, the best path's score and the next best paths as edits; columns of the same names, in any case, are replaced; an empty table stays empty."""
     return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,16 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier call has used."""
-    return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/plumbline-llm/{name}-{uuid.uuid4().hex}"
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Removes the tables that ``fresh_path`` placed; results that still read them must be written before."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plumbline")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plumbline-llm")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Returns the driver's freed memory to the system; Spark then also removes shuffles and checkpoints that nothing refers to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,8 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, runs, texts
-from plumbline.llm.verified import digest_filter, links, may_hold, shingle_hashes
+from plumbline.llm.common import cut, give_back, runs, texts
+from plumbline.llm.verified import classes, digest_filter, may_hold, shingle_hashes
 from plumbline.operators.duplicates import components
 
 SHINGLE_WORDS = 4
@@ -336,7 +336,9 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5,
     in_mixed = digest_filter(mixed, "digest")
     to_verify = docs.select(digest.alias("digest"), F.col(text_col).alias("text")).where(may_hold(in_mixed)(F.col("digest")))
     distinct = to_verify.groupBy("digest").agg(F.first("text").alias("text"))  # copies meet within each task
-    roots = components(links(distinct.join(mixed, "digest"), similarity, shingle_words)).select(F.col("node").alias("digest"), F.col("root").alias("class"))
+    give_back(docs.sparkSession)
+    roots = cut(classes(distinct.join(mixed, "digest"), similarity, shingle_words))
+    give_back(docs.sparkSession)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest", "n"))
     first = several.join(roots, "digest", "left").groupBy(F.coalesce("class", "digest").alias("class")).agg(best.alias("best"))
 

@@ -106,8 +106,8 @@ def may_hold(shared: Broadcast):
     return lambda column: look(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)])
 
 
-def links(members: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Edges (a, b) of digests of ``members`` (root, digest, text; root and digest longs, a digest once a root)."""
+def classes(members: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(digest, class) of ``members`` (root, digest, text; root and digest longs, a digest once a root) that are linked: the smallest digest that links lead to."""
     members = cut(members)
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
     parts = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("chars") / GROUP_CHARS)).cast("int")
@@ -118,19 +118,27 @@ def links(members: DataFrame, similarity: float, words: int) -> DataFrame:
         for run in runs(batches, ["root"]):
             out = []
             for _, group in run.groupby("root", sort=False):
-                digests = group["digest"].to_numpy()
-                out += [(int(digests[i]), int(digests[j])) for i, j in linked(_sets(group["text"], words), similarity)]
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    small = rows.where("parts = 1").select("root", "digest", "text").repartition("root").sortWithinPartitions("root")
-    edges = small.mapInPandas(whole, "a long, b long")
+                digests, of = group["digest"].to_numpy(), {}
+                for i, j in linked(_sets(group["text"], words), similarity):  # each text is reached once, from one before it
+                    of.setdefault(i, [i]).append(j)
+                    of[j] = of[i]
+                for own in {id(x): x for x in of.values()}.values():
+                    least = int(digests[own].min())
+                    out += [(int(d), least) for d in digests[own]]
+            yield pd.DataFrame(out, columns=["digest", "class"])
+
+    # Not by the join's own key: such a repartition is planned away, and what adaptive execution then does to the join would part a group.
+    small = rows.where("parts = 1").select("root", "digest", "text").repartition(F.xxhash64("root", F.lit("group"))).sortWithinPartitions("root")
+    found = small.mapInPandas(whole, "digest long, class long")
     if sizes.where("parts > 1").isEmpty():
-        return edges
-    return edges.unionByName(_large(rows.where("parts > 1"), similarity, words))
+        return found
+    roots = components(_large(rows.where("parts > 1"), similarity, words))
+    named = roots.select(F.col("node").alias("digest"), F.col("root").alias("class"))
+    return found.unionByName(named).unionByName(named.select(F.col("class").alias("digest"), "class").distinct())
 
 
 def _large(rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """``links`` of large groups: rows (root, digest, text, parts)."""
+    """Edges (a, b) of large groups that connect what is linked: rows (root, digest, text, parts)."""
     pivots = rows.groupBy("root").agg(F.min_by(F.struct("digest", "text"), F.xxhash64("digest")).alias("p0"), *[F.min_by(F.struct("digest", "text"), F.xxhash64("digest", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)])
     pivots = cut(pivots.select("root", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")))
 
@@ -170,5 +178,5 @@ def _large(rows: DataFrame, similarity: float, words: int) -> DataFrame:
                 out += [(int(digests[i]), int(digests[j])) for i, j in found]
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    dealt = own.join(placed, ["root", "block"]).select("cell", "side", "digest", "text").repartition("cell").sortWithinPartitions("cell")
+    dealt = own.join(placed, ["root", "block"]).select("cell", "side", "digest", "text").repartition(F.xxhash64("cell", F.lit("group"))).sortWithinPartitions("cell")
     return to_pivots.unionByName(dealt.mapInPandas(across, "a long, b long"))
