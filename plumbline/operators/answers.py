@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.drilldown import drawn_order
+from plumbline.operators.running import running_sums
 
 # Questions by set, each set with those of the one before; type, and number of levels or choices.
 FIRST_SET = (("informativeness", "score", 4), ("rating_support", "score", 4), ("topic", "choice", 8), ("spam_promo", "noul", 0), ("templated", "noul", 0), ("campaign_language", "noul", 0))
@@ -147,11 +148,11 @@ class CachedAnswers:
 def spending(calls: DataFrame, estimate: float, price: float, batch: int = BATCH) -> DataFrame:
     """(batch, calls, tokens, spent, goes_on) over calls (id, tokens) in order of id: a run goes on while it has cost at most ``SPEND_LIMIT`` of the estimate.
 
-    Batches are summed first; only one row a batch is accumulated.
+    Batches are summed first, then accumulated in two levels.
     """
     per = calls.groupBy(F.floor(F.col("id") / batch).cast("long").alias("batch")).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
-    spent = F.sum("tokens").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)) * F.lit(price) / F.lit(1e6)
-    return per.withColumn("spent", spent).withColumn("goes_on", F.col("spent") <= SPEND_LIMIT * estimate)
+    per = running_sums(per.withColumn("upto", F.col("tokens")), "batch", ["upto"])
+    return per.withColumn("spent", F.col("upto") * F.lit(price) / F.lit(1e6)).drop("upto").withColumn("goes_on", F.col("spent") <= SPEND_LIMIT * estimate)
 
 
 def asked(states: DataFrame, ask: Callable[[dict], tuple[int, dict]], wait: Callable[[float], None] = time.sleep, attempts: int = ATTEMPTS) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import ACTIONS, Policy, Weights
 from plumbline.operators.evaluate import adjusted_rand
+from plumbline.operators.running import running_sums
 
 
 @dataclass(frozen=True)
@@ -111,12 +112,12 @@ def aligned(clean: DataFrame, attacked_: DataFrame, block: int = 8192) -> DataFr
 
     Ids are whole numbers from 0 without gaps, so an organic one moves back by
     the injected ones before it: those of earlier blocks, and those before it in
-    its own block of ``block`` ids. Only a row a block is put in order.
+    its own block of ``block`` ids. Blocks are accumulated in two levels.
     """
     at = F.floor(F.col("id") / block).cast("long").alias("block")
     inside = F.array_sort(F.collect_list(F.when(F.col("wave").isNotNull(), F.col("id")))).alias("inside")  # at most ``block`` ids
-    ahead = F.coalesce(F.sum(F.size("inside")).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = attacked_.groupBy(at).agg(inside).withColumn("before", ahead)
+    blocks = running_sums(attacked_.groupBy(at).agg(inside).withColumn("before", F.size("inside")), "block", ["before"], inclusive=False)
+    blocks = blocks.withColumn("before", F.coalesce("before", F.lit(0)))
     organic = attacked_.where("wave IS NULL").withColumn("block", at).join(blocks, "block")
     back = F.col("before") + F.size(F.filter("inside", lambda x: x < F.col("id")))
     moved = organic.select("id", (F.col("id") - back).cast("long").alias("clean_id"), "rating_norm", "code", *[c for c in ("penalised",) if c in attacked_.columns])

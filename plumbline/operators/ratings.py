@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import REASONS
 from plumbline.functions.patterns import BANDS
+from plumbline.operators.running import running_sums
 
 
 def weighted_mean(r: Column, w: Column) -> Column:
@@ -86,8 +87,8 @@ def waterfall(decided: DataFrame) -> DataFrame:
 def running(decided: DataFrame, every: int = 250) -> DataFrame:
     """Rating over all reviews up to the end of each batch of ``every`` ids: batch, n, rating (columns id, rating_norm, weight).
 
-    Batches are summed first; only one row a batch is accumulated.
+    Batches are summed first, then accumulated in two levels.
     """
     batches = decided.groupBy(F.floor(F.col("id") / every).cast("long").alias("batch")).agg(F.count("*").alias("m"), F.sum(F.col("weight") * F.col("rating_norm")).alias("a"), F.sum(F.when(F.col("rating_norm").isNotNull(), F.col("weight"))).alias("b"))
-    upto = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return batches.select("batch", F.sum("m").over(upto).alias("n"), (F.sum("a").over(upto) / F.nullif(F.sum("b").over(upto), F.lit(0.0))).alias("rating"))
+    summed = running_sums(batches, "batch", ["m", "a", "b"])
+    return summed.select("batch", F.col("m").alias("n"), (F.col("a") / F.nullif(F.col("b"), F.lit(0.0))).alias("rating"))

@@ -15,9 +15,11 @@ from plumbline.sources import reviews as R
 SETS = ", ".join(f"('{v}', {k}, '{n}', '{t}', {m})" for v in AN.ADDED for k, (n, t, m) in enumerate(AN.question_set(v)))
 
 
-@query(f"SELECT * FROM (VALUES {SETS}) AS q(version, place, question, type, levels)")
+@query(S.over_reviews() + f"SELECT q.*, n AS inputs FROM (VALUES {SETS}) AS q(version, place, question, type, levels) CROSS JOIN (SELECT count(DISTINCT text || CASE WHEN rating_norm >= 0.5 THEN '1' ELSE '0' END) AS n FROM reviews)")
 def question_sets(spark, sf_dir):
-    return AN.registry(spark)
+    """The questions of each set, with the distinct inputs that each would be asked of."""
+    inputs = states(spark, sf_dir).select(AN.input_key(F.col("state")).alias("key")).distinct().agg(F.count("*").alias("inputs"))
+    return AN.registry(spark).crossJoin(F.broadcast(inputs))  # one row
 
 
 STATE = """'{"context":"Review of ''' || 'corpus' || '''.","review":' || to_json(text) || ',"verdict":"' || CASE WHEN rating_norm >= 0.5 THEN 'Recommended' ELSE 'Not recommended' END || '"}'"""

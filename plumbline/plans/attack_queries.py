@@ -29,11 +29,13 @@ def _wave_sql(a: A.Attack, seed: int = 7) -> str:
 WAVES = "waves AS (" + " UNION ALL ".join(_wave_sql(a) for a in A.ATTACKS) + ")"
 
 
-@query(f"WITH {WAVES} SELECT ext_id, text, rating_norm, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, n_reviews, minutes, purchased FROM waves")
+@query(f"""WITH {WAVES} SELECT ext_id, text, rating_norm, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, n_reviews, minutes, purchased FROM waves
+UNION ALL SELECT CAST(event_id AS VARCHAR), event_type, CASE WHEN event_type IN ('purchase', 'signup') THEN 1e0 ELSE 0e0 END, strftime(ts, '%Y-%m-%d %H:%M:%S'), NULL, NULL, NULL FROM events""")
 def injected_waves(spark, sf_dir):
-    """Five waves of injected reviews with their account mix."""
+    """The events as reviews, with five waves of injected reviews and their account mix among them."""
+    events = R.read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("ext_id"), F.col("event_type").alias("text"), F.when(F.col("event_type").isin("purchase", "signup"), 1.0).otherwise(0.0).alias("rating_norm"), F.col("ts").cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("string").alias("meta"))
     m = F.from_json("meta", "author_num_reviews long, author_playtime_at_review long, steam_purchase boolean")
-    return A.injected_rows(spark).select("ext_id", "text", "rating_norm", shown("created_at"), m["author_num_reviews"].alias("n_reviews"), m["author_playtime_at_review"].alias("minutes"), m["steam_purchase"].alias("purchased"))
+    return A.attacked(events, A.injected_rows(spark)).select("ext_id", "text", "rating_norm", shown("created_at"), m["author_num_reviews"].alias("n_reviews"), m["author_playtime_at_review"].alias("minutes"), m["steam_purchase"].alias("purchased"))
 
 
 @query(f"WITH {WAVES} SELECT wave, count(*) AS n, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last FROM waves GROUP BY wave")
@@ -168,13 +170,15 @@ def changed_examples(spark, sf_dir):
     return A.changed_examples(a, b, inside, a)
 
 
-@query(f"""WITH {WAVES}, t AS (SELECT *, {S.TOKENS} AS n_tokens, {S.SYMBOLS} AS symbols, {S.PROMO} AS promo FROM waves), d AS (SELECT *, CASE WHEN promo THEN 3 WHEN n_tokens <= 3 OR symbols > 0.5 THEN 2 ELSE 1 END AS code FROM t)
-SELECT wave, code, count(*) AS n FROM d GROUP BY 1, 2""")
+@query(S.over_reviews(WAVES, f"every AS (SELECT wave, text FROM waves UNION ALL SELECT NULL, text FROM reviews), texts AS (SELECT text, {S.TOKENS} AS n_tokens, {S.SYMBOLS} AS symbols, {S.PROMO} AS promo FROM (SELECT DISTINCT text FROM every))") + """
+SELECT wave, CASE WHEN promo THEN 3 WHEN n_tokens <= 3 OR symbols > 0.5 THEN 2 ELSE 1 END AS code, count(*) AS n FROM every JOIN texts USING (text) GROUP BY 1, 2""")
 def waves_by_heuristics(spark, sf_dir):
-    """What the decisions without a model make of the waves."""
+    """What the decisions without a model make of the waves and of the organic reviews; each text is decided once."""
+    organic = R.reviews(spark, sf_dir).select(F.col("ext_id").cast("string").alias("ext_id"), "text")
+    every = A.attacked(organic, A.injected_rows(spark)).groupBy(A.truth(F.col("ext_id")).alias("wave"), "text").agg(F.count("*").alias("m"))
     c = F.col("text")
-    rows = A.injected_rows(spark).select(A.truth(F.col("ext_id")).alias("wave"), PO.heuristic(T.token_count(c), T.symbol_ratio(c), T.has_promo(c)).alias("d"))
-    return rows.groupBy("wave", F.col("d.code").alias("code")).agg(F.count("*").alias("n"))
+    texts = every.select("text").distinct().select("text", PO.heuristic(T.token_count(c), T.symbol_ratio(c), T.has_promo(c)).alias("d"))
+    return every.join(texts, "text").groupBy("wave", F.col("d.code").alias("code")).agg(F.sum("m").alias("n"))
 
 
 SWEPT = (("loose", 0.4), ("usual", 0.55), ("strict", 0.7))

@@ -17,6 +17,7 @@ from plumbline.operators import judgments as J
 from plumbline.operators import platform as PL
 from plumbline.operators import policy as PO
 from plumbline.operators import ratings as RA
+from plumbline.operators.drilldown import caption
 from plumbline.plans.tables import cut
 
 KIND_ORDER = {"burst": 0, "duplicate": 1, "semantic": 2}
@@ -84,8 +85,8 @@ def score_clusters(numbered: DataFrame, members: DataFrame, feats: DataFrame, sp
     out = out.withColumn("new_account_share", F.when(F.col("known") > 0, C.account_lift(F.col("fresh"), F.col("base"))))
     inside = rows.where("kind <> 'burst'").withColumnRenamed("cluster_id", "cluster")
     sizes = inside.where("created_at IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size"))
-    dense = C.time_concentration(inside, C.expected_others(sizes, feats, s), s).select(F.col("cluster").alias("cluster_id"), F.col("concentration").alias("dense"))
-    rate = spans.select(F.lit("burst").alias("kind"), F.concat_ws(" ", "verdict", F.col("start").cast("string")).alias("key"), F.greatest(F.lit(0.0), 1 - F.col("baseline_per_hour") / F.greatest(F.col("size") / F.col("hours"), F.lit(1e-9))).alias("rate"))
+    dense = C.time_concentration(inside, C.expected_others(sizes, feats, s), s).select(F.col("cluster").alias("cluster_id"), F.col("concentration").alias("dense"), F.col("hours").alias("window_hours"), F.col("count").alias("window_count"), F.col("start").alias("window_start"), (F.col("expected") + 1).alias("window_expected"))
+    rate = spans.select(F.lit("burst").alias("kind"), F.concat_ws(" ", "verdict", F.col("start").cast("string")).alias("key"), F.greatest(F.lit(0.0), 1 - F.col("baseline_per_hour") / F.greatest(F.col("size") / F.col("hours"), F.lit(1e-9))).alias("rate"), (F.col("size") / F.col("hours")).alias("per_hour"), "baseline_per_hour")
     out = out.join(dense, "cluster_id", "left").join(rate, ["kind", "key"], "left").withColumn("time_concentration", F.coalesce("rate", "dense"))
     if vectors is not None:
         like = C.centroid_similarity(members.join(vectors.select("id", "embedding"), "id"), "cluster_id", cosine=s.cosine).select("cluster_id", "similarity")
@@ -100,13 +101,10 @@ def score_clusters(numbered: DataFrame, members: DataFrame, feats: DataFrame, sp
         out = out.withColumn("offtopic_mean", F.lit(None).cast("double"))
     names = ("time_concentration", "similarity", "rating_homogeneity", "new_account_share", "offtopic_mean")
     suspicion = F.round(C.geometric_mean({n: F.col(n) for n in names}, s), 4)
-    return out.select("cluster_id", "kind", "key", "size", "t_start", "t_end", *[F.round(n, 4).alias(n) for n in names], suspicion.alias("suspicion"), caption(F.col("size"), F.col("similarity"), F.col("rating_homogeneity"), F.col("offtopic_mean")).alias("caption"))
-
-
-def caption(size, similarity, homogeneity, offtopic):
-    """Words for a cluster's factors; parts that are not known are left out."""
-    percent = lambda c, said: F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("% " + said))
-    return F.concat_ws(" · ", F.concat(F.format_number(size, 0), F.lit(" reviews")), percent(similarity, "similar wording"), percent(homogeneity * 0.5 + 0.5, "same verdict"), percent(offtopic, "off-topic"))
+    dense = F.when(F.col("rate").isNull(), F.col("window_count"))
+    said = caption(F.col("size"), F.col("per_hour"), F.col("baseline_per_hour"), dense, F.col("window_hours"), F.col("window_expected"), F.col("similarity"), F.col("rating_homogeneity") * 0.5 + 0.5, F.when(F.col("known") > 0, F.col("fresh")), F.col("offtopic_mean"))
+    window = ["per_hour", "baseline_per_hour", "window_hours", "window_count", "window_start", "window_expected"]
+    return out.select("cluster_id", "kind", "key", "size", "t_start", "t_end", *[F.round(n, 4).alias(n) for n in names], suspicion.alias("suspicion"), said.alias("caption"), *window)
 
 
 def analyse(reviews: DataFrame, cfg: Config = Config(), answers: DataFrame | None = None, vectors: DataFrame | None = None, semantic: DataFrame | None = None) -> Result:

@@ -92,13 +92,18 @@ def hashed_embeddings(spark, sf_dir):
     return vectors.select("doc_id", F.posexplode("embedding").alias("place", "x")).where("x > 0").select("doc_id", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
-@query("""WITH p AS (SELECT r, b FROM range(1, 129) t(r), range(1, 129) u(b) WHERE r * b <= 128), g AS (SELECT i / 2000e0 AS s FROM range(0, 2001) t(i)), th AS (SELECT unnest([0.4::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE]) AS t),
-c AS (SELECT t, r, b, 0.5 * (sum(CASE WHEN s <= t THEN 1 - pow(1 - pow(s, r), b) ELSE 0 END) + sum(CASE WHEN s >= t THEN pow(1 - pow(s, r), b) ELSE 0 END)) / 2000 AS cost FROM th, p, g GROUP BY t, r, b)
-SELECT t::DOUBLE AS threshold, CAST(arg_min(b, (round(cost, 12), r, b)) AS BIGINT) AS bands, CAST(arg_min(r, (round(cost, 12), r, b)) AS BIGINT) AS rows FROM c GROUP BY t""")
+@query("""WITH d AS (SELECT greatest(4, least(9, CAST(floor(10 * (n - 10) / (n + 10e0)) AS INTEGER))) / 10e0 AS t, count(*) AS documents FROM (SELECT greatest(length(coalesce(text, '')) - 4, 0) AS n FROM documents) GROUP BY 1),
+p AS (SELECT r, b FROM range(1, 129) t(r), range(1, 129) u(b) WHERE r * b <= 128), g AS (SELECT i / 2000e0 AS s FROM range(0, 2001) t(i)),
+c AS (SELECT t, r, b, 0.5 * (sum(CASE WHEN s <= t THEN 1 - pow(1 - pow(s, r), b) ELSE 0 END) + sum(CASE WHEN s >= t THEN pow(1 - pow(s, r), b) ELSE 0 END)) / 2000 AS cost FROM (SELECT DISTINCT t FROM d), p, g GROUP BY t, r, b),
+best AS (SELECT t, CAST(arg_min(b, (round(cost, 12), r, b)) AS BIGINT) AS bands, CAST(arg_min(r, (round(cost, 12), r, b)) AS BIGINT) AS rows FROM c GROUP BY t)
+SELECT t AS threshold, documents, bands, rows FROM d JOIN best USING (t)""")
 def lsh_parameters(spark, sf_dir):
-    """Bands and rows with the least area of wrong answers, by threshold."""
-    rows = [(t, *D.lsh_parameters(t)) for t in (0.4, 0.5, 0.7, 0.9)]
-    return spark.createDataFrame(rows, "threshold double, bands long, rows long")
+    """Bands and rows with the least area of wrong answers, for the similarity that one edited word leaves of a document of each length."""
+    n = F.greatest(F.length(F.coalesce("text", F.lit(""))) - 4, F.lit(0))
+    left = F.greatest(F.lit(4), F.least(F.lit(9), F.floor(10 * (n - 10) / (n + 10.0)))) / 10.0
+    found = R.read(spark, sf_dir, "documents").groupBy(left.cast("double").alias("threshold")).agg(F.count("*").alias("documents"))
+    table = spark.createDataFrame([(t / 10, *D.lsh_parameters(t / 10)) for t in range(4, 10)], "threshold double, bands long, rows long")
+    return found.join(table, "threshold")
 
 
 WORD_SHINGLES = r"""ws AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+') AS w FROM documents),
