@@ -18,11 +18,13 @@ from plumbline.config import Suspicion
 from plumbline.functions.patterns import STOP_WORDS
 from plumbline.operators.blocks import against
 from plumbline.operators.duplicates import components
-from plumbline.plans.tables import cut
+from plumbline.plans.tables import cut, landed
 
 WIDTH = 64
 #: Ranks of a random order that meet the sizes of subsets together.
 RANK_CELL = 1024
+#: Terms of a cluster that are scored first, about.
+LEADING = 64
 #: Terms that a task counts before it passes them on; what a word is, as in the engine's expressions.
 TERMS_HELD = 500_000
 WORDS = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+").findall
@@ -211,15 +213,33 @@ def term_counts(df: DataFrame, cluster: str, text_col: str = "text") -> DataFram
 
 
 def top_phrases(df: DataFrame, cluster: str, k: int = 6, text_col: str = "text") -> DataFrame:
-    """(cluster, rank, term, score): most telling one- and two-word phrases of each cluster by class TF-IDF."""
-    tf = cut(term_counts(df, cluster, text_col))
-    per_class = tf.groupBy("cluster").agg(F.sum("n").alias("words"))
-    mean = per_class.agg(F.avg("words").alias("mean"))
-    freq = F.sum("n").over(Window.partitionBy("term"))  # a row a cluster
-    every = tf.withColumn("freq", freq).join(per_class.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).crossJoin(F.broadcast(mean))
-    scored = every.withColumn("score", F.col("n") / F.col("words") * F.log1p(F.col("mean") / F.col("freq")))
-    best = Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 9)), "term")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("cluster", "rank", "term", "score")
+    """(cluster, rank, term, score): most telling one- and two-word phrases of each cluster by class TF-IDF.
+
+    A term occurs at least as often in all clusters as in one, which bounds its
+    score by its count there. The commonest terms of a cluster are scored first;
+    of the others only those whose bound reaches the k-th best of these are, so
+    few terms are summed over all clusters and put in order.
+    """
+    tf = landed(term_counts(df, cluster, text_col), "terms")
+    key = F.coalesce(F.col("cluster").cast("string"), F.lit("")), F.col("cluster").isNull()
+    tf = tf.withColumns({"_c": key[0], "_none": key[1]})
+    of = ["_c", "_none"]
+    sizes = tf.groupBy(*of, "n").agg(F.count("*").alias("terms"))
+    common = Window.partitionBy(*of).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    least = sizes.withColumn("before", F.coalesce(F.sum("terms").over(common), F.lit(0))).groupBy(*of).agg(F.sum(F.col("n") * F.col("terms")).alias("words"), F.min(F.when(F.col("before") < LEADING, F.col("n"))).alias("least"))
+    mean = least.agg(F.avg("words").alias("mean"))
+    classes = cut(least.crossJoin(F.broadcast(mean)))  # one row
+    best = Window.partitionBy(*of).orderBy(F.desc(F.round("score", 9)), "term")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        freq = tf.join(rows.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("freq"))
+        return rows.join(freq, "term").withColumn("score", F.col("n") / F.col("words") * F.log1p(F.col("mean") / F.col("freq"))).withColumn("rank", F.row_number().over(best))
+
+    every = tf.join(classes, of)
+    kth = scored(every.where("n >= least")).where(F.col("rank") == k).select(*of, F.col("score").alias("kth"))
+    bound = F.col("n") / F.col("words") * F.log1p(F.col("mean") / F.col("n"))
+    some = cut(every.join(kth, of, "left").where(F.col("kth").isNull() | (bound >= F.col("kth") - 1e-8)))
+    return scored(some).where(F.col("rank") <= k).select("cluster", "rank", "term", "score")
 
 
 def densest(members: DataFrame, hours: float, key: str | list[str] = "cluster", time: str = "created_at") -> DataFrame:
