@@ -38,11 +38,11 @@ from pyspark.sql.types import StructField, StructType
 from plumbline.llm.common import cut, slices, texts
 
 #: Words that are classes of their own, classes of endings, and the most words with a place in the model (others are spelled).
-FREQUENT, ENDINGS, MOST_WORDS = 64, 16, 1 << 17
+FREQUENT, ENDINGS, MOST_WORDS = 64, 30, 1 << 17
 #: Words of the vocabulary a square root of the tokens.
-WORDS_A_ROOT = 1
+WORDS_A_ROOT = 2
 #: Tokens on each side; numbers of a word, of the hidden layer, and of that layer's end from which a word within its block is predicted.
-SIDE, WIDTH, HIDDEN, INNER = 2, 8, 16, 8
+SIDE, WIDTH, HIDDEN, INNER = 2, 16, 32, 8
 ROUNDS, RATE, BATCH, SEED = 2, 0.15, 16_384, 3
 #: Rows of a batch whose outputs are held at once, so that they stay in the processor's cache; and the largest logit.
 AT_ONCE, MOST_LOGIT = 512, 60.0
