@@ -8,11 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from plumbline.config import Features
 from plumbline.functions.text import normalised
-from plumbline.plans.tables import cut
+from plumbline.plans.tables import cut, landed
 
 MERSENNE = (1 << 31) - 1
 #: Members of a band beyond which it is cut into cells of about this many.
@@ -35,16 +34,6 @@ def shingles_of(text: str, k: int = 5) -> np.ndarray:
     return np.unique(mixed & np.uint64(MERSENNE)).astype(np.int64)
 
 
-def shingle_hashes(norm: Column, k: int = 5) -> Column:
-    """``shingles_of`` as a column. In numpy, as taking substrings one by one costs a scan of the text each."""
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def hashes(column: pd.Series) -> pd.Series:
-        return pd.Series([shingles_of(x, k) for x in column])
-
-    return hashes(norm)
-
-
 def sketch(hashes: np.ndarray, features: Features) -> np.ndarray:
     """MinHash signature of a set of hashes: minima over affine permutations of 32-bit numbers, odd factors."""
     rng = np.random.default_rng(1)
@@ -66,19 +55,32 @@ def band_keys(signature: np.ndarray, features: Features) -> np.ndarray:
 
 
 def sketches(reps: DataFrame, features: Features = Features()) -> DataFrame:
-    """(rep, size, signature, bands) of each representative (columns rep, shingles)."""
+    """(rep, size, signature, bands) of each representative (columns rep, norm)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [sketch(h, features) for h in batch["shingles"]]
-            yield pd.DataFrame({"rep": batch["rep"], "size": [len(h) for h in batch["shingles"]], "signature": [x.view(np.int32) for x in found], "bands": [band_keys(x, features) for x in found]})
+            sets = [shingles_of(x, features.shingle) for x in batch["norm"]]
+            found = [sketch(h, features) for h in sets]
+            yield pd.DataFrame({"rep": batch["rep"], "size": [len(h) for h in sets], "signature": [x.view(np.int32) for x in found], "bands": [band_keys(x, features) for x in found]})
+
+    return reps.select("rep", "norm").mapInPandas(make, "rep long, size int, signature array<int>, bands array<long>")
+
 
-    return reps.select("rep", "shingles").mapInPandas(make, "rep long, size int, signature array<int>, bands array<long>")
+def jaccard(a: Column, b: Column, k: int) -> Column:
+    """Exact similarity of two texts' shingle sets, which are made again for the pair."""
 
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        held, out = (None, None), []
+        for s, t in zip(x, y):
+            if s != held[0]:  # pairs of a text come one after the other
+                held = s, shingles_of(s, k)
+            other = shingles_of(t, k)
+            both = len(np.intersect1d(held[1], other, assume_unique=True))
+            out.append(both / (len(held[1]) + len(other) - both))
+        return pd.Series(out)
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    return of(a, b)
 
 
 def promising(features: Features) -> Column:
@@ -94,11 +96,11 @@ def promising(features: Features) -> Column:
 
 
 def near_pairs(reps: DataFrame, features: Features = Features(), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Verified pairs (a, b, score) of representatives, a < b.
+    """Verified pairs (a, b, score) of representatives (rep, norm), a < b.
 
     All members of a band are compared with each other. A band with more than
     ``cell_rows`` members is cut into a grid of cells, so that no task holds it
-    whole. Shingles travel only for pairs whose sketches are promising.
+    whole. Texts travel only for pairs whose sketches are promising.
     """
     drawn = cut(sketches(reps, features))
     banded = drawn.select("rep", F.explode("bands").alias("band"))
@@ -110,8 +112,8 @@ def near_pairs(reps: DataFrame, features: Features = Features(), cell_rows: int
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda n, k: drawn.select(F.col("rep").alias(n), F.col("size").alias(f"size_{k}"), F.col("signature").alias(f"signature_{k}"))
     likely = cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(promising(features)).select("a", "b"))
-    left, right = reps.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    scored = likely.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("score"))
+    left, right = reps.select(F.col("rep").alias("a"), F.col("norm").alias("na")), reps.select(F.col("rep").alias("b"), F.col("norm").alias("nb"))
+    scored = likely.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("na"), F.col("nb"), features.shingle).alias("score"))
     return scored.where(F.col("score") >= features.near_jaccard)
 
 
@@ -139,9 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "text", features: Features = Features()) -> DataFrame:
     """(id, exact_group_id, dup_group_id, dup_of, dup_score) of each row; -1: no group."""
     named = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    exact = cut(named.groupBy("norm").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    reps = cut(exact.select("rep", shingle_hashes(F.col("norm"), features.shingle).alias("shingles")))
-    edges = cut(near_pairs(reps, features))
+    exact = landed(named.groupBy("norm").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "distinct")
+    edges = cut(near_pairs(exact.select("rep", "norm"), features))
     roots = components(edges.select("a", "b")).withColumnRenamed("node", "rep")
     best = edges.select(F.col("a").alias("rep"), "score").union(edges.select("b", "score")).groupBy("rep").agg(F.max("score").alias("best"))
     joined = exact.join(roots, "rep", "left").join(best, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

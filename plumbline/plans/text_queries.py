@@ -129,7 +129,7 @@ def duplicate_components(spark, sf_dir):
 def near_duplicate_pairs(spark, sf_dir):
     """Pairs of different texts with a similarity of 0.7 or more, against all pairs."""
     exact = D.exact_groups(R.read(spark, sf_dir, "documents"), "doc_id")
-    pairs = D.near_pairs(D.cut(exact.select("rep", D.shingle_hashes(F.col("norm")).alias("shingles"))))
+    pairs = D.near_pairs(D.landed(exact.select("rep", "norm"), "distinct"))
     return pairs.withColumn("score", F.round("score", 6))
 
 

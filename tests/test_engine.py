@@ -402,7 +402,7 @@ def test_near_pairs_and_scores_equal_brute_force(spark):
     want = {p: v for p, v in score.items() if v >= 0.7}
     assert len(want) >= 14 * 13 / 2 + 9 * 8 / 2
     df = texts(spark, *rows)
-    reps = df.select(F.col("id").alias("rep"), D.shingle_hashes(T.normalised(F.col("text"))).alias("shingles"))
+    reps = df.select(F.col("id").alias("rep"), T.normalised(F.col("text")).alias("norm"))
     for cell_rows in (1_000, 4):
         got = D.near_pairs(reps, cell_rows=cell_rows).collect()
         assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == pytest.approx(want)
