@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Config
+from plumbline.operators import answers as AN
 from plumbline.operators import drilldown as I
 from plumbline.operators import labelsets as L
 from plumbline.operators import summary as SU
 from plumbline.plans import run as RUN
 from plumbline.sources import catalogue, readers, sinks
 
-TABLES = ("features", "clusters", "members", "decisions")
+TABLES = ("features", "clusters", "members", "decisions", "interval", "platform")
 RUN_ROW = "id string, dataset_id string, backend string, question_set string, status string, config string, cost double, elapsed_s double, at timestamp"
+CALLS = "run_id string, requests long, retries long, latency_p50_ms double, latency_p95_ms double, tokens long, cost double"
 LABEL = "name string, rater string, id long, key string, label string, at timestamp"
 
 
@@ -60,8 +62,8 @@ class Store:
 
     # runs
 
-    def run(self, dataset: str, cfg: Config = Config(), answers: DataFrame | None = None, vectors: DataFrame | None = None, semantic: DataFrame | None = None, question_set: str = "v5", cost: float = 0.0) -> str:
-        """Analyses a dataset and stores all tables of the run under a new id."""
+    def run(self, dataset: str, cfg: Config = Config(), answers: DataFrame | None = None, vectors: DataFrame | None = None, semantic: DataFrame | None = None, question_set: str = "v5", cost: float = 0.0, calls: DataFrame | None = None, price: float = 1.0) -> str:
+        """Analyses a dataset and stores all tables of the run under a new id; ``calls``: those of a service (latency_ms, retries, tokens)."""
         self.dataset(dataset)
         id_, began = uuid.uuid4().hex[:12], time.time()
         result = RUN.analyse(self.reviews(dataset), cfg, answers, vectors, semantic)
@@ -69,6 +71,8 @@ class Store:
             sinks.store_run(getattr(result, name), self._path(name), id_)
         if answers is not None:
             sinks.store_run(answers, self._path("judgments"), id_)
+        if calls is not None:
+            sinks.store_run(AN.call_summary(calls, price), self._path("calls"), id_)
         backend = "heuristic" if answers is None else "model"
         row = self.spark.createDataFrame([(id_, dataset, backend, question_set, "done", repr(cfg), cost, round(time.time() - began, 3))], RUN_ROW.rsplit(",", 1)[0])
         row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(self._path("runs"))
@@ -94,7 +98,8 @@ class Store:
         """The run's summary as one row."""
         row = catalogue.stored(self.spark, self._path("runs"), RUN_ROW).where(F.col("id") == run).first()
         clusters = SU.cluster_counts(self.table("clusters", run))
-        return SU.run_summary(self.table("decisions", run), None, clusters, None, None, row.elapsed_s)
+        calls = catalogue.stored(self.spark, self._path("calls"), CALLS).where(F.col("run_id") == run)
+        return SU.run_summary(self.table("decisions", run), self.table("interval", run), clusters, self.table("platform", run), None if calls.isEmpty() else calls, row.elapsed_s)
 
     def grid(self, run: str) -> DataFrame:
         """(id, code) of every review of the run's dataset."""

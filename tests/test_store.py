@@ -37,6 +37,9 @@ def test_run_and_pages(stored):
     assert [r.id for r in store.runs().collect()] == [run]
     summary = store.summary(run).first()
     assert summary.n_reviews == n and summary.adjusted > summary.raw
+    assert summary.ci_low <= summary.adjusted <= summary.ci_high
+    assert summary.counted == n and summary.platform_rating is not None and summary.platform_label and summary.requests is None
+    assert summary.elapsed_s > 0 and summary.reviews_per_s > 0
     assert store.grid(run).where("code > 0").count() == n
     page = store.review_page(run, ReviewFilter(reason="spam"), limit=5).collect()
     assert len(page) == 5 and page[0].total > 5 and all("free" in r.snippet for r in page)
