@@ -52,12 +52,17 @@ def remove_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def give_back(spark: SparkSession) -> None:
-    """Returns the driver's freed memory to the system; Spark then also removes shuffles and checkpoints that nothing refers to."""
+def trim() -> None:
+    """Returns this Python process's freed memory to the system, as at the end of a task whose worker serves other stages next."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Returns the driver's freed memory to the system; Spark then also removes shuffles and checkpoints that nothing refers to."""
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

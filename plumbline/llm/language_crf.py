@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import slices, texts
+from plumbline.llm.common import slices, texts, trim
 
 #: Rows a language, rows in all (but eight a language at least), and characters of each, from which weights are learned.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 300, 4_000, 6_000
@@ -393,5 +393,7 @@ def keep_determined(docs: DataFrame, model: Model | None, least: float, text_col
                 if labeller is not None and len(part):
                     shares = labeller.shares([words_of(t) for t in texts(part[text_col])]).max(axis=1)
                     yield part[(shares > 0) & (shares >= least)]
+        del labeller
+        trim()
 
     return docs.mapInPandas(keep, docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import slices, texts
+from plumbline.llm.common import slices, texts, trim
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
@@ -359,6 +359,8 @@ def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "t
                 rows = lattice.encode_many(texts(part[text_col]), n_best)
                 out = part.assign(pieces=[r[1] for r in rows], piece_score=[r[0] for r in rows], piece_alternatives=[r[2] for r in rows])
                 yield out.assign(piece_round_trip=[lattice.decode(r[1].tolist()) == t for r, t in zip(rows, texts(part[text_col]))]) if verify else out
+        del lattice
+        trim()
 
     return docs.mapInPandas(segment, StructType([*docs.schema.fields, *made.fields]))
 
