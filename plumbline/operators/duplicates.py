@@ -123,21 +123,22 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes may be of any type that has an order. The minima are cut off before
     they are joined, so that both sides of the joins are bare shuffles and the
     rows of a node with very many neighbours can be split. Each step is a table
-    of its own: the constraints that a checkpoint keeps multiply from round to round.
+    of its own, of a file a 50,000 edges and eight at least: the constraints that
+    a checkpoint keeps multiply from round to round.
     """
-    step = lambda df: landed(df, "components")
-    edges, before = step(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    step = lambda df, n: landed(df.coalesce(max(8, -(-n // 50_000))), "components")
+    edges, before = landed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components"), None
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = edges.union(edges.select("v", "u"))
-        least = step(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = step(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = step(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = step(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), state[0])
+        large = step(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), state[0])
+        least = step(large.groupBy("u").agg(F.min("v").alias("m")), state[0])
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = step(small.union(least.select("u", "m")).distinct())
+        edges = step(small.union(least.select("u", "m")).distinct(), state[0])
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "text", features: Features = Features()) -> DataFrame:
