@@ -173,12 +173,12 @@ def changed_examples(spark, sf_dir):
 @query(S.over_reviews(WAVES, f"every AS (SELECT wave, text FROM waves UNION ALL SELECT NULL, text FROM reviews), texts AS (SELECT text, {S.TOKENS} AS n_tokens, {S.SYMBOLS} AS symbols, {S.PROMO} AS promo FROM (SELECT DISTINCT text FROM every))") + """
 SELECT wave, CASE WHEN promo THEN 3 WHEN n_tokens <= 3 OR symbols > 0.5 THEN 2 ELSE 1 END AS code, count(*) AS n FROM every JOIN texts USING (text) GROUP BY 1, 2""")
 def waves_by_heuristics(spark, sf_dir):
-    """What the decisions without a model make of the waves and of the organic reviews; each text is decided once."""
-    organic = R.reviews(spark, sf_dir).select(F.col("ext_id").cast("string").alias("ext_id"), "text")
-    every = A.attacked(organic, A.injected_rows(spark)).groupBy(A.truth(F.col("ext_id")).alias("wave"), "text").agg(F.count("*").alias("m"))
+    """What the decisions without a model make of the waves and of the organic reviews; a document's text is decided once."""
     c = F.col("text")
-    texts = every.select("text").distinct().select("text", PO.heuristic(T.token_count(c), T.symbol_ratio(c), T.has_promo(c)).alias("d"))
-    return every.join(texts, "text").groupBy("wave", F.col("d.code").alias("code")).agg(F.sum("m").alias("n"))
+    code = PO.heuristic(T.token_count(c), T.symbol_ratio(c), T.has_promo(c))["code"]
+    organic = R.unnumbered(spark, sf_dir, {"code": code}).select(F.col("ext_id").cast("string").alias("ext_id"), "code")
+    every = A.attacked(organic, A.injected_rows(spark).withColumn("code", code))
+    return every.groupBy(A.truth(F.col("ext_id")).alias("wave"), "code").agg(F.count("*").alias("n"))
 
 
 SWEPT = (("loose", 0.4), ("usual", 0.55), ("strict", 0.7))
