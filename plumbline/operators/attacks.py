@@ -188,7 +188,7 @@ def period_shares(a: DataFrame, b: DataFrame, in_burst: DataFrame) -> DataFrame:
 def changed_examples(a: DataFrame, b: DataFrame, in_burst: DataFrame, reviews: DataFrame, n: int = 8) -> DataFrame:
     """The first ``n`` reviews outside bursts whose action differs, with the beginning of the text."""
     rows = compared(a, b, in_burst).where("x <> y AND period = 'normal'").orderBy("id").limit(n)
-    return rows.join(reviews.select("id", F.substring("text", 1, 200).alias("text")), "id").select("id", "x", "y", "text")
+    return reviews.select("id", F.substring("text", 1, 200).alias("text")).join(F.broadcast(rows), "id").select("id", "x", "y", "text")
 
 
 def cost_points(benchmarks: DataFrame) -> DataFrame:
@@ -199,6 +199,8 @@ def cost_points(benchmarks: DataFrame) -> DataFrame:
 
 def charged(runs: DataFrame) -> DataFrame:
     """``runs`` (id, backend, reuses, cost) with ``charged``: a cached run is charged what its source cost."""
+    # Only runs that reuse another's answers meet their sources: nulls would all be dealt to one task.
+    reusing = F.coalesce((F.col("backend") == "cached") & F.col("reuses").isNotNull(), F.lit(False))
     source = runs.select(F.col("id").alias("reuses"), F.col("cost").alias("_source"))
-    joined = runs.join(source, "reuses", "left")
-    return joined.withColumn("charged", F.when((F.col("backend") == "cached") & F.col("reuses").isNotNull(), F.coalesce("_source", F.lit(0.0))).otherwise(F.col("cost"))).drop("_source")
+    joined = runs.where(reusing).join(source, "reuses", "left").withColumn("charged", F.coalesce("_source", F.lit(0.0))).drop("_source")
+    return joined.unionByName(runs.where(~reusing).withColumn("charged", F.col("cost")))
