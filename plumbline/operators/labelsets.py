@@ -69,14 +69,21 @@ def probes(reviews: DataFrame, by: str, n: int, seed: int = 11, key: str = "id")
     return reviews.where(F.length(F.coalesce("text", F.lit(""))) > 0).withColumn("place", F.row_number().over(first)).where(F.col("place") <= n)
 
 
+def source_words() -> Column:
+    """Number of words of a text by which it may be a source."""
+    return F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
+
+
 def adversarial_sources(reviews: DataFrame, groups: dict[str, tuple[int, Column]], seed: int = 13) -> DataFrame:
-    """(source, group, id, text, rating_norm): of each group the first reviews by digest that have enough words; sources are numbered group by group."""
-    enough = reviews.where(F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")) >= SOURCE_WORDS)
-    out = None
-    for place, (name, (n, rule)) in enumerate(groups.items()):
-        rows = enough.where(rule).select(F.lit(place).alias("g"), F.lit(name).alias("group"), "id", "text", "rating_norm", drawn_order(F.col("id"), seed).alias("o")).orderBy("o", "id").limit(n)
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("source", F.row_number().over(Window.orderBy("g", "o", "id")) - 1).drop("g", "o")  # the drawn rows
+    """(source, group, id, rating_norm): of each group the first reviews by digest that have enough words (``source_words``); sources are numbered group by group.
+
+    All groups are drawn in one pass; texts join the drawn reviews afterwards.
+    """
+    rules = [F.when(rule, F.struct(F.lit(place).alias("g"), F.lit(name).alias("group"), F.lit(n).alias("most"))) for place, (name, (n, rule)) in enumerate(groups.items())]
+    rows = reviews.where(F.col("source_words") >= SOURCE_WORDS).select("id", "rating_norm", drawn_order(F.col("id"), seed).alias("o"), F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("r"))
+    place = F.row_number().over(Window.partitionBy("r.g").orderBy("o", "id"))
+    drawn = rows.withColumn("place", place).where(F.col("place") <= max(n for n, _ in groups.values())).where(F.col("place") <= F.col("r.most"))
+    return drawn.select(F.col("r.group").alias("group"), "id", "rating_norm", (F.row_number().over(Window.orderBy("r.g", "o", "id")) - 1).alias("source"))  # the drawn rows
 
 
 def versions(sources: DataFrame, name: str = "v1", start: str = "2024-01-01 00:00:00") -> DataFrame:
@@ -185,4 +192,5 @@ def shown(judged: DataFrame, reviews: DataFrame, stratum: str | None = None, n:
     """A tuning set's decisions for reading: id, stratum, action, reasons, score and the beginning of the text; by id, ``n`` at most."""
     rows = judged if stratum is None else judged.where(F.col("stratum") == stratum)
     text = F.substring(F.regexp_replace("text", "\n", " "), 1, chars)
-    return rows.join(reviews.select("id", text.alias("text")), "id").orderBy("id").limit(n).select("id", "stratum", "action", "reasons", "score", "text")
+    first = rows.orderBy("id").limit(n)
+    return reviews.select("id", text.alias("text")).join(F.broadcast(first), "id").orderBy("id").select("id", "stratum", "action", "reasons", "score", "text")

@@ -10,6 +10,7 @@ from plumbline.plans.answer_queries import long_answers
 from plumbline.plans.corpus_queries import shown
 from plumbline.plans.decision_queries import judged
 from plumbline.plans.inspect_queries import ACTION, DECIDED
+from plumbline.plans.tables import cut
 from plumbline.registry import query
 from plumbline.sources import reviews as R
 from plumbline.sources import sinks
@@ -61,7 +62,7 @@ versions AS (SELECT source, grp, rating_norm, v.k AS k, v.version AS version, v.
 
 
 def sources(spark, sf_dir):
-    rows = judged(spark, sf_dir)
+    rows = judged(spark, sf_dir, each={"source_words": L.source_words()})
     groups = {"offtopic": (30, (F.col("code") == 2) & F.array_contains("reasons", "OFF_TOPIC")), "kept": (20, F.col("code") == 1)}
     return L.adversarial_sources(rows, groups)
 
@@ -75,14 +76,16 @@ def adversarial_sources(spark, sf_dir):
 @query(SOURCES + " SELECT format('adv-{:03d}-', source) || version AS ext_id, md5(text) AS text_md5, rating_norm >= 0.5 AS positive, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(source AS INTEGER)) + to_minutes(CAST(k AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS posted FROM versions")
 def adversarial_versions(spark, sf_dir):
     """Five versions of each source, an hour apart."""
-    return L.versions(sources(spark, sf_dir)).select("ext_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "positive", shown("posted"))
+    drawn = cut(sources(spark, sf_dir))
+    texts = R.reviews(spark, sf_dir, only=drawn).select("id", "text")
+    return L.versions(texts.join(F.broadcast(drawn), "id")).select("ext_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "positive", shown("posted"))
 
 
 @query(SOURCES + """, j AS (SELECT source, grp, version, ((source * 37 + length(version) * 11) % 100) / 100e0 AS integrity, version = 'injection' AND source % 2 = 0 AS excluded FROM versions), o AS (SELECT source, integrity AS a FROM j WHERE version = 'original')
 SELECT grp AS "group", version, count(*) AS n, round(avg(CASE WHEN a < 0.55 AND integrity >= 0.55 AND NOT excluded THEN 1e0 ELSE 0e0 END), 6) AS laundered, round(avg(CASE WHEN excluded THEN 1e0 ELSE 0e0 END), 6) AS excluded, round(avg(CASE WHEN a >= 0.55 AND integrity < 0.55 THEN 1e0 ELSE 0e0 END), 6) AS harmed, round(avg(integrity - a), 6) AS mean_shift FROM j JOIN o USING (source) WHERE version <> 'original' GROUP BY 1, 2""")
 def laundering(spark, sf_dir):
     """How often added claims lift a discounted text over the line, or push a kept one below it."""
-    rows = L.versions(sources(spark, sf_dir))
+    rows = L.versions(sources(spark, sf_dir).withColumn("text", F.lit(None).cast("string")))  # what is judged here isn't the text
     judged_ = rows.select("source", "group", "version", (((F.col("source") * 37 + F.length("version") * 11) % 100) / F.lit(100.0)).alias("integrity"), ((F.col("version") == "injection") & (F.col("source") % 2 == 0)).alias("excluded"))
     out = L.laundering(judged_)
     return out.select("group", "version", "n", *[F.round(c, 6).alias(c) for c in ("laundered", "excluded", "harmed", "mean_shift")])
