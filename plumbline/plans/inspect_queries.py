@@ -43,7 +43,8 @@ def split(rows):
 def page_query(sort, f, limit, offset, missing=None):
     def run(spark, sf_dir):
         rows = judged(spark, sf_dir)
-        found = I.page(I.matching(*split(rows), members_of(rows), f), sort, limit, offset, missing)
+        texts = lambda ids: R.reviews(spark, sf_dir, only=ids).select("id", "text")
+        found = I.page(I.matching(*split(rows), members_of(rows), f).select("id", "action", "score"), sort, limit, offset, missing, texts)
         return found.select("id", "action", F.round("score", 6).alias("score"), "snippet", "total")
 
     return run
