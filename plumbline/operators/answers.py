@@ -229,10 +229,11 @@ def choice_stability(draws: DataFrame) -> DataFrame:
 
 def disjoint_groups(draws: DataFrame, k: int, trials: int = 1, seed: int = 0) -> DataFrame:
     """``draws`` (id, draw, ...) by trial and side: for each trial, two disjoint groups of ``k`` draws of every id, drawn by digest."""
-    numbers = draws.select("id", "draw").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    order = drawn_order(F.concat_ws("|", "trial", "id", "draw"), seed)
-    placed = numbers.withColumn("place", F.row_number().over(Window.partitionBy("id", "trial").orderBy(order, "draw")) - 1).where(F.col("place") < 2 * k)
-    return draws.join(placed.select("id", "draw", "trial", F.when(F.col("place") < k, "a").otherwise("b").alias("side")), ["id", "draw"])
+    numbers = draws.groupBy("id").agg(F.collect_set("draw").alias("draws"))  # a state's draws are few
+    order = lambda d: drawn_order(F.concat_ws("|", "trial", "id", d), seed)
+    sorted_ = F.array_sort(F.transform("draws", lambda d: F.struct(order(d).alias("o"), d.alias("draw"))))
+    placed = numbers.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).select("id", "trial", F.posexplode(F.slice(sorted_, 1, 2 * k)).alias("place", "d"))
+    return draws.join(placed.select("id", F.col("d.draw").alias("draw"), "trial", F.when(F.col("place") < k, "a").otherwise("b").alias("side")), ["id", "draw"])
 
 
 def flip_rate(decided: DataFrame) -> DataFrame:
