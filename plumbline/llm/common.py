@@ -8,7 +8,8 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pandas as pd
 import pyarrow as pa
@@ -60,6 +61,17 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over batches, whose worker gives its freed memory back at the end: idle workers stay as long as stages follow each other."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        trim()
+
+    return run
+
+
 def give_back(spark: SparkSession) -> None:
     """Returns the driver's freed memory to the system; Spark then also removes shuffles and checkpoints that nothing refers to."""
     trim()

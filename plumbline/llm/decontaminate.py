@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import cut, slices, texts
+from plumbline.llm.common import cut, slices, texts, trimmed
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -215,7 +215,7 @@ def decontaminate(docs: DataFrame, windows: DataFrame, text_col: str = "text", m
                 kept.append(ok)
             yield batch.assign(**{text_col: new})[kept]
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInPandas(trimmed(keep), docs.schema)
 
 
 def _decontaminate_in_parts(docs: DataFrame, parts: list[DataFrame], text_col: str, most_hit: float) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import slices, texts, trim
+from plumbline.llm.common import slices, texts, trim, trimmed
 
 #: Rows a language, rows in all (but eight a language at least), and characters of each, from which weights are learned.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 300, 4_000, 6_000
@@ -271,7 +271,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             if len(at):
                 yield pd.DataFrame({"bucket": at, "lang": k, "n": sums[k][at].astype(np.int64)})
 
-    counted = rows.select("text", "lang").mapInPandas(count, "bucket long, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.select("text", "lang").mapInPandas(trimmed(count), "bucket long, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((size, len(langs)))
     counts[counted["bucket"].to_numpy(), counted["lang"].to_numpy()] = counted["n"].to_numpy()
     share = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * size))

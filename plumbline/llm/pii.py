@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from plumbline.llm.common import slices, texts
+from plumbline.llm.common import slices, texts, trim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -244,8 +244,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; all columns and rows stay, null stays null."""
 
     @F.pandas_udf("string")
-    def clean(column: pd.Series) -> pd.Series:
+    def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = _automaton()
-        return pd.Series([redact_text(t, find_spans(t, automaton)) if isinstance(t, str) else None for t in column], dtype="object")
+        for column in columns:
+            yield pd.Series([redact_text(t, find_spans(t, automaton)) if isinstance(t, str) else None for t in column], dtype="object")
+        trim()
 
     return docs.withColumn(text_col, clean(F.col(text_col)))

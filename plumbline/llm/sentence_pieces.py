@@ -30,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import slices, texts, trim
+from plumbline.llm.common import slices, texts, trim, trimmed
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
@@ -47,6 +49,7 @@ CHARS_AT_ONCE, LONG_UNIT = 400_000, 48
 BLOCK_UNITS = 8_192
 _BASE, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
 ALTERNATIVES = "array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>"
+OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 _UNITS = re.compile(" +[^ ]*").findall
 
 
@@ -339,6 +342,18 @@ def learned_scores(docs: DataFrame, model: str, text_col: str = "text") -> dict[
     return dict(enumerate(np.log(counts / counts.sum()).tolist()))
 
 
+def parts(batch: pa.RecordBatch, place: int, chars: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about ``chars`` characters of text each, a longer text alone; nothing is copied."""
+    at, held = 0, 0
+    for k, n in enumerate(pc.utf8_length(batch.column(place)).fill_null(0).to_pylist()):
+        if held and held + n + 1 > chars:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n + 1
+    if held:
+        yield batch.slice(at)
+
+
 def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "text", verify: bool = False, scores: dict[int, float] | None = None) -> DataFrame:
     """``docs`` with ``pieces`` (ids of the best path), ``piece_score`` and ``piece_alternatives``.
 
@@ -352,17 +367,21 @@ def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text_col: str = "t
     docs = docs.select(*kept)
     made = StructType.fromDDL(f"pieces array<int>, piece_score double, piece_alternatives {ALTERNATIVES}" + ", piece_round_trip boolean" * verify)
 
-    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place, names = docs.columns.index(text_col), [*docs.columns, *made.names]
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model, scores)  # freed with the task: workers are used again by other stages
         for batch in batches:
-            for part in slices(batch, text_col, CHARS_AT_ONCE):
-                rows = lattice.encode_many(texts(part[text_col]), n_best)
-                out = part.assign(pieces=[r[1] for r in rows], piece_score=[r[0] for r in rows], piece_alternatives=[r[2] for r in rows])
-                yield out.assign(piece_round_trip=[lattice.decode(r[1].tolist()) == t for r, t in zip(rows, texts(part[text_col]))]) if verify else out
-        del lattice
-        trim()
-
-    return docs.mapInPandas(segment, StructType([*docs.schema.fields, *made.fields]))
+            for part in parts(batch, place):
+                own = [t or "" for t in part.column(place).to_pylist()]
+                rows = lattice.encode_many(own, n_best)
+                ends = np.cumsum([0, *(len(r[1]) for r in rows)])
+                pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(r[1] for r in rows)]), pa.int32()))
+                columns = [pieces, pa.array([r[0] for r in rows], pa.float64()), pa.array([r[2] for r in rows], OTHERS)]
+                columns += [pa.array([lattice.decode(r[1].tolist()) == t for r, t in zip(rows, own)], pa.bool_())] * verify
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names)
+
+    return docs.mapInArrow(trimmed(segment), StructType([*docs.schema.fields, *made.fields]))
 
 
 def decode(model: str):

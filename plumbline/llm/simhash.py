@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, give_back, runs, texts
+from plumbline.llm.common import cut, give_back, runs, texts, trim, trimmed
 from plumbline.llm.verified import classes, digest_filter, may_hold, shingle_hashes
 from plumbline.operators.duplicates import components
 
@@ -104,8 +104,10 @@ def fingerprints(docs: DataFrame, scheme: Scheme = Scheme(), text_col: str = "te
     names = scheme.columns
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
-    def of(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fingerprint(x, scheme.shingle_words, scheme.width) for x in texts(column)], columns=names, dtype="int64")
+    def of(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in columns:
+            yield pd.DataFrame([fingerprint(x, scheme.shingle_words, scheme.width) for x in texts(column)], columns=names, dtype="int64")
+        trim()
 
     others = [c for c in docs.columns if c != text_col]
     return docs.select(*others, of(F.col(text_col)).alias("print")).select(*others, "print.*")
@@ -258,7 +260,7 @@ def link_forest(prints: DataFrame, scheme: Scheme = Scheme(), cell_rows: int = C
     ``cell_rows`` members is cut into a grid of cells, homes by members.
     """
     names, width = scheme.columns, scheme.width
-    anchors = prints.mapInPandas(_to_anchors(scheme), ", ".join(["anchor long", *(f"{n} long" for n in names), "home boolean"]))
+    anchors = prints.mapInPandas(trimmed(_to_anchors(scheme)), ", ".join(["anchor long", *(f"{n} long" for n in names), "home boolean"]))
     hot = anchors.groupBy("anchor").count().where(F.col("count") > cell_rows).select("anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("cuts"))
     hot = cut(hot)
     if hot.isEmpty():
@@ -273,7 +275,7 @@ def link_forest(prints: DataFrame, scheme: Scheme = Scheme(), cell_rows: int = C
         as_member = joined.select("anchor", *names, F.lit(False).alias("home"), F.explode(F.transform(every, lambda r: r * cuts + column)).alias("cell"))
         celled = as_home.unionByName(as_member)
     celled = celled.select("anchor", F.col("cell").cast("long"), *names, "home").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-    return celled.mapInPandas(_compare(scheme), ", ".join(f"{x}{k} long" for x in "uv" for k in range(width))).distinct()
+    return celled.mapInPandas(trimmed(_compare(scheme)), ", ".join(f"{x}{k} long" for x in "uv" for k in range(width))).distinct()
 
 
 def classes_of(prints: DataFrame, scheme: Scheme, cell_rows: int = CELL_ROWS) -> DataFrame:

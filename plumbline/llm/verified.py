@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, runs, texts
+from plumbline.llm.common import cut, runs, texts, trimmed
 from plumbline.operators.duplicates import components
 
 #: Texts and characters of a group, or of a block of a large group, that one task holds.
@@ -129,7 +129,7 @@ def classes(members: DataFrame, similarity: float, words: int) -> DataFrame:
 
     # Not by the join's own key: such a repartition is planned away, and what adaptive execution then does to the join would part a group.
     small = rows.where("parts = 1").select("root", "digest", "text").repartition(F.xxhash64("root", F.lit("group"))).sortWithinPartitions("root")
-    found = small.mapInPandas(whole, "digest long, class long")
+    found = small.mapInPandas(trimmed(whole), "digest long, class long")
     if sizes.where("parts > 1").isEmpty():
         return found
     roots = components(_large(rows.where("parts > 1"), similarity, words))
@@ -156,7 +156,7 @@ def _large(rows: DataFrame, similarity: float, words: int) -> DataFrame:
                         out.append((int(digest), int(other)))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    to_pivots = cut(rows.join(pivots, "root").mapInPandas(against, "a long, b long"))
+    to_pivots = cut(rows.join(pivots, "root").mapInPandas(trimmed(against), "a long, b long"))
     classes = components(to_pivots).withColumnRenamed("node", "digest").withColumnRenamed("root", "class")
     heads = classes.select(F.col("class").alias("digest"), "class").distinct()
     classed = cut(rows.join(classes.unionByName(heads), "digest", "left").select("root", "digest", "text", "parts", "class"))
@@ -179,4 +179,4 @@ def _large(rows: DataFrame, similarity: float, words: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b"])
 
     dealt = own.join(placed, ["root", "block"]).select("cell", "side", "digest", "text").repartition(F.xxhash64("cell", F.lit("group"))).sortWithinPartitions("cell")
-    return to_pivots.unionByName(dealt.mapInPandas(across, "a long, b long"))
+    return to_pivots.unionByName(dealt.mapInPandas(trimmed(across), "a long, b long"))

@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 
+from plumbline.llm import common
 from plumbline.llm import sentence_pieces as sp
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -84,3 +85,15 @@ def test_learned_scores(spark):
     row = sp.encode(docs.limit(1), PATH, scores=scores).first()
     assert lattice.decode(row.pieces) == "the cat sat on the mat" and len(row.pieces) == 6
     assert len(set(sp.learned_scores(docs.limit(0), PATH).values())) == 1
+
+
+def test_batches_are_cut_without_copies_and_workers_give_memory_back(spark, monkeypatch):
+    batch = sp.pa.RecordBatch.from_pydict({"text": ["a" * 30, None, "b" * 200, "", "c"] * 40, "k": list(range(200))})
+    cut = list(sp.parts(batch, 0, 100))
+    assert [k for part in cut for k in part.column(1).to_pylist()] == list(range(200))
+    assert all(part.num_rows == 1 or sum(len(t or "") + 1 for t in part.column(0).to_pylist()) <= 100 for part in cut)
+    assert {part.column(0).buffers()[2].address for part in cut} == {batch.column(0).buffers()[2].address}
+    assert list(sp.parts(batch.slice(0, 0), 0)) == []
+    given = []
+    monkeypatch.setattr("plumbline.llm.common.trim", lambda: given.append(1))
+    assert list(common.trimmed(lambda x: x)(iter([1, 2]))) == [1, 2] and given == [1]
