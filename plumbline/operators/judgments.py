@@ -17,19 +17,28 @@ QUESTIONS = {"informativeness": ("score", 4), "rating_support": ("score", 4), "t
 # Measured tokens of a call by question set, per character, and the factor of packed calls.
 INTERCEPTS = {"v1": 893.1, "v2": 1139.1, "v3": 1270.1, "v4": 1403.1, "v5": 1553.1}
 TOKENS_PER_CHAR, PACKED = 0.2445, 0.888
+#: Columns of answers in one row: name, question, and a column of its answer or the names whose probabilities are added up.
+WIDE = (
+    ("informativeness", "informativeness", "value"), ("support", "rating_support", "value"), ("p_contradicts", "rating_support", ("0",)), ("spam", "spam_promo", "value"), ("templated", "templated", "value"), ("about_game", "about_game", "value"),
+    ("influence", "influence_attempt", "value"), ("p_offtopic", "topic", ("off_topic", "joke_meme")), ("topic", "topic", "choice"), ("info_conf", "informativeness", "confidence"), ("support_conf", "rating_support", "confidence"), ("topic_conf", "topic", "confidence"),
+)
+#: States that are asked together.
+ASKED = 2_000
 
 
 def mock_answers(ids: list[int], seed: int = 7) -> pd.DataFrame:
     """Reproducible answers, seeded by (seed, id)."""
-    rows = []
+    rows, asked = [], []
+    for q, (kind, levels) in QUESTIONS.items():
+        names = list(TOPICS) if kind == "choice" else [str(k) for k in range(levels)]
+        asked.append((q, kind, levels, names, np.full(len(names), 0.5) if kind == "choice" else np.linspace(1, 3, levels)))
     for i in ids:
         rng = np.random.default_rng([seed, int(i)])
-        for q, (kind, levels) in QUESTIONS.items():
+        for q, kind, levels, names, shares in asked:
             if kind == "noul":
                 rows.append((i, q, kind, round(float(rng.beta(1, 12)), 4), None, None, None))
                 continue
-            names = list(TOPICS) if kind == "choice" else [str(k) for k in range(levels)]
-            p = rng.dirichlet(np.full(len(names), 0.5) if kind == "choice" else np.linspace(1, 3, levels))
+            p = rng.dirichlet(shares)
             chosen = names[int(p.argmax())] if kind == "choice" else None
             value = None if kind == "choice" else round(float((p * np.arange(levels)).sum()), 4)
             rows.append((i, q, kind, value, chosen, {k: round(float(x), 4) for k, x in zip(names, p)}, round(float(rng.beta(5, 2)), 4)))
@@ -53,14 +62,44 @@ def judge(states: DataFrame, backend: Callable[[list[int]], pd.DataFrame] = mock
 
 def wide(answers: DataFrame) -> DataFrame:
     """One row an id with the columns that decisions read; questions not asked are null."""
-    of = lambda q, c: F.max(F.when(F.col("question") == q, F.col(c)))
-    probability = lambda q, keys: F.max(F.when(F.col("question") == q, sum((F.coalesce(F.try_element_at("probabilities", F.lit(k)), F.lit(0.0)) for k in keys), F.lit(0.0))))
-    return answers.groupBy("id").agg(
-        of("informativeness", "value").alias("informativeness"), of("rating_support", "value").alias("support"), probability("rating_support", ["0"]).alias("p_contradicts"),
-        of("spam_promo", "value").alias("spam"), of("templated", "value").alias("templated"), of("about_game", "value").alias("about_game"), of("influence_attempt", "value").alias("influence"),
-        probability("topic", ["off_topic", "joke_meme"]).alias("p_offtopic"), of("topic", "choice").alias("topic"),
-        of("informativeness", "confidence").alias("info_conf"), of("rating_support", "confidence").alias("support_conf"), of("topic", "confidence").alias("topic_conf"),
-    )
+    of = lambda c: F.col(c) if isinstance(c, str) else sum((F.coalesce(F.try_element_at("probabilities", F.lit(k)), F.lit(0.0)) for k in c), F.lit(0.0))
+    return answers.groupBy("id").agg(*[F.max(F.when(F.col("question") == q, of(c))).alias(name) for name, q, c in WIDE])
+
+
+def wide_batch(answers: pd.DataFrame, ids: list[int]) -> pd.DataFrame:
+    """``wide`` of all answers of some ids, a row for each id that has any."""
+    there = pd.Index(ids).unique()
+    there = there[there.isin(answers["id"])]
+    by = {q: rows.set_index("id") for q, rows in answers.groupby("question", sort=False)}
+
+    def of(q: str, column: pd.Series) -> pd.Series:
+        if not column.index.is_unique:
+            column = column[column.notna()].groupby(level=0).max()
+        return column.reindex(there)
+
+    out = {"id": there}
+    for name, q, c in WIDE:
+        if q not in by:
+            out[name] = None
+        elif isinstance(c, str):
+            out[name] = of(q, by[q][c]).to_numpy()
+        else:
+            shares = [p if isinstance(p, dict) else {} for p in by[q]["probabilities"]]
+            out[name] = of(q, pd.Series([sum((p.get(k) or 0.0 for k in c), 0.0) for p in shares], by[q].index)).to_numpy()
+    return pd.DataFrame(out)
+
+
+def judge_wide(states: DataFrame, backend: Callable[[list[int]], pd.DataFrame] = mock_answers) -> DataFrame:
+    """``wide`` of ``judge`` for states whose ids are unique: a state's answers come together, so they are put in a row where they are made."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["id"].tolist()
+            for at in range(0, len(ids), ASKED):
+                yield wide_batch(backend(ids[at : at + ASKED]), ids[at : at + ASKED])
+
+    kinds = ", ".join(f"{name} {'string' if c == 'choice' else 'double'}" for name, _, c in WIDE)
+    return states.select("id").mapInPandas(ask, f"id long, {kinds}")
 
 
 def averaged(draws: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def average_answers(spark, sf_dir):
 
 @query()
 def mock_answers_wide(spark, sf_dir):
-    return J.wide(J.judge(R.reviews(spark, sf_dir)))
+    return J.judge_wide(R.numbered(spark, sf_dir))
 
 
 @query(S.over_reviews(S.ANSWERS, S.JUDGED) + f""", x AS (SELECT id, code, CASE WHEN score0 < 0.7e0 THEN 2 ELSE 1 END AS strict, spam FROM decided)
