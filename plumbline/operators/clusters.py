@@ -9,6 +9,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ TERMS_HELD = 500_000
 WORDS = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+").findall
 #: Vectors of a block, and of a block at once in a product.
 BLOCK_ROWS, SLICE_ROWS = 8192, 1024
+#: Characters of texts that are encoded at once.
+CHARS_AT_ONCE = 1_000_000
 
 
 def hash_embedder(texts: list[str], width: int = WIDTH) -> np.ndarray:
@@ -41,12 +45,27 @@ def hash_embedder(texts: list[str], width: int = WIDTH) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def embed(df: DataFrame, encode: Callable[[list[str]], np.ndarray] = hash_embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
-    """``df`` with a unit vector from any encoder of texts to rows."""
+def text_slices(column: pa.Array, chars: int = CHARS_AT_ONCE) -> Iterator[pa.Array]:
+    """Consecutive parts of an array of texts with about ``chars`` characters each, a longer text alone; nothing is copied."""
+    at, held = 0, 0
+    for k, n in enumerate(pc.utf8_length(column).fill_null(0).to_pylist()):
+        if held and held + n + 1 > chars:
+            yield column.slice(at, k - at)
+            at, held = k, 0
+        held += n + 1
+    if held:
+        yield column.slice(at)
+
 
-    @F.pandas_udf("array<float>")
-    def vector(column: pd.Series) -> pd.Series:
-        return pd.Series(list(encode([x if isinstance(x, str) else "" for x in column])))
+def embed(df: DataFrame, encode: Callable[[list[str]], np.ndarray] = hash_embedder, text_col: str = "text", out: str = "embedding") -> DataFrame:
+    """``df`` with a unit vector from any encoder of texts to rows; of a batch's texts some are taken from Arrow at a time."""
+
+    @F.arrow_udf("array<float>")
+    def vector(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            found = [np.asarray(encode([x or "" for x in part.to_pylist()]), np.float32) for part in text_slices(column)]
+            x = np.concatenate(found) if found else np.zeros((0, 0), np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
     return df.withColumn(out, vector(F.col(text_col)))
 

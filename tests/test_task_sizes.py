@@ -1,8 +1,10 @@
 """What a task holds, whatever the tables' sizes."""
 
+import numpy as np
 import pandas as pd
 
 from plumbline import registry
+from plumbline.operators import clusters as C
 from plumbline.operators import judgments as J
 from plumbline.sources import reviews as R
 
@@ -32,3 +34,13 @@ def test_a_batch_of_odd_answers_equals_the_general_form(spark):
     want = J.wide(spark.createDataFrame(rows, J.ANSWER))
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
     assert J.judge_wide(spark.range(0), backend).count() == 0
+
+
+def test_texts_are_encoded_some_at_a_time(spark):
+    texts = ["a" * 400_000] * 8 + [None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").coalesce(1)
+    seen = C.embed(df, lambda some: np.full((len(some), 2), len(some))).collect()
+    assert [r.text for r in seen] == texts and max(r.embedding[0] for r in seen) <= 4
+    assert C.embed(df.limit(0)).count() == 0
+    got = C.embed(spark.createDataFrame([("one two two",), (None,)], "text string")).collect()
+    assert np.allclose([r.embedding for r in got], C.hash_embedder(["one two two", ""]))
