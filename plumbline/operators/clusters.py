@@ -247,7 +247,8 @@ def top_phrases(df: DataFrame, cluster: str, k: int = 6, text_col: str = "text")
     common = Window.partitionBy(*of).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     least = sizes.withColumn("before", F.coalesce(F.sum("terms").over(common), F.lit(0))).groupBy(*of).agg(F.sum(F.col("n") * F.col("terms")).alias("words"), F.min(F.when(F.col("before") < LEADING, F.col("n"))).alias("least"))
     mean = least.agg(F.avg("words").alias("mean"))
-    classes = cut(least.crossJoin(F.broadcast(mean)))  # one row
+    # Tables of a row a cluster, whose sizes are known: a join by cluster alone would bring all terms of one to a task.
+    classes = landed(least.crossJoin(F.broadcast(mean)), "terms")  # the mean is one row
     best = Window.partitionBy(*of).orderBy(F.desc(F.round("score", 9)), "term")
 
     def scored(rows: DataFrame) -> DataFrame:
@@ -255,9 +256,10 @@ def top_phrases(df: DataFrame, cluster: str, k: int = 6, text_col: str = "text")
         return rows.join(freq, "term").withColumn("score", F.col("n") / F.col("words") * F.log1p(F.col("mean") / F.col("freq"))).withColumn("rank", F.row_number().over(best))
 
     every = tf.join(classes, of)
-    kth = scored(every.where("n >= least")).where(F.col("rank") == k).select(*of, F.col("score").alias("kth"))
+    first = landed(every.where("n >= least"), "terms")
+    kth = landed(scored(first).where(F.col("rank") == k).select(*of, F.col("score").alias("kth")), "terms")
     bound = F.col("n") / F.col("words") * F.log1p(F.col("mean") / F.col("n"))
-    some = cut(every.join(kth, of, "left").where(F.col("kth").isNull() | (bound >= F.col("kth") - 1e-8)))
+    some = landed(every.join(kth, of, "left").where(F.col("kth").isNull() | (bound >= F.col("kth") - 1e-8)), "terms")
     return scored(some).where(F.col("rank") <= k).select("cluster", "rank", "term", "score")
 
 

@@ -44,3 +44,13 @@ def test_texts_are_encoded_some_at_a_time(spark):
     assert C.embed(df.limit(0)).count() == 0
     got = C.embed(spark.createDataFrame([("one two two",), (None,)], "text string")).collect()
     assert np.allclose([r.embedding for r in got], C.hash_embedder(["one two two", ""]))
+
+
+def test_terms_are_not_brought_together_by_cluster(spark, monkeypatch):
+    plans, landed = [], C.landed
+    monkeypatch.setattr(C, "landed", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or landed(df, name))
+    docs = spark.createDataFrame([("de" if k % 2 else None, f"wort{k % 7} wort{k % 5} fest") for k in range(400)], "lang string, text string")
+    out = C.top_phrases(docs, "lang")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [" in line and "_c#" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins) and out.count() == 12
