@@ -19,7 +19,6 @@ is in single precision.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,8 @@ from plumbline.llm.common import cut
 
 K = 20
 TABLES = 8
-#: Axes that a query probes in a table of ``PROBED_ROWS`` vectors or more; the fewer there are, the farther are the nearest, and the more it probes.
-PROBES, PROBED_ROWS = 12, 10_000
+#: Axes that a query probes in a table, however many vectors there are.
+PROBES = 16
 SEED = 11
 BUCKET_ROWS = 50_000
 #: Queries of a bucket, on average, beyond which they are dealt over copies of it.
@@ -115,11 +114,6 @@ def _probe(dim: int, tables: int, top: float, even: bool, probes: int | None):
     return probe
 
 
-def probes_for(rows: int) -> int:
-    """Axes to probe among ``rows`` distinct vectors: grows with the fourth root of what is missing to ``PROBED_ROWS``."""
-    return math.ceil(PROBES * max(1.0, PROBED_ROWS / max(rows, 1)) ** 0.25)
-
-
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` highest scores, ties to the smaller id."""
     return np.lexsort((ids, -scores))[:k]
@@ -205,7 +199,7 @@ def _search(index: DataFrame, queries: DataFrame, n_queries: int, dim: int, tabl
     return merged.select("query", F.slice("near", 1, keep).alias("near"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The ``k`` nearest of each query: query_id, rank from 1, the neighbour's id, score (inner product, double).
 
     Candidates are all rows but those with the query's own id; all of them are
@@ -223,8 +217,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TA
     smallest = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= keep)
     index = cut(smallest.groupBy("content").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")).select("rep", "ids", "v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dim, top, low, total, distinct = index.agg(F.max(F.size("v")), F.max(norm), F.min(norm), F.sum(F.size("ids")), F.count("*")).first()
-    probes = probes or probes_for(distinct)
+    dim, top, low, total = index.agg(F.max(F.size("v")), F.max(norm), F.min(norm), F.sum(F.size("ids"))).first()
     searches = cut(asked.groupBy("content").agg(F.min("id").alias("rep"), F.first("v").alias("v")))
     n_queries = searches.count()
     if dim is None:

@@ -83,3 +83,12 @@ def test_queries_dealt_over_copies_of_buckets(spark, monkeypatch):
     plain = run(spark, rows)
     monkeypatch.setattr(ann, "BUCKET_QUERIES", 1)
     assert run(spark, rows) == plain
+
+
+def test_as_many_axes_are_probed_at_any_size(spark, monkeypatch):
+    search, seen = ann._search, set()
+    monkeypatch.setattr(ann, "_search", lambda *a: seen.add((a[4], a[7])) or search(*a))
+    rng = np.random.default_rng(6)
+    for n in (60, 3000):
+        run(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 32)))])
+    assert {probes for tables, probes in seen if tables == ann.TABLES} == {ann.PROBES}
