@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ HEAD = struct.Struct("<4sBIQQ")
 BLOCK_IDS, FILE_BLOCKS = 1 << 20, 8
 #: Ids of a partition that is written, about.
 PART_IDS = 1 << 24
-#: Pieces whose ids a Python worker remembers, and characters given to the library at a time.
-MEMO_PIECES, SLICE_CHARS = 400_000, 1_000_000
+#: Pieces whose ids a Python worker remembers, and characters that are encoded at a time, and given to the library at a time.
+MEMO_PIECES, SLICE_CHARS, LIBRARY_CHARS = 400_000, 4_000_000, 1_000_000
 #: Characters on which Python's and the tokenizer's Unicode tables agree in any version: Latin letters, common punctuation.
 PLAIN = [chr(c) for c in (*range(0, 0x1C), *range(0x20, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028), 0x20AC)]
 
@@ -69,6 +70,10 @@ class Encoder:
     itself. Texts of plain characters are split here, and a piece goes to the
     library's model once; any other text goes to the library whole, and so does
     all with ``pieces=False`` or another kind of file.
+
+    A blank begins a piece unless other white space stands on both sides of it,
+    so plain texts are cut at blanks, and of the parts of several texts each is
+    split into pieces and looked up once.
     """
 
     def __init__(self, path: str, pieces: bool = True):
@@ -108,19 +113,52 @@ class Encoder:
         if len(short) <= MEMO_PIECES // 2:
             self.memo.update(short)
 
+    def of_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of plain characters."""
+        if not texts:
+            return []
+        whole = self.memo.__getitem__
+        listed = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends, coded = listed.offsets.to_numpy(), listed.flatten().dictionary_encode()
+        codes, parts = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        odd = np.array([not x or x[0].isspace() or x[-1].isspace() for x in parts])
+        pieces = self.split("".join([" " + x for x, o in zip(parts, odd.tolist()) if not o]))
+        found = [*map(whole, pieces)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        # A part's ids are those of its pieces: of one that begins with a blank and of all up to the next.
+        first = np.flatnonzero([x[0] == " " for x in pieces])
+        until = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        until = until[np.r_[first[1:] - 1, len(found) - 1]] if len(first) else until
+        size, start = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        size[~odd], start[~odd] = np.diff(until, prepend=0), np.r_[0, until][:-1]
+        # A text's first part has no blank before it and is split by itself.
+        heads = codes[ends[:-1]]
+        sizes = size[codes]
+        sizes[ends[:-1]] = 0
+        after = np.cumsum(sizes)
+        every = ids[np.repeat(start[codes] - after + sizes, sizes) + np.arange(after[-1])]
+        at = np.r_[0, after[ends[1:] - 1]].tolist()
+        loose = np.logical_or.reduceat(odd[codes] & ~np.isin(np.arange(len(codes)), ends[:-1]), ends[:-1]).tolist()
+        out = []
+        for k, (text, head) in enumerate(zip(texts, heads.tolist())):
+            by_itself = loose[k] or parts[head][-1:].isspace()
+            split = self.split(text if by_itself else parts[head])
+            out.append(b"".join(map(whole, split)) + (b"" if by_itself else every[at[k] : at[k + 1]].tobytes()))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = []
+        plain, whole = [], []
         for k, text in enumerate(texts):
-            if self.split and self.plain(text) and not any(m in text for m in self.marks):
-                out[k] = b"".join(map(self.memo.__getitem__, self.split(text)))
-                if len(self.memo) > MEMO_PIECES:
-                    self.shrink()
-            else:
-                whole.append(k)
-        if whole:
-            found = self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)
-            for k, e in zip(whole, found):
+            (plain if self.split and self.plain(text) and not any(m in text for m in self.marks) else whole).append(k)
+        for k, found in zip(plain, self.of_plain([texts[k] for k in plain])):
+            out[k] = found
+        if self.split and len(self.memo) > MEMO_PIECES:
+            self.shrink()
+        sizes = np.cumsum([len(texts[k]) for k in whole], dtype=np.int64)
+        for some in np.split(np.array(whole, np.int64), np.flatnonzero(np.diff(sizes // LIBRARY_CHARS)) + 1):
+            found = self.library.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)
+            for k, e in zip(some, found):
                 out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 

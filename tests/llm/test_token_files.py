@@ -33,6 +33,21 @@ def test_pieces_give_the_library_s_ids(library):
         assert [np.frombuffer(x, "<u4").tolist() for x in fast.encode(batch)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
 
 
+def test_parts_of_a_batch_are_looked_up_once(library):
+    draw = random.Random(5)
+    words = ["it's", "12345", "ñandú", "!!'S", "a_b", "word,", "end.\nNew", "\n", "\x85", "a\t", "\xa0b", "\n\n x", "a\n \n b", ""]
+    batch = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 9))) for _ in range(3000)] + [" ", "  ", "a ", "a  ", "   a", "\x85 a", "漢字"]
+    fast = token_files.Encoder(PATH)
+    looked, split = [], fast.split
+    fast.split = lambda text: looked.append(text) or split(text)
+    want = [library.encode(t, add_special_tokens=False).ids for t in batch]
+    assert [np.frombuffer(x, "<u4").tolist() for x in fast.encode(batch)] == want
+    assert [np.frombuffer(y, "<u4").tolist() for x in batch for y in fast.encode([x])] == want
+    looked.clear()
+    assert len(fast.encode(["a common word, " * 50 + "a common word"] * 200)) == 200
+    assert sum(map(len, looked)) < 2000  # of 152,600 characters, those of texts' first parts and of distinct ones
+
+
 @pytest.mark.parametrize("bits", [1, 2])
 def test_coding_is_undone(bits):
     draw = np.random.default_rng(1)
