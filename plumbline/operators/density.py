@@ -28,28 +28,71 @@ from plumbline.plans.tables import cut, landed
 #: Edges of the tree, or components of a round, that one task takes.
 TASK_EDGES = 200_000
 DIGITS = 8
+#: Pairs that are looked at exactly at once, but for those of one row; and numbers that are subtracted at once.
+PAIRS_AT_ONCE, NUMBERS_AT_ONCE = 1 << 17, 1 << 20
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances, rounded; small ones, where the product formula loses digits, are computed from differences."""
+def distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances, rounded, of the rows ``i`` of ``x`` and ``j`` of ``y``, pair by pair, from differences."""
+    out, step = np.empty(len(i)), max(1, NUMBERS_AT_ONCE // max(1, x.shape[1]))
+    for at in range(0, len(i), step):
+        part = slice(at, at + step)
+        out[part] = ((x[i[part]] - y[j[part]]) ** 2).sum(axis=1)
+    return np.round(np.sqrt(out), DIGITS)
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one product, and by how much those of a row of ``x`` may be off; infinite where a vector isn't finite."""
     xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    square = xx[:, None] + yy[None, :] - 2 * (x @ y.T)
-    i, j = np.nonzero(square < 1e-6 * (xx[:, None] + yy[None, :]))
-    square[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
-    return np.round(np.sqrt(np.maximum(square, 0)), DIGITS)
+    no_x, no_y = ~np.isfinite(xx), ~np.isfinite(yy)
+    if no_x.any() or no_y.any():
+        x, y, xx, yy = np.where(no_x[:, None], 0, x), np.where(no_y[:, None], 0, y), np.where(no_x, 0, xx), np.where(no_y, 0, yy)
+    left = np.concatenate([-2 * x, xx[:, None], np.ones((len(x), 1))], axis=1)
+    square = left @ np.concatenate([y, np.ones((len(y), 1)), yy[:, None]], axis=1).T
+    square[no_x], square[:, no_y] = np.inf, np.inf
+    return square, 1e-12 * (xx + yy.max(initial=0.0)) + 1e-15
+
+
+def within(square: np.ndarray, off: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of consecutive rows from, to: the pairs (i, j) whose rounded distance may be at most the one of the row's bound, all that are finite where that isn't."""
+    bound = np.maximum(bound, 0)
+    top = np.minimum(bound + 3 * (off + np.sqrt(bound + off) * 10.0**-DIGITS), np.finfo(float).max)
+    near = square <= top[:, None]
+    groups = np.cumsum(near.sum(axis=1)) // PAIRS_AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+    for a, b in zip(edges, edges[1:]):
+        i, j = np.nonzero(near[a:b])
+        yield a, b, i + a, j
+
+
+def at_most(square: np.ndarray, k: int) -> np.ndarray:
+    """A number of each row that at least ``k`` of its entries don't exceed (infinite where it has fewer): the k-th least of minima of parts."""
+    n = square.shape[1]
+    parts = max(k, min(n // 16, 16 * k))
+    if n < 2 * parts:
+        return np.partition(square, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(square), np.inf)
+    width = n // parts
+    least = square[:, : parts * width].reshape(len(square), width, parts).min(axis=1)
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
 
 
 def neighbours(points: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     """(id, near): the ``k`` nearest other rows of each row of (id, v) as (d, id), nearest first, ties by id."""
 
     def compare(queries: pd.DataFrame, y: np.ndarray, own: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
-        ids, dist = own["id"].to_numpy(), distances(y, x)
-        dist[queries["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        ids, mine = own["id"].to_numpy(), queries["id"].to_numpy()
+        square, off = squares(y, x)
+        # The row itself may be among those of the bound, so one more is asked for.
+        bound = at_most(square, min(k + 1, len(ids)))
         near = []
-        for row in dist:
-            some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-            some = some[np.lexsort((ids[some], row[some]))][:k]
-            near.append([{"d": float(row[j]), "id": int(ids[j])} for j in some if np.isfinite(row[j])])
+        for first, last, i, j in within(square, off, bound):
+            other = mine[i] != ids[j]
+            i, j = i[other], j[other]
+            dist = distances(y, x, i, j)
+            order = np.lexsort((ids[j], dist, i))
+            i, j, dist = i[order], ids[j[order]], dist[order]
+            starts = np.searchsorted(i, np.arange(first, last + 1))
+            near += [[{"d": d, "id": n} for d, n in zip(dist[a : min(b, a + k)].tolist(), j[a : min(b, a + k)].tolist())] for a, b in zip(starts, starts[1:])]
         return pd.DataFrame({"id": queries["id"], "near": near})
 
     found = against(points, points, compare, "id long, near array<struct<d:double,id:bigint>>", block_rows)
@@ -99,17 +142,19 @@ def spanning_tree(points: DataFrame, min_samples: int, block_rows: int | None =
     parts, tree = points.select("id", F.col("id").alias("c")), None
 
     def search(queries: pd.DataFrame, y: np.ndarray, own: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
-        ids, mine = own["id"].to_numpy(), queries["id"].to_numpy()
-        reach = np.maximum(distances(y, x), np.maximum(queries["core"].to_numpy()[:, None], own["core"].to_numpy()[None, :]))
-        reach[queries["c"].to_numpy()[:, None] == own["c"].to_numpy()[None, :]] = np.inf
-        low, high = np.minimum(mine[:, None], ids[None, :]), np.maximum(mine[:, None], ids[None, :])
-        at = np.empty(len(mine), np.int64)
-        for k, row in enumerate(reach):
-            ties = np.flatnonzero(row == row.min())
-            at[k] = ties[np.lexsort((high[k, ties], low[k, ties]))[0]]
-        line = np.arange(len(mine))
-        out = pd.DataFrame({"c": queries["c"], "w": reach[line, at], "a": low[line, at], "b": high[line, at]})
-        return out[np.isfinite(out["w"])]
+        ids, mine, core = own["id"].to_numpy(), queries["id"].to_numpy(), own["core"].to_numpy()
+        square, off = squares(y, x)
+        np.maximum(square, (core * core)[None, :], out=square)
+        np.maximum(square, (queries["core"].to_numpy() ** 2)[:, None], out=square)
+        square[queries["c"].to_numpy()[:, None] == own["c"].to_numpy()[None, :]] = np.inf
+        out = []
+        for _, _, i, j in within(square, off, square.min(axis=1)):
+            reach = np.maximum(distances(y, x, i, j), np.maximum(queries["core"].to_numpy()[i], core[j]))
+            low, high = np.minimum(mine[i], ids[j]), np.maximum(mine[i], ids[j])
+            order = np.lexsort((high, low, reach, i))
+            least = order[np.diff(i[order], prepend=-1) > 0]
+            out.append(pd.DataFrame({"c": queries["c"].to_numpy()[i[least]], "w": reach[least], "a": low[least], "b": high[least]}))
+        return pd.concat(out, ignore_index=True)
 
     while True:
         ends = listed.join(parts.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(parts.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,35 @@ def test_density_clusters_equal_plain(spark, monkeypatch, task_edges, block_rows
     assert got == want and len(set(want.values())) > 3
 
 
+def test_few_pairs_of_vectors_are_subtracted(monkeypatch):
+    """Of each row about as many as it has neighbours, ties and copies included, with the result of all pairs."""
+    rng, compared, plain = np.random.default_rng(2), [], DN.distances
+    monkeypatch.setattr(DN, "distances", lambda x, y, i, j: compared.append(len(i)) or plain(x, y, i, j))
+    monkeypatch.setattr(DN, "PAIRS_AT_ONCE", 100)
+    found = {}
+
+    def against(rows, queries, compare, *more):
+        found["compare"] = compare
+        raise StopIteration
+
+    monkeypatch.setattr(DN, "against", against)
+    with pytest.raises(StopIteration):
+        DN.neighbours(None, 5)
+    for x, bad in ((rng.normal(size=(3000, 8)), False), (rng.integers(0, 4, (800, 3)).astype(float), False), (rng.normal(size=(600, 4)) * 1e4, True)):
+        if bad:
+            x[7, 1], x[8, 2] = np.nan, np.inf
+        ids = rng.permutation(len(x))
+        own = pd.DataFrame({"id": ids})
+        compared.clear()
+        got = found["compare"](own.iloc[:60].reset_index(drop=True), x[:60], own, x)
+        for q in range(60):
+            d = np.round(np.sqrt(((x - x[q]) ** 2).sum(axis=1)), DN.DIGITS)
+            want = sorted((a, b) for a, b in zip(d.tolist(), ids.tolist()) if b != ids[q] and np.isfinite(a))[:5]
+            assert [(n["d"], n["id"]) for n in got["near"][q]] == want
+        if len(x) == 3000:
+            assert sum(compared) < 60 * 60
+
+
 def test_density_clusters_of_few_rows_and_rows_without_vectors(spark):
     df = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(20)] + [(99, None)], "vec_id long, embedding array<double>")
     assert {r.cluster for r in DN.density_clusters(df, 15).collect()} == {-1}
