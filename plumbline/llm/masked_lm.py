@@ -157,14 +157,22 @@ def contexts(ids: np.ndarray, edge: int, first: int = 0, step: int = 1) -> np.nd
     """(n, 2 * SIDE) ids around each ``step``-th position from ``first`` on, the edge beyond the text."""
     padded = np.full(len(ids) + 2 * SIDE, edge, np.int32)
     padded[SIDE : SIDE + len(ids)] = ids
-    return np.stack([padded[k + first : k + len(ids) : step] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
-
-
-def hidden_of(weights: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What is seen around each position, and the hidden layer with a last column of ones."""
-    seen = weights[0][around].reshape(len(around), -1)
-    hidden = np.ones((len(around), HIDDEN + 1), seen.dtype)
-    np.tanh(seen @ weights[1] + weights[2], out=hidden[:, :HIDDEN])
+    out = np.empty((len(range(first, len(ids), step)), 2 * SIDE), np.int32)
+    for k in range(2 * SIDE):
+        out[:, k] = padded[k + (k >= SIDE) + first : k + (k >= SIDE) + len(ids) : step]
+    return out
+
+
+def hidden_of(weights: list[np.ndarray], around: np.ndarray, seen: np.ndarray | None = None, hidden: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What is seen around each position, and the hidden layer with a last column of ones; into ``seen`` and ``hidden`` if given."""
+    kind = weights[0].dtype
+    seen = np.empty((len(around), 2 * SIDE * WIDTH), kind) if seen is None else seen
+    hidden = np.empty((len(around), HIDDEN + 1), kind) if hidden is None else hidden
+    np.take(weights[0], around.ravel(), axis=0, out=seen.reshape(-1, WIDTH), mode="clip")
+    inner = seen @ weights[1]
+    inner += weights[2]
+    np.tanh(inner, out=hidden[:, :HIDDEN])
+    hidden[:, HIDDEN] = 1
     return seen, hidden
 
 
@@ -178,30 +186,36 @@ def _blocks(vocabulary: Vocabulary, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     return inside, rows[inside], [(a, b, int(block[a]) * vocabulary.size) for a, b in zip(edges, edges[1:])]
 
 
-def _exp(x: np.ndarray) -> np.ndarray:
-    return np.exp(np.minimum(x, MOST_LOGIT, out=x), out=x)
+def _exceed(weights: list[np.ndarray]) -> tuple[bool, bool]:
+    """Whether a logit of the outputs, or of the places in blocks, could be over the largest: no hidden unit is beyond one."""
+    outputs, places = weights[3], weights[4]
+    high = (outputs[-1] + np.abs(outputs[:-1]).sum(axis=0)).max(initial=0.0), (places[:, -1] + np.abs(places[:, :-1]).sum(axis=1)).max(initial=0.0)
+    return bool(high[0] > MOST_LOGIT), bool(high[1] > MOST_LOGIT)
+
+
+def _exp(x: np.ndarray, clip: bool) -> np.ndarray:
+    return np.exp(np.minimum(x, MOST_LOGIT, out=x) if clip else x, out=x)
 
 
-def _log_share(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _log_share(x: np.ndarray, own: np.ndarray, clip: bool) -> np.ndarray:
     """Logarithm of each row's share of exp(x) at ``own``; uses up ``x``."""
-    every = np.arange(len(own))
-    mine = np.minimum(x[every, own], MOST_LOGIT)
-    return mine - np.log(_exp(x).sum(axis=1))
+    mine = np.minimum(x[np.arange(len(own)), own], MOST_LOGIT)
+    return mine - np.log(_exp(x, clip) @ np.ones(x.shape[1], x.dtype))
 
 
 def log_probabilities(vocabulary: Vocabulary, weights: list[np.ndarray], around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log P(class | context), and of the word within its block, of each position."""
     n, kind = len(ids), weights[3].dtype
-    logs, ends = np.empty(n), np.empty((n, INNER + 1), kind)
+    logs, ends, clip = np.empty(n), np.empty((n, INNER + 1), kind), _exceed(weights)
     for at in range(0, n, AT_ONCE):
         part = slice(at, at + AT_ONCE)
         hidden = hidden_of(weights, around[part])[1]
         ends[part] = hidden[:, HIDDEN - INNER :]
-        logs[part] = _log_share(hidden @ weights[3], vocabulary.output[ids[part]])
+        logs[part] = _log_share(hidden @ weights[3], vocabulary.output[ids[part]], clip[0])
     inside, rows, blocks = _blocks(vocabulary, vocabulary.row[ids])
     own, more = ends[inside], np.empty(len(inside))
     for a, b, low in blocks:
-        more[a:b] = _log_share(own[a:b] @ weights[4][low : low + vocabulary.size].T, rows[a:b] - low)
+        more[a:b] = _log_share(own[a:b] @ weights[4][low : low + vocabulary.size].T, rows[a:b] - low, clip[1])
     logs[inside] += more
     return logs
 
@@ -212,50 +226,67 @@ class Trainer:
     def __init__(self, vocabulary: Vocabulary, weights: list[np.ndarray]):
         self.vocabulary, self.weights = vocabulary, [w.copy() for w in weights]
         self.seen = [np.full_like(w, 1e-3) for w in weights]
+        self.rooms: dict[str, np.ndarray] = {}
 
     def _move(self, k: int, gradient: np.ndarray, rows=slice(None)) -> None:
         square = self.seen[k][rows] + gradient * gradient
         self.seen[k][rows] = square
         self.weights[k][rows] -= RATE * gradient / np.sqrt(square)
 
-    @staticmethod
-    def _miss(x: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-        """(share of exp(x) less one at ``own``) / n, in place."""
-        _exp(x)
-        x *= (1 / (n * x.sum(axis=1)))[:, None]
-        x[np.arange(len(own)), own] -= 1 / n
-        return x
+    def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """Space that is used again from batch to batch."""
+        held = self.rooms.get(name)
+        if held is None or held.size < rows * columns:
+            held = self.rooms[name] = np.empty(rows * columns, self.weights[3].dtype)
+        return held[: rows * columns].reshape(rows, columns)
 
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
         w, n, v = self.weights, len(ids), self.vocabulary
-        kind = w[3].dtype
-        seen, hidden, back = np.empty((n, 2 * SIDE * WIDTH), kind), np.empty((n, HIDDEN + 1), kind), np.empty((n, HIDDEN + 1), kind)
-        outputs = np.zeros_like(w[3])
-        for at in range(0, n, AT_ONCE):
-            part = slice(at, at + AT_ONCE)
-            seen[part], hidden[part] = hidden_of(w, around[part])
-            p = self._miss(hidden[part] @ w[3], v.output[ids[part]], n)
-            back[part] = p @ w[3].T
-            outputs += hidden[part].T @ p
+        clip, outs = _exceed(w), v.output[ids]
+        seen, hidden, words = self._room("seen", n, 2 * SIDE * WIDTH), self._room("hidden", n, HIDDEN + 1), self._room("words", 2 * SIDE * WIDTH, n)
+        parts = [slice(at, min(n, at + AT_ONCE)) for at in range(0, n, AT_ONCE)]
+        for part in parts:
+            hidden_of(w, around[part], seen[part], hidden[part])
+        # The error of each logit is (share of exp - 1 if it is the word's own) / n; what multiplies a row waits for the narrow products.
         inside, rows, blocks = _blocks(v, v.row[ids])
-        own = hidden[inside, HIDDEN - INNER :]
-        into = np.empty_like(own)
+        own, into = hidden[inside, HIDDEN - INNER :], self._room("into", n, INNER + 1)
+        into[:] = 0
+        found = np.empty_like(own)
         for a, b, low in blocks:
             part = slice(low, low + v.size)
-            q = self._miss(own[a:b] @ w[4][part].T, rows[a:b] - low, n)
-            into[a:b] = q @ w[4][part]
-            self._move(4, q.T @ own[a:b], part)
-        back[inside, HIDDEN - INNER :] += into
-        back = back[:, :HIDDEN] * (1 - hidden[:, :HIDDEN] ** 2)
-        words = (back @ w[1].T).reshape(-1, WIDTH)
-        flat = around.ravel()
-        order = np.argsort(flat.astype(np.uint16) if v.edge < 1 << 16 else flat, kind="stable")
-        sorted_ = flat[order]
-        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        moves = np.add.reduceat(words[order], first, axis=0)
-        for k, g in ((1, seen.T @ back), (2, back.sum(axis=0)), (3, outputs)):
+            places = w[4][part]
+            q = _exp(own[a:b] @ places.T, clip[1])
+            total = q.sum(axis=1)
+            q[np.arange(b - a), rows[a:b] - low] -= total
+            share = (1 / (n * total))[:, None]
+            np.multiply(q @ places, share, out=found[a:b])
+            self._move(4, q.T @ (own[a:b] * share), part)
+        into[inside] = found
+        # A last column of ones gives the sums.
+        wide = np.ones((w[3].shape[1], HIDDEN + 2), w[3].dtype)
+        wide[:, :-1] = w[3].T
+        outputs, first, bias = np.zeros_like(w[3]), np.zeros_like(w[1]), np.zeros_like(w[2])
+        for part in parts:
+            h, o = hidden[part], outs[part]
+            x = _exp(np.matmul(h, w[3], out=self._room("logits", len(o), w[3].shape[1])), clip[0])
+            sums = x @ wide
+            total = sums[:, -1]
+            x[np.arange(len(o)), o] -= total
+            share = (1 / (n * total))[:, None]
+            outputs += (h * share).T @ x
+            back = sums[:, :HIDDEN] * share - wide[o, :HIDDEN] * (1 / n)
+            back[:, HIDDEN - INNER :] += into[part, :INNER]
+            back *= 1 - h[:, :HIDDEN] ** 2
+            first += seen[part].T @ back
+            bias += back.sum(axis=0)
+            words[:, part] = w[1] @ back.T
+        flat = around.T.ravel()
+        some = np.flatnonzero(np.bincount(flat, minlength=v.edge + 1))
+        each = words.reshape(2 * SIDE, WIDTH, n)
+        moves = np.stack([np.bincount(flat, each[:, k].ravel(), v.edge + 1)[some] for k in range(WIDTH)], axis=1).astype(words.dtype)
+        for k, g in ((1, first), (2, bias), (3, outputs)):
             self._move(k, g)
-        self._move(0, moves, sorted_[first])
+        self._move(0, moves, some)
 
 
 def most_frequent(counted: DataFrame, size: int) -> list[tuple[str, int]]:

@@ -130,3 +130,24 @@ def test_most_frequent_words(spark):
     for size, want in ((99, "abcdefg"), (6, "abcdef"), (5, "abc"), (3, "abc"), (2, "ab"), (1, "a"), (0, "")):
         assert "".join(w for w, _ in lm.most_frequent(counted, size)) == want
     assert lm.most_frequent(counted.limit(0), 5) == []
+
+
+def test_logits_are_cut_only_where_they_could_be_too_large(monkeypatch):
+    rng, v, weights = small_model()
+    ids = rng.integers(0, len(v.row), 300).astype(np.int32)
+    around = lm.contexts(ids, v.edge)
+    assert lm._exceed(weights)[0] is False
+    plain, whole = lm._exceed, []
+    for clip in (plain(weights), (True, True)):
+        monkeypatch.setattr(lm, "_exceed", lambda w, clip=clip: clip)
+        trainer = lm.Trainer(v, weights)
+        for _ in range(3):
+            trainer.step(around, ids)
+        whole.append([*trainer.weights, lm.log_probabilities(v, trainer.weights, around, ids)])
+    assert all(np.array_equal(a, b) for a, b in zip(*whole))
+    monkeypatch.setattr(lm, "_exceed", plain)
+    weights[3][2, 5], weights[4][3, 1] = 900, 900
+    assert plain(weights) == (True, True)
+    trainer = lm.Trainer(v, weights)
+    trainer.step(around, ids)
+    assert all(np.isfinite(w).all() for w in trainer.weights) and np.isfinite(lm.log_probabilities(v, weights, around, ids)).all()
