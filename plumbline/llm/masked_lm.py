@@ -23,19 +23,21 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from plumbline.llm.common import cut, slices, texts
+from plumbline.llm.common import cut
 
 #: Words that are classes of their own, classes of endings, and the most words with a place in the model (others are spelled).
 FREQUENT, ENDINGS, MOST_WORDS = 64, 30, 1 << 17
@@ -51,6 +53,8 @@ SHARD_TOKENS = 1 << 22
 #: Distinct texts that a task remembers while it reads, so as to pass on copies once.
 SEEN_TEXTS = 1 << 20
 TOKENS_AT_ONCE = 32_768
+#: Bytes of text whose words are numbered together, about.
+SLICE_CHARS = 16_000_000
 #: Rows of spelling counts: a hashed previous character by a hashed next one, per ending class.
 CHARS = 128
 PART = 4096
@@ -142,15 +146,20 @@ class Reader:
         self.words = len(self.known)
 
     def __call__(self, text: str) -> tuple[np.ndarray, float]:
-        words = text.lower().split()
-        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        ids, logs = self.words_of(text.lower().split())
+        return ids, float(logs.sum())
+
+    def words_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and the log-probability of each one's spelling (0 for a word of the vocabulary)."""
+        ids, logs = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words)), np.zeros(len(words))
         rare = np.flatnonzero(ids < 0)
-        if not len(rare):
-            return ids, 0.0
-        spelled = [words[i] for i in rare.tolist()]
-        classes = np.array([self.endings[w[-2:]] for w in spelled], np.int32)
-        ids[rare] = self.words + classes
-        return ids, float(self.table[spelled_cells(spelled, classes)[0]].sum())
+        if len(rare):
+            spelled = [words[i] for i in rare.tolist()]
+            classes = np.array([self.endings[w[-2:]] for w in spelled], np.int32)
+            ids[rare] = self.words + classes
+            cells, owner = spelled_cells(spelled, classes)
+            logs[rare] = np.bincount(owner, self.table[cells], len(rare))
+        return ids, logs
 
 
 def contexts(ids: np.ndarray, edge: int, first: int = 0, step: int = 1) -> np.ndarray:
@@ -171,25 +180,44 @@ def hidden_of(weights: list[np.ndarray], around: np.ndarray, seen: np.ndarray |
     np.take(weights[0], around.ravel(), axis=0, out=seen.reshape(-1, WIDTH), mode="clip")
     inner = seen @ weights[1]
     inner += weights[2]
-    np.tanh(inner, out=hidden[:, :HIDDEN])
+    hidden[:, :HIDDEN] = np.tanh(inner, out=inner)
     hidden[:, HIDDEN] = 1
     return seen, hidden
 
 
-def _blocks(vocabulary: Vocabulary, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Positions whose word stands in a block, block by block; their rows; and (from, to, the block's first row) of each block among them."""
-    inside = np.flatnonzero(rows >= 0)
-    block = rows[inside] // max(1, vocabulary.size)
+@dataclass
+class Inside:
+    """Positions whose word stands in a block, block by block, their rows, and (from, to, block) of the blocks among them, about ``AT_ONCE`` positions together."""
+
+    at: np.ndarray
+    rows: np.ndarray
+    groups: list[list[tuple[int, int, int]]]
+
+
+def _inside(vocabulary: Vocabulary, rows: np.ndarray) -> Inside:
+    at = np.flatnonzero(rows >= 0)
+    block = rows[at] // max(1, vocabulary.size)
     order = np.argsort(block.astype(np.uint16) if vocabulary.blocks < 1 << 16 else block, kind="stable")
-    inside, block = inside[order], block[order]
-    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist() if len(block) else []
-    return inside, rows[inside], [(a, b, int(block[a]) * vocabulary.size) for a, b in zip(edges, edges[1:])]
+    at, block = at[order], block[order]
+    groups, edges = [], np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist() if len(block) else []
+    for a, b in zip(edges, edges[1:]):
+        if not groups or b - groups[-1][0][0] > AT_ONCE:
+            groups.append([])
+        groups[-1].append((a, b, int(block[a])))
+    return Inside(at, rows[at], groups)
+
+
+def _errors(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Makes of rows of exp, at each row's ``own``, what differs from a sure guess of it; returns the rows' sums."""
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x.ravel()[np.arange(0, x.size, x.shape[1]) + own] -= total
+    return total
 
 
 def _exceed(weights: list[np.ndarray]) -> tuple[bool, bool]:
     """Whether a logit of the outputs, or of the places in blocks, could be over the largest: no hidden unit is beyond one."""
     outputs, places = weights[3], weights[4]
-    high = (outputs[-1] + np.abs(outputs[:-1]).sum(axis=0)).max(initial=0.0), (places[:, -1] + np.abs(places[:, :-1]).sum(axis=1)).max(initial=0.0)
+    high = (outputs[-1] + np.abs(outputs[:-1]).sum(axis=0)).max(initial=0.0), (places[:, -1] + np.abs(places[:, :-1]) @ np.ones(INNER, places.dtype)).max(initial=0.0)
     return bool(high[0] > MOST_LOGIT), bool(high[1] > MOST_LOGIT)
 
 
@@ -212,11 +240,15 @@ def log_probabilities(vocabulary: Vocabulary, weights: list[np.ndarray], around:
         hidden = hidden_of(weights, around[part])[1]
         ends[part] = hidden[:, HIDDEN - INNER :]
         logs[part] = _log_share(hidden @ weights[3], vocabulary.output[ids[part]], clip[0])
-    inside, rows, blocks = _blocks(vocabulary, vocabulary.row[ids])
-    own, more = ends[inside], np.empty(len(inside))
-    for a, b, low in blocks:
-        more[a:b] = _log_share(own[a:b] @ weights[4][low : low + vocabulary.size].T, rows[a:b] - low, clip[1])
-    logs[inside] += more
+    inside, size = _inside(vocabulary, vocabulary.row[ids]), vocabulary.size
+    own, more = ends[inside.at], np.empty(len(inside.at))
+    for group in inside.groups:
+        first, last = group[0][0], group[-1][1]
+        q = np.empty((last - first, size), kind)
+        for a, b, k in group:
+            np.matmul(own[a:b], weights[4][k * size : (k + 1) * size].T, out=q[a - first : b - first])
+        more[first:last] = _log_share(q, inside.rows[first:last] % size, clip[1])
+    logs[inside.at] += more
     return logs
 
 
@@ -231,7 +263,9 @@ class Trainer:
     def _move(self, k: int, gradient: np.ndarray, rows=slice(None)) -> None:
         square = self.seen[k][rows] + gradient * gradient
         self.seen[k][rows] = square
-        self.weights[k][rows] -= RATE * gradient / np.sqrt(square)
+        gradient *= RATE
+        gradient /= np.sqrt(square, out=square)
+        self.weights[k][rows] -= gradient
 
     def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
         """Space that is used again from batch to batch."""
@@ -243,50 +277,56 @@ class Trainer:
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
         w, n, v = self.weights, len(ids), self.vocabulary
         clip, outs = _exceed(w), v.output[ids]
-        seen, hidden, words = self._room("seen", n, 2 * SIDE * WIDTH), self._room("hidden", n, HIDDEN + 1), self._room("words", 2 * SIDE * WIDTH, n)
+        seen, hidden, words = self._room("seen", n, 2 * SIDE * WIDTH), self._room("hidden", n, HIDDEN + 1), self._room("words", n, 2 * SIDE * WIDTH)
         parts = [slice(at, min(n, at + AT_ONCE)) for at in range(0, n, AT_ONCE)]
         for part in parts:
             hidden_of(w, around[part], seen[part], hidden[part])
         # The error of each logit is (share of exp - 1 if it is the word's own) / n; what multiplies a row waits for the narrow products.
-        inside, rows, blocks = _blocks(v, v.row[ids])
-        own, into = hidden[inside, HIDDEN - INNER :], self._room("into", n, INNER + 1)
+        inside, into = _inside(v, v.row[ids]), self._room("into", n, INNER + 1)
         into[:] = 0
-        found = np.empty_like(own)
-        for a, b, low in blocks:
-            part = slice(low, low + v.size)
-            places = w[4][part]
-            q = _exp(own[a:b] @ places.T, clip[1])
-            total = q.sum(axis=1)
-            q[np.arange(b - a), rows[a:b] - low] -= total
-            share = (1 / (n * total))[:, None]
-            np.multiply(q @ places, share, out=found[a:b])
-            self._move(4, q.T @ (own[a:b] * share), part)
-        into[inside] = found
-        # A last column of ones gives the sums.
-        wide = np.ones((w[3].shape[1], HIDDEN + 2), w[3].dtype)
-        wide[:, :-1] = w[3].T
-        outputs, first, bias = np.zeros_like(w[3]), np.zeros_like(w[1]), np.zeros_like(w[2])
+        into[inside.at] = self._step_in_blocks(inside, hidden[inside.at, HIDDEN - INNER :], n, clip[1])
+        back_to = np.ascontiguousarray(w[3][:HIDDEN].T)
+        outputs, first, bias = np.zeros_like(w[3].T), np.zeros_like(w[1].T), np.zeros_like(w[2])
         for part in parts:
             h, o = hidden[part], outs[part]
             x = _exp(np.matmul(h, w[3], out=self._room("logits", len(o), w[3].shape[1])), clip[0])
-            sums = x @ wide
-            total = sums[:, -1]
-            x[np.arange(len(o)), o] -= total
-            share = (1 / (n * total))[:, None]
-            outputs += (h * share).T @ x
-            back = sums[:, :HIDDEN] * share - wide[o, :HIDDEN] * (1 / n)
+            share = (1 / (n * _errors(x, o)))[:, None]
+            outputs += x.T @ (h * share)
+            back = x @ back_to
+            back *= share
             back[:, HIDDEN - INNER :] += into[part, :INNER]
             back *= 1 - h[:, :HIDDEN] ** 2
-            first += seen[part].T @ back
+            first += back.T @ seen[part]
             bias += back.sum(axis=0)
-            words[:, part] = w[1] @ back.T
-        flat = around.T.ravel()
+            np.matmul(back, w[1].T, out=words[part])
+        # Two numbers of a word move at once, as the parts of a complex one.
+        flat, moves = around.ravel(), np.zeros((WIDTH // 2, v.edge + 1), np.result_type(words.dtype, np.complex64))
+        each = words.view(moves.dtype).reshape(-1, WIDTH // 2)
+        for k in range(WIDTH // 2):
+            np.add.at(moves[k], flat, each[:, k])
         some = np.flatnonzero(np.bincount(flat, minlength=v.edge + 1))
-        each = words.reshape(2 * SIDE, WIDTH, n)
-        moves = np.stack([np.bincount(flat, each[:, k].ravel(), v.edge + 1)[some] for k in range(WIDTH)], axis=1).astype(words.dtype)
-        for k, g in ((1, first), (2, bias), (3, outputs)):
+        for k, g in ((1, first.T), (2, bias), (3, outputs.T)):
             self._move(k, g)
-        self._move(0, moves, some)
+        self._move(0, np.ascontiguousarray(moves[:, some].T).view(words.dtype), some)
+
+    def _step_in_blocks(self, inside: Inside, own: np.ndarray, n: int, clip: bool) -> np.ndarray:
+        """Moves the places in blocks; what the errors there mean for each position's end of the hidden layer, ``own``."""
+        size, places = self.vocabulary.size, self.weights[4]
+        moves, back = np.zeros_like(places), np.empty_like(own)
+        for group in inside.groups:
+            first, last = group[0][0], group[-1][1]
+            q = self._room("places", last - first, size)
+            for a, b, k in group:
+                np.matmul(own[a:b], places[k * size : (k + 1) * size].T, out=q[a - first : b - first])
+            share = (1 / (n * _errors(_exp(q, clip), inside.rows[first:last] % size)))[:, None]
+            shared = own[first:last] * share
+            for a, b, k in group:
+                errors, block = q[a - first : b - first], slice(k * size, (k + 1) * size)
+                np.matmul(errors, places[block], out=back[a:b])
+                np.matmul(errors.T, shared[a - first : b - first], out=moves[block])
+            back[first:last] *= share
+        self._move(4, moves)
+        return back
 
 
 def most_frequent(counted: DataFrame, size: int) -> list[tuple[str, int]]:
@@ -307,18 +347,54 @@ def most_frequent(counted: DataFrame, size: int) -> list[tuple[str, int]]:
     return sorted([(r.word, r.n) for r in counted.where(bucket >= least).collect()], key=lambda x: (-x[1], x[0]))
 
 
-def count_words(texts_: DataFrame) -> Counts:
-    """The vocabulary and spelling counts over all rows (text)."""
+def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows' texts as numbers of words, cut off; a row is a slice of about ``SLICE_CHARS`` bytes.
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    It has the slice's different words, joined by blanks, with their counts, and of
+    each text the id, digest and tokens; ``ids`` holds all texts' places among the
+    words. So counting and encoding meet a word once a slice, not at each token.
+    """
+    kind = docs.schema[id_col].dataType
+    schema = StructType([StructField("doc_id", ArrayType(kind))]).add("digest", ArrayType(LongType())).add("length", ArrayType(IntegerType())).add("ids", "binary").add("words", "string").add("n", ArrayType(IntegerType()))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for t in texts(batch["text"]):
-                seen.update(t.lower().split())
-            if seen:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            ids, column = batch.column("doc_id"), batch.column("text")
+            for at, upto in _slices(column):
+                place, found, digests, lengths = defaultdict(count().__next__), [], [], []
+                for t in column.slice(at, upto - at).to_pylist():
+                    words = (t or "").lower().split()
+                    found.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+                    lengths.append(len(words))
+                    digests.append(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) - (1 << 63))
+                numbers = np.concatenate(found)
+                row = [[digests], [lengths], [packed(numbers)], [" ".join(place)], [np.bincount(numbers, minlength=len(place)).astype(np.int32)]]
+                one = pa.ListArray.from_arrays(pa.array([0, upto - at], pa.int32()), ids.slice(at, upto - at))
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([one, *(pa.array(x, k) for x, k in zip(row, kinds))], names=schema.names)
+
+    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(split, schema))
+
+
+def _slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive texts of about ``most`` bytes together, a longer one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield at, upto
+        at, before = upto, int(ends[upto - 1])
+
+
+def count_words(docs: DataFrame) -> Counts:
+    """The vocabulary and spelling counts over all rows (text)."""
+    return counted_words(split_texts(docs.select(F.lit(0).alias("doc_id"), "text")))
+
 
-    counted = cut(texts_.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+def counted_words(parts: DataFrame) -> Counts:
+    """The vocabulary and spelling counts of texts that are split."""
+    pairs = parts.where("words <> ''").select(F.inline(F.arrays_zip(F.split("words", " ").alias("word"), F.col("n").alias("n"))))
+    counted = cut(pairs.groupBy("word").agg(F.sum("n").alias("n")))
     tokens = counted.agg(F.sum("n")).first()[0] or 0
     size = max(FREQUENT, min(WORDS_A_ROOT * math.isqrt(tokens), MOST_WORDS))
     top = most_frequent(counted, size)
@@ -344,7 +420,12 @@ def count_words(texts_: DataFrame) -> Counts:
 
 
 def encoded(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, spare, digest, ids, spelled, doc_id) of every row, by shard and in the digest's order, cut off.
+    """``dealt`` of the rows' texts."""
+    return dealt(split_texts(docs, id_col, text_col), counts)
+
+
+def dealt(parts: DataFrame, counts: Counts) -> DataFrame:
+    """(shard, spare, digest, ids, spelled, doc_id) of every row of ``split_texts``, by shard and in the digest's order, cut off.
 
     ``spelled`` is the log-probability of the spellings. A text goes to the
     shard of its digest once a task; its copies (again after ``SEEN_TEXTS``
@@ -352,27 +433,33 @@ def encoded(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: s
     and not trained on, so a text with very many copies is no hot key.
     """
     shards = max(1, counts.tokens // SHARD_TOKENS)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = StructType().add("shard", "integer").add("spare", "boolean").add("digest", "long").add("ids", "binary").add("spelled", "double").add(StructField("doc_id", docs.schema[id_col].dataType))
+    shared = parts.sparkSession.sparkContext.broadcast(counts)
+    schema = StructType().add("shard", "integer").add("spare", "boolean").add("digest", "long").add("ids", "binary").add("spelled", "double").add(StructField("doc_id", parts.schema["doc_id"].dataType.elementType))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, seen, spares = Reader(shared.value), set(), 0
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            out = []
-            for t in texts(batch["text"]):
-                digest = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-                ids, spelled = read(t)
-                spare = digest in seen or not len(ids)
-                if len(seen) >= SEEN_TEXTS:
-                    seen.clear()
-                seen.add(digest)
-                spares += spare
-                out.append(((digest if not spare else digest + spares) % shards, spare, digest - (1 << 63), packed(ids), spelled))
-            yield pd.DataFrame(out, columns=schema.names[:-1]).assign(doc_id=batch["doc_id"].to_numpy())
+        for batch in batches:
+            for k in range(batch.num_rows):
+                digests, lengths = batch.column("digest")[k].values.to_numpy(), batch.column("length")[k].values.to_numpy()
+                known, logs = read.words_of(batch.column("words")[k].as_py().split())
+                places = unpacked(batch.column("ids")[k].as_py())
+                ids, ends = known[places], np.cumsum(lengths).tolist()
+                spelled = np.bincount(np.repeat(np.arange(len(lengths)), lengths), logs[places], len(lengths))
+                to, spare, data = [], [], []
+                for digest, n, end in zip(digests.tolist(), lengths.tolist(), ends):
+                    is_spare = digest in seen or not n
+                    if len(seen) >= SEEN_TEXTS:
+                        seen.clear()
+                    seen.add(digest)
+                    spares += is_spare
+                    to.append((digest + (1 << 63) + (spares if is_spare else 0)) % shards)
+                    spare.append(is_spare)
+                    data.append(packed(ids[end - n : end]))
+                columns = [pa.array(to, pa.int32()), pa.array(spare), pa.array(digests), pa.array(data, pa.binary()), pa.array(spelled, pa.float64()), batch.column("doc_id")[k].values]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     tasks = min(shards, max(4096, shards // 64))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, schema)
-    return cut(rows.repartition(tasks, "shard").sortWithinPartitions("shard", "spare", "digest"))
+    return cut(parts.mapInArrow(deal, schema).repartition(tasks, "shard").sortWithinPartitions("shard", "spare", "digest"))
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -464,8 +551,9 @@ def train(rows: DataFrame, counts: Counts, rounds: int = ROUNDS) -> list[np.ndar
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Counts, list[np.ndarray]]:
     """Counts and network learned from all rows of ``docs``; an empty table gives a network without words."""
     rows = docs.select(F.lit(0).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = count_words(rows)
-    return counts, train(encoded(rows, counts), counts)
+    parts = split_texts(rows)
+    counts = counted_words(parts)
+    return counts, train(dealt(parts, counts), counts)
 
 
 def _summed(found: list[tuple[np.ndarray, float]], vocabulary: Vocabulary, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -490,9 +578,9 @@ def score_texts(batch: list[str], counts: Counts, weights: list[np.ndarray], rea
     return _summed([read(t) for t in batch], counts.vocabulary, weights)
 
 
-def _scored(rows: DataFrame, schema: StructType, score_batch, id_col: str) -> DataFrame:
+def _scored(rows: DataFrame, id_col: str) -> DataFrame:
     per_token = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
-    return rows.mapInPandas(score_batch, schema).withColumn("pll_per_token", per_token).withColumnRenamed("doc_id", id_col)
+    return rows.withColumn("pll_per_token", per_token).withColumnRenamed("doc_id", id_col)
 
 
 def _schema(docs: DataFrame, id_col: str) -> StructType:
@@ -502,17 +590,21 @@ def _schema(docs: DataFrame, id_col: str) -> StructType:
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` of ``docs`` with a model learned from them; their texts are split into words once, for training and scoring."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = count_words(rows)
-    every = encoded(rows, counts)
+    parts = split_texts(rows)
+    counts = counted_words(parts)
+    every = dealt(parts, counts)
     shared = docs.sparkSession.sparkContext.broadcast((counts.vocabulary, train(every, counts)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
         for batch in batches:
-            n, sums = _summed([(unpacked(x), y) for x, y in zip(batch["ids"], batch["spelled"])], vocabulary, weights)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "pll": sums})
+            ids, spelled = batch.column("ids").to_pylist(), batch.column("spelled").to_pylist()
+            new = [k == 0 or ids[k] != ids[k - 1] or spelled[k] != spelled[k - 1] for k in range(len(ids))]  # copies stand together
+            n, sums = _summed([(unpacked(ids[k]), spelled[k]) for k in np.flatnonzero(new)], vocabulary, weights)
+            of = np.cumsum(new) - 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n[of]), pa.array(sums[of])], names=["doc_id", "n_tokens", "pll"])
 
-    return _scored(every.select("doc_id", "ids", "spelled"), _schema(docs, id_col), run, id_col)
+    return _scored(every.select("doc_id", "ids", "spelled").mapInArrow(run, _schema(docs, id_col)), id_col)
 
 
 def score(docs: DataFrame, model: tuple[Counts, list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -524,11 +616,13 @@ def score(docs: DataFrame, model: tuple[Counts, list[np.ndarray]], id_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 20 numbers a word, MOST_WORDS words
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights = shared.value
         read = Reader(counts)
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            n, sums = score_texts(texts(batch["text"]), counts, weights, read)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "pll": sums})
+        for batch in batches:
+            ids, column = batch.column("doc_id"), batch.column("text")
+            for at, upto in _slices(column, 1_000_000):
+                n, sums = score_texts([t or "" for t in column.slice(at, upto - at).to_pylist()], counts, weights, read)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, upto - at), pa.array(n), pa.array(sums)], names=["doc_id", "n_tokens", "pll"])
 
-    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), _schema(docs, id_col), run, id_col)
+    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _schema(docs, id_col)), id_col)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from plumbline.llm import masked_lm as lm
@@ -151,3 +153,24 @@ def test_logits_are_cut_only_where_they_could_be_too_large(monkeypatch):
     trainer = lm.Trainer(v, weights)
     trainer.step(around, ids)
     assert all(np.isfinite(w).all() for w in trainer.weights) and np.isfinite(lm.log_probabilities(v, weights, around, ids)).all()
+
+
+def test_words_are_met_once_a_slice_and_ids_stay_exact(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "Straße two two \x85 qqq\u2003qqq"), (None, "two qqq"), (big + 2, None), (big + 4, "two qqq"), (big + 6, " \n"), (big + 8, "ΣΑΣ \x00 " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    words = Counter(w for _, t in rows for w in (t or "").lower().split())
+    parts = lm.split_texts(docs).collect()
+    assert len(parts) == 1 and dict(zip(parts[0].words.split(" "), parts[0].n)) == words
+    counts = lm.count_words(docs)
+    assert counts.tokens == sum(words.values()) and set(counts.vocabulary.ids) == set(words)
+    few = lm.Counts(lm.Vocabulary(["two"], [4], 9), counts.spelling, counts.tokens)
+    read = lm.Reader(few)
+    got = {r.doc_id: r for r in lm.encoded(docs, few).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        ids, spelled = read(t or "")
+        assert lm.unpacked(got[i].ids).tolist() == ids.tolist() and np.isclose(got[i].spelled, spelled)
+    model = lm.fit(docs)
+    for scored in (lm.fit_and_score(docs), lm.score(docs, model)):
+        assert {r.doc_id: r.n_tokens for r in scored.collect()} == {i: len((t or "").split()) for i, t in rows}
