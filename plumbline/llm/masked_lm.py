@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, trimmed
 
 #: Words that are classes of their own, classes of endings, and the most words with a place in the model (others are spelled).
 FREQUENT, ENDINGS, MOST_WORDS = 64, 30, 1 << 17
@@ -46,15 +46,15 @@ WORDS_A_ROOT = 2
 #: Tokens on each side; numbers of a word, of the hidden layer, and of that layer's end from which a word within its block is predicted.
 SIDE, WIDTH, HIDDEN, INNER = 2, 16, 32, 8
 ROUNDS, RATE, BATCH, SEED = 2, 0.15, 16_384, 3
-#: Rows of a batch whose outputs are held at once, so that they stay in the processor's cache; and the largest logit.
-AT_ONCE, MOST_LOGIT = 512, 60.0
+#: Rows of a batch whose outputs are held at once, so that they stay near the processor; and the largest logit.
+AT_ONCE, MOST_LOGIT = 1024, 60.0
 #: Tokens of a training shard, about.
 SHARD_TOKENS = 1 << 22
 #: Distinct texts that a task remembers while it reads, so as to pass on copies once.
 SEEN_TEXTS = 1 << 20
 TOKENS_AT_ONCE = 32_768
 #: Bytes of text whose words are numbered together, about.
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 8_000_000
 #: Rows of spelling counts: a hashed previous character by a hashed next one, per ending class.
 CHARS = 128
 PART = 4096
@@ -373,7 +373,7 @@ def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([one, *(pa.array(x, k) for x, k in zip(row, kinds))], names=schema.names)
 
-    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(split, schema))
+    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(split), schema))
 
 
 def _slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -459,7 +459,7 @@ def dealt(parts: DataFrame, counts: Counts) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     tasks = min(shards, max(4096, shards // 64))
-    return cut(parts.mapInArrow(deal, schema).repartition(tasks, "shard").sortWithinPartitions("shard", "spare", "digest"))
+    return cut(parts.mapInArrow(trimmed(deal), schema).repartition(tasks, "shard").sortWithinPartitions("shard", "spare", "digest"))
 
 
 def packed(ids: np.ndarray) -> bytes:
