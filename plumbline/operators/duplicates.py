@@ -11,10 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from plumbline.config import Features
-from plumbline.functions.text import normalised
+from plumbline.functions.text import deflated, normalised
 from plumbline.plans.tables import cut, landed
 
 MERSENNE = (1 << 31) - 1
@@ -211,11 +210,6 @@ def sought(rows: DataFrame, likely: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).join(F.broadcast(marks), "part").where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*rows.columns)
 
 
-@F.pandas_udf(BinaryType())
-def deflated(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: zlib.compress(x.encode("utf-8", "surrogatepass")))
-
-
 def jaccard(a: Column, b: Column, k: int) -> Column:
     """Exact similarity of two deflated texts' shingle sets, which are made again for the pair."""
 

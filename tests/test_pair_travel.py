@@ -52,3 +52,21 @@ def test_texts_are_neither_grouped_nor_joined_by_themselves(spark, sf, monkeypat
     assert not any(c in ("norm", "text") for _, columns in seen for c in columns)
     joins = [line for line in plans(out).splitlines() if "Join" in line]
     assert joins and not any("norm#" in line or "text#" in line for line in joins), json.dumps(joins)
+
+
+def test_exported_texts_travel_deflated_and_once(spark, sf, tmp_path, monkeypatch):
+    from plumbline.functions import text as T
+    from plumbline.sources import sinks
+
+    rows = spark.createDataFrame([(k, None if k == 4 else f"mail me at a{k}@b.com " * 40) for k in range(25)], "id long, text string")
+    frame, kinds = type(rows), []
+    moved = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: kinds.append(dict(self.dtypes)) or moved(self, *a))
+    for name, given in (("raw", rows), ("given", rows.select("id", T.deflated(T.public_scrub(rows.text)).alias("scrubbed")))):
+        for decided in (None, rows.select("id", (rows.id % 3).alias("code"))):
+            path = f"file://{tmp_path}/{name}{decided is None}"
+            sinks.bundle(given, path, 10, decided)
+            got = {r.id: r.text for r in spark.read.json(path).collect()}
+            assert got == {k: None if k == 4 else "mail me at [email] " * 40 for k in range(25)}
+    registry.QUERIES["exported_chunks"](spark, sf)
+    assert len(kinds) >= 5 and not any(k == "string" and c in ("text", "scrubbed") for kind in kinds for c, k in kind.items())
